@@ -113,3 +113,26 @@ def boundary_energy_census(df: DataFrame, keys: Sequence[str], forecast: str) ->
     totals = bands.groupBy(*keys).agg(F.sum("energy").alias("all_energy"))
     joined = bands.join(totals, list(keys)) if keys else bands.withColumn("all_energy", totals.select("all_energy").scalar())
     return joined.select(*keys, "band", "n", "energy", (F.col("energy") / F.col("all_energy")).alias("energy_share"))
+
+
+#: distributed sums add in varying order, so the two formulations may differ in the last bits
+PARITY_TOLERANCE = 1e-12
+
+
+def parity_report(df: DataFrame, forecast: str, group: str = "grp") -> DataFrame:
+    """Score the same rows by a second, independent formulation and compare the three macro numbers."""
+    first = macro_score(group_metrics(df, [group], forecast))
+    gap = F.abs(F.col(forecast) - F.col("actual")) / F.col("capacity")
+    kept = df.where(finite("actual") & finite(forecast) & (F.col("actual") >= F.col("capacity") * MIN_ACTUAL_FRACTION))
+    weight = F.when(gap > PARTIAL_PAYMENT_ERROR, 0.0).when(gap > FULL_PAYMENT_ERROR, 0.75).otherwise(1.0)
+    per_group = kept.groupBy(group).agg(
+        (1.0 - F.avg(gap)).alias("om"), (F.sum(F.col("actual") * weight) / F.sum("actual")).alias("fi")
+    )
+    second = per_group.agg(F.avg("om").alias("om"), F.avg("fi").alias("fi"))
+    both = first.join(F.broadcast(second))  # one row each
+    pairs = [("total_score", 0.5 * (F.col("om") + F.col("fi"))), ("one_minus_nmae", F.col("om")), ("ficr", F.col("fi"))]
+    rows = F.array(*[
+        F.struct(F.lit(n).alias("metric"), c.alias("independent"), F.col(n).alias("official"),
+                 (F.abs(c - F.col(n)) <= PARITY_TOLERANCE).alias("within_tolerance")) for n, c in pairs
+    ])
+    return both.select(F.explode(rows).alias("r")).select("r.*")
