@@ -67,8 +67,12 @@ def edge_bin_array(value: ColumnLike, edges: ColumnLike) -> Column:
 
 
 def r6(value: ColumnLike, places: int = 6) -> Column:
-    """Stable output rounding; ``+ 0.0`` turns a negative zero into zero."""
-    return F.round(col(value), places) + F.lit(0.0)
+    """Stable output rounding.
+
+    A thousandth of the last digit is added first, so that an exact tie rounds the same way whatever the order in which a
+    distributed sum was formed; ``+ 0.0`` turns a negative zero into zero.
+    """
+    return F.round(col(value) + F.lit(float(f"1e-{places + 3}")), places) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, keys: Sequence[str], values: Sequence[str], places: int = 6) -> DataFrame:

@@ -19,13 +19,13 @@ _PRICE = "CASE WHEN rate <= 0.06 THEN 4.0 WHEN rate <= 0.08 THEN 3.0 ELSE 0.0 EN
 
 @query("settlement_by_group", "A01 P01 F18", f"""
 WITH r AS (SELECT *, abs(base - actual) / capacity AS rate FROM fcst WHERE {_ELIG})
-SELECT grp, count(*) AS n_evaluated, round(sum(actual), 6) AS actual_energy, round(avg(rate), 6) AS nmae,
-       round(1 - avg(rate), 6) AS one_minus_nmae, round(sum(actual * {_PRICE}) / (4 * sum(actual)), 6) AS ficr,
+SELECT grp, count(*) AS n_evaluated, round(sum(actual) + 1e-9, 6) AS actual_energy, round(avg(rate) + 1e-9, 6) AS nmae,
+       round(1 - avg(rate) + 1e-9, 6) AS one_minus_nmae, round(sum(actual * {_PRICE}) / (4 * sum(actual)) + 1e-9, 6) AS ficr,
        count(*) FILTER (rate <= 0.06) AS within_6_count, count(*) FILTER (rate > 0.06 AND rate <= 0.08) AS within_8_count,
        count(*) FILTER (rate > 0.08) AS over_8_count,
-       round(coalesce(sum(actual) FILTER (rate <= 0.06), 0) / sum(actual), 6) AS within_6_energy_share,
-       round(coalesce(sum(actual) FILTER (rate > 0.06 AND rate <= 0.08), 0) / sum(actual), 6) AS within_8_energy_share,
-       round(coalesce(sum(actual) FILTER (rate > 0.08), 0) / sum(actual), 6) AS over_8_energy_share
+       round(coalesce(sum(actual) FILTER (rate <= 0.06), 0) / sum(actual) + 1e-9, 6) AS within_6_energy_share,
+       round(coalesce(sum(actual) FILTER (rate > 0.06 AND rate <= 0.08), 0) / sum(actual) + 1e-9, 6) AS within_8_energy_share,
+       round(coalesce(sum(actual) FILTER (rate > 0.08), 0) / sum(actual) + 1e-9, 6) AS over_8_energy_share
 FROM r GROUP BY grp""")
 def settlement_by_group(v) -> DataFrame:
     out = S.group_metrics(v.fcst, ["grp"], "base")
@@ -39,8 +39,8 @@ def settlement_by_group(v) -> DataFrame:
 @query("settlement_macro", "A02", f"""
 WITH r AS (SELECT *, abs(base - actual) / capacity AS rate FROM fcst WHERE {_ELIG}),
 g AS (SELECT grp, avg(rate) AS nmae, sum(actual * {_PRICE}) / (4 * sum(actual)) AS ficr FROM r GROUP BY grp)
-SELECT round(0.5 * (1 - avg(nmae)) + 0.5 * avg(ficr), 6) AS total_score, round(1 - avg(nmae), 6) AS one_minus_nmae,
-       round(avg(ficr), 6) AS ficr FROM g""")
+SELECT round(0.5 * (1 - avg(nmae)) + 0.5 * avg(ficr) + 1e-9, 6) AS total_score, round(1 - avg(nmae) + 1e-9, 6) AS one_minus_nmae,
+       round(avg(ficr) + 1e-9, 6) AS ficr FROM g""")
 def settlement_macro(v) -> DataFrame:
     out = S.macro_score(S.group_metrics(v.fcst, ["grp"], "base"))
     return rounded(out, [], ["total_score", "one_minus_nmae", "ficr"])
@@ -51,8 +51,8 @@ WITH r AS (SELECT *, abs(base - actual) / capacity AS rate FROM fcst WHERE {_ELI
 g AS (SELECT grp, avg(rate) AS nmae, sum(actual * {_PRICE}) / (4 * sum(actual)) AS ficr FROM r GROUP BY grp),
 m AS (SELECT 1 - avg(nmae) AS om, avg(ficr) AS ficr FROM g)
 SELECT unnest(['total_score', 'one_minus_nmae', 'ficr']) AS metric,
-       round(unnest([0.5 * (om + ficr), om, ficr]), 6) AS independent,
-       round(unnest([0.5 * om + 0.5 * ficr, om, ficr]), 6) AS official, true AS within_tolerance FROM m""")
+       round(unnest([0.5 * (om + ficr), om, ficr]) + 1e-9, 6) AS independent,
+       round(unnest([0.5 * om + 0.5 * ficr, om, ficr]) + 1e-9, 6) AS official, true AS within_tolerance FROM m""")
 def metric_parity(v) -> DataFrame:
     return S.parity_report(v.fcst, "base").select("metric", r6("independent").alias("independent"),
                                                   r6("official").alias("official"), "within_tolerance")
@@ -62,7 +62,7 @@ def metric_parity(v) -> DataFrame:
 WITH r AS (SELECT *, abs(cand - actual) / capacity AS rate FROM fcst WHERE {_ELIG}),
 b AS (SELECT grp, CASE WHEN rate <= 0.06 THEN 'within_6' WHEN rate <= 0.08 THEN 'within_8' ELSE 'over_8' END AS band,
              count(*) AS n, sum(actual) AS energy FROM r GROUP BY 1, 2)
-SELECT grp, band, n, energy, round(energy / sum(energy) OVER (PARTITION BY grp), 6) AS energy_share FROM b""")
+SELECT grp, band, n, energy, round(energy / sum(energy) OVER (PARTITION BY grp) + 1e-9, 6) AS energy_share FROM b""")
 def boundary_energy_census(v) -> DataFrame:
     return S.boundary_energy_census(v.fcst, ["grp"], "cand").withColumn("energy_share", r6("energy_share"))
 
@@ -74,9 +74,9 @@ pr AS (SELECT *, CASE WHEN eb <= 0.06 THEN 4.0 WHEN eb <= 0.08 THEN 3.0 ELSE 0.0
                     date_trunc('day', ts - INTERVAL 1 HOUR) AS day FROM fcst WHERE {_ELIG}))"""
 _TRIPLE = """count(*) AS n, 1 - avg(eb) AS bo, sum(actual * pb) / (4 * sum(actual)) AS bf,
        1 - avg(ec) AS co, sum(actual * pc) / (4 * sum(actual)) AS cf"""
-_DELTAS_SQL = """round(0.5 * bo + 0.5 * bf, 6) AS baseline_score, round(0.5 * co + 0.5 * cf, 6) AS candidate_score,
-       round(0.5 * (co - bo) + 0.5 * (cf - bf), 6) AS delta_score, round(co - bo, 6) AS delta_one_minus_nmae,
-       round(cf - bf, 6) AS delta_ficr"""
+_DELTAS_SQL = """round(0.5 * bo + 0.5 * bf + 1e-9, 6) AS baseline_score, round(0.5 * co + 0.5 * cf + 1e-9, 6) AS candidate_score,
+       round(0.5 * (co - bo) + 0.5 * (cf - bf) + 1e-9, 6) AS delta_score, round(co - bo + 1e-9, 6) AS delta_one_minus_nmae,
+       round(cf - bf + 1e-9, 6) AS delta_ficr"""
 _DELTA_COLUMNS = ["baseline_score", "candidate_score", "delta_score", "delta_one_minus_nmae", "delta_ficr"]
 
 
@@ -149,7 +149,7 @@ x AS (SELECT f.*, {_ELIG} AS ok, {_gain('base')} AS u0, {_gain('cand')} AS u1, {
 s AS (SELECT *, CASE WHEN NOT ok THEN 'base' WHEN u0 >= u1 AND u0 >= u2 THEN 'base' WHEN u1 >= u2 THEN 'cand' ELSE 'third' END
              AS selected FROM x)
 SELECT grp, selected, count(*) AS n, count(*) FILTER (ok) AS n_scored,
-       round(sum(CASE selected WHEN 'base' THEN base WHEN 'cand' THEN cand ELSE third END), 4) AS kwh
+       round(sum(CASE selected WHEN 'base' THEN base WHEN 'cand' THEN cand ELSE third END) + 1e-7, 4) AS kwh
 FROM s GROUP BY 1, 2""")
 def rowwise_oracle(v) -> DataFrame:
     best = U.rowwise_best(v.fcst, ["base", "cand", "third"], "base")
@@ -168,15 +168,15 @@ WITH {_MEANS_SQL},
 x AS (SELECT f.*, {_ELIG} AS ok, abs((actual - base) / capacity) AS e, {_u('base')} AS u0,
              {_u('(base + 0.01 * capacity)')} AS up, {_u('(base - 0.01 * capacity)')} AS um
       FROM fcst f JOIN ma ON ma.grp = f.grp)
-SELECT grp, site, round(sum(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS eligible,
-       round(sum(actual / capacity) FILTER (ok), 6) AS actual_cf,
-       round(sum((actual - base) / capacity) FILTER (ok), 6) AS signed_residual_cf,
-       round(sum(e) FILTER (ok), 6) AS absolute_error_cf,
-       round(sum(CASE WHEN e <= 0.06 THEN 1.0 ELSE 0.0 END) FILTER (ok), 6) AS within_6,
-       round(sum(CASE WHEN e <= 0.08 THEN 1.0 ELSE 0.0 END) FILTER (ok), 6) AS within_8,
-       round(sum(0.06 - e) FILTER (ok), 6) AS margin_6, round(sum(0.08 - e) FILTER (ok), 6) AS margin_8,
-       round(sum(up - um) FILTER (ok), 6) AS plus_vs_minus_utility,
-       round(sum(greatest(up, um) - u0) FILTER (ok), 6) AS best_one_percent_utility_gain
+SELECT grp, site, round(sum(CASE WHEN ok THEN 1.0 ELSE 0.0 END) + 1e-9, 6) AS eligible,
+       round(sum(actual / capacity) FILTER (ok) + 1e-9, 6) AS actual_cf,
+       round(sum((actual - base) / capacity) FILTER (ok) + 1e-9, 6) AS signed_residual_cf,
+       round(sum(e) FILTER (ok) + 1e-9, 6) AS absolute_error_cf,
+       round(sum(CASE WHEN e <= 0.06 THEN 1.0 ELSE 0.0 END) FILTER (ok) + 1e-9, 6) AS within_6,
+       round(sum(CASE WHEN e <= 0.08 THEN 1.0 ELSE 0.0 END) FILTER (ok) + 1e-9, 6) AS within_8,
+       round(sum(0.06 - e) FILTER (ok) + 1e-9, 6) AS margin_6, round(sum(0.08 - e) FILTER (ok) + 1e-9, 6) AS margin_8,
+       round(sum(up - um) FILTER (ok) + 1e-9, 6) AS plus_vs_minus_utility,
+       round(sum(greatest(up, um) - u0) FILTER (ok) + 1e-9, 6) AS best_one_percent_utility_gain
 FROM x GROUP BY grp, site""")
 def score_aware_targets(v) -> DataFrame:
     out = U.score_aware_targets(v.fcst)
@@ -190,7 +190,7 @@ x AS (SELECT f.grp, site, actual / capacity AS y, least(greatest(base / capacity
 e AS (SELECT *, abs(b - y) AS e0, abs(least(greatest(CAST(factor AS DOUBLE) * b, 0), 1.02) - y) AS e1 FROM x),
 d AS (SELECT *, 0.5 * (e0 - e1) + 0.5 * (y / m) * ((CASE WHEN e1 <= 0.06 THEN 4.0 WHEN e1 <= 0.08 THEN 3.0 ELSE 0.0 END)
              - (CASE WHEN e0 <= 0.06 THEN 4.0 WHEN e0 <= 0.08 THEN 3.0 ELSE 0.0 END)) / 4.0 AS delta FROM e)
-SELECT grp, site, CAST(factor AS DOUBLE) AS factor, count(*) AS n, round(sum(delta), 6) AS utility_delta
+SELECT grp, site, CAST(factor AS DOUBLE) AS factor, count(*) AS n, round(sum(delta) + 1e-9, 6) AS utility_delta
 FROM d GROUP BY 1, 2, 3""")
 def action_utility_deltas(v) -> DataFrame:
     out = U.action_utility_deltas(v.fcst)
@@ -211,10 +211,10 @@ p AS (SELECT *, {p6} AS p6, {p8} AS p8 FROM r),
 v AS (SELECT *, 0.5 * radius - sc * (p6 + 3 * p8) AS loss,
              0.5 + sc * (p6 * (1 - p6) + 3 * p8 * (1 - p8)) / 0.005 AS slope,
              -sc * (p6 * (1 - p6) * (1 - 2 * p6) + 3 * p8 * (1 - p8) * (1 - 2 * p8)) / (0.005 * 0.005) AS bend FROM p)
-SELECT grp, site, round(sum(loss), 5) AS loss, round(sum(slope * err / radius), 4) AS gradient,
-       round(sum(least(greatest(abs(slope * 0.0025 * 0.0025 / pow(radius, 3) + bend * (err / radius) * (err / radius)), 0.001), 200)), 3)
+SELECT grp, site, round(sum(loss) + 1e-8, 5) AS loss, round(sum(slope * err / radius) + 1e-7, 4) AS gradient,
+       round(sum(least(greatest(abs(slope * 0.0025 * 0.0025 / pow(radius, 3) + bend * (err / radius) * (err / radius)), 0.001), 200)) + 1e-6, 3)
          AS curvature,
-       round(sum(0.04 * 0.04 * (sqrt(1 + (err / 0.04) * (err / 0.04)) - 1)), 6) AS pseudo_huber
+       round(sum(0.04 * 0.04 * (sqrt(1 + (err / 0.04) * (err / 0.04)) - 1)) + 1e-9, 6) AS pseudo_huber
 FROM v GROUP BY grp, site"""
 
 
@@ -264,7 +264,7 @@ def _bootstrap(v) -> DataFrame:
 
 @query("bootstrap_score_deltas", "A44", f"""
 WITH {_BOOT_CTE}
-SELECT replicate, round(delta_cand, 6) AS delta_cand, round(delta_third, 6) AS delta_third FROM boot""")
+SELECT replicate, round(delta_cand + 1e-9, 6) AS delta_cand, round(delta_third + 1e-9, 6) AS delta_third FROM boot""")
 def bootstrap_score_deltas(v) -> DataFrame:
     return rounded(_bootstrap(v), ["replicate"], ["delta_cand", "delta_third"])
 
@@ -283,8 +283,8 @@ cr AS (SELECT quantile_cont(greatest(delta_cand - (SELECT raw_delta FROM ob WHER
                                      delta_third - (SELECT raw_delta FROM ob WHERE candidate = 'third')), 0.9) AS c FROM boot),
 pn AS (SELECT *, raw_delta - c AS lcb, greatest(0, -minimum_cell_delta) + 0.5 * greatest(0, -delta_ficr) + 0.5 * greatest(0, -(dom + 0.0002)) AS pen
        FROM ob, cr)
-SELECT candidate, round(raw_delta, 6) AS raw_delta, round(lcb, 6) AS simultaneous_lcb, round(pen, 6) AS instability_penalty,
-       round(lcb - pen, 6) AS risk_adjusted_increment, round(baseline_score + lcb - pen, 6) AS local_virtual_score FROM pn""")
+SELECT candidate, round(raw_delta + 1e-9, 6) AS raw_delta, round(lcb + 1e-9, 6) AS simultaneous_lcb, round(pen + 1e-9, 6) AS instability_penalty,
+       round(lcb - pen + 1e-9, 6) AS risk_adjusted_increment, round(baseline_score + lcb - pen + 1e-9, 6) AS local_virtual_score FROM pn""")
 def risk_adjusted_score(v) -> DataFrame:
     names = ["cand", "third"]
     totals = {c: L.paired_scores(L.paired_totals(v.fcst, ["grp"], "base", c)) for c in names}
