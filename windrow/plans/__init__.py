@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: modules that register queries when imported
-MODULES = ("scoring", "weather", "checking")
+MODULES = ("scoring", "weather", "checking", "space")
 
 
 def load_all():

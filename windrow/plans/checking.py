@@ -14,7 +14,7 @@ from windrow.operators import providers as R
 from windrow.plans.digest import digest, digest_sql
 from windrow.plans.registry import query
 
-RAD = repr(math.pi / 180.0)
+RAD = repr(math.pi / 180.0) + 'e0'
 
 _LATE = """la AS (SELECT forecast_ts, grid_id, issued_ts + (grid_id % 4) * INTERVAL 1 HOUR AS available,
               date_trunc('day', forecast_ts - INTERVAL 1 HOUR) - INTERVAL 10 HOUR AS cutoff FROM wx)"""

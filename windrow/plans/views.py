@@ -1,7 +1,8 @@
 """Surrogate inputs over the driver tables.
 
 The driver supplies order tables and an event stream; these views give them the shape of gridded forecasts, turbine
-telemetry, settled forecasts and sites.  Every value is an integer total divided once, so Spark and a SQL engine see the
+telemetry, settled forecasts and sites.  A farm holds six turbines, so there are more farms, not larger ones, as the data
+grows.  Every value is an integer total divided once, so Spark and a SQL engine see the
 same bits, and every view has a key whose count grows with the data (cells and turbines with users, sites with
 suppliers, rows with line items).
 """
@@ -26,13 +27,13 @@ SELECT date_trunc('hour', ts) + INTERVAL 1 HOUR AS forecast_ts, CAST(floor(user_
        sum((event_id * 13) % 160) / (count(*) * 10.0) - 6 AS u50,
        sum((event_id * 17) % 180) / (count(*) * 10.0) - 8 AS v50,
        sum((event_id * 3) % 250) / (count(*) * 10.0) AS gust,
-       273.15 + sum(user_id % 30) / CAST(count(*) AS DOUBLE) AS t2,
-       266.15 + sum((user_id * 3) % 35) / CAST(count(*) AS DOUBLE) AS d2,
+       273.15e0 + sum(user_id % 30) / CAST(count(*) AS DOUBLE) AS t2,
+       266.15e0 + sum((user_id * 3) % 35) / CAST(count(*) AS DOUBLE) AS d2,
        90000 + sum(event_id % 1000) / CAST(count(*) AS DOUBLE) AS sp
 FROM events GROUP BY 1, 2""",
     "wx_cells": """
-SELECT grid_id, 37.2 + 0.03 * (floor(grid_id / 3) % 1000) AS lat,
-       128.9 + 0.03 * (grid_id % 3 + 3 * floor(grid_id / 3000)) AS lon
+SELECT grid_id, 37.2e0 + 0.03e0 * (floor(grid_id / 3) % 1000) AS lat,
+       128.9e0 + 0.03e0 * (grid_id % 3 + 3 * floor(grid_id / 3000)) AS lon
 FROM (SELECT DISTINCT grid_id FROM wx_obs)""",
     "wx": """
 SELECT k.forecast_ts, date_trunc('day', k.forecast_ts - INTERVAL 1 HOUR) AS run_key,
@@ -47,7 +48,7 @@ LEFT JOIN wx_obs o ON o.forecast_ts = k.forecast_ts AND o.grid_id = k.grid_id"""
     "scada10": """
 SELECT date_trunc('hour', ts) + INTERVAL 1 HOUR AS hour_end, CAST(floor(minute(ts) / 10) AS INTEGER) AS slot,
        CAST(floor(user_id / 10) AS INTEGER) AS turbine,
-       concat('g', CAST(CAST(floor(user_id / 10) AS INTEGER) % 3 + 1 AS VARCHAR)) AS grp,
+       concat('f', CAST(CAST(floor(user_id / 60) AS INTEGER) AS VARCHAR)) AS grp,
        sum(CAST(round(value * 100) AS BIGINT)) / (count(*) * 100.0) AS power,
        sum((event_id * 11) % 250) / (count(*) * 10.0) AS ws,
        sum((event_id * 37) % 360) / CAST(count(*) AS DOUBLE) AS wd
@@ -61,16 +62,21 @@ SELECT concat('g', CAST(l_suppkey % 3 + 1 AS VARCHAR)) AS grp, l_suppkey AS site
            - CAST(round(l_tax * 100) AS BIGINT)))) / 100.0 AS third
 FROM lineitem GROUP BY 1, 2, 3""",
     "fcst": """
-SELECT *, CASE grp WHEN 'g3' THEN 58.0 ELSE 60.0 END AS capacity FROM fcst_raw""",
+SELECT *, CASE grp WHEN 'g3' THEN 58.0e0 ELSE 60.0e0 END AS capacity FROM fcst_raw""",
     "components": """
 SELECT 'base' AS model, grp, site, ts, base AS kwh, actual, capacity FROM fcst
 UNION ALL SELECT 'cand', grp, site, ts, cand, actual, capacity FROM fcst
 UNION ALL SELECT 'third', grp, site, ts, third, actual, capacity FROM fcst""",
     "sites": """
 SELECT s_suppkey AS turbine_id, concat('g', CAST(s_suppkey % 3 + 1 AS VARCHAR)) AS grp,
-       37.2 + 0.01 * (s_suppkey % 10) AS lat, 128.9 + 0.01 * floor(s_suppkey / 10) AS lon,
-       3.6 + 0.3 * (s_nationkey % 3) AS capacity_mw, 117.0 AS hub_height_m, 126.0 AS rotor_m
+       concat('f', CAST(CAST(floor(s_suppkey / 6) AS INTEGER) AS VARCHAR)) AS farm, 37.2e0 + 0.01e0 * (s_suppkey % 10) AS lat, 128.9e0 + 0.01e0 * floor(s_suppkey / 10) AS lon,
+       3.6e0 + 0.3e0 * (s_nationkey % 3) AS capacity_mw, 117.0e0 AS hub_height_m, 126.0e0 AS rotor_m
 FROM supplier""",
+    "dem": """
+SELECT CAST(o_orderkey % 100 AS BIGINT) AS row_no, CAST(floor(o_orderkey / 100) AS BIGINT) AS col_no,
+       37.2e0 + 0.001e0 * (o_orderkey % 100) AS lat, 128.9e0 + 0.001e0 * floor(o_orderkey / 100) AS lon,
+       (CAST(round(o_totalprice * 100) AS BIGINT) % 20000) / 100.0 AS z
+FROM orders""",
     "prov": """
 SELECT date_trunc('hour', ts) + INTERVAL 1 HOUR AS ts, CAST(floor(user_id / 25) AS INTEGER) AS grid_id,
        sum((event_id * 3) % 200) / (count(*) * 10.0) AS a_ws_d1, sum((event_id * 7) % 210) / (count(*) * 10.0) AS a_ws_d2,
@@ -170,7 +176,7 @@ class Views:
             (hour_floor("ts") + F.expr("INTERVAL 1 HOUR")).alias("hour_end"),
             F.floor(F.minute("ts") / 10).cast("int").alias("slot"),
             turbine.alias("turbine"),
-            F.concat(F.lit("g"), (turbine % 3 + 1).cast("string")).alias("grp"),
+            F.concat(F.lit("f"), F.floor(F.col("user_id") / 60).cast("int").cast("string")).alias("grp"),
         ).agg(
             (F.sum(F.round(F.col("value") * 100).cast("long")) / (F.count(F.lit(1)) * 100.0)).alias("power"),
             _avg_mod("event_id", 11, 250, 10.0).alias("ws"),
@@ -212,6 +218,7 @@ class Views:
         return self.table("supplier").select(
             s.alias("turbine_id"),
             F.concat(F.lit("g"), (s % 3 + 1).cast("string")).alias("grp"),
+            F.concat(F.lit("f"), F.floor(s / 6).cast("int").cast("string")).alias("farm"),
             (37.2 + 0.01 * (s % 10)).alias("lat"),
             (128.9 + 0.01 * F.floor(s / 10)).alias("lon"),
             (3.6 + 0.3 * (F.col("s_nationkey") % 3)).alias("capacity_mw"),
@@ -219,6 +226,16 @@ class Views:
             F.lit(126.0).alias("rotor_m"),
         )
 
+    @cached_property
+    def dem(self) -> DataFrame:
+        """Elevation pixels on a 0.001 degree lattice that grows eastward with the data."""
+        o = F.col("o_orderkey")
+        return self.table("orders").select(
+            (o % 100).alias("row_no"), F.floor(o / 100).alias("col_no"),
+            (37.2 + 0.001 * (o % 100)).alias("lat"), (128.9 + 0.001 * F.floor(o / 100)).alias("lon"),
+            ((F.round(F.col("o_totalprice") * 100).cast("long") % 20000) / 100.0).alias("z"),
+        )
+
     @cached_property
     def prov(self) -> DataFrame:
         aggs = []
