@@ -63,6 +63,15 @@ SELECT concat('g', CAST(l_suppkey % 3 + 1 AS VARCHAR)) AS grp, l_suppkey AS site
 FROM lineitem GROUP BY 1, 2, 3""",
     "fcst": """
 SELECT *, CASE grp WHEN 'g3' THEN 58.0e0 ELSE 60.0e0 END AS capacity FROM fcst_raw""",
+    "gday": """
+SELECT concat('g', CAST(l_suppkey % 3 + 1 AS VARCHAR)) AS grp, l_shipdate AS ts,
+       sum(CAST(l_quantity AS BIGINT)) / CAST(count(*) AS DOUBLE) AS actual,
+       sum(CAST(l_quantity AS BIGINT) * (100 + 8 * (CAST(round(l_discount * 100) AS BIGINT) - 5))) / (count(*) * 100.0) AS base,
+       sum(CAST(l_quantity AS BIGINT) * (100 + 6 * (CAST(round(l_tax * 100) AS BIGINT) - 4))) / (count(*) * 100.0) AS cand,
+       sum(CAST(l_quantity AS BIGINT) * (100 + 5 * (CAST(round(l_discount * 100) AS BIGINT)
+           - CAST(round(l_tax * 100) AS BIGINT)))) / (count(*) * 100.0) AS third,
+       CASE WHEN l_suppkey % 3 = 2 THEN 58.0e0 ELSE 60.0e0 END AS capacity
+FROM lineitem GROUP BY 1, 2, 7""",
     "components": """
 SELECT 'base' AS model, grp, site, ts, base AS kwh, actual, capacity FROM fcst
 UNION ALL SELECT 'cand', grp, site, ts, cand, actual, capacity FROM fcst
@@ -203,6 +212,20 @@ class Views:
     def fcst(self) -> DataFrame:
         return self.fcst_raw.withColumn("capacity", F.when(F.col("grp") == "g3", 58.0).otherwise(60.0))
 
+    @cached_property
+    def gday(self) -> DataFrame:
+        """Mean over the line items of a group and day."""
+        q = F.col("l_quantity").cast("long")
+        disc = F.round(F.col("l_discount") * 100).cast("long")
+        tax = F.round(F.col("l_tax") * 100).cast("long")
+        n = F.count(F.lit(1))
+        return self.table("lineitem").groupBy(
+            F.concat(F.lit("g"), (F.col("l_suppkey") % 3 + 1).cast("string")).alias("grp"), F.col("l_shipdate").cast(NTZ).alias("ts"),
+        ).agg(
+            (F.sum(q) / n).alias("actual"), (F.sum(q * (100 + 8 * (disc - 5))) / (n * 100.0)).alias("base"),
+            (F.sum(q * (100 + 6 * (tax - 4))) / (n * 100.0)).alias("cand"), (F.sum(q * (100 + 5 * (disc - tax))) / (n * 100.0)).alias("third"),
+        ).withColumn("capacity", F.when(F.col("grp") == "g3", 58.0).otherwise(60.0))
+
     @cached_property
     def components(self) -> DataFrame:
         return self.fcst.select(
