@@ -83,14 +83,13 @@ def macro_of_groups(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def compare_year_slices(df: DataFrame, baseline: str, candidate: str, group: str = "grp", ts: str = "ts") -> DataFrame:
-    """Per year, slice and group: both variants and the deltas.  Rows are reduced to quarter totals before the slices are
-    expanded, so overlapping slices never multiply the input."""
-    quarters = paired_totals(
-        df, [group, F.year(run_key(ts)).alias("year"), quarter_number(ts).alias("quarter")], baseline, candidate
-    )
+def compare_year_slices(df: DataFrame, baseline: str, candidate: str, group: str = "grp", ts: str = "ts", by_year: bool = True) -> DataFrame:
+    """Per slice and group, for every year or over all years: both variants and the deltas.  Rows are reduced to quarter
+    totals before the slices are expanded, so overlapping slices never multiply the input."""
+    year = [F.year(run_key(ts)).alias("year")] if by_year else []
+    quarters = paired_totals(df, [group, *year, quarter_number(ts).alias("quarter")], baseline, candidate)
     sliced = quarters.withColumn("slice", F.explode(year_slices("quarter")))
-    return deltas(paired_scores(add_totals(sliced, [group, "year", "slice"])))
+    return deltas(paired_scores(add_totals(sliced, [group, *(["year"] if by_year else []), "slice"])))
 
 
 def compare_segments(
@@ -106,16 +105,15 @@ def compare_segments(
     return deltas(paired_scores(add_totals(expanded, [group, "segment"])))
 
 
-def compare_time_and_regime(df: DataFrame, baseline: str, candidate: str, driver: Column, year: int) -> DataFrame:
+def compare_time_and_regime(df: DataFrame, baseline: str, candidate: str, driver: Column) -> DataFrame:
     """Time slices and wind regimes per group, plus the equal-weight ``mixed`` rows.
 
     ``driver`` is an aggregate over the rows of one (group, ts).  The regime of the mixed rows comes from the mean driver
     over groups, that of the group rows from the group's own driver.  Drivers are rounded so that the order of addition
     cannot move one across a regime edge.
     """
-    of_year = df.where(F.year(run_key("ts")) == year)
-    cells = paired_totals(of_year, ["grp", "ts"], baseline, candidate).join(
-        of_year.groupBy("grp", "ts").agg(F.round(driver, 9).alias("driver")), ["grp", "ts"]
+    cells = paired_totals(df, ["grp", "ts"], baseline, candidate).join(
+        df.groupBy("grp", "ts").agg(F.round(driver, 9).alias("driver")), ["grp", "ts"]
     )
     mixed_driver = cells.groupBy("ts").agg(F.round(F.avg("driver"), 9).alias("mixed_driver"))
     cells = cells.join(mixed_driver, "ts")

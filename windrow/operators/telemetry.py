@@ -336,3 +336,10 @@ def reliability_gate(hourly: DataFrame, group: str, window: str, train: str, val
         ok = ok & (F.col(f"{name}_resource_hours") >= min_hours) & (F.col(f"{name}_unknown") <= max_unknown)
     return out.withColumn("gate", F.coalesce(ok & (F.col("state_divergence") <= max_divergence), F.lit(False))).drop(
         *[f"_{n}_{s}" for n in ("train", "valid") for s in shares])
+
+
+def median_lookup(train: DataFrame, apply: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Training median of the row's cell, or the overall training median where the cell was never seen."""
+    cell = exact_quantiles(train, keys, value, [0.5]).select(*keys, F.element_at("q", 1).alias("_cell"))
+    whole = exact_quantiles(train.withColumn("_one", F.lit(1)), ["_one"], value, [0.5]).select(F.element_at("q", 1)).scalar()
+    return attach(apply, cell, keys).withColumn(name, F.coalesce("_cell", whole)).drop("_cell")

@@ -6,13 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.functions import timekeys as T
 from windrow.functions.exprs import r6, rounded
 from windrow.operators import calibrate as K
 from windrow.operators import compose as E
 from windrow.operators import decisions as D
 from windrow.operators import gates as G
 from windrow.operators import meta as A
+from windrow.operators import settlement as S
 from windrow.operators import slices as L
 from windrow.plans.digest import digest, digest_sql
 from windrow.plans.registry import query
@@ -125,8 +125,6 @@ SELECT round(max(s) FILTER (variant = 'all') - max(s) FILTER (variant = 'base')
        round(sum(s) FILTER (variant IN ('g1', 'g2', 'g3')) - 3 * max(s) FILTER (variant = 'base') + 1e-9, 6) AS sum_group_deltas,
        round(max(s) FILTER (variant = 'all') - max(s) FILTER (variant = 'base') - (sum(s) FILTER (variant IN ('g1', 'g2', 'g3')) - 3 * max(s) FILTER (variant = 'base')) + 1e-9, 6) + 0 AS residual FROM m""")
 def scale_separability(v) -> DataFrame:
-    from windrow.operators import settlement as S
-
     variants = {"base": F.col("base"), "all": E.scaled("base", 0.95), **{g: E.scaled("base", 0.95, group="grp", only=g) for g in ("g1", "g2", "g3")}}
     wide = v.fcst.select("grp", "actual", "capacity", F.explode(F.array(*[
         F.struct(F.lit(n).alias("variant"), c.alias("p")) for n, c in variants.items()])).alias("v")).select("grp", "actual", "capacity", "v.*")
@@ -298,7 +296,7 @@ _GLEAF = "[day(ts) * 1, month(ts) * 2 + year(ts) % 2, CAST(floor(base / 2) AS BI
 @query("forest_empirical_action", "E19 J11", f"""
 WITH f AS (SELECT (actual - base) / capacity AS r, unnest([0, 1, 2]) AS tree, unnest({_GLEAF}) AS leaf FROM gday WHERE ts < TIMESTAMP '2000-01-01'),
 n AS (SELECT tree, leaf, count(*) AS n FROM f GROUP BY 1, 2),
-q AS (SELECT grp, ts, base / capacity AS b, unnest([0, 1, 2]) AS tree, unnest({_GLEAF}) AS leaf FROM gday WHERE ts >= TIMESTAMP '2001-07-01'),
+q AS (SELECT grp, ts, base / capacity AS b, unnest([0, 1, 2]) AS tree, unnest({_GLEAF}) AS leaf FROM gday WHERE ts >= TIMESTAMP '2000-01-01'),
 k AS (SELECT q.grp, q.ts, q.b, d, least(greatest(b + d, 0), 1.02) AS a, least(greatest(b + r, 0.1), 1.2) AS y, 1.0 / (3 * n.n) AS w
       FROM q JOIN f ON f.tree = q.tree AND f.leaf = q.leaf JOIN n ON n.tree = q.tree AND n.leaf = q.leaf, (SELECT unnest({_lit(D.ACTION_DELTAS)}) AS d)),
 ut AS (SELECT grp, ts, d, sum(w * (y * {_PRICE('abs(a - y)')} / (4 * 0.45) - abs(a - y))) AS u FROM k GROUP BY 1, 2, 3),
@@ -308,7 +306,7 @@ def forest_empirical_action(v) -> DataFrame:
     rows = v.gday.withColumns({"base_cf": F.col("base") / F.col("capacity"), "residual": (F.col("actual") - F.col("base")) / F.col("capacity"),
                                "leaves": F.array(F.day("ts").cast("long"), (F.month("ts") * 2 + F.year("ts") % 2).cast("long"), F.floor(F.col("base") / 2))})
     fit = rows.where(F.col("ts") < F.lit("2000-01-01").cast("timestamp_ntz"))
-    ask = rows.where(F.col("ts") >= F.lit("2001-07-01").cast("timestamp_ntz"))
+    ask = rows.where(F.col("ts") >= F.lit("2000-01-01").cast("timestamp_ntz"))
     out = D.forest_action(fit, ask, "leaves", ["grp", "ts"], ["grp", "ts"], "residual", "base_cf", 0.45, part_rows=64)
     return rounded(out, ["grp", "ts"], ["delta", "utility"])
 
@@ -454,7 +452,7 @@ _MIX = {"w05": 0.05, "w10": 0.10, "w20": 0.20}
 _GATE_CTE = f"""mixes AS (SELECT grp, ts, actual, capacity, base, unnest(['w05', 'w10', 'w20']) AS candidate, base + unnest([0.05, 0.1, 0.2]) * (cand - base) AS c FROM fcst WHERE {_ELIG}),
 me AS (SELECT *, abs(base - actual) / capacity AS eb, abs(c - actual) / capacity AS ec, date_trunc('day', ts - INTERVAL 1 HOUR) AS day FROM mixes),
 mp AS (SELECT *, {_PRICE('eb')} AS pb, {_PRICE('ec')} AS pc, unnest(['full', CASE WHEN month(day) <= 6 THEN 'H1' ELSE 'H2' END, 'Q' || quarter(day)]) AS slice FROM me),
-gq AS (SELECT candidate, grp, slice, {_TRIPLE} FROM mp WHERE year(day) = 1998 GROUP BY 1, 2, 3),
+gq AS (SELECT candidate, grp, slice, {_TRIPLE} FROM mp GROUP BY 1, 2, 3),
 gd AS (SELECT candidate, grp, slice, 0.5 * (co - bo) + 0.5 * (cf - bf) AS ds, co - bo AS dom, cf - bf AS df FROM gq
        UNION ALL SELECT candidate, 'mixed', slice, avg(0.5 * (co - bo) + 0.5 * (cf - bf)), avg(co - bo), avg(cf - bf) FROM gq GROUP BY 1, 3)"""
 
@@ -463,7 +461,7 @@ def _comparisons(v) -> DataFrame:
     out = None
     for name, w in _MIX.items():
         rows = v.fcst.withColumn("mix", F.col("base") + w * (F.col("cand") - F.col("base")))
-        scores = L.compare_year_slices(rows.where(F.year(T.run_key("ts")) == 1998), "base", "mix").drop("year")
+        scores = L.compare_year_slices(rows, "base", "mix", by_year=False)
         mixed = L.deltas(L.macro_of_groups(scores, ["slice"]))
         cols = ["grp", "slice", "delta_score", "delta_one_minus_nmae", "delta_ficr"]
         both = scores.select(*cols).unionByName(mixed.withColumn("grp", F.lit("mixed")).select(*cols)).withColumn("candidate", F.lit(name))
@@ -516,7 +514,7 @@ def numeric_floor_gate(v) -> DataFrame:
 
 @query("dual_baseline_gate", "T06 A06", f"""
 WITH {_PAIRED_SQL.replace('base - actual', 'bb - actual').replace('FROM fcst', "FROM (SELECT *, unnest(['base', 'third']) AS baseline_name, unnest([base, third]) AS bb FROM fcst)")},
-s AS (SELECT *, unnest(['full', CASE WHEN month(day) <= 6 THEN 'H1' ELSE 'H2' END, 'Q' || quarter(day)]) AS slice FROM pr WHERE year(day) = 1998),
+s AS (SELECT *, unnest(['full', CASE WHEN month(day) <= 6 THEN 'H1' ELSE 'H2' END, 'Q' || quarter(day)]) AS slice FROM pr),
 g AS (SELECT baseline_name, grp, slice, {_TRIPLE} FROM s GROUP BY 1, 2, 3),
 d AS (SELECT baseline_name, grp, slice, 0.5 * (co - bo) + 0.5 * (cf - bf) AS ds, co - bo AS dom, cf - bf AS df FROM g
       UNION ALL SELECT baseline_name, 'mixed', slice, avg(0.5 * (co - bo) + 0.5 * (cf - bf)), avg(co - bo), avg(cf - bf) FROM g GROUP BY 1, 3),
@@ -527,7 +525,7 @@ SELECT baseline_name, round(mg + 1e-9, 6) AS minimum_group_delta, round(mm + 1e-
 def dual_baseline_gate(v) -> DataFrame:
     table = None
     for name in ("base", "third"):
-        scores = L.compare_year_slices(v.fcst.where(F.year(T.run_key("ts")) == 1998), name, "cand").drop("year")
+        scores = L.compare_year_slices(v.fcst, name, "cand", by_year=False)
         mixed = L.deltas(L.macro_of_groups(scores, ["slice"])).withColumn("grp", F.lit("mixed"))
         cols = ["grp", "slice", "delta_score", "delta_one_minus_nmae", "delta_ficr"]
         both = scores.select(*cols).unionByName(mixed.select(*cols)).withColumns({"baseline_name": F.lit(name), "family": F.lit("time")})

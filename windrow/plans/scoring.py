@@ -107,7 +107,7 @@ def segment_comparison(v) -> DataFrame:
 
 @query("time_regime_comparison", "A06", f"""
 WITH {_PAIRED_SQL},
-dr AS (SELECT grp, ts, round(avg(third) / 4, 9) AS driver FROM fcst WHERE year(ts - INTERVAL 1 HOUR) = 1997 GROUP BY 1, 2),
+dr AS (SELECT grp, ts, round(avg(third) / 4, 9) AS driver FROM fcst GROUP BY 1, 2),
 cell AS (SELECT pr.*, dr.driver FROM pr JOIN dr ON dr.grp = pr.grp AND dr.ts = pr.ts),
 present AS (SELECT DISTINCT grp, ts, driver FROM cell),
 mx AS (SELECT ts, round(avg(driver), 9) AS mixed FROM present GROUP BY ts),
@@ -123,7 +123,7 @@ u AS (SELECT grp, family, slice, n, bo, bf, co, cf FROM g WHERE own
       GROUP BY 2, 3)
 SELECT grp, family, slice, n, {_DELTAS_SQL} FROM u""")
 def time_regime_comparison(v) -> DataFrame:
-    out = L.compare_time_and_regime(v.fcst, "base", "cand", F.avg("third") / 4, 1997)
+    out = L.compare_time_and_regime(v.fcst, "base", "cand", F.avg("third") / 4)
     return rounded(out, ["grp", "family", "slice", "n"], _DELTA_COLUMNS)
 
 
