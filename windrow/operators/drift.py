@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from windrow.functions.exprs import clip, finite, sum_when
 from windrow.functions.ranks import exact_quantiles, quantile_grid
-from windrow.operators.gaps import long_form
+from windrow.operators.gaps import long_form, training_medians
 from windrow.operators.lookups import attach
 from windrow.operators.runs import consecutive_equal_fraction
 from windrow.operators.telemetry import curve_lookup
@@ -316,3 +316,13 @@ def coverage(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ts: str
     return rows.groupBy(*keys, "variable").agg(
         n.alias("expected_rows"), sum_when(have).alias("non_null_rows"), F.min(F.when(have, F.col(ts))).alias("first_non_null"), F.max(F.when(have, F.col(ts))).alias("last_non_null"),
     ).withColumn("missing_rows", F.col("expected_rows") - F.col("non_null_rows")).withColumn("missing_fraction", F.col("missing_rows") / F.col("expected_rows"))
+
+
+def median_fill_values(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Exact training medians, one number per registered column; a column without any value is an error."""
+    rows = training_medians(train.withColumns({c: F.when(finite(c), F.col(c)) for c in columns}), columns).limit(len(columns) + 1).collect()
+    found = {r["variable"]: r["median"] for r in rows}
+    empty = [c for c in columns if found.get(c) is None]
+    if empty:
+        raise ValueError(f"columns without any training value: {empty}")
+    return found
