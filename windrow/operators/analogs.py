@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windrow.functions.exprs import clip
-from windrow.functions.timekeys import RUN_HOURS, YEAR_DAYS
-from windrow.operators.runs import run_arrays, shape_features
+from windrow.functions.timekeys import RUN_HOURS, YEAR_DAYS, run_position
+from windrow.operators.runs import run_arrays, run_statistics
 
 # fixed values
 SUMMARY = ("__run_mean", "__run_std", "__run_min", "__run_max", "__run_q10", "__run_q50", "__run_q90", "__run_linear_slope", "__run_fft1_real",
@@ -30,9 +30,9 @@ def calendar_terms(day: str) -> list[Column]:
 
 def summary_embedding(df: DataFrame, channels: Sequence[str], keys: Sequence[str], day: str = "run_key", ts: str = "forecast_ts") -> DataFrame:
     """Eleven shape statistics per channel and the season of complete runs."""
-    arrays = run_arrays(df, channels, keys, ts).where(F.size(ts) == RUN_HOURS)
-    parts = [shape_features(c, c, F.lit(0))[f"{c}{s}"] for c in channels for s in SUMMARY]
-    return arrays.select(*keys, F.array(*parts, *calendar_terms(day)).alias("embedding"))
+    stats = {n: e for c in channels for n, e in run_statistics(c, c, run_position(ts)).items()}
+    runs = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[e.alias(n) for n, e in stats.items()]).where(F.col("_n") == RUN_HOURS)
+    return runs.select(*keys, F.array(*[F.col(f"{c}{s}") for c in channels for s in SUMMARY], *calendar_terms(day)).alias("embedding"))
 
 
 def trajectory_embedding(df: DataFrame, channels: Sequence[str], keys: Sequence[str], day: str = "run_key", ts: str = "forecast_ts") -> DataFrame:

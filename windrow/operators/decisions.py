@@ -105,8 +105,8 @@ def best_action(actions: ColumnLike, preference: ColumnLike, outcomes: ColumnLik
                    F.lit(1.0) if unit is None else col(unit).cast("double"))
 
 
-def _uniform(outcomes: Column) -> Column:
-    return F.transform(outcomes, lambda _: F.lit(1.0) / F.size(outcomes))
+def _uniform(n: int) -> Column:
+    return literal_array([1.0 / n] * n)
 
 
 def corridor_action(models: Sequence[ColumnLike], capacity: ColumnLike) -> Column:
@@ -119,7 +119,7 @@ def corridor_action(models: Sequence[ColumnLike], capacity: ColumnLike) -> Colum
     n = len(models)
     median = (F.element_at(ordered, (n + 1) // 2) + F.element_at(ordered, n // 2 + 1)) / 2.0
     prefer = F.transform(actions, lambda a: F.round(F.abs(a - median), 12))
-    return best_action(actions, prefer, scenarios, _uniform(scenarios), F.lit(1.0), cap)["action"]
+    return best_action(actions, prefer, scenarios, _uniform(n), F.lit(1.0), cap)["action"]
 
 
 def class_action(probabilities: ColumnLike, base_cf: ColumnLike, mean: ColumnLike, deltas: Sequence[float] = ACTION_DELTAS) -> Column:
@@ -173,7 +173,7 @@ def quantile_action(quantiles: ColumnLike, base_cf: ColumnLike, mean: ColumnLike
     actions = F.array_sort(F.array_distinct(F.transform(raw, lambda a: clip(a, *ACTION_BOUNDS))))
     prefer = F.transform(actions, lambda a: F.abs(a - b))
     outcomes = interpolated_outcomes(q, shift=b if residual else None)
-    return best_action(actions, prefer, outcomes, _uniform(outcomes), mean)
+    return best_action(actions, prefer, outcomes, _uniform(INTERPOLATION_COUNT), mean)
 
 
 def residual_samples(residuals: DataFrame, keys: Sequence[str], residual: str = "residual", count: int = SAMPLE_COUNT) -> DataFrame:

@@ -47,9 +47,9 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
 class TrainOnlyScaler:
     """Training medians fill gaps, then training mean and population spread scale; one row per feature is kept."""
 
-    def __init__(self, train: DataFrame, features: Sequence[str], standardise: bool = True):
+    def __init__(self, train: DataFrame, features: Sequence[str], standardise: bool = True, fill: bool = True):
         self.features = list(features)
-        self.medians = median_fill_values(train, self.features)
+        self.medians = median_fill_values(train, self.features) if fill else None
         filled = self.fill(train)
         aggs = [a for i, f in enumerate(self.features) for a in (F.avg(f).alias(f"m{i}"), F.stddev_pop(f).alias(f"s{i}"))]
         row = filled.agg(*aggs).first() if standardise else None
@@ -57,6 +57,8 @@ class TrainOnlyScaler:
         self.scale = [(row[f"s{i}"] or 1.0) if row else 1.0 for i in range(len(self.features))]
 
     def fill(self, df: DataFrame) -> DataFrame:
+        if self.medians is None:
+            return df
         return df.withColumns({f: F.when(finite(f), F.col(f).cast("double")).otherwise(F.lit(float(self.medians[f]))) for f in self.features})
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -135,8 +137,8 @@ def binned_quantile_surface(train: DataFrame, apply: DataFrame, prediction: str,
     local = exact_quantiles(residuals, ["_bin"], "_r", levels).where(F.col("n") >= minimum).select("_bin", F.col("q").alias("_local"))
     pooled = exact_quantiles(residuals.withColumn("_one", F.lit(1)), ["_one"], "_r", levels).select("q").scalar()
     rows = attach(place(apply), local, ["_bin"])
-    spread = F.coalesce("_local", pooled)
-    return rows.withColumn("quantiles", F.array_sort(F.transform(spread, lambda r: r + F.col(prediction)))).drop("_local", "_bin")
+    rows = rows.withColumn("_spread", F.coalesce("_local", pooled))
+    return rows.withColumn("quantiles", F.array_sort(F.transform("_spread", lambda r: r + F.col(prediction)))).drop("_local", "_spread", "_bin")
 
 
 def leaf_quantile_surface(fit: DataFrame, query: DataFrame, leaves: str, keys: Sequence[str], target: str, levels: Sequence[float]) -> DataFrame:
@@ -162,7 +164,7 @@ def density_ratio(source: DataFrame, application: DataFrame, features: Sequence[
     parts = []
     for k in range(folds):
         train, held = both.where(F.col("_fold") != k), both.where(F.col("_fold") == k)
-        scaler = TrainOnlyScaler(train, features)
+        scaler = TrainOnlyScaler(train, features, fill=False)
         counts = {r["_y"]: r["n"] for r in train.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
         total = sum(counts.values())
         weight = F.when(F.col("_y") == 1.0, total / (2.0 * counts[1.0])).otherwise(total / (2.0 * counts[0.0]))
@@ -186,13 +188,13 @@ def density_ratio(source: DataFrame, application: DataFrame, features: Sequence[
 
 
 def residual_correction(train: DataFrame, apply: DataFrame, features: Sequence[str], baseline_cf: str, actual_cf: str, kind: str = "ridge", alpha: float = 100.0,
-                        maximum: float = RESIDUAL_PREDICTION_CLIP, shrinkage: float = 1.0, target_clip: float = RESIDUAL_TARGET_CLIP) -> DataFrame:
+                        maximum: float = RESIDUAL_PREDICTION_CLIP, shrinkage: float = 1.0, target_clip: float = RESIDUAL_TARGET_CLIP, **params) -> DataFrame:
     """Learn the clipped residual of the eligible rows and add the clipped, shrunk prediction to the baseline."""
     rows = train.where(F.col(actual_cf) >= 0.10).withColumn("_target", clip(F.col(actual_cf) - F.col(baseline_cf), -target_clip, target_clip))
     scaler = TrainOnlyScaler(rows, features)
     fitted = scaler.transform(rows)
     model = {"ridge": lambda: ridge(fitted, features, "_target", alpha), "huber": lambda: huber(fitted, features, "_target"),
-             "boosted": lambda: boosted(fitted, features, "_target")}[kind]()
+             "boosted": lambda: boosted(fitted, features, "_target", **params)}[kind]()
     # scaling happens on copies, so the caller's columns keep their values
     copies = {f"_x{i}": F.col(f) for i, f in enumerate(features)}
     out = apply.withColumns(copies)

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windrow.functions.exprs import ColumnLike, clip, col, total
-from windrow.functions.timekeys import RUN_HOURS, hours_between
+from windrow.functions.exprs import ColumnLike, clip, col
+from windrow.functions.timekeys import RUN_HOURS, hours_between, run_position
 from windrow.operators.lookups import attach
 from windrow.operators.settlement import require
 
@@ -86,79 +86,64 @@ def run_arrays(df: DataFrame, columns: Sequence[str], keys: Sequence[str], ts: s
     return rows.select(*keys, F.col(f"_run.{ts}").alias(ts), *[F.col(f"_run.{c}").alias(c) for c in columns])
 
 
-def shape_features(name: str, values: ColumnLike, position: ColumnLike, hours: int = RUN_HOURS) -> dict[str, Column]:
-    """25 features of one hour within its run.  ``values`` is the run array, ``position`` the zero-based hour."""
-    x, h = col(values), col(position)
-    n = float(hours)
-
-    def weighted(weights: Sequence[float]) -> Column:
-        return total([F.element_at(x, i + 1) * w for i, w in enumerate(weights)])
-
-    current = F.element_at(x, (h + 1).cast("int"))
-    mean = weighted([1.0 / n] * hours)
-    deviation = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
-    std = F.sqrt(deviation / n)
-    ordered = F.array_sort(x)
-
-    def quantile(p: float) -> Column:
-        at = p * (hours - 1)
-        lo = math.floor(at)
-        a, b = F.element_at(ordered, lo + 1), F.element_at(ordered, min(lo + 2, hours))
-        return a + (b - a) * (at - lo)
+def run_statistics(name: str, value: ColumnLike, position: ColumnLike, hours: int = RUN_HOURS) -> dict[str, Column]:
+    """Seventeen aggregates of one run's trajectory; ``position`` is the zero-based hour.
 
-    previous = F.element_at(x, F.greatest(h, F.lit(1)).cast("int"))
-    following = F.element_at(x, F.least(h + 2, F.lit(hours)).cast("int"))
-    rank = F.size(F.filter(F.transform(x, lambda v, i: (v < current) | ((v == current) & (i < h))), lambda b: b))
-    low, high = F.array_min(x), F.array_max(x)
+    All are native aggregates over the 24 rows of a run: moments, extremes, five quantiles, first positions of peak and
+    trough, linear slope and two harmonics.
+    """
+    x, h, n = col(value), col(position), float(hours)
     centre = (n - 1.0) / 2.0
     spread = sum((i - centre) ** 2 for i in range(hours))
+    q = F.percentile(x, F.array(*[F.lit(p) for p in QUANTILES.values()]))
     out = {
-        f"{name}__current": current, f"{name}__run_mean": mean, f"{name}__run_std": std, f"{name}__run_min": low,
-        f"{name}__run_max": high, f"{name}__run_range": high - low,
-        **{f"{name}__run_{q}": quantile(p) for q, p in QUANTILES.items()},
-        f"{name}__current_minus_mean": current - mean,
-        f"{name}__current_zscore": (current - mean) / F.greatest(std, F.lit(1e-6)),
-        f"{name}__within_run_rank": rank / (n - 1.0),
-        f"{name}__same_run_previous": previous, f"{name}__same_run_next": following,
-        f"{name}__same_run_gradient": 0.5 * (following - previous),
-        f"{name}__same_run_curvature": following - 2.0 * current + previous,
-        f"{name}__run_peak_position": (F.array_position(x, high) - 1) / (n - 1.0),
-        f"{name}__run_trough_position": (F.array_position(x, low) - 1) / (n - 1.0),
-        f"{name}__run_linear_slope": weighted([(i - centre) / spread for i in range(hours)]),
+        f"{name}__run_mean": F.avg(x), f"{name}__run_std": F.stddev_pop(x), f"{name}__run_min": F.min(x), f"{name}__run_max": F.max(x),
+        f"{name}__run_range": F.max(x) - F.min(x), **{f"{name}__run_{k}": F.element_at(q, i + 1) for i, k in enumerate(QUANTILES)},
+        f"{name}__run_peak_position": F.min(F.struct((-x).alias("v"), h.alias("h")))["h"] / (n - 1.0),
+        f"{name}__run_trough_position": F.min(F.struct(x.alias("v"), h.alias("h")))["h"] / (n - 1.0),
+        f"{name}__run_linear_slope": F.sum(x * (h - centre)) / spread,
     }
     for k in (1, 2):
-        angles = [2.0 * math.pi * k * i / n for i in range(hours)]
-        out[f"{name}__run_fft{k}_real"] = weighted([math.cos(a) / n for a in angles])
-        out[f"{name}__run_fft{k}_imag"] = weighted([-math.sin(a) / n for a in angles])
+        angle = 2.0 * math.pi * k * h / n
+        out[f"{name}__run_fft{k}_real"] = F.sum(x * F.cos(angle)) / n
+        out[f"{name}__run_fft{k}_imag"] = -F.sum(x * F.sin(angle)) / n
     return out
 
 
-#: features of a run that do not depend on the hour; evaluated once per run, before the hours are unfolded
-PER_RUN = ("__run_mean", "__run_std", "__run_min", "__run_max", "__run_range", "__run_q10", "__run_q25", "__run_q50",
-           "__run_q75", "__run_q90", "__run_peak_position", "__run_trough_position", "__run_linear_slope", "__run_fft1_real",
-           "__run_fft1_imag", "__run_fft2_real", "__run_fft2_imag")
+def hour_features(name: str, values: ColumnLike, position: ColumnLike, hours: int = RUN_HOURS) -> dict[str, Column]:
+    """Eight features of one hour from the run array and the run's mean and spread."""
+    x, h = col(values), col(position)
+    mean, std = F.col(f"{name}__run_mean"), F.col(f"{name}__run_std")
+    current = F.element_at(x, (h + 1).cast("int"))
+    previous = F.element_at(x, F.greatest(h, F.lit(1)).cast("int"))
+    following = F.element_at(x, F.least(h + 2, F.lit(hours)).cast("int"))
+    below = F.filter(x, lambda v, i: (v < current) | ((v == current) & (i < h)))
+    return {
+        f"{name}__current": current, f"{name}__current_minus_mean": current - mean,
+        f"{name}__current_zscore": (current - mean) / F.greatest(std, F.lit(1e-6)), f"{name}__within_run_rank": F.size(below) / (hours - 1.0),
+        f"{name}__same_run_previous": previous, f"{name}__same_run_next": following, f"{name}__same_run_gradient": 0.5 * (following - previous),
+        f"{name}__same_run_curvature": following - 2.0 * current + previous,
+    }
+
+
+def run_table(df: DataFrame, columns: Sequence[str], keys: Sequence[str], ts: str = "forecast_ts") -> DataFrame:
+    """One row per run: its statistics and its time-ordered arrays, one shuffle.  An incomplete run fails the job."""
+    position = run_position(ts)
+    packed = F.sort_array(F.collect_list(F.struct(F.col(ts), *[F.col(c) for c in columns])))
+    stats = {n: e for c in columns for n, e in run_statistics(c, c, position).items()}
+    rows = df.groupBy(*keys).agg(packed.alias("_run"), *[e.alias(n) for n, e in stats.items()])
+    times = F.col(f"_run.{ts}")
+    whole = (F.size("_run") == RUN_HOURS) & (hours_between(F.element_at(times, -1), F.element_at(times, 1)) == RUN_HOURS - 1)
+    return rows.select(*keys, require(whole, "forecast run is not 24 contiguous hours", times).alias(ts), *[F.col(f"_run.{c}").alias(c) for c in columns], *stats)
 
 
 def run_shape(df: DataFrame, columns: Sequence[str], keys: Sequence[str], ts: str = "forecast_ts") -> DataFrame:
-    """All shape features of the given columns per hour: one shuffle to form the runs, none to unfold them again."""
-    arrays = run_arrays(df, columns, keys, ts)
-    checked = arrays.withColumn(
-        ts, require((F.size(ts) == RUN_HOURS) & (hours_between(F.element_at(F.col(ts), -1), F.element_at(F.col(ts), 1))
-                                                 == RUN_HOURS - 1), "forecast run is not 24 contiguous hours", F.col(ts))
-    )
-    per_run = {}
-    for c in columns:
-        features = shape_features(c, c, F.lit(0))
-        per_run.update({n: e for n, e in features.items() if n.endswith(PER_RUN)})
-    wide = checked.select("*", *[e.alias(n) for n, e in per_run.items()])
+    """All 25 shape features of the given columns per hour: one shuffle to form the runs, none to unfold them again."""
+    wide = run_table(df, columns, keys, ts)
+    per_run = [c for c in wide.columns if c not in (*keys, *columns, ts)]
     unfolded = wide.select(*keys, *columns, *per_run, F.posexplode(ts).alias("position", "_ts"))
-    hourly = {}
-    for c in columns:
-        features = shape_features(c, c, "position")
-        hourly.update({n: e for n, e in features.items() if n not in per_run})
-    return unfolded.select(
-        *keys, F.col("_ts").alias(ts), "position", *[F.col(n) for n in per_run], *[e.alias(n) for n, e in hourly.items()]
-    )
+    hourly = {n: e for c in columns for n, e in hour_features(c, c, "position").items()}
+    return unfolded.select(*keys, F.col("_ts").alias(ts), "position", *per_run, *[e.alias(n) for n, e in hourly.items()])
 
 
 def horizon_terms(position: ColumnLike, hours: int = RUN_HOURS) -> dict[str, Column]:

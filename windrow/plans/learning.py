@@ -96,7 +96,7 @@ def density_ratio_weights(v) -> DataFrame:
     rows = _rows(v)
     at = F.lit(SPLIT).cast("timestamp_ntz")
     cols = ["grp", "ts", "run", *FEATURES[:4], "actual_cf"]
-    weighted, _ = M.density_ratio(rows.where(F.col("ts") < at).select(*cols), rows.where(F.col("ts") >= at).select(*cols), FEATURES[:4], "run", F.col("actual_cf") >= 0.10, max_iter=20)
+    weighted, _ = M.density_ratio(rows.where(F.col("ts") < at).select(*cols), rows.where(F.col("ts") >= at).select(*cols), FEATURES[:4], "run", F.col("actual_cf") >= 0.10, max_iter=10)
     return _out(weighted, "domain_probability", "density_weight")
 
 
@@ -115,11 +115,11 @@ def run_residual_models(v) -> DataFrame:
     rows = v.wx.fillna(0.0, subset=["u", "gust", "t2"])
     table = runs.run_sequence_table(rows.withColumn("base", F.col("gust") / 30), "base", "u", [], ["grid_id", "run_key"])
     names = ["base__current", "base__current_minus_mean", "u__current", "u__run_mean", "u__within_run_rank", "horizon__sin_1", "horizon__cos_1", "interaction__baseline_x_wind"]
-    data = table.join(rows.select("grid_id", "forecast_ts", (F.col("gust") / 40 + F.col("u") / 60).alias("actual_cf")), ["grid_id", "forecast_ts"])
+    data = table.withColumn("actual_cf", F.col("base__current") * 0.75 + F.col("u__current") / 60)
     train, apply = data.where(F.day("run_key") <= 20), data.where(F.day("run_key") > 20)
     out = None
     for kind in ("ridge", "huber", "boosted"):
-        part = M.residual_correction(train, apply, names, "base__current", "actual_cf", kind, alpha=10.0, shrinkage=0.5).select(
+        part = M.residual_correction(train, apply, names, "base__current", "actual_cf", kind, alpha=10.0, shrinkage=0.5, **SMALL).select(
             "grid_id", "forecast_ts", F.lit(kind).alias("kind"), r6("correction_cf").alias("correction_cf"), r6("corrected_cf").alias("corrected_cf"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -22,7 +22,9 @@ def build_session(app: str = "windrow", master: str | None = None, **extra: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SESSION_CONF, **extra}.items():
+    # recording the Python line of every column expression costs more than planning does
+    static = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+    for key, value in {**SESSION_CONF, **static, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
