@@ -115,9 +115,10 @@ def quantile_grid(df: DataFrame, keys: Sequence[str], value: str, count: int) ->
     pos = value_positions(df, keys, value)
     top, last = F.col("n_all") - 1, count - 1
     span = F.greatest(top, F.lit(1)).cast("double")
-    low = F.greatest(F.ceil(F.col("first") * float(last) / span) - 1, F.lit(0))
-    high = F.least(F.floor((F.col("last") + 1) * float(last) / span) + 1, F.lit(last))
-    rows = pos.withColumn("i", F.explode(F.when(top > 0, F.sequence(F.greatest(low - 1, F.lit(0)), high)).otherwise(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint")))))
+    # a point between two positions needs both of them, so a value also serves the points up to one position outside it
+    low = F.greatest(F.floor((F.col("first") - 1) * float(last) / span), F.lit(0))
+    high = F.least(F.ceil((F.col("last") + 1) * float(last) / span), F.lit(last))
+    rows = pos.withColumn("i", F.explode(F.when(top > 0, F.sequence(low, high)).otherwise(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint")))))
     at = (F.col("i") / float(last)) * top
     hits = {t: (F.col("first") <= w) & (w <= F.col("last")) for t, w in (("lo", F.floor(at)), ("hi", F.ceil(at)))}
     picked = rows.where(hits["lo"] | hits["hi"]).groupBy(*keys, "i").agg(

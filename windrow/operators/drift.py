@@ -246,8 +246,9 @@ def affine_crossfit(df: DataFrame, keys: Sequence[str], fold: str, folds: Sequen
     whole = parts.groupBy(*keys).agg(*[F.sum(c).alias(f"t_{c}") for c in ("n", "sx", "sy", "sxx", "sxy")])
     rest = parts.join(whole, list(keys)) if keys else parts.join(F.broadcast(whole))
     m = {c: F.col(f"t_{c}") - F.col(c) for c in ("n", "sx", "sy", "sxx", "sxy")}
+    m["n"] = F.nullif(m["n"], F.lit(0))  # a key with one fold has nothing to learn from
     vxx = m["sxx"] - m["sx"] * m["sx"] / m["n"]
-    slope = F.when(vxx <= VARIANCE_GUARD, 0.0).otherwise((m["sxy"] - m["sx"] * m["sy"] / m["n"]) / vxx)
+    slope = F.when(vxx <= VARIANCE_GUARD, 0.0).otherwise((m["sxy"] - m["sx"] * m["sy"] / m["n"]) / F.nullif(vxx, F.lit(0.0)))
     lines = rest.select(*keys, fold, slope.alias("_slope"), (m["sx"] / m["n"]).alias("_mx"), (m["sy"] / m["n"]).alias("_my"))
     rows = attach(df, lines, [*keys, fold], "inner")
     return rows.withColumn("oof", F.col("_my") + F.col("_slope") * (a - F.col("_mx"))).drop("_slope", "_mx", "_my")

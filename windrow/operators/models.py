@@ -66,13 +66,17 @@ class TrainOnlyScaler:
 
 
 def ridge(train: DataFrame, features: Sequence[str], target: str, alpha: float, weight: str | None = None) -> Model:
-    """Ridge with the penalty on the summed loss: the per-row penalty of the estimator is alpha over the weight total.
+    """Ridge with the penalty ``alpha`` on the summed loss.
 
-    The normal-equation solver aggregates a features x features matrix once.
+    The estimator averages the loss and divides the penalty by the label's spread, so the parameter is alpha times the
+    spread over the weight total.  The normal-equation solver aggregates one features x features matrix.
     """
     rows = assemble(train, features)
-    mass = rows.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
-    model = LinearRegression(featuresCol=VECTOR, labelCol=target, regParam=alpha / float(mass), elasticNetParam=0.0, standardization=False, solver="normal")
+    w = F.col(weight) if weight else F.lit(1.0)
+    y = F.col(target)
+    total = rows.agg(F.sum(w).alias("n"), (F.sum(w * y) / F.sum(w)).alias("m"), (F.sum(w * y * y) / F.sum(w)).alias("q")).first()
+    spread = max(total["q"] - total["m"] ** 2, 0.0) ** 0.5 or 1.0
+    model = LinearRegression(featuresCol=VECTOR, labelCol=target, regParam=alpha * spread / float(total["n"]), elasticNetParam=0.0, standardization=False, solver="normal")
     if weight:
         model = model.setWeightCol(weight)
     return model.fit(rows)

@@ -41,8 +41,8 @@ def nearest_cells(sites: DataFrame, cells: DataFrame, k: int, site: str = "turbi
     """The exact k nearest cells of every site: (site, cell, distance_km, rank).
 
     Cells and sites meet on lattice tiles within a ring, not by a cross join.  A site is settled when its k-th distance
-    is no larger than the distance to the edge of the searched block; the others go on with twice the ring until the
-    block covers every cell.  Ties go to the smaller cell id.
+    is no larger than the distance to the edge of the searched block; the others go on with four times the ring until
+    the block covers every cell.  Ties go to the smaller cell id.
     """
     extent = cells.select(F.col("lat"), F.col("lon")).unionByName(sites.select("lat", "lon")).agg(
         (F.max("lat") - F.min("lat")).alias("dlat"), (F.max("lon") - F.min("lon")).alias("dlon")).first()
@@ -77,7 +77,7 @@ def nearest_cells(sites: DataFrame, cells: DataFrame, k: int, site: str = "turbi
         open_sites = open_sites.join(ranked.where("_ok").select(site).distinct(), site, "left_anti")
         if open_sites.isEmpty():
             break
-        ring *= 2
+        ring *= 4
     out = settled[0].select(site, F.col("_cell").alias(cell), "distance_km", "rank")
     for more in settled[1:]:
         out = out.unionByName(more.select(site, F.col("_cell").alias(cell), "distance_km", "rank"))
@@ -465,6 +465,8 @@ def horizon_angles(turbines: DataFrame, pixels: DataFrame, elevation: DataFrame,
     cells = pixels.select(F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), F.col("z").alias("_z"),
                           _tile("lat", tile).alias("_ty"), _tile("lon", tile).alias("_tx"))
     met = reach.join(cells, ["_ty", "_tx"])
+    # a plain box first: it drops most of a tile before any trigonometry
+    met = met.where((F.abs(F.col("_plat") - F.col("lat")) <= pad * 1.001) & (F.abs(F.col("_plon") - F.col("lon")) * F.cos(F.radians("lat")) <= pad * 1.001))
     east, north = displacement_m("lat", "lon", "_plat", "_plon")
     met = met.withColumns({"_d": F.hypot(east, north), "_b": bearing(east, north)})
     met = met.where(F.col("_d").between(MIN_HORIZON_DISTANCE_M, max(radii)))

@@ -158,15 +158,16 @@ def entropy(counts: Sequence[ColumnLike]) -> Column:
 
 
 def jensen_shannon(pairs: Sequence[tuple[ColumnLike, ColumnLike]]) -> Column:
-    """Divergence of two distributions given side by side; terms with zero mass are skipped."""
+    """Divergence of two distributions given side by side; terms with zero mass are skipped, a distribution without any
+    mass gives null."""
     a, b = [col(x).cast("double") for x, _ in pairs], [col(y).cast("double") for _, y in pairs]
-    ta, tb = sum(a[1:], a[0]), sum(b[1:], b[0])
+    ta, tb = F.nullif(sum(a[1:], a[0]), F.lit(0.0)), F.nullif(sum(b[1:], b[0]), F.lit(0.0))
     out = F.lit(0.0)
     for x, y in zip(a, b):
         p, q = x / ta, y / tb
         mid = 0.5 * (p + q)
         out = out + 0.5 * F.when(p > 0, p * F.log(p / mid)).otherwise(0.0) + 0.5 * F.when(q > 0, q * F.log(q / mid)).otherwise(0.0)
-    return out
+    return F.when(ta.isNotNull() & tb.isNotNull(), out)
 
 
 def hourly_states(states: DataFrame, keys: Sequence[str], expected_cells: ColumnLike, power: str, wind: str, potential: str) -> DataFrame:

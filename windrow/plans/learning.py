@@ -287,7 +287,7 @@ def target_transform_regressors(v) -> DataFrame:
 @query("simplex_huber_stack", "M21 F22")
 def simplex_huber_stack(v) -> DataFrame:
     train, apply = _split(_rows(v))
-    fit = K.fit_stack(train, ["base_cf", "cand_cf", "third_cf"], "actual_cf", 0.01, rounds=25)
+    fit = K.fit_stack(train, ["base_cf", "cand_cf", "third_cf"], "actual_cf", 0.01, rounds=15)
     value = sum((F.col(m) * w for m, w in fit["weights"].items()), F.lit(fit["intercept"]))
     return _out(apply.withColumn("stack_cf", F.least(F.greatest(value, F.lit(0.0)), F.lit(1.02))), "stack_cf")
 

@@ -49,7 +49,7 @@ def grid_cells(df: DataFrame, text: str, cells: Mapping[str, tuple[int, int]], k
     whole = (F.size("_v") == columns * rows) & ~F.exists("_v", lambda v: v.isNull())
     out = {"token_count": F.size("_v"), "trailing_comma": F.col("_trail"), "sentinels": F.size(F.filter("_v", lambda v: v <= GRID_SENTINEL))}
     for name, (x, y) in cells.items():
-        v = F.element_at("_v", (y - 1) * columns + x)
+        v = F.try_element_at("_v", F.lit((y - 1) * columns + x))
         out[name] = F.when(whole & v.between(*GRID_RANGE), v).otherwise(F.raise_error(F.lit("grid text does not match its contract")))
     return parsed.select(*keys, *[c.alias(n) for n, c in out.items()])
 
