@@ -304,15 +304,14 @@ def sector_statistics(static: DataFrame, values: Sequence[str], group: str = "fa
     """(group, sector) capacity-weighted mean and spread of a turbine x sector table.  The wind selects one sector for the
     whole group, so the table is reduced once and the hours join the small result."""
     keys = [group, "sector"]
-    out = static.groupBy(*keys).agg(F.sum(weight).alias("_w"), *[
-        e for v in values for e in (F.sum(F.col(weight) * F.col(v)).alias(f"_m_{v}"),
-                                    F.sum(F.col(weight) * F.col(v) * F.col(v)).alias(f"_s_{v}"))])
-    cols = []
-    for v in values:
-        mean = F.col(f"_m_{v}") / F.col("_w")
-        cols += [mean.alias(f"{v}_cw_mean"),
-                 F.sqrt(F.greatest(F.col(f"_s_{v}") / F.col("_w") - mean * mean, F.lit(0.0))).alias(f"{v}_cw_std")]
-    return out.select(*keys, *cols)
+    means = static.groupBy(*keys).agg(*[(F.sum(F.col(weight) * F.col(v)) / F.sum(weight)).alias(f"{v}_cw_mean") for v in values])
+    rows = attach(static, means, keys, "inner")
+
+    def spread(v: str) -> Column:
+        gap = F.col(v) - F.col(f"{v}_cw_mean")
+        return F.sqrt(F.sum(F.col(weight) * gap * gap) / F.sum(weight))
+
+    return rows.groupBy(*keys).agg(*[e for v in values for e in (F.first(f"{v}_cw_mean").alias(f"{v}_cw_mean"), spread(v).alias(f"{v}_cw_std"))])
 
 
 def directional_exposure(wind: DataFrame, static: DataFrame, values: Sequence[str], u: str, v: str, group: str = "farm") -> DataFrame:

@@ -25,6 +25,8 @@ CAPACITY_FACTOR_CAP = 1.10
 STATES = ("NORMAL", "PARTIAL_DERATE", "CURTAILMENT_LIKE", "OUTAGE_LIKE", "LOW_RESOURCE", "SENSOR_OR_DATA_ANOMALY", "UNKNOWN")
 CURVE_ANCHORS = ((0.0, 0.0), (3.0, 0.0), (12.0, 1.0), (20.0, 1.0), (24.99, 1.0))
 CONFIDENCE_FLOOR = 0.5
+#: a farm is a registered site, not a partition of all data
+MAX_FARM_MEMBERS = 512
 
 
 def mask_spikes(value: ColumnLike, low: ColumnLike | float = SPIKE_BOUNDS[0], high: ColumnLike | float = SPIKE_BOUNDS[1]) -> tuple[Column, Column]:
@@ -97,8 +99,11 @@ def fleet_mean(df: DataFrame, keys: Sequence[str], value: str, minimum: int) ->
 
 
 def peer_rows(df: DataFrame, keys: Sequence[str], member: str, fields: Sequence[str]) -> DataFrame:
-    """One row per timestamp of a group with its members as an ordered array (a farm bounds its length)."""
-    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(member, *fields))).alias("m"))
+    """One row per timestamp of a group with its members as an ordered array.  The group is a farm; one with more members
+    than a registered farm may have fails the job."""
+    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(member, *fields))).alias("m"))
+    small = F.size("m") <= MAX_FARM_MEMBERS
+    return rows.withColumn("m", F.when(small, F.col("m")).otherwise(F.raise_error(F.lit("more members than a farm may have"))))
 
 
 def _median(values: Column) -> Column:

@@ -195,10 +195,10 @@ _EXPO = ["slope_cw_mean", "slope_cw_std", "horizon_cw_mean", "horizon_cw_std"]
 @query("directional_exposure", "J07", f"""
 WITH {_FW}, {_STATIC},
 h AS (SELECT *, CAST(floor((((degrees(atan2(-fu, -fv)) % 360 + 360) % 360) + 11.25) / 22.5) AS BIGINT) % 16 AS sector FROM fw),
-x AS (SELECT h.forecast_ts, h.farm, h.sector, sum(capacity_mw * slope) / sum(capacity_mw) AS slope_cw_mean, sum(capacity_mw * slope * slope) / sum(capacity_mw) AS q1,
-             sum(capacity_mw * horizon) / sum(capacity_mw) AS horizon_cw_mean, sum(capacity_mw * horizon * horizon) / sum(capacity_mw) AS q2
-      FROM h JOIN st ON st.farm = h.farm AND st.sector = h.sector GROUP BY 1, 2, 3),
-y AS (SELECT *, sqrt(greatest(q1 - slope_cw_mean * slope_cw_mean, 0)) AS slope_cw_std, sqrt(greatest(q2 - horizon_cw_mean * horizon_cw_mean, 0)) AS horizon_cw_std FROM x)
+m AS (SELECT farm, sector, sum(capacity_mw * slope) / sum(capacity_mw) AS slope_cw_mean, sum(capacity_mw * horizon) / sum(capacity_mw) AS horizon_cw_mean FROM st GROUP BY 1, 2),
+y AS (SELECT h.forecast_ts, h.farm, h.sector, any_value(slope_cw_mean) AS slope_cw_mean, any_value(horizon_cw_mean) AS horizon_cw_mean,
+             sqrt(sum(capacity_mw * pow(slope - slope_cw_mean, 2)) / sum(capacity_mw)) AS slope_cw_std, sqrt(sum(capacity_mw * pow(horizon - horizon_cw_mean, 2)) / sum(capacity_mw)) AS horizon_cw_std
+      FROM h JOIN st ON st.farm = h.farm AND st.sector = h.sector JOIN m ON m.farm = h.farm AND m.sector = h.sector GROUP BY 1, 2, 3)
 {digest_sql('y', ['farm', 'sector'], _EXPO)}""")
 def directional_exposure(v) -> DataFrame:
     out = X.directional_exposure(_farm_wind(v), _static(v), ["slope", "horizon"], "fu", "fv")
