@@ -90,9 +90,9 @@ def cross_source(prefix: str, a: ColumnLike, b: ColumnLike) -> dict[str, Column]
 
 
 def upwind_bearing(u: ColumnLike, v: ColumnLike) -> Column:
-    """Bearing the flow comes from, in [0, 360)."""
+    """Bearing the flow comes from, in [0, 360); a flow of exactly zero counts as 180."""
     deg = F.degrees(F.atan2(-col(u), -col(v)))
-    return F.pmod(deg, F.lit(360.0))
+    return F.when((col(u) == 0) & (col(v) == 0), 180.0).otherwise(F.pmod(deg, F.lit(360.0)))
 
 
 def sector(bearing: ColumnLike, count: int = 16) -> Column:

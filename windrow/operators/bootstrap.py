@@ -11,6 +11,7 @@ from windrow.functions.exprs import ColumnLike, col
 from windrow.functions.timekeys import run_key
 from windrow.operators.lookups import attach
 from windrow.operators.settlement import eligible, error_rate, unit_price
+from windrow.session import checkpoint
 
 # fixed values
 BLOCK_DAYS = 7
@@ -45,6 +46,7 @@ def block_bootstrap(daily: DataFrame, baseline: str, candidates: Sequence[str],
     """
     spark = daily.sparkSession
     totals = ["n", "energy", *[f"{m}_{t}" for m in (baseline, *candidates) for t in ("error", "earned")]]
+    daily = checkpoint(daily)  # groups x days, read three times
     # one row per calendar day and fold: the calendar is the bound of these windows
     calendar = daily.select("fold", "day").distinct().select(
         "fold", "day",

@@ -7,9 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windrow.functions.exprs import ColumnLike, col
+from windrow.functions.exprs import ColumnLike, col, finite
 from windrow.functions.timekeys import run_key
-from windrow.operators.settlement import eligible_rows, unit_price
+from windrow.operators.settlement import eligible, eligible_rows, error_rate, require, unit_price
 
 # fixed values: wind regimes in m/s
 REGIME_LOW = 4.0
@@ -112,9 +112,19 @@ def compare_time_and_regime(df: DataFrame, baseline: str, candidate: str, driver
     over groups, that of the group rows from the group's own driver.  Drivers are rounded so that the order of addition
     cannot move one across a regime edge.
     """
-    cells = paired_totals(df, ["grp", "ts"], baseline, candidate).join(
-        df.groupBy("grp", "ts").agg(F.round(driver, 9).alias("driver")), ["grp", "ts"]
-    )
+    ok = eligible("actual", "capacity")
+
+    def rate(forecast: str) -> Column:
+        known = require(finite(forecast), "non-finite forecast on a scored row", error_rate(forecast, "actual", "capacity"))
+        return F.when(ok, known)
+
+    rows = df.withColumns({"rate_b": rate(baseline), "rate_c": rate(candidate), "_y": F.when(ok, F.col("actual"))})
+    # the driver covers all rows of a cell, the totals the scored ones; one pass forms both
+    cells = rows.groupBy("grp", "ts").agg(
+        F.round(driver, 9).alias("driver"), F.count("_y").alias("n"), F.sum("_y").alias("energy"),
+        F.sum("rate_b").alias("baseline_error"), F.sum(F.col("_y") * unit_price("rate_b")).alias("baseline_earned"),
+        F.sum("rate_c").alias("candidate_error"), F.sum(F.col("_y") * unit_price("rate_c")).alias("candidate_earned"),
+    ).where(F.col("n") > 0)
     mixed_driver = cells.groupBy("ts").agg(F.round(F.avg("driver"), 9).alias("mixed_driver"))
     cells = cells.join(mixed_driver, "ts")
     labels = F.array(
