@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 from windrow.functions.exprs import ColumnLike, col
 from windrow.functions.geo import EARTH_KM, EARTH_M, bearing, displacement_m, haversine_km, local_xy_km
 from windrow.functions.ranks import exact_quantiles
-from windrow.functions.wind import circular_distance, sector, upwind_bearing
+from windrow.functions.wind import sector, upwind_bearing
 from windrow.operators.lookups import attach
-from windrow.session import checkpoint
+from windrow.session import checkpoint, spread
 
 # fixed values
 DISTANCE_FLOOR_KM = 0.05
@@ -99,7 +99,7 @@ def interpolate(df: DataFrame, weights: DataFrame, values: Sequence[str], ts: st
     The forecast is clustered by hour before the weights multiply it, so the aggregation by (hour, site) needs no second
     shuffle of the larger intermediate.
     """
-    rows = attach(df.repartition(ts), weights.select(site, cell, "weight", "rank"), [cell], "inner")
+    rows = attach(spread(df, ts), weights.select(site, cell, "weight", "rank"), [cell], "inner")
     aggs = [F.sum(F.col("weight") * F.col(v)).alias(f"idw__{v}") for v in values]
     aggs += [F.max(F.when(F.col("rank") == 1, F.col(v))).alias(f"nearest__{v}") for v in values]
     if near_k:
@@ -459,21 +459,23 @@ def horizon_angles(turbines: DataFrame, pixels: DataFrame, elevation: DataFrame,
     reach = (
         sites.withColumn("_ty", F.explode(F.sequence(_tile(F.col("lat") - lat_pad, tile), _tile(F.col("lat") + lat_pad, tile))))
         .withColumn("_tx", F.explode(F.sequence(_tile(F.col("lon") - lon_pad, tile), _tile(F.col("lon") + lon_pad, tile))))
-        .select(turbine, "lat", "lon", "z0", "_ty", "_tx")
+        .select(turbine, "lat", "lon", "z0", "_ty", "_tx", lon_pad.alias("_pad_lon"))
     )
     cells = pixels.select(F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), F.col("z").alias("_z"),
                           _tile("lat", tile).alias("_ty"), _tile("lon", tile).alias("_tx"))
-    met = reach.join(cells, ["_ty", "_tx"])
+    # a pixel meets many turbines, so the work is spread over tiles, not over input files
+    met = spread(cells, "_ty", "_tx").join(reach, ["_ty", "_tx"])
     # a plain box first: it drops most of a tile before any trigonometry
-    met = met.where((F.abs(F.col("_plat") - F.col("lat")) <= pad * 1.001) & (F.abs(F.col("_plon") - F.col("lon")) * F.cos(F.radians("lat")) <= pad * 1.001))
+    met = met.where((F.abs(F.col("_plat") - F.col("lat")) <= pad * 1.001) & (F.abs(F.col("_plon") - F.col("lon")) <= F.col("_pad_lon") * 1.001))
     east, north = displacement_m("lat", "lon", "_plat", "_plon")
     met = met.withColumns({"_d": F.hypot(east, north), "_b": bearing(east, north)})
     met = met.where(F.col("_d").between(MIN_HORIZON_DISTANCE_M, max(radii)))
-    # an edge bearing belongs to both wedges it touches
-    width = 360.0 / SECTORS
+    # a bearing exactly on an edge belongs to both wedges it touches
     near = sector("_b", SECTORS)
-    both = F.array_distinct(F.array(near, F.pmod(near - 1, F.lit(SECTORS)).cast("int")))
-    met = met.withColumn("sector", F.explode(F.filter(both, lambda s: circular_distance(F.col("_b"), s * width) <= SECTOR_HALF_WIDTH)))
-    angle = F.degrees(F.atan2(F.col("_z") - F.col("z0"), F.col("_d")))
+    on_edge = F.pmod(F.col("_b") + SECTOR_HALF_WIDTH, F.lit(360.0 / SECTORS)) == 0
+    below = F.pmod(near - 1, F.lit(SECTORS)).cast("int")
+    met = met.select(turbine, "_d", F.degrees(F.atan2(F.col("_z") - F.col("z0"), F.col("_d"))).alias("_angle"),
+                     F.explode(F.when(on_edge, F.array(near, below)).otherwise(F.array(near))).alias("sector"))
+    angle = F.col("_angle")
     return met.groupBy(turbine, "sector").agg(*[
         F.max(F.when(F.col("_d") <= r, angle)).alias(f"horizon_angle_r{int(r):04d}m") for r in radii])

@@ -14,6 +14,9 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # rows here often cost much more CPU than bytes (kernels, unfolding joins), so small shuffles keep their parallelism
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.parquet.filterPushdown": "true",
 }
 
@@ -36,6 +39,14 @@ def apply_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash partition by the columns into the session's full number of shuffle partitions.
+
+    For stages whose rows unfold into many more: a plain ``repartition`` may be coalesced to fit the small input.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
 
