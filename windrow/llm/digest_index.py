@@ -92,7 +92,8 @@ class DigestIndex:
         them apart.
         """
         sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
-        keep = sizes.join(self.rows().select("digest", F.col("doc_id").alias("keep_id"), F.col("n_points").alias("_kp")), "digest")
+        # stored, so that a digest with many rows meets it in a join whose large partitions Spark splits
+        keep = stored(sizes.join(self.rows().select("digest", F.col("doc_id").alias("keep_id"), F.col("n_points").alias("_kp")), "digest"), "kept-digests")
         return rows.join(keep, "digest").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("_kp"))).drop("_kp")
 
 
