@@ -22,7 +22,7 @@ from windrow.llm.common import slices, whole_text
 
 NONE = np.int32(2**31 - 1)
 #: bytes of text whose new words are encoded together, and words kept from one such share to the next
-SHARE_BYTES, KEPT_WORDS = 24 << 20, 400_000
+SHARE_BYTES, KEPT_WORDS = 8 << 20, 150_000
 
 #: fixed values: Unicode's white space, as a class body for engines whose own class differs
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
