@@ -22,7 +22,7 @@ from windrow.llm.common import slices, whole_text
 
 NONE = np.int32(2**31 - 1)
 #: bytes of text whose new words are encoded together, and words kept from one such share to the next
-SHARE_BYTES, KEPT_WORDS = 8 << 20, 150_000
+SHARE_BYTES, KEPT_WORDS = 4 << 20, 100_000
 
 #: fixed values: Unicode's white space, as a class body for engines whose own class differs
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
@@ -248,7 +248,11 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_column: str = "ids",
         for batch in batches:
             at = batch.schema.get_field_index(ids_column)
             lists = batch.column(at)
-            flat = known.take(lists.flatten())
+            ids = lists.flatten()
+            ends_of_range = pa.compute.min_max(ids)
+            if ids.null_count or len(ids) and (ends_of_range["min"].as_py() < 0 or ends_of_range["max"].as_py() >= size):
+                raise ValueError("an id is not in the vocabulary")
+            flat = known.take(ids)
             if flat.null_count:
                 raise ValueError("an id is not in the vocabulary")
             # the taken tokens lie one after the other, so a row's bytes are a stretch of their buffer

@@ -28,6 +28,11 @@ def usable(vector: Column, scale: float) -> Column:
     return vector.isNotNull() & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float("inf"))), F.lit(False))
 
 
+def within_long(score: np.ndarray) -> np.ndarray:
+    """Python integers beyond a long become its nearest value; doubles are exact and far below."""
+    return np.minimum(np.maximum(score, -(2**63)), 2**63 - 1) if score.dtype == object else score
+
+
 class Tree:
     """KD-tree over the rows of a matrix; ``order`` lists rows leaf by leaf."""
 
@@ -55,7 +60,7 @@ class Tree:
 
     def bounds(self, query: np.ndarray) -> np.ndarray:
         """The largest product a row in each box can have."""
-        return np.maximum(self.low * query, self.high * query).sum(axis=1)
+        return within_long(np.maximum(self.low * query, self.high * query).sum(axis=1))
 
     def best(self, query: np.ndarray, ids: np.ndarray, copies: np.ndarray, own: int, k: int, least: float) -> list[tuple[int, int]]:
         """(score, id) of the k best rows not of id ``own`` among those that score ``least`` or more.  ``ids`` and ``copies``
@@ -72,7 +77,7 @@ class Tree:
                         heapq.heappush(heap, (-bound[child], child))
                 continue
             start, stop = self.span[node]
-            score = self.x[start:stop] @ query
+            score = within_long(self.x[start:stop] @ query)
             for i in np.flatnonzero(score >= kth).tolist():
                 if ids[start + i] != own:
                     found += [(-score[i], int(ids[start + i]))] * min(k, int(copies[start + i]))
@@ -104,7 +109,7 @@ def search_shard(k: int, scale: float):
                 for score, vec_id in tree.best(asked[q], ids, copies, query_id, k, least[q]):
                     out[0].append(query_id)
                     out[1].append(vec_id)
-                    out[2].append(max(-(2**63), min(2**63 - 1, int(score))))
+                    out[2].append(int(score))
         return pa.table([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
 
     return run
@@ -117,7 +122,7 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: floa
     Components become floor(scale * x), x as double; ties go to the smaller id; fewer than k rows give all.  Rows with the query's
     id take no part.  Vectors that are null, or hold a null or a component not finite once scaled, take no part on either side,
     nor do rows without an id.  Vectors meet those of their own length only.  A repeated row counts each time; a query id given more
-    than once is asked once, with its smallest vector.  Scores outside a long are given as its nearest value.  Shards and blocks of
+    than once is asked once, with its smallest vector.  Scores outside a long become its nearest value before they are ranked.  Shards and blocks of
     queries are bounded, so a task holds ``shard_rows`` vectors and ``query_rows`` queries about; the plan reads each shard once
     for each block of queries.
     """

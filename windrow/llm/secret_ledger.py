@@ -63,10 +63,16 @@ def spans(rule: Rule, text: str) -> Iterator[tuple[int, int]]:
 
 
 def scan(texts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(blob, kinds, text) to (blob, rule, version, findings): one row for each rule named in ``kinds``, findings as start, end."""
+    """(blob, kinds, text) to (blob, rule, version, findings): one row for each rule named in ``kinds``, findings as start, end.
+
+    Rows of one blob within a task are scanned once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in slices(batches, "text"):
+            fresh_rows = [i for i, b in enumerate(batch.column("blob").to_pylist()) if not (b in seen or seen.add(b))]
+            batch = batch if len(fresh_rows) == batch.num_rows else batch.take(pa.array(fresh_rows, pa.int64()))
             blobs, kinds, text = batch.column("blob"), batch.column("kinds"), batch.column("text")
             wanted = [set(k) for k in kinds.to_pylist()]
             for rule in rules:
@@ -107,7 +113,7 @@ class BlobLedger:
     def update(self, docs: DataFrame, addresses: DataFrame, rules: Sequence[Rule], path_column: str, text_column: str) -> None:
         """Scan each blob of ``docs`` under the rules whose present version it has not been scanned under, and append.
 
-        One row stands for a blob: its smallest path.  Rows that agree in path and blob are scanned alike; readers take equal findings once.
+        One row stands for a blob: its smallest path.  Rows that agree in path and blob meet in one task and are scanned once.
         """
         current = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
         done = self.rows().groupBy("blob").agg(F.collect_set(F.struct("rule", "version")).alias("done"))
