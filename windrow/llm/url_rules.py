@@ -119,6 +119,7 @@ def judge_urls(pages: DataFrame, id_column: str = "page_id", url_column: str = "
     rule, verdict = listed_rule(F.col("host"), F.col("path"), listed)
     parts = stored(split.select("id", "url", "host", "path", rule.alias("rule"), verdict.alias("given"), url_tokens(F.col("host"), F.col("path"), F.col("url")).alias("tokens")), "url-tokens")
     rules = mine_rules(parts, "tokens", "given", min_support, min_confidence)
-    mined = apply_rules(parts.where("given IS NULL").select("tokens").distinct(), rules)
+    # stored, so that a token set of many urls meets it in a join whose large partitions Spark splits
+    mined = stored(apply_rules(parts.where("given IS NULL").select("tokens").distinct(), rules), "mined-verdicts")
     return parts.join(mined, "tokens", "left").select(
         F.col("id").alias(id_column), F.col("url").alias(url_column), "host", "path", "rule", F.coalesce("given", "mined", F.lit(otherwise)).alias("verdict"), F.when(F.col("given").isNull(), F.col("confidence")).alias("confidence"))
