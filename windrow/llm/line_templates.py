@@ -54,10 +54,11 @@ def repeated_lines(docs: DataFrame, id_column: str, text_column: str, leading: i
     nodes = docs.select(F.col(id_column).alias("_id"), F.xxhash64(text).alias("_h"), F.posexplode(line_nodes(text, leading, fields, min_tokens, min_general)).alias("line", "s"))
     lines = stored(nodes.where(F.size("s.keys") > 0).select("_id", "_h", "line", "s.leaf", "s.keys"), "template-lines")
     # a leaf with one line holds no recurring template
-    leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf")
+    # (grouped sides are stored, so that a hot leaf or template meets them in a join whose large partitions Spark splits)
+    leaves = stored(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf"), "recurring-leaves")
     met = lines.join(leaves, "leaf").select("_id", "_h", "line", F.explode("keys").alias("key"))
     occurrences = met.groupBy("key", "_id").agg(F.min("line").alias("line"))
-    templates = occurrences.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("_id", "line")).alias("first")).where(F.col("docs") >= min_docs)
+    templates = stored(occurrences.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("_id", "line")).alias("first")).where(F.col("docs") >= min_docs), "recurring-templates")
     late = met.join(templates, "key").where(F.struct("_id", "line") > F.col("first")).select("_id", "_h", "line")
     return late.where("_id IS NOT NULL").groupBy("_id", "_h").agg(F.collect_set("line").alias("dropped"))
 
