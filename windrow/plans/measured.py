@@ -74,9 +74,9 @@ def spike_masking(v) -> DataFrame:
 
 
 @query("strict_turbine_energy", "A14", """
-SELECT hour_end, turbine, count(power) AS n_valid, CASE WHEN count(power) = 2 THEN round(sum(power) + 1e-9, 6) END AS energy FROM scada10 GROUP BY 1, 2""")
+SELECT hour_end, turbine, count(power) AS n_valid, CASE WHEN count(power) = 6 THEN round(sum(power) + 1e-9, 6) END AS energy FROM scada10 GROUP BY 1, 2""")
 def strict_turbine_energy(v) -> DataFrame:
-    out = M.strict_turbine_energy(v.scada10, ["hour_end", "turbine"], required=2)
+    out = M.strict_turbine_energy(v.scada10, ["hour_end", "turbine"], required=6)
     return out.select("hour_end", "turbine", "n_valid", r6("energy").alias("energy"))
 
 
@@ -256,12 +256,10 @@ g AS (SELECT grp, count(availability_factor) FILTER (tr) AS train_resource_hours
 k AS (SELECT *, {' + '.join(f't_{f}' for f in _FRACTIONS)} AS t_all, {' + '.join(f'v_{f}' for f in _FRACTIONS)} AS v_all FROM g),
 j AS (SELECT *, {_js_sql()} AS js FROM k)
 SELECT grp, train_resource_hours, valid_resource_hours, round(tu + 1e-9, 6) AS train_unknown, round(vu + 1e-9, 6) AS valid_unknown, round(js + 1e-9, 6) AS state_divergence,
-       coalesce(train_resource_hours >= 100 AND valid_resource_hours >= 50 AND tu <= 0.9 AND vu <= 0.9 AND js <= 0.15, false) AS gate FROM j""")
+       coalesce(train_resource_hours >= 500 AND valid_resource_hours >= 500 AND tu <= 0.15 AND vu <= 0.15 AND js <= 0.15, false) AS gate FROM j""")
 def reliability_gate(v) -> DataFrame:
     rows = _hour_states(v).withColumn("window", F.when(F.day("hour_end") <= 20, "train").otherwise("valid"))
-    # the view covers 30 days, so the registered 500 hours are scaled to what it can hold
-    out = M.reliability_gate(rows, "grp", "window", "train", "valid", min_hours=50, max_unknown=0.9)
-    out = out.withColumn("gate", F.col("gate") & (F.col("train_resource_hours") >= 100))
+    out = M.reliability_gate(rows, "grp", "window", "train", "valid")
     return out.select("grp", "train_resource_hours", "valid_resource_hours", r6("train_unknown").alias("train_unknown"),
                       r6("valid_unknown").alias("valid_unknown"), r6("state_divergence").alias("state_divergence"), "gate")
 

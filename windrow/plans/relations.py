@@ -41,7 +41,7 @@ def _names(v) -> DataFrame:
 
 def _family_sql() -> str:
     leaf = "list_last(string_split(regexp_replace(lower(feature), '__run_(lag|lead|gradient|curvature)_[13]h$', ''), '__'))"
-    tests = [f"WHEN {leaf} IN ({', '.join(repr(x) for x in leaves)})" + (f" OR regexp_matches({leaf}, '{A.WIND_LEVEL_PATTERN}')" if family == "wind" else "") + f" THEN '{family}'"
+    tests = [f"WHEN {leaf} IN ({', '.join(repr(x) for x in leaves)})" + ("".join(f" OR starts_with({leaf}, '{p}')" for p in A.WIND_HEIGHT_PREFIXES) if family == "wind" else "") + f" THEN '{family}'"
              for family, leaves in A.LEAF_FAMILIES.items()]
     return ("CASE WHEN lower(feature) IN ('time__lead_hours', 'time__run_position') THEN 'lead' WHEN starts_with(feature, 'time__') THEN 'calendar' WHEN starts_with(feature, 'site__') THEN 'static_site' "
             "WHEN starts_with(feature, 'cross__') THEN 'cross_source_wind' WHEN contains(feature, 'raw_missing') OR contains(feature, 'distance_km') THEN 'quality_geometry' " + " ".join(tests) + " END")
@@ -49,7 +49,7 @@ def _family_sql() -> str:
 
 _TAX = f"""{_NAMES_SQL},
 tx AS (SELECT position, feature, {_family_sql()} AS physical_family FROM fn),
-tm AS (SELECT *, regexp_matches(lower(feature), '{A.RUN_PATTERN}') OR feature IN ('time__lead_hours', 'time__run_position') AS run_dynamics, regexp_matches(lower(feature), '{A.SPATIAL_PATTERN}') AS spatial_redundancy,
+tm AS (SELECT *, regexp_matches(lower(feature), '{A.RUN_PATTERN}') OR feature IN ('time__lead_hours', 'time__run_position') AS run_dynamics, regexp_matches(lower(feature), '{A.SPATIAL_PATTERN}') OR regexp_matches(lower(feature), '{A.RANK_DISTANCE_PATTERN}') AS spatial_redundancy,
    physical_family IN ({', '.join(repr(f) for f in A.NONWIND_FAMILIES)}) AS nonwind_atmospheric, starts_with(feature, 'cross__') AS cross_source_disagreement FROM tx)"""
 
 

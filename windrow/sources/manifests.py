@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from windrow.functions.exprs import ColumnLike, col
 
-#: larger files do not fit one binary value; they are listed without a digest and reported as such
+#: larger files do not fit one binary value; they are listed without a digest and get a status of their own
 MAX_BINARY_BYTES = 2_000_000_000
 
 
@@ -25,12 +25,14 @@ def describe_files(spark: SparkSession, paths: Sequence[str], pattern: str | Non
 
 
 def verify_manifest(declared: DataFrame, actual: DataFrame, path: str = "path") -> DataFrame:
-    """Declared rows against found files: FOUND_HASH_MATCH, FOUND_HASH_MISMATCH, MISSING or UNDECLARED."""
+    """Declared rows against found files: FOUND_HASH_MATCH, FOUND_HASH_MISMATCH, FOUND_UNDIGESTED (same size, no digest to compare),
+    MISSING or UNDECLARED."""
     d = declared.select(F.col(path).alias("path"), F.col("size_bytes").alias("declared_size"), F.lower("sha256").alias("declared_sha256"), F.lit(True).alias("_d"))
     a = actual.select("path", "size_bytes", "sha256", F.lit(True).alias("_a"))
     out = d.join(a, "path", "full")
     same = (F.col("declared_size") == F.col("size_bytes")) & (F.col("declared_sha256") == F.col("sha256"))
-    status = F.when(F.col("_a").isNull(), "MISSING").when(F.col("_d").isNull(), "UNDECLARED").when(F.coalesce(same, F.lit(False)), "FOUND_HASH_MATCH").otherwise("FOUND_HASH_MISMATCH")
+    status = F.when(F.col("_a").isNull(), "MISSING").when(F.col("_d").isNull(), "UNDECLARED").when(
+        F.col("sha256").isNull() & F.col("declared_size").eqNullSafe(F.col("size_bytes")), "FOUND_UNDIGESTED").when(F.coalesce(same, F.lit(False)), "FOUND_HASH_MATCH").otherwise("FOUND_HASH_MISMATCH")
     return out.withColumn("status", status).drop("_d", "_a")
 
 
@@ -61,7 +63,7 @@ def classify(files: DataFrame, registrations: DataFrame) -> DataFrame:
     per = registrations.groupBy("path").agg(F.collect_set(F.struct("sha256", "size_bytes")).alias("_r"), F.sort_array(F.collect_set("source")).alias("registered_by"))  # manifests of one file
     out = files.join(per, "path", "left")
     match = F.exists("_r", lambda r: (r["sha256"] == F.col("sha256")) & (r["size_bytes"].isNull() | (r["size_bytes"] == F.col("size_bytes"))))
-    status = F.when(F.col("_r").isNull(), "FOUND_UNREGISTERED").when(match, "FOUND_HASH_MATCH").otherwise("FOUND_HASH_MISMATCH")
+    status = F.when(F.col("_r").isNull(), "FOUND_UNREGISTERED").when(F.col("sha256").isNull(), "FOUND_UNDIGESTED").when(match, "FOUND_HASH_MATCH").otherwise("FOUND_HASH_MISMATCH")
     return out.withColumn("status", status).drop("_r")
 
 
