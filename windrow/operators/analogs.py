@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -59,54 +60,68 @@ def reduce_embedding(library: DataFrame, *frames: DataFrame, k: int) -> list[Dat
     return [model.transform(vector(df)).withColumn("embedding", vector_to_array("_p")).drop("_v", "_p") for df in (library, *frames)]
 
 
-def past_neighbours(library: DataFrame, queries: DataFrame, k: int, run: str = "run", block: int = BLOCK_ROWS, vector: str = "embedding") -> DataFrame:
+def past_neighbours(library: DataFrame, queries: DataFrame, k: int, run: str = "run", member: str | None = None, block: int = BLOCK_ROWS,
+                    vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(run, neighbour, distance, rank): the k nearest library runs strictly before the query run.
 
-    Runs are cut into blocks of consecutive numbers.  A task meets one library block with one query block and returns at
-    most k rows per query, so neither pairs nor whole libraries are rows or sent to every task; blocks that lie in the
-    future are never paired.
+    ``run`` orders the runs; where several runs share a number, such as the grid cells of a day, ``member`` (an integer) tells
+    them apart, and member and neighbour_member stand in the result too.  Ties go to the earlier run, then the smaller member.
+    Runs are cut into blocks of ``block`` consecutive numbers, and these by member into slots of about ``block_rows`` rows.  A task
+    meets one library slot with one query slot and returns at most k rows per query, so neither pairs nor whole libraries are
+    rows or sent to every task; blocks that lie in the future are never paired.
     """
-    lib = library.select(F.col(run).cast("bigint").alias("_run"), F.col(vector).cast("array<double>").alias("_v")).withColumn("lb", F.floor(F.col("_run") / block))
-    ask = queries.select(F.col(run).cast("bigint").alias("_run"), F.col(vector).cast("array<double>").alias("_v")).withColumn("qb", F.floor(F.col("_run") / block))
-    span = ask.agg(F.min("qb").alias("a"), F.max("qb").alias("b")).first()
-    low = lib.agg(F.min("lb").alias("a"), F.max("lb").alias("b")).first()
+    own = F.lit(0).cast("bigint") if member is None else F.col(member).cast("bigint")
+    shape = lambda df, b: df.select(F.col(run).cast("bigint").alias("_run"), own.alias("_member"), F.col(vector).cast("array<double>").alias("_v")).withColumn(b, F.floor(F.col("_run") / block))
+    lib, ask = shape(library, "lb"), shape(queries, "qb")
+    low = lib.agg(F.min("lb").alias("a"), F.max("lb").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    span = ask.agg(F.min("qb").alias("a"), F.max("qb").alias("b"), F.count(F.lit(1)).alias("n")).first()
     if span["a"] is None or low["a"] is None:
         raise ValueError("library or queries are empty")
+    slots = [max(1, math.ceil(s["n"] / (s["b"] - s["a"] + 1) / block_rows)) if member else 1 for s in (low, span)]
+    slot = lambda n: F.pmod(F.xxhash64("_member"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     lib = lib.where(F.col("lb") <= span["b"]).withColumn("qb", F.explode(F.sequence(F.greatest(F.col("lb"), F.lit(span["a"])), F.lit(span["b"]))))
+    lib = lib.withColumn("ls", slot(slots[0])).withColumn("qs", every(slots[1]))
     ask = ask.where(F.col("qb") >= low["a"]).withColumn("lb", F.explode(F.sequence(F.lit(low["a"]), F.least(F.col("qb"), F.lit(low["b"])))))
-    schema = T.StructType([T.StructField("run", T.LongType()), T.StructField("neighbour", T.LongType()), T.StructField("distance", T.DoubleType())])
+    ask = ask.withColumn("qs", slot(slots[1])).withColumn("ls", every(slots[0]))
+    names = ["run", "member", "neighbour", "neighbour_member"]
+    schema = T.StructType([*[T.StructField(n, T.LongType()) for n in names], T.StructField("distance", T.DoubleType())])
 
     def nearest(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            left = left.sort_values("_run")
-            ids, m = left["_run"].to_numpy(), np.stack(left["_v"].to_numpy())
+            left = left.sort_values(["_run", "_member"])
+            ids, members, m = left["_run"].to_numpy(), left["_member"].to_numpy(), np.stack(left["_v"].to_numpy())
             step = max(1, 4_000_000 // max(m.size, 1))
-            qs, qm = right["_run"].to_numpy(), np.stack(right["_v"].to_numpy())
+            qs, qmember, qm = right["_run"].to_numpy(), right["_member"].to_numpy(), np.stack(right["_v"].to_numpy())
             for i in range(0, len(qs), step):
                 d = np.sqrt(((qm[i:i + step, None, :] - m[None, :, :]) ** 2).sum(axis=2))
                 d = np.where(ids[None, :] < qs[i:i + step, None], d, np.inf)
                 order = np.argsort(np.round(d, 12), axis=1, kind="stable")[:, :k]
                 for r, cols in enumerate(order):
                     good = cols[np.isfinite(d[r, cols])]
-                    out.append(pd.DataFrame({"run": qs[i + r], "neighbour": ids[good], "distance": d[r, good]}))
-        return pd.concat(out) if out else pd.DataFrame({"run": [], "neighbour": [], "distance": []})
+                    out.append(pd.DataFrame({"run": qs[i + r], "member": qmember[i + r], "neighbour": ids[good], "neighbour_member": members[good], "distance": d[r, good]}))
+        return pd.concat(out) if out else pd.DataFrame({n: [] for n in schema.names})
 
-    found = lib.groupBy("lb", "qb").cogroup(ask.groupBy("lb", "qb")).applyInPandas(nearest, schema)
-    w = Window.partitionBy("run").orderBy(F.round("distance", 12), "neighbour")  # k rows per library block
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    keys = ["lb", "ls", "qb", "qs"]
+    found = lib.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInPandas(nearest, schema)
+    w = Window.partitionBy("run", "member").orderBy(F.round("distance", 12), "neighbour", "neighbour_member")  # k rows per library slot
+    out = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out if member else out.drop("member", "neighbour_member")
 
 
 def neighbour_weights(near: DataFrame) -> DataFrame:
     """Inverse-distance weights that sum to one; runs at distance zero share all the weight."""
-    w = Window.partitionBy("run")
+    w = Window.partitionBy(*[c for c in ("run", "member") if c in near.columns])
     zeros = F.sum((F.col("distance") <= ZERO_DISTANCE).cast("int")).over(w)
     inverse = 1.0 / F.greatest(F.col("distance"), F.lit(DISTANCE_FLOOR))
     return near.withColumn("weight", F.when(zeros > 0, F.when(F.col("distance") <= ZERO_DISTANCE, 1.0 / zeros).otherwise(0.0)).otherwise(inverse / F.sum(inverse).over(w)))
 
 
-def analog_trajectories(weighted: DataFrame, trajectories: DataFrame, run: str = "run", hour: str = "hour", cf: str = "cf", name: str = "analog_cf") -> DataFrame:
-    """Weighted mean trajectory per query run and hour."""
-    rows = weighted.join(trajectories.select(F.col(run).alias("neighbour"), hour, clip(cf, 0.0, 1.02).alias("_cf")), "neighbour")
-    return rows.groupBy("run", hour).agg(clip(F.sum(F.col("weight") * F.col("_cf")), 0.0, 1.02).alias(name), F.count(F.lit(1)).alias("neighbours"))
-
+def analog_trajectories(weighted: DataFrame, trajectories: DataFrame, run: str = "run", hour: str = "hour", cf: str = "cf", name: str = "analog_cf", member: str | None = None) -> DataFrame:
+    """Weighted mean trajectory per query run (and member) and hour."""
+    keys = {"neighbour": run} | ({"neighbour_member": member} if member else {})
+    curves = trajectories.select(*[F.col(c).cast("bigint").alias(n) for n, c in keys.items()], hour, clip(cf, 0.0, 1.02).alias("_cf"))
+    rows = weighted.join(curves, list(keys))
+    asked = ["run", "member"] if member else ["run"]
+    return rows.groupBy(*asked, hour).agg(clip(F.sum(F.col("weight") * F.col("_cf")), 0.0, 1.02).alias(name), F.count(F.lit(1)).alias("neighbours"))

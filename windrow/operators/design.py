@@ -14,18 +14,28 @@ from windrow.functions.wind import calendar_columns
 
 def node_matrix(df: DataFrame, channels: Sequence[str], nodes: Sequence[int], ts: str = "forecast_ts",
                 issued: str = "issued_ts", grid: str = "grid_id") -> DataFrame:
-    """Registered node x channel columns side by side plus the clock of valid hour and issuance."""
-    two_pi = 2.0 * math.pi
+    """Registered node x channel columns side by side plus the clock of valid hour and issuance.  For an open list of nodes
+    see :func:`node_rows`."""
     cells = [
         F.max(F.when(F.col(grid) == g, F.col(c))).alias(f"grid_{g:02d}__{c}") for c in channels for g in nodes
     ]
-    wide = df.groupBy(ts).agg(F.min(issued).alias("_issued"), *cells)
+    return _with_clock(df.groupBy(ts).agg(F.min(issued).alias("_issued"), *cells), ts)
+
+
+def node_rows(df: DataFrame, channels: Sequence[str], ts: str = "forecast_ts", issued: str = "issued_ts", grid: str = "grid_id") -> DataFrame:
+    """One row per hour, node and channel, for all nodes there are, with the clock of valid hour and issuance."""
+    values = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("value")) for c in channels])
+    return _with_clock(df.select(ts, F.col(issued).alias("_issued"), grid, F.inline(values)), ts)
+
+
+def _with_clock(df: DataFrame, ts: str) -> DataFrame:
+    two_pi = 2.0 * math.pi
     angles = {
         "forecast_hour": two_pi * F.hour(ts) / 24.0,
         "forecast_dayofyear": two_pi * (F.dayofyear(ts) - 1) / 365.25,
         "run_hour": two_pi * F.hour("_issued") / 24.0,
     }
-    out = wide.withColumn("lead_hours", hours_between(ts, "_issued"))
+    out = df.withColumn("lead_hours", hours_between(ts, "_issued"))
     for name, angle in angles.items():
         out = out.withColumn(f"{name}_sin", F.sin(angle)).withColumn(f"{name}_cos", F.cos(angle))
     return out.drop("_issued")

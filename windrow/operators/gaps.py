@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from windrow.functions.exprs import sum_when, total
 from windrow.functions.ranks import exact_quantiles
 from windrow.operators.lookups import attach
+from windrow.session import checkpoint
 
 
 def missing_counts(df: DataFrame, variables: Sequence[str], ts: str = "forecast_ts") -> DataFrame:
@@ -52,7 +53,7 @@ def fill_gaps(df: DataFrame, variables: Sequence[str], fallback: DataFrame, run:
               ts: str = "forecast_ts") -> DataFrame:
     """Temporal fill, then the median over grids of the same hour (of the temporally filled values), then the training
     median, then zero.  Spatial medians are formed only for the (hour, variable) pairs that still have a gap."""
-    filled = fill_in_time(df, variables, run, grid, ts)
+    filled = checkpoint(fill_in_time(df, variables, run, grid, ts))  # read by three branches
     cells = long_form(filled, [ts], variables)
     gaps = cells.where(F.col("value").isNull()).select(ts, "variable").distinct()
     medians = exact_quantiles(cells.join(gaps, [ts, "variable"], "left_semi"), [ts, "variable"], "value", [0.5])

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: a dimension of up to this many rows is sent to every task; a larger one is joined by shuffle
-BROADCAST_ROWS = 20_000
+#: a dimension of up to this many rows and bytes is sent to every task; a larger one is joined by shuffle
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 32 << 20
 
 
-def bounded(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
-    """The frame as a local table if it has at most ``limit`` rows, else None.  Reads no more than limit + 1 rows."""
+def bounded(small: DataFrame, limit: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame | None:
+    """The frame as a local table if it has at most ``limit`` rows and ``size`` bytes, else None.  Reads no more than limit + 1 rows."""
     rows = small.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
+    if rows.num_rows > limit or rows.nbytes > size:
         return None
     return small.sparkSession.createDataFrame(rows, small.schema)
 

@@ -26,6 +26,7 @@ from windrow.operators.drift import median_fill_values
 from windrow.operators.lookups import attach
 from windrow.operators.runs import bounded_correction
 from windrow.operators.settlement import unit_price
+from windrow.session import checkpoint
 
 # fixed values
 UPPER_CF = 1.02
@@ -225,28 +226,35 @@ def fold_predictions(df: DataFrame, folds: Sequence[tuple[Column, Column]], fit:
 
 
 def auxiliary_predictions(features_df: DataFrame, targets: DataFrame, keys: Sequence[str], features: Sequence[str], target_names: Sequence[str],
-                          folds: Sequence[tuple[Column, Column]], group: str, groups: Sequence[str], bounds: Mapping[str, tuple[float | None, float | None]],
+                          folds: Sequence[tuple[Column, Column]], group: str, bounds: Mapping[str, tuple[float | None, float | None]],
                           minimum: int = 50, **params) -> DataFrame:
-    """Predicted telemetry targets, out of fold in time: one regressor per group and target on the rows that have it, the
-    training median where a group has too few."""
-    joined = features_df.join(targets.select(*keys, *target_names), list(keys), "left")
+    """Predicted telemetry targets, out of fold in time, for any number of groups: one regressor per fold and target.
+
+    A group's level, the exact median of its training rows that have the target, is a feature beside the weather, so groups
+    differ without a fit of their own.  A group with fewer than ``minimum`` such rows is given its level, one without any the
+    median of all groups; a target no training row has stays null.
+    """
+    joined = checkpoint(features_df.join(targets.select(*keys, *target_names), list(keys), "left"))  # read by every fit
     out = []
     for train, valid in folds:
-        for g in groups:
-            rows = joined.where(train & (F.col(group) == g))
-            scaler = TrainOnlyScaler(rows, features, standardise=False)
-            part = scaler.fill(joined.where(valid & (F.col(group) == g)))
-            counts = rows.agg(*[F.count(t).alias(t) for t in target_names]).first()
-            for t in target_names:
-                known = scaler.fill(rows.where(F.col(t).isNotNull()))
-                if counts[t] >= minimum:
-                    part = predict(boosted(known, features, t, loss="absolute", **params), part, features, f"pred_{t}")
-                else:
-                    median = exact_quantiles(known.withColumn("_one", F.lit(1)), ["_one"], t, [0.5]).select(F.element_at("q", 1)).scalar()
-                    part = part.withColumn(f"pred_{t}", median)
-                lo, hi = bounds.get(t, (None, None))
-                part = part.withColumn(f"pred_{t}", clip(f"pred_{t}", lo, hi))
-            out.append(part.select(*keys, *[f"pred_{t}" for t in target_names]))
+        rows = joined.where(train)
+        scaler = TrainOnlyScaler(rows, features, standardise=False)
+        part = scaler.fill(joined.where(valid))
+        for t in target_names:
+            known = scaler.fill(rows.where(F.col(t).isNotNull()))
+            lo, hi = bounds.get(t, (None, None))
+            if known.isEmpty():
+                part = part.withColumn(f"pred_{t}", F.lit(None).cast("double"))
+                continue
+            levels = checkpoint(exact_quantiles(known, [group], t, [0.5]).select(group, F.col("n").alias("_n"), F.element_at("q", 1).alias("_own")))
+            pooled = exact_quantiles(known.withColumn("_one", F.lit(1)), ["_one"], t, [0.5]).select(F.element_at("q", 1)).first()[0]
+            with_level = lambda df: attach(df, levels, [group]).withColumn("_level", F.coalesce("_own", F.lit(pooled)))  # noqa: E731,B023
+            design = [*features, "_level"]
+            model = boosted(with_level(known), design, t, loss="absolute", **params)
+            scored = predict(model, with_level(part), design, "_p")
+            value = F.when(F.coalesce("_n", F.lit(0)) >= minimum, F.col("_p")).otherwise(F.col("_level"))
+            part = scored.withColumn(f"pred_{t}", clip(value, lo, hi)).drop("_n", "_own", "_level", "_p")
+        out.append(part.select(*keys, *[f"pred_{t}" for t in target_names]))
     return features_df.join(reduce(DataFrame.unionByName, out), list(keys), "left")
 
 
@@ -286,8 +294,8 @@ def expand_actions(df: DataFrame, actions: Sequence[float], name: str = "action"
 def interval_policy(train: DataFrame, apply: DataFrame, features: Sequence[str], actual_cf: str, base_cf: str, grid: Sequence[float], **params) -> DataFrame:
     """P(error <= 6 %), P(error <= 8 %) and expected error per action, repaired, turned into utilities, best action chosen.
 
-    The three heads see the action as a feature.  Applied actions are scored side by side in the row's own array, so the
-    choice needs no regrouping.
+    The three heads see the action as a feature.  Every applied row carries a number of its own through the scoring of its
+    actions, so equal rows stay apart when the actions are gathered again.
     """
     design = [*features, "action"]
     rows = expand_actions(train.where(F.col(actual_cf) >= 0.10), grid)
@@ -297,17 +305,18 @@ def interval_policy(train: DataFrame, apply: DataFrame, features: Sequence[str],
     h6 = GBTClassifier(featuresCol=VECTOR, labelCol="_y6", **settings).fit(rows)
     h8 = GBTClassifier(featuresCol=VECTOR, labelCol="_y8", **settings).fit(rows)
     he = GBTRegressor(featuresCol=VECTOR, labelCol="_err", lossType="squared", **settings).fit(rows)
-    ask = assemble(expand_actions(apply.withColumn("_id", F.struct(*apply.columns)), grid), design)
+    numbered = checkpoint(apply.withColumn("_id", F.monotonically_increasing_id()))  # numbers must not change between reads
+    ask = assemble(expand_actions(numbered, grid), design)
     p6 = h6.transform(ask).withColumn("_p6", F.element_at(vector_to_array("probability"), 2)).drop("rawPrediction", "probability", "prediction")
     p8 = h8.transform(p6).withColumn("_p8", F.element_at(vector_to_array("probability"), 2)).drop("rawPrediction", "probability", "prediction")
     scored = he.transform(p8)
     a, b, _ = D.repair_interval("_p6", "_p8")
     scored = scored.withColumn("utility", D.interval_utility(a, b, "prediction"))
     # one row's actions are neighbours, so partial aggregation folds them before the shuffle
-    top = scored.groupBy("_id").agg(F.max("utility").alias("_top"), F.collect_list(F.struct("action", "utility")).alias("_a"))
-    distance = lambda o: F.struct(F.abs(o["action"] - F.col(f"_id.{base_cf}")).alias("d"), o["action"].alias("action"), o["utility"].alias("utility"))
+    top = scored.groupBy("_id").agg(F.first(F.struct(*apply.columns)).alias("_row"), F.max("utility").alias("_top"), F.collect_list(F.struct("action", "utility")).alias("_a"))
+    distance = lambda o: F.struct(F.abs(o["action"] - F.col(f"_row.{base_cf}")).alias("d"), o["action"].alias("action"), o["utility"].alias("utility"))
     best = F.array_min(F.transform(F.filter("_a", lambda o: o["utility"] >= F.col("_top") - D.TIE), distance))
-    return top.select("_id.*", best["action"].alias("action"), best["utility"].alias("utility"))
+    return top.select("_row.*", best["action"].alias("action"), best["utility"].alias("utility"))
 
 
 def uplift_policy(train: DataFrame, apply: DataFrame, features: Sequence[str], actual_cf: str, base_cf: str, mean_actual_cf: float,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 from windrow.functions.exprs import ColumnLike, col, mean_of, std_of, total
 from windrow.functions.wind import components, speed
 
+PARTS = ("ws", "u", "v")
+# fixed value: the mean speed below which ratios to it are formed with this one
+CONSENSUS_FLOOR = 0.05
+
 
 def previous_day(ts: ColumnLike) -> Column:
     """Which previous run may be used: the day before for 01:00 ... 13:00, two days before for the rest."""
@@ -48,31 +53,22 @@ def joint_features(first: tuple[Column, Column, Column], middle_low: tuple[Colum
     The middle provider has no 100 m level; its vector is the mean of the levels below and above, which avoids averaging
     directions.
     """
-    e_ws, e_u, e_v = first
-    i_u, i_v = 0.5 * (middle_low[1] + middle_high[1]), 0.5 * (middle_low[2] + middle_high[2])
-    i_ws = speed(i_u, i_v)
-    g_ws, g_u, g_v = last
-    sets = {"ws": [e_ws, i_ws, g_ws], "u": [e_u, i_u, g_u], "v": [e_v, i_v, g_v]}
-    mean = {k: mean_of(c) for k, c in sets.items()}
-    out = {}
-    for name, triple in zip(("first", "middle", "last"), zip(*sets.values())):
-        out.update({f"{name}_{k}100": c for k, c in zip(sets, triple)})
-    for k, c in sets.items():
-        out[f"{k}100_mean"], out[f"{k}100_std"], out[f"{k}100_range"] = mean[k], std_of(c), _span(c)
-    vector = speed(mean["u"], mean["v"])
-    floor = F.greatest(mean["ws"], F.lit(0.05))
-    out["consensus_vector_speed"], out["directional_coherence"] = vector, vector / floor
-    out["distance_first_middle"] = speed(e_u - i_u, e_v - i_v)
-    out["distance_first_last"] = speed(e_u - g_u, e_v - g_v)
-    out["distance_middle_last"] = speed(i_u - g_u, i_v - g_v)
-    hub = col(hub_ws)
-    for name, c in (("first", e_ws), ("middle", i_ws), ("last", g_ws), ("mean", mean["ws"])):
-        out[f"{name}_minus_hub_ws"] = c - hub
-    out["spread_to_mean_ratio"] = std_of(sets["ws"]) / floor
-    shear_middle, shear_last = middle_high[0] - middle_low[0], g_ws - last_low_ws
-    out["vertical_shear_mean"] = 0.5 * (shear_middle + shear_last)
-    out["vertical_shear_abs_disagreement"] = F.abs(shear_middle - shear_last)
-    return out
+    centre = [0.5 * (low + high) for low, high in zip(middle_low[1:], middle_high[1:])]
+    winds = {"first": first, "middle": (speed(*centre), *centre), "last": last}
+    out = {f"{provider}_{part}100": value for provider, wind in winds.items() for part, value in zip(PARTS, wind)}
+    means = {}
+    for part, values in zip(PARTS, zip(*winds.values())):
+        means[part] = mean_of(values)
+        out |= {f"{part}100_mean": means[part], f"{part}100_std": std_of(values), f"{part}100_range": _span(values)}
+    for a, b in itertools.combinations(winds, 2):
+        out[f"distance_{a}_{b}"] = speed(*(x - y for x, y in zip(winds[a][1:], winds[b][1:])))
+    for name, value in {**{provider: wind[0] for provider, wind in winds.items()}, "mean": means["ws"]}.items():
+        out[f"{name}_minus_hub_ws"] = value - col(hub_ws)
+    # how far the providers agree, relative to their mean speed
+    consensus, size = speed(means["u"], means["v"]), F.greatest(means["ws"], F.lit(CONSENSUS_FLOOR))
+    out |= {"consensus_vector_speed": consensus, "directional_coherence": consensus / size, "spread_to_mean_ratio": out["ws100_std"] / size}
+    shears = (middle_high[0] - middle_low[0], last[0] - last_low_ws)
+    return out | {"vertical_shear_mean": 0.5 * (shears[0] + shears[1]), "vertical_shear_abs_disagreement": F.abs(shears[0] - shears[1])}
 
 
 def revision_features(ws: Column, u: Column, v: Column, hub_ws: ColumnLike) -> dict[str, Column]:

@@ -28,8 +28,8 @@ SECTORS = 16
 SECTOR_HALF_WIDTH = 11.25
 HORIZON_RADII_M = (500.0, 1000.0, 2000.0, 5000.0)
 MIN_HORIZON_DISTANCE_M = 100.0
-#: a farm is a registered site, not a partition of all data
-MAX_FARM_TURBINES = 512
+#: turbine values the wake kernel holds at a time
+WAKE_CELLS = 250_000
 
 
 def _tile(value: ColumnLike, size: float) -> Column:
@@ -96,10 +96,9 @@ def interpolate(df: DataFrame, weights: DataFrame, values: Sequence[str], ts: st
                 cell: str = "grid_id", near_k: int | None = None) -> DataFrame:
     """Weighted value, nearest value and (with ``near_k``) spread over the near cells per hour and site.
 
-    The forecast is clustered by hour before the weights multiply it, so the aggregation by (hour, site) needs no second
-    shuffle of the larger intermediate.
+    Every task adds up its own cells per (hour, site) before the one shuffle, so parallelism does not end at the number of hours.
     """
-    rows = attach(spread(df, ts), weights.select(site, cell, "weight", "rank"), [cell], "inner")
+    rows = attach(spread(df, ts, cell), weights.select(site, cell, "weight", "rank"), [cell], "inner")
     aggs = [F.sum(F.col("weight") * F.col(v)).alias(f"idw__{v}") for v in values]
     aggs += [F.max(F.when(F.col("rank") == 1, F.col(v))).alias(f"nearest__{v}") for v in values]
     if near_k:
@@ -144,8 +143,7 @@ def turbine_layout(turbines: DataFrame, farm: str = "farm", turbine: str = "turb
         F.sort_array(F.collect_list(F.struct(turbine, "lat", "lon", "capacity_mw", "rotor_m"))).alias("t")
     )
     total = F.aggregate("t", F.lit(0.0), lambda a, r: a + r["capacity_mw"])
-    packed = packed.withColumn("total_mw", F.when(F.size("t") <= MAX_FARM_TURBINES, total).otherwise(
-        F.raise_error(F.lit("farm has more turbines than registered farms may have"))))
+    packed = packed.withColumn("total_mw", total)
     packed = packed.withColumn("w", F.transform("t", lambda r: r["capacity_mw"] / F.col("total_mw")))
 
     def mean(field: str) -> Column:
@@ -240,46 +238,57 @@ WAKE_FIELDS = ("flow_speed", "downwind_span_km", "crosswind_span_km", "upstream_
 
 
 def _wake_block(u, v, x, y, w, rotor_km) -> dict[str, np.ndarray]:
-    """Rows of equal turbine count n: arrays are (rows, n), pair arrays (rows, upstream, downstream)."""
-    dot = lambda a: (a * w).sum(axis=1)
-    mu, mv = dot(u), dot(v)
-    flow = np.hypot(mu, mv)
-    moving = flow > 1e-5
-    ux, uy = np.where(moving, mu / np.where(moving, flow, 1), 0.0), np.where(moving, mv / np.where(moving, flow, 1), 0.0)
-    along_pos = ux[:, None] * x + uy[:, None] * y
-    cross_pos = -uy[:, None] * x + ux[:, None] * y
-    ws = np.hypot(u, v)
-    rows = np.arange(len(ws))
-    up, down = ws[rows, along_pos.argmin(axis=1)], ws[rows, along_pos.argmax(axis=1)]
-    dx, dy = x[:, None, :] - x[:, :, None], y[:, None, :] - y[:, :, None]
-    along = ux[:, None, None] * dx + uy[:, None, None] * dy
-    cross = np.abs(-uy[:, None, None] * dx + ux[:, None, None] * dy)
-    ahead = np.maximum(along, 0.0)
-    rotor = rotor_km[:, None, None]
-    radius = np.maximum(0.5 * rotor + WAKE_EXPANSION * ahead, 1e-6)
-    exposure = np.where(along > 0, np.exp(-np.square(cross / radius)) / np.square(1.0 + WAKE_EXPANSION * ahead / rotor), 0.0)
+    """Wake numbers of rows with n turbines each; all arrays are (rows, n).
+
+    Places are turned into flow coordinates once, so the separation of two turbines is a difference of their coordinates.  The
+    turbines then shed their wakes one after the other on all others, and only running totals are kept: memory stays at
+    rows x n.
+    """
     n = x.shape[1]
+    weighted = lambda a: np.einsum("ij,ij->i", w, a)
+    east, north = weighted(u), weighted(v)
+    flow = np.hypot(east, north)
+    unit = np.where(flow > 1e-5, flow, np.inf)
+    east, north = (east / unit)[:, None], (north / unit)[:, None]
+    down, across = east * x + north * y, east * y - north * x
+    ws, rotor = np.hypot(u, v), rotor_km[:, None]
+    deficit, strongest, active = np.zeros_like(ws), np.zeros(len(ws)), np.zeros(len(ws))
+    for source in range(n):
+        gap = np.maximum(down - down[:, [source]], 0.0)
+        growth = WAKE_EXPANSION * gap
+        offset = (across - across[:, [source]]) / np.maximum(0.5 * rotor + growth, 1e-6)
+        shade = np.where(gap > 0.0, np.exp(-offset * offset) / (1.0 + growth / rotor) ** 2, 0.0)
+        deficit += shade
+        strongest = np.maximum(strongest, shade.max(axis=1))
+        active += np.count_nonzero(shade > WAKE_ACTIVE, axis=1)
     pairs = max(n * (n - 1), 1)
-    received = exposure.sum(axis=1)
-    slowed = np.maximum(ws * (1.0 - WAKE_LOSS_SCALE * received), 0.0)
-    free_power, wake_power = dot(ws ** 3), dot(slowed ** 3)
-    cp, cs = along_pos - dot(along_pos)[:, None], ws - dot(ws)[:, None]
-    scale = np.sqrt(np.maximum(dot(cp ** 2), 1e-8) * np.maximum(dot(cs ** 2), 1e-8))
-    values = (flow, np.ptp(along_pos, axis=1), np.ptp(cross_pos, axis=1), up, down, down - up, dot(cp * cs) / scale,
-              exposure.sum(axis=(1, 2)) / pairs, exposure.max(axis=(1, 2)), (exposure > WAKE_ACTIVE).sum(axis=(1, 2)) / pairs,
-              dot(received), received.max(axis=1), dot(slowed), (free_power - wake_power) / np.maximum(free_power, 1e-6))
-    return dict(zip(WAKE_FIELDS, values))
+    out = {"flow_speed": flow, "downwind_span_km": np.ptp(down, axis=1), "crosswind_span_km": np.ptp(across, axis=1)}
+    order, row = np.round(down, 12), np.arange(len(ws))
+    out["upstream_edge_ws"], out["downstream_edge_ws"] = ws[row, order.argmin(axis=1)], ws[row, order.argmax(axis=1)]
+    out["downstream_minus_upstream_ws"] = out["downstream_edge_ws"] - out["upstream_edge_ws"]
+    place, pace = (a - weighted(a)[:, None] for a in (down, ws))
+    spread = np.maximum(weighted(place * place), 1e-8) * np.maximum(weighted(pace * pace), 1e-8)
+    out["projection_ws_correlation"] = weighted(place * pace) / np.sqrt(spread)
+    out |= {"wake_pair_mean": deficit.sum(axis=1) / pairs, "wake_pair_max": strongest, "wake_active_fraction": active / pairs}
+    out |= {"wake_receiver_cw_mean": weighted(deficit), "wake_receiver_max": deficit.max(axis=1)}
+    left = ws * np.maximum(1.0 - WAKE_LOSS_SCALE * deficit, 0.0)
+    free = weighted(ws ** 3)
+    out |= {"wake_effective_ws_cw_mean": weighted(left), "wake_power_loss_proxy": (free - weighted(left ** 3)) / np.maximum(free, 1e-6)}
+    return out
 
 
 @F.pandas_udf(T.StructType([T.StructField(f, T.DoubleType()) for f in WAKE_FIELDS]))
 def _wake(u: pd.Series, v: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series, rotor_m: pd.Series) -> pd.DataFrame:
-    out = pd.DataFrame(np.nan, index=u.index, columns=list(WAKE_FIELDS))
-    size = u.map(len)
-    for _, index in size.groupby(size).groups.items():
-        stack = lambda s: np.stack(s.loc[index].to_numpy())
-        block = _wake_block(stack(u), stack(v), stack(x), stack(y), stack(w), rotor_m.loc[index].to_numpy() / 1000.0)
-        out.loc[index] = np.column_stack([block[f] for f in WAKE_FIELDS])
-    return out
+    out = np.full((len(u), len(WAKE_FIELDS)), np.nan)
+    size = u.map(len).to_numpy()
+    for n in np.unique(size):
+        alike = np.flatnonzero(size == n)
+        step = max(1, WAKE_CELLS // max(int(n), 1))
+        for start in range(0, len(alike), step):
+            at = alike[start:start + step]
+            block = _wake_block(*(np.stack(s.iloc[at].to_numpy()) for s in (u, v, x, y, w)), rotor_m.iloc[at].to_numpy() / 1000.0)
+            out[at] = np.column_stack([block[f] for f in WAKE_FIELDS])
+    return pd.DataFrame(out, columns=list(WAKE_FIELDS))
 
 
 def wake_features(df: DataFrame, turbines: DataFrame, u: str, v: str, ts: str = "forecast_ts", farm: str = "farm",
@@ -294,6 +303,16 @@ def wake_features(df: DataFrame, turbines: DataFrame, u: str, v: str, ts: str =
     return ready.select(ts, farm, _wake("_u", "_v", "x", "y", "w", "rotor_m").alias("k")).select(ts, farm, "k.*")
 
 
+def flow_projection(df: DataFrame, turbines: DataFrame, u: str, v: str, ts: str = "forecast_ts", farm: str = "farm",
+                    turbine: str = "turbine_id") -> DataFrame:
+    """``df`` with the farm and ``projection``: each turbine's place along the farm's capacity-weighted mean flow, in km."""
+    places = turbine_layout(turbines, farm, turbine).select(farm, F.inline(F.arrays_zip("turbines", "w", "x", "y"))).withColumnRenamed("turbines", turbine)
+    rows = attach(df, places, [turbine], "inner")
+    flow = rows.groupBy(ts, farm).agg(F.sum(F.col("w") * F.col(u)).alias("_mu"), F.sum(F.col("w") * F.col(v)).alias("_mv"))
+    along = (F.col("_mu") * F.col("x") + F.col("_mv") * F.col("y")) / F.greatest(F.hypot("_mu", "_mv"), F.lit(1e-5))
+    return rows.join(flow, [ts, farm]).withColumn("projection", along).drop("w", "x", "y", "_mu", "_mv")
+
+
 def edge_speeds(df: DataFrame, keys: Sequence[str], projection: ColumnLike, value: ColumnLike) -> DataFrame:
     """Value at the most upstream and the most downstream position."""
     return df.groupBy(*keys).agg(F.min_by(col(value), col(projection)).alias("upstream"),

@@ -25,8 +25,6 @@ CAPACITY_FACTOR_CAP = 1.10
 STATES = ("NORMAL", "PARTIAL_DERATE", "CURTAILMENT_LIKE", "OUTAGE_LIKE", "LOW_RESOURCE", "SENSOR_OR_DATA_ANOMALY", "UNKNOWN")
 CURVE_ANCHORS = ((0.0, 0.0), (3.0, 0.0), (12.0, 1.0), (20.0, 1.0), (24.99, 1.0))
 CONFIDENCE_FLOOR = 0.5
-#: a farm is a registered site, not a partition of all data
-MAX_FARM_MEMBERS = 512
 
 
 def mask_spikes(value: ColumnLike, low: ColumnLike | float = SPIKE_BOUNDS[0], high: ColumnLike | float = SPIKE_BOUNDS[1]) -> tuple[Column, Column]:
@@ -99,11 +97,8 @@ def fleet_mean(df: DataFrame, keys: Sequence[str], value: str, minimum: int) ->
 
 
 def peer_rows(df: DataFrame, keys: Sequence[str], member: str, fields: Sequence[str]) -> DataFrame:
-    """One row per timestamp of a group with its members as an ordered array.  The group is a farm; one with more members
-    than a registered farm may have fails the job."""
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(member, *fields))).alias("m"))
-    small = F.size("m") <= MAX_FARM_MEMBERS
-    return rows.withColumn("m", F.when(small, F.col("m")).otherwise(F.raise_error(F.lit("more members than a farm may have"))))
+    """One row per timestamp of a group with its members as an ordered array: a farm's turbines at one moment."""
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(member, *fields))).alias("m"))
 
 
 def _median(values: Column) -> Column:
@@ -113,12 +108,22 @@ def _median(values: Column) -> Column:
     return F.when(n > 0, (low + F.try_element_at(ordered, (F.floor(n / 2) + 1).cast("int"))) / 2.0)
 
 
+def _sorted_values(members: str, value: str) -> Column:
+    return F.array_sort(F.filter(F.transform(members, lambda y: y[value]), lambda y: y.isNotNull()))
+
+
+def _median_without(ordered: str, own: Column) -> Column:
+    """Median of a sorted array with one occurrence of ``own`` left out (none if it is null), read from its two middle places."""
+    place = F.coalesce(F.array_position(ordered, own), F.lit(0)).cast("int")
+    n = F.size(ordered) - F.when(place > 0, 1).otherwise(0)
+    at = lambda k: F.try_element_at(ordered, (k + F.when((place > 0) & (k >= place), 1).otherwise(0)).cast("int"))
+    return F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2.0)
+
+
 def leave_one_out_median(df: DataFrame, keys: Sequence[str], member: str, value: str, name: str = "peer_median") -> DataFrame:
     """Median of the other members at the same timestamp; peers without a value are ignored."""
-    rows = peer_rows(df, keys, member, [value])
-    with_peers = F.transform("m", lambda x: F.struct(
-        x[member].alias(member), x[value].alias(value),
-        _median(F.transform(F.filter("m", lambda y: (y[member] != x[member]) & y[value].isNotNull()), lambda y: y[value])).alias(name)))
+    rows = peer_rows(df, keys, member, [value]).withColumn("_sorted", _sorted_values("m", value))
+    with_peers = F.transform("m", lambda x: F.struct(x[member].alias(member), x[value].alias(value), _median_without("_sorted", x[value]).alias(name)))
     return rows.select(*keys, F.inline(with_peers))
 
 
@@ -133,12 +138,12 @@ def proxy_states(df: DataFrame, keys: Sequence[str], member: str, power: str, wi
     packed = peer_rows(rows, keys, member, extra)
     ratios = F.transform(F.filter("m", lambda x: x["ratio"].isNotNull()), lambda x: x["ratio"])
     packed = packed.withColumns({
-        "_group_median": _median(ratios), "_n_ok": F.size(ratios),
+        "_group_median": _median(ratios), "_sorted": _sorted_values("m", "ratio"), "_n_ok": F.size(ratios),
         "_low": F.when(F.size(ratios) > 0, F.size(F.filter(ratios, lambda r: r < 0.70)) / F.size(ratios)).otherwise(0.0),
     })
     one = F.transform("m", lambda x: F.struct(
         x[member].alias(member), *[x[e].alias(e) for e in extra],
-        _median(F.transform(F.filter("m", lambda y: (y[member] != x[member]) & y["ratio"].isNotNull()), lambda y: y["ratio"])).alias("peer")))
+        _median_without("_sorted", x["ratio"]).alias("peer")))
     flat = packed.select(*keys, "_group_median", "_n_ok", "_low", F.inline(one))
     r, supported = F.col("ratio"), F.col("_ok") & (F.col("_n_ok") >= 3)
     yes = lambda cond: F.coalesce(cond, F.lit(False))

@@ -11,7 +11,7 @@ from windrow.functions import timekeys as T
 from windrow.functions.exprs import r6
 from windrow.operators import checks as C
 from windrow.operators import providers as R
-from windrow.plans.digest import digest, digest_sql
+from windrow.plans.digest import row_values, row_values_sql
 from windrow.plans.registry import query
 
 RAD = repr(math.pi / 180.0) + 'e0'
@@ -25,10 +25,9 @@ def _late(v) -> DataFrame:
 
 
 @query("cutoff_violations", "P10", f"""
-WITH {_LATE} SELECT grid_id, count(*) FILTER (available > cutoff) AS late, count(*) AS n FROM la GROUP BY grid_id""")
+WITH {_LATE} SELECT grid_id, forecast_ts, available, available > cutoff AS late FROM la""")
 def cutoff_violations(v) -> DataFrame:
-    out = _late(v).withColumn("late", C.after_cutoff("forecast_ts", "available"))
-    return out.groupBy("grid_id").agg(F.sum(F.col("late").cast("long")).alias("late"), F.count(F.lit(1)).alias("n"))
+    return _late(v).select("grid_id", "forecast_ts", "available", C.after_cutoff("forecast_ts", "available").alias("late"))
 
 
 @query("cutoff_examples", "P10", f"""
@@ -115,11 +114,10 @@ def exact_one_to_one_join(v) -> DataFrame:
 
 @query("differing_rows", "P15 S16", """
 WITH l AS (SELECT forecast_ts, grid_id FROM wx_obs), r AS (SELECT forecast_ts, grid_id FROM wx WHERE hour(forecast_ts) <> 5)
-SELECT side, count(*) AS n FROM (SELECT *, 'left' AS side FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r)
-  UNION ALL SELECT *, 'right' FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)) GROUP BY side""")
+SELECT *, 'left' AS side FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r) UNION ALL SELECT *, 'right' FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)""")
 def differing_rows(v) -> DataFrame:
     left, right = v.wx_obs.select("forecast_ts", "grid_id"), v.wx.where(F.hour("forecast_ts") != 5).select("forecast_ts", "grid_id")
-    return C.differing_rows(left, right).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    return C.differing_rows(left, right).select("forecast_ts", "grid_id", "side")
 
 
 @query("period_key_sets", "J16 U04 U05", """
@@ -209,12 +207,11 @@ def cutoff_evidence(v) -> DataFrame:
 
 
 @query("publication_status", "P12", """
-WITH x AS (SELECT l_suppkey, l_partkey % 17 <> 0 AS seen, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_shipdate - (l_suppkey % 30) * INTERVAL 1 HOUR END AS modified,
+WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 17 <> 0 AS seen, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_shipdate - (l_suppkey % 30) * INTERVAL 1 HOUR END AS modified,
                   l_shipdate - INTERVAL 10 HOUR AS cutoff, CASE WHEN l_linenumber = 3 THEN 'bad' ELSE sha256(CAST(l_partkey AS VARCHAR)) END AS sha,
                   CAST(l_quantity AS BIGINT) % 9 AS size, l_linestatus = 'O' AS fits FROM lineitem)
-SELECT l_suppkey % 10 AS bucket, CASE WHEN NOT seen THEN 'MISSING_RUN_ID' WHEN modified IS NULL THEN 'MISSING_PUBLICATION_EVIDENCE' WHEN modified > cutoff THEN 'AFTER_CUTOFF'
-            WHEN NOT regexp_full_match(sha, '[0-9a-f]{64}') THEN 'MISSING_RAW' WHEN NOT (size > 0 AND fits) THEN 'FAIL' ELSE 'VERIFIED' END AS status,
-       count(*) AS n FROM x GROUP BY 1, 2""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN NOT seen THEN 'MISSING_RUN_ID' WHEN modified IS NULL THEN 'MISSING_PUBLICATION_EVIDENCE' WHEN modified > cutoff THEN 'AFTER_CUTOFF'
+            WHEN NOT regexp_full_match(sha, '[0-9a-f]{64}') THEN 'MISSING_RAW' WHEN NOT (size > 0 AND fits) THEN 'FAIL' ELSE 'VERIFIED' END AS status FROM x""")
 def publication_status(v) -> DataFrame:
     ship = F.col("l_shipdate").cast("timestamp_ntz")
     status = C.publication_status(
@@ -223,7 +220,7 @@ def publication_status(v) -> DataFrame:
         F.when(F.col("l_linenumber") == 3, "bad").otherwise(F.sha2(F.col("l_partkey").cast("string"), 256)),
         F.col("l_quantity").cast("long") % 9, F.col("l_linestatus") == "O",
     )
-    return v.table("lineitem").groupBy((F.col("l_suppkey") % 10).alias("bucket"), status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return v.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", status.alias("status"))
 
 
 @query("prediction_contract", "P20 S17", """
@@ -269,7 +266,7 @@ def _joint_cte() -> tuple[str, list[str]]:
     out["vertical_shear_mean"], out["vertical_shear_abs_disagreement"] = "0.5 * (ish + gsh)", "abs(ish - gsh)"
     cte = f"""j0 AS (SELECT p.grid_id, p.ts, o.gust AS hub, {', '.join(cols)} FROM prov p JOIN wx_obs o ON o.forecast_ts = p.ts AND o.grid_id = p.grid_id),
 j1 AS (SELECT *, {uv} FROM j0), j2 AS (SELECT *, {mid} FROM j1), j3 AS (SELECT *, sqrt(iu * iu + iv * iv) AS iw FROM j2),
-j4 AS (SELECT grid_id, hour(ts) AS hour, {', '.join(f'{e} AS {n}' for n, e in out.items())} FROM j3)"""
+j4 AS (SELECT grid_id, ts, {', '.join(f'{e} AS {n}' for n, e in out.items())} FROM j3)"""
     return cte, list(out)
 
 
@@ -277,7 +274,7 @@ _JOINT, _JOINT_NAMES = _joint_cte()
 
 
 @query("joint_provider_features", "J04 F13 F12 P19", f"""
-WITH {_JOINT} {digest_sql('j4', ['grid_id', 'hour'], _JOINT_NAMES, 3)}""")
+WITH {_JOINT} {row_values_sql('j4', ['grid_id', 'ts'], _JOINT_NAMES)}""")
 def joint_provider_features(v) -> DataFrame:
     keys = ["grid_id", "ts"]
     sources = {n: v.prov.select(*keys, *[f"{n}_{c}_{d}" for c in ("ws", "wd") for d in ("d1", "d2")]) for n in "abc"}
@@ -286,23 +283,23 @@ def joint_provider_features(v) -> DataFrame:
     wind = {n: R.selected_wind("ts", n) for n in "abc"}
     upper = tuple(1.2 * c for c in wind["b"])
     features = R.joint_features(wind["a"], wind["b"], upper, 0.9 * wind["c"][0], wind["c"], "hub")
-    rows = rows.select("grid_id", F.hour("ts").cast("long").alias("hour"), *[c.alias(n) for n, c in features.items()])
-    return digest(rows, ["grid_id", "hour"], _JOINT_NAMES, 3)
+    rows = rows.select("grid_id", "ts", *[c.alias(n) for n, c in features.items()])
+    return row_values(rows, ["grid_id", "ts"], _JOINT_NAMES)
 
 
 @query("provider_revision_features", "F14 P19", f"""
-WITH x AS (SELECT p.grid_id, o.gust, o.u, o.v, o.u50, o.v50, {_sel('a')[0]} AS w, {_sel('a')[1]} AS d
+WITH x AS (SELECT p.grid_id, p.ts, o.gust, o.u, o.v, o.u50, o.v50, {_sel('a')[0]} AS w, {_sel('a')[1]} AS d
            FROM prov p JOIN wx_obs o ON o.forecast_ts = p.ts AND o.grid_id = p.grid_id),
-y AS (SELECT grid_id, w AS rev_ws, -w * sin(d * {RAD}) AS rev_u, -w * cos(d * {RAD}) AS rev_v, w - gust AS rev_ws_minus_hub,
+y AS (SELECT grid_id, ts AS forecast_ts, w AS rev_ws, -w * sin(d * {RAD}) AS rev_u, -w * cos(d * {RAD}) AS rev_v, w - gust AS rev_ws_minus_hub,
              sqrt(u * u + v * v) AS ens_ws_low, sqrt(u * u + v * v) - gust AS ens_ws_low_minus_hub, sqrt(u50 * u50 + v50 * v50) AS ens_ws_high,
              sqrt(u50 * u50 + v50 * v50) - sqrt(pow(w * sin(d * {RAD}), 2) + pow(w * cos(d * {RAD}), 2)) AS ens_ws_high_minus_control FROM x)
-{digest_sql('y', ['grid_id'], ['rev_ws', 'rev_u', 'rev_v', 'rev_ws_minus_hub', 'ens_ws_low', 'ens_ws_low_minus_hub', 'ens_ws_high', 'ens_ws_high_minus_control'], 3)}""")
+{row_values_sql('y', ['grid_id', 'forecast_ts'], ['rev_ws', 'rev_u', 'rev_v', 'rev_ws_minus_hub', 'ens_ws_low', 'ens_ws_low_minus_hub', 'ens_ws_high', 'ens_ws_high_minus_control'])}""")
 def provider_revision_features(v) -> DataFrame:
     rows = v.prov.withColumnRenamed("ts", "forecast_ts").join(v.wx_obs, ["forecast_ts", "grid_id"])
     ws, u, w = R.selected_wind("forecast_ts", "a")
     features = {**R.revision_features(ws, u, w, "gust"), **R.ensemble_disagreement("u", "v", "u50", "v50", "gust", u, w)}
-    rows = rows.select("grid_id", *[c.alias(n) for n, c in features.items()])
-    return digest(rows, ["grid_id"], list(features), 3)
+    rows = rows.select("grid_id", "forecast_ts", *[c.alias(n) for n, c in features.items()])
+    return row_values(rows, ["grid_id", "forecast_ts"], list(features))
 
 
 @query("agreement_gate", "F23", """

@@ -14,7 +14,7 @@ from windrow.operators import gates as G
 from windrow.operators import meta as A
 from windrow.operators import settlement as S
 from windrow.operators import slices as L
-from windrow.plans.digest import digest, digest_sql
+from windrow.plans.digest import row_values, row_values_sql
 from windrow.plans.registry import query
 from windrow.plans.scoring import _DELTA_COLUMNS, _ELIG, _PAIRED_SQL, _TRIPLE
 from windrow.plans.weather import PI
@@ -94,7 +94,7 @@ _INC = {
 
 
 @query("composition_rules", "E03 E07 E08 E09 E10 E11 E12 E13 E15 E22 E23 P21", f"""
-WITH x AS (SELECT grp, site, {', '.join(f'{e} AS {n}' for n, e in _INC.items())} FROM fcst) {digest_sql('x', ['grp', 'site'], _INC)}""")
+WITH x AS (SELECT grp, site, ts, {', '.join(f'{e} AS {n}' for n, e in _INC.items())} FROM fcst) {row_values_sql('x', ['grp', 'site', 'ts'], _INC)}""")
 def composition_rules(v) -> DataFrame:
     cap, base = F.col("capacity"), F.col("base")
     cf = lambda c: F.col(c) / cap
@@ -112,7 +112,7 @@ def composition_rules(v) -> DataFrame:
         "half": E.convex("base", "cand", 0.5, 1.02 * cap), "shrunk": E.action_shrink("base", (F.col("cand") - base) / cap, 0.5),
         "transferred": E.action_transfer("base", cf("cand")), "iqr_centre": E.interquartile_centre(["base", "cand", "third"]),
     }
-    return digest(v.fcst.select("grp", "site", *[c.alias(n) for n, c in rules.items()]), ["grp", "site"], list(_INC))
+    return row_values(v.fcst.select("grp", "site", "ts", *[c.alias(n) for n, c in rules.items()]), ["grp", "site", "ts"], list(_INC))
 
 
 @query("scale_separability", "E10", f"""
@@ -161,17 +161,23 @@ _PMF = lambda centres, at: f"list_transform({_lit(centres)}, lambda c: greatest(
 _PRICE = lambda g: f"(CASE WHEN {g} <= 0.06 THEN 4.0 WHEN {g} <= 0.08 THEN 3.0 ELSE 0.0 END)"
 
 
+def _mean_cf(train: DataFrame) -> float:
+    """Mean capacity factor of the scored rows: one number."""
+    return train.where(F.col("actual") >= 0.10 * F.col("capacity")).agg(F.avg(F.col("actual") / F.col("capacity"))).first()[0]
+
+
 @query("ordinal_class_action", "E16 F34", f"""
-WITH r AS (SELECT grp, ts, base / capacity AS b, {_PMF(D.CLASS_CENTRES, 'cand / capacity')} AS p0 FROM gday),
+WITH mc AS (SELECT avg(actual / capacity) AS m FROM gday WHERE {_ELIG}),
+r AS (SELECT grp, ts, base / capacity AS b, {_PMF(D.CLASS_CENTRES, 'cand / capacity')} AS p0 FROM gday),
 p AS (SELECT *, list_sum(p0) AS tp FROM r),
 a AS (SELECT *, unnest(list_distinct(list_transform({_lit(D.ACTION_DELTAS)}, lambda d: least(greatest(b + d, 0), 1.02)))) AS a FROM p),
 k AS (SELECT grp, ts, b, a, unnest(p0) / tp AS w, unnest({_lit(D.CLASS_CENTRES)}) AS y FROM a),
-ut AS (SELECT grp, ts, b, a, sum(w * (y * {_PRICE('abs(a - y)')} / (4 * 0.45) - abs(a - y))) AS u FROM k GROUP BY 1, 2, 3, 4),
+ut AS (SELECT grp, ts, b, a, sum(w * (y * {_PRICE('abs(a - y)')} / (4 * (SELECT m FROM mc)) - abs(a - y))) AS u FROM k GROUP BY 1, 2, 3, 4),
 {_choice_sql('ut', 'grp, ts', 'round(abs(a - b), 15), a')}
 SELECT grp, ts, round(a + 1e-9, 6) AS action, round(u + 1e-9, 6) AS utility FROM rk WHERE rn = 1""")
 def ordinal_class_action(v) -> DataFrame:
     rows = _pmf(v.gday, D.CLASS_CENTRES, F.col("cand") / F.col("capacity"))
-    rows = rows.withColumn("c", D.class_action("pmf", F.col("base") / F.col("capacity"), F.lit(0.45)))
+    rows = rows.withColumn("c", D.class_action("pmf", F.col("base") / F.col("capacity"), F.lit(_mean_cf(v.gday))))
     return rows.select("grp", "ts", r6("c.action").alias("action"), r6("c.utility").alias("utility"))
 
 
@@ -182,16 +188,17 @@ def _pmf(df: DataFrame, centres, at) -> DataFrame:
 
 
 @query("residual_class_action", "E16 E22", f"""
-WITH r AS (SELECT grp, ts, base, capacity, base / capacity AS b, {_PMF(D.RESIDUAL_CENTRES, '(cand - base) / capacity')} AS p0 FROM gday),
+WITH mc AS (SELECT avg(actual / capacity) AS m FROM gday WHERE {_ELIG}),
+r AS (SELECT grp, ts, base, capacity, base / capacity AS b, {_PMF(D.RESIDUAL_CENTRES, '(cand - base) / capacity')} AS p0 FROM gday),
 p AS (SELECT *, list_sum(p0) AS tp FROM r),
 a AS (SELECT *, unnest({_lit(D.ACTION_DELTAS)}) AS d FROM p),
 k AS (SELECT grp, ts, base, capacity, d, least(greatest(b + d, 0), 1.02) AS a, unnest(p0) / tp AS w, unnest(list_transform({_lit(D.RESIDUAL_CENTRES)}, lambda q: least(greatest(b + q, 0.10e0), 1.2e0))) AS y FROM a),
-ut AS (SELECT grp, ts, base, capacity, d, sum(w * (y * {_PRICE('abs(a - y)')} / (4 * 0.45) - abs(a - y))) AS u FROM k GROUP BY 1, 2, 3, 4, 5),
+ut AS (SELECT grp, ts, base, capacity, d, sum(w * (y * {_PRICE('abs(a - y)')} / (4 * (SELECT m FROM mc)) - abs(a - y))) AS u FROM k GROUP BY 1, 2, 3, 4, 5),
 {_choice_sql('ut', 'grp, ts', 'round(abs(d), 15), d')}
 SELECT grp, ts, round(d + 1e-9, 6) AS delta, round(u + 1e-9, 6) AS utility, round(least(greatest(base / capacity + 0.25 * d, 0), 1.02) * capacity + 1e-9, 6) AS shrunk FROM rk WHERE rn = 1""")
 def residual_class_action(v) -> DataFrame:
     rows = _pmf(v.gday, D.RESIDUAL_CENTRES, (F.col("cand") - F.col("base")) / F.col("capacity"))
-    delta, choice = D.residual_action("pmf", F.col("base") / F.col("capacity"), F.lit(0.45))
+    delta, choice = D.residual_action("pmf", F.col("base") / F.col("capacity"), F.lit(_mean_cf(v.gday)))
     rows = rows.withColumn("_c", choice).withColumn("delta", F.element_at(D.literal_array(D.ACTION_DELTAS), F.col("_c.position") + 1))
     return rows.select("grp", "ts", r6("delta").alias("delta"), r6("_c.utility").alias("utility"), r6(E.action_shrink("base", "delta", 0.25)).alias("shrunk"))
 
@@ -211,27 +218,29 @@ def _outcome_sql() -> str:
 
 
 @query("quantile_action", "E17 F24", f"""
-WITH r AS (SELECT grp, ts, base / capacity AS b, list_sort([{', '.join(_Q5)}]) AS q FROM gday),
+WITH mc AS (SELECT avg(actual / capacity) AS m FROM gday WHERE {_ELIG}),
+r AS (SELECT grp, ts, base / capacity AS b, list_sort([{', '.join(_Q5)}]) AS q FROM gday),
 o AS (SELECT *, {_outcome_sql()} AS ys FROM r),
 a AS (SELECT *, unnest(list_sort(list_distinct(list_transform(list_concat(list_concat({_lit([round(0.01 * i, 12) for i in range(103)])}, [b]), q), lambda x: least(greatest(x, 0.0e0), 1.02e0))))) AS a FROM o),
 k AS (SELECT grp, ts, b, a, unnest(ys) AS y FROM a),
-ut AS (SELECT grp, ts, b, a, avg(y * {_PRICE('abs(a - y)')} / (4 * 0.45) - abs(a - y)) AS u FROM k GROUP BY 1, 2, 3, 4),
+ut AS (SELECT grp, ts, b, a, avg(y * {_PRICE('abs(a - y)')} / (4 * (SELECT m FROM mc)) - abs(a - y)) AS u FROM k GROUP BY 1, 2, 3, 4),
 {_choice_sql('ut', 'grp, ts', 'round(abs(a - b), 15), a')}
 SELECT grp, ts, round(a + 1e-9, 6) AS action, round(u + 1e-9, 6) AS utility FROM rk WHERE rn = 1""")
 def quantile_action(v) -> DataFrame:
     cap = F.col("capacity")
     quantiles, _ = D.repaired_quantiles([0.8 * F.col("base") / cap, F.col("base") / cap, F.col("cand") / cap, F.col("third") / cap, 1.15 * F.col("cand") / cap])
     rows = v.gday.withColumns({"q": quantiles, "b": F.col("base") / cap})
-    rows = rows.withColumn("c", D.quantile_action("q", "b", F.lit(0.45)))
+    rows = rows.withColumn("c", D.quantile_action("q", "b", F.lit(_mean_cf(v.gday))))
     return rows.select("grp", "ts", r6("c.action").alias("action"), r6("c.utility").alias("utility"))
 
 
 @query("residual_quantile_action", "E17", f"""
-WITH r AS (SELECT grp, ts, base / capacity AS b, list_sort(list_transform([{', '.join(_Q5)}], lambda x: x - base / capacity)) AS q FROM gday),
+WITH mc AS (SELECT avg(actual / capacity) AS m FROM gday WHERE {_ELIG}),
+r AS (SELECT grp, ts, base / capacity AS b, list_sort(list_transform([{', '.join(_Q5)}], lambda x: x - base / capacity)) AS q FROM gday),
 o AS (SELECT *, {_outcome_sql().replace('least(greatest(q', 'least(greatest(b + (q').replace(', 0.1e0)', '), 0.1e0)')} AS ys FROM r),
 a AS (SELECT *, unnest(list_sort(list_distinct(list_transform(list_concat(list_concat({_lit([round(0.01 + 0.01 * i, 12) for i in range(102)])}, [b]), list_transform(q, lambda x: x + b)), lambda x: least(greatest(x, 0.0e0), 1.02e0))))) AS a FROM o),
 k AS (SELECT grp, ts, b, a, unnest(ys) AS y FROM a),
-ut AS (SELECT grp, ts, b, a, avg(y * {_PRICE('abs(a - y)')} / (4 * 0.45) - abs(a - y)) AS u FROM k GROUP BY 1, 2, 3, 4),
+ut AS (SELECT grp, ts, b, a, avg(y * {_PRICE('abs(a - y)')} / (4 * (SELECT m FROM mc)) - abs(a - y)) AS u FROM k GROUP BY 1, 2, 3, 4),
 {_choice_sql('ut', 'grp, ts', 'round(abs(a - b), 15), a')}
 SELECT grp, ts, round(a + 1e-9, 6) AS action, round(u + 1e-9, 6) AS utility FROM rk WHERE rn = 1""")
 def residual_quantile_action(v) -> DataFrame:
@@ -239,7 +248,7 @@ def residual_quantile_action(v) -> DataFrame:
     b = F.col("base") / cap
     quantiles, _ = D.repaired_quantiles([0.8 * F.col("base") / cap - b, b - b, F.col("cand") / cap - b, F.col("third") / cap - b, 1.15 * F.col("cand") / cap - b])
     rows = v.gday.withColumns({"q": quantiles, "b": b})
-    rows = rows.withColumn("c", D.quantile_action("q", "b", F.lit(0.45), residual=True, first_grid=0.01))
+    rows = rows.withColumn("c", D.quantile_action("q", "b", F.lit(_mean_cf(v.gday)), residual=True, first_grid=0.01))
     return rows.select("grp", "ts", r6("c.action").alias("action"), r6("c.utility").alias("utility"))
 
 
@@ -247,7 +256,8 @@ _THIN = [0.5 / 41 + (1 - 1 / 41) * i / 40 for i in range(41)]
 
 
 @query("residual_sample_decision", "E18 T09", f"""
-WITH f AS (SELECT (actual - base) / capacity AS r, base / capacity AS b FROM gday WHERE {_ELIG} AND ts < TIMESTAMP '1999-01-01'),
+WITH mc AS (SELECT avg(actual / capacity) AS m FROM gday WHERE {_ELIG} AND ts < TIMESTAMP '1999-01-01'),
+f AS (SELECT (actual - base) / capacity AS r, base / capacity AS b FROM gday WHERE {_ELIG} AND ts < TIMESTAMP '1999-01-01'),
 ed AS (SELECT unnest([0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.95]) AS e),
 fb AS (SELECT *, (SELECT count(*) FROM ed WHERE e <= b) AS bin FROM f),
 s0 AS (SELECT bin, count(*) AS n, quantile_cont(r, {_THIN}) AS c, stddev_samp(r) AS sd, (quantile_cont(r, 0.75) - quantile_cont(r, 0.25)) / 1.349 AS rb FROM fb GROUP BY 1
@@ -259,14 +269,14 @@ m AS (SELECT q.*, l.sm AS ls, coalesce(l.n / (l.n + 500.0), 0) AS al, g.sm AS gs
 a AS (SELECT *, unnest(list_distinct(list_transform({_lit(D.SAMPLE_OFFSETS)}, lambda o: least(greatest(b + o, 0), 1.02)))) AS a FROM m),
 k AS (SELECT grp, ts, b, a, unnest(ls) AS r, al / 164.0 AS w FROM a UNION ALL SELECT grp, ts, b, a, unnest(gs), (1 - al) / 164.0 FROM a),
 y AS (SELECT *, least(greatest(b + r, 0.1), 1.2) AS y FROM k),
-ut AS (SELECT grp, ts, b, a, sum(w * (y * {_PRICE('abs(a - y)')} / (4 * 0.45) - abs(a - y))) AS u FROM y GROUP BY 1, 2, 3, 4),
+ut AS (SELECT grp, ts, b, a, sum(w * (y * {_PRICE('abs(a - y)')} / (4 * (SELECT m FROM mc)) - abs(a - y))) AS u FROM y GROUP BY 1, 2, 3, 4),
 {_choice_sql('ut', 'grp, ts', 'round(abs(a - b), 15), a')}
 SELECT grp, ts, round(a + 1e-9, 6) AS raw_action, round(least(greatest(b + 0.65 * (a - b), 0), 1.02) + 1e-9, 6) AS decision_cf FROM rk WHERE rn = 1""")
 def residual_sample_decision(v) -> DataFrame:
     rows = v.gday.withColumns({"base_cf": F.col("base") / F.col("capacity"), "residual": (F.col("actual") - F.col("base")) / F.col("capacity")})
     split = F.lit("1999-01-01").cast("timestamp_ntz")
     fit = rows.where((F.col("ts") < split) & (F.col("actual") >= 0.10 * F.col("capacity")))
-    out = D.binned_sample_decisions(fit, rows.where(F.col("ts") >= split), 0.45)
+    out = D.binned_sample_decisions(fit, rows.where(F.col("ts") >= split), _mean_cf(fit))
     return rounded(out, ["grp", "ts"], ["raw_action", "decision_cf"])
 
 
@@ -294,12 +304,13 @@ _GLEAF = "[day(ts) * 1, month(ts) * 2 + year(ts) % 2, CAST(floor(base / 2) AS BI
 
 
 @query("forest_empirical_action", "E19 J11", f"""
-WITH f AS (SELECT (actual - base) / capacity AS r, unnest([0, 1, 2]) AS tree, unnest({_GLEAF}) AS leaf FROM gday WHERE ts < TIMESTAMP '2000-01-01'),
+WITH mc AS (SELECT avg(actual / capacity) AS m FROM gday WHERE {_ELIG} AND ts < TIMESTAMP '2000-01-01'),
+f AS (SELECT (actual - base) / capacity AS r, unnest([0, 1, 2]) AS tree, unnest({_GLEAF}) AS leaf FROM gday WHERE ts < TIMESTAMP '2000-01-01'),
 n AS (SELECT tree, leaf, count(*) AS n FROM f GROUP BY 1, 2),
 q AS (SELECT grp, ts, base / capacity AS b, unnest([0, 1, 2]) AS tree, unnest({_GLEAF}) AS leaf FROM gday WHERE ts >= TIMESTAMP '2000-01-01'),
 k AS (SELECT q.grp, q.ts, q.b, d, least(greatest(b + d, 0), 1.02) AS a, least(greatest(b + r, 0.1), 1.2) AS y, 1.0 / (3 * n.n) AS w
       FROM q JOIN f ON f.tree = q.tree AND f.leaf = q.leaf JOIN n ON n.tree = q.tree AND n.leaf = q.leaf, (SELECT unnest({_lit(D.ACTION_DELTAS)}) AS d)),
-ut AS (SELECT grp, ts, d, sum(w * (y * {_PRICE('abs(a - y)')} / (4 * 0.45) - abs(a - y))) AS u FROM k GROUP BY 1, 2, 3),
+ut AS (SELECT grp, ts, d, sum(w * (y * {_PRICE('abs(a - y)')} / (4 * (SELECT m FROM mc)) - abs(a - y))) AS u FROM k GROUP BY 1, 2, 3),
 {_choice_sql('ut', 'grp, ts', 'round(abs(d), 15), d')}
 SELECT grp, ts, round(d + 1e-9, 6) AS delta, round(u + 1e-9, 6) AS utility FROM rk WHERE rn = 1""")
 def forest_empirical_action(v) -> DataFrame:
@@ -307,7 +318,7 @@ def forest_empirical_action(v) -> DataFrame:
                                "leaves": F.array(F.day("ts").cast("long"), (F.month("ts") * 2 + F.year("ts") % 2).cast("long"), F.floor(F.col("base") / 2))})
     fit = rows.where(F.col("ts") < F.lit("2000-01-01").cast("timestamp_ntz"))
     ask = rows.where(F.col("ts") >= F.lit("2000-01-01").cast("timestamp_ntz"))
-    out = D.forest_action(fit, ask, "leaves", ["grp", "ts"], ["grp", "ts"], "residual", "base_cf", 0.45, part_rows=64)
+    out = D.forest_action(fit, ask, "leaves", ["grp", "ts"], ["grp", "ts"], "residual", "base_cf", _mean_cf(fit), part_rows=64)
     return rounded(out, ["grp", "ts"], ["delta", "utility"])
 
 
@@ -547,16 +558,15 @@ def template_fill(v) -> DataFrame:
 
 
 @query("sample_weights_and_classes", "P18 P17 F34 P01", f"""
-WITH x AS (SELECT grp, site, actual / capacity AS cf, (actual - base) / capacity AS r, 0.5 + 2.0 * least(greatest(actual / capacity, 0), 1.5) AS w FROM fcst WHERE {_ELIG}),
+WITH x AS (SELECT grp, site, ts, actual / capacity AS cf, (actual - base) / capacity AS r, 0.5 + 2.0 * least(greatest(actual / capacity, 0), 1.5) AS w FROM fcst WHERE {_ELIG}),
 c AS (SELECT *, least((SELECT count(*) FROM (SELECT unnest({_lit(D.CLASS_EDGES)}) AS e) WHERE e <= cf), 41) AS k FROM x),
 d AS (SELECT *, least(greatest(ceil((r + 0.525) / 0.025 - 0.5 - 1e-12), 0), 42) AS m FROM c)
-SELECT grp, site, count(*) AS n, round(sum(w) + 1e-7, 4) AS weight, CAST(sum(k) AS BIGINT) AS target_class, CAST(sum(m) AS BIGINT) AS residual_class FROM d GROUP BY 1, 2""")
+SELECT grp, site, ts, round(w + 1e-9, 6) AS weight, CAST(k AS BIGINT) AS target_class, CAST(m AS BIGINT) AS residual_class FROM d""")
 def sample_weights_and_classes(v) -> DataFrame:
     rows = v.fcst.where(F.col("actual") >= 0.10 * F.col("capacity"))
     cap = F.col("capacity")
-    rows = rows.select("grp", "site", E.sample_weight("actual", "capacity", 0.5, 2.0).alias("w"), D.target_class(F.col("actual") / cap).alias("k"),
-                       D.residual_class((F.col("actual") - F.col("base")) / cap).alias("m"))
-    return rows.groupBy("grp", "site").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("w"), 4).alias("weight"), F.sum("k").alias("target_class"), F.sum("m").alias("residual_class"))
+    return rows.select("grp", "site", "ts", r6(E.sample_weight("actual", "capacity", 0.5, 2.0)).alias("weight"), D.target_class(F.col("actual") / cap).cast("long").alias("target_class"),
+                       D.residual_class((F.col("actual") - F.col("base")) / cap).cast("long").alias("residual_class"))
 
 
 _META = {"base_cf": "base / capacity", "cand_cf": "cand / capacity", "third_cf": "third / capacity", "component_mean_cf": "(cand / capacity + third / capacity) / 2.0",
@@ -568,10 +578,10 @@ _META = {"base_cf": "base / capacity", "cand_cf": "cand / capacity", "third_cf":
 
 
 @query("meta_features", "F35 F36", f"""
-WITH x AS (SELECT grp, site, {', '.join(f'{e} AS {n}' for n, e in _META.items())} FROM fcst) {digest_sql('x', ['grp', 'site'], _META)}""")
+WITH x AS (SELECT grp, site, ts, {', '.join(f'{e} AS {n}' for n, e in _META.items())} FROM fcst) {row_values_sql('x', ['grp', 'site', 'ts'], _META)}""")
 def meta_features(v) -> DataFrame:
     features = A.meta_features("base", ["cand", "third"], [("cand", "third")], "ts", "capacity")
-    return digest(v.fcst.select("grp", "site", *[c.alias(n) for n, c in features.items()]), ["grp", "site"], list(_META))
+    return row_values(v.fcst.select("grp", "site", "ts", *[c.alias(n) for n, c in features.items()]), ["grp", "site", "ts"], list(_META))
 
 
 _DAILY = ["baseline_daily_mean_cf", *[f"{p}_{s}" for p in ("a_ws", "b_ws", "a_minus_b") for s in ("mean", "std", "q25", "q50", "q75")], "doy_sin1", "doy_cos1", "doy_sin2", "doy_cos2"]

@@ -99,16 +99,22 @@ def hourly_json_payload(v) -> DataFrame:
 
 
 @query("national_grid_text", "S12", """
-WITH k AS (SELECT l_orderkey // 12 AS doc, row_number() OVER (PARTITION BY l_orderkey // 12 ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity) AS i, CASE WHEN l_partkey % 10 = 0 AND i > 2 THEN -99.0 ELSE l_quantity END AS q0, l_quantity, l_partkey FROM lineitem),
-v AS (SELECT doc, i, CASE WHEN i > 2 AND l_partkey % 10 = 0 THEN -99.0 ELSE l_quantity END AS q FROM k WHERE i <= 12)
-SELECT doc, CAST(count(*) AS INTEGER) AS token_count, doc % 2 = 0 AS trailing_comma, CAST(count(*) FILTER (q <= -99) AS INTEGER) AS sentinels, max(q) FILTER (i = 1) AS cell_a, max(q) FILTER (i = 2) AS cell_b FROM v GROUP BY 1 HAVING count(*) = 12""".replace("CASE WHEN l_partkey % 10 = 0 AND i > 2 THEN -99.0 ELSE l_quantity END AS q0, ", ""))
+WITH k AS (SELECT l_orderkey // 12 AS doc, row_number() OVER (PARTITION BY l_orderkey // 12 ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity) - 1 AS i, l_quantity, l_partkey FROM lineitem),
+v AS (SELECT doc, i // 12 AS part, i % 12 AS cell, CASE WHEN i % 12 > 1 AND l_partkey % 10 = 0 THEN -99.0 ELSE l_quantity END AS q FROM k)
+SELECT doc, part, CAST(12 AS INTEGER) AS token_count, (doc + part) % 2 = 0 AS trailing_comma, CAST(count(*) FILTER (q <= -99) + 12 - greatest(count(*), 2) AS INTEGER) AS sentinels,
+  max(q) FILTER (cell = 0) AS cell_a, coalesce(max(q) FILTER (cell = 1), 0) AS cell_b
+FROM v GROUP BY 1, 2""")
 def national_grid_text(v) -> DataFrame:
+    """All line items of twelve orders as texts of twelve cells; the last text of a document is filled up with the sentinel."""
     li = v.table("lineitem").withColumn("doc", F.floor(F.col("l_orderkey") / 12))
     cells = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")))
-    docs = li.groupBy("doc").agg(cells.alias("c")).where(F.size("c") >= 12)
-    values = F.transform(F.slice("c", 1, 12), lambda r, i: F.when((i >= 2) & (r["l_partkey"] % 10 == 0), F.lit("-99.0")).otherwise(r["l_quantity"].cast("string")))
-    docs = docs.withColumn("text", F.concat(F.array_join(values, ", "), F.when(F.col("doc") % 2 == 0, ",\n").otherwise("")))
-    return PL.grid_cells(docs, "text", {"cell_a": (1, 1), "cell_b": (2, 1)}, ["doc"], columns=4, rows=3)
+    docs = li.groupBy("doc").agg(cells.alias("c")).select("doc", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.size("c") - 1) / 12))).alias("part"))
+    docs = docs.withColumn("c", F.slice("c", (F.col("part") * 12 + 1).cast("int"), 12))
+    values = F.transform("c", lambda r, i: F.when((i >= 2) & (r["l_partkey"] % 10 == 0), F.lit("-99.0")).otherwise(r["l_quantity"].cast("string")))
+    values = F.concat(values, F.when(F.size("c") == 1, F.array(F.lit("0.0"))).otherwise(F.array().cast("array<string>")))  # a selected cell needs a value
+    filled = F.concat(values, F.array_repeat(F.lit("-99.0"), 12 - F.greatest(F.size("c"), F.lit(2))))
+    docs = docs.withColumn("text", F.concat(F.array_join(filled, ", "), F.when((F.col("doc") + F.col("part")) % 2 == 0, ",\n").otherwise("")))
+    return PL.grid_cells(docs, "text", {"cell_a": (1, 1), "cell_b": (2, 1)}, ["doc", "part"], columns=4, rows=3)
 
 
 _IDX = """ix AS (SELECT l_orderkey AS obj, row_number() OVER w AS rec, CAST(sum(CAST(l_quantity AS BIGINT) + 1) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CAST(l_quantity AS BIGINT) - 1 AS BIGINT) AS off,
@@ -181,15 +187,19 @@ def run_schedule(v) -> DataFrame:
     return PL.run_schedule(days)
 
 
-@query("wide_telemetry_unpivot", "S06 U01", """
-WITH w AS (SELECT hour_end, slot, max(power) FILTER (turbine % 5 = 0) AS p0, max(power) FILTER (turbine % 5 = 1) AS p1, max(ws) FILTER (turbine % 5 = 0) AS s0, max(ws) FILTER (turbine % 5 = 1) AS s1 FROM scada10 GROUP BY 1, 2)
-SELECT hour_end, slot, 'f0' AS grp, 't0' AS turbine, round(p0 + 1e-9, 6) AS power, round(s0 + 1e-9, 6) AS ws FROM w UNION ALL SELECT hour_end, slot, 'f1', 't1', round(p1 + 1e-9, 6), round(s1 + 1e-9, 6) FROM w""")
+_MEMBERS = range(6)  # turbines of a farm
+
+
+@query("wide_telemetry_unpivot", "S06 U01", f"""
+WITH w AS (SELECT hour_end, slot, grp, {', '.join(f'max({c}) FILTER (turbine % 6 = {i}) AS {c}{i}' for i in _MEMBERS for c in ('power', 'ws'))} FROM scada10 GROUP BY 1, 2, 3)
+{' UNION ALL '.join(f"SELECT hour_end, slot, grp, 't{i}' AS turbine, round(power{i} + 1e-9, 6) AS power, round(ws{i} + 1e-9, 6) AS ws FROM w" for i in _MEMBERS)}""")
 def wide_telemetry_unpivot(v) -> DataFrame:
-    t = F.col("turbine") % 5
-    wide = v.scada10.groupBy("hour_end", "slot").agg(*[F.max(F.when(t == i, F.col(c))).alias(f"m_t{i}_{s}") for i in (0, 1) for c, s in (("power", "power"), ("ws", "ws"))])
-    wide = wide.withColumn("key", F.struct("hour_end", "slot"))
-    out = RD.telemetry_long(wide, "key", [("f0", "t0", "m_t0"), ("f1", "t1", "m_t1")], {"power": "_power", "ws": "_ws"})
-    return out.select("key.hour_end", "key.slot", "grp", "turbine", r6("power").alias("power"), r6("ws").alias("ws"))
+    """Wide rows of every farm, one column per member and channel, back to one row per member."""
+    member = F.col("turbine") % 6
+    wide = v.scada10.groupBy("hour_end", "slot", "grp").agg(*[F.max(F.when(member == i, F.col(c))).alias(f"m_t{i}_{c}") for i in _MEMBERS for c in ("power", "ws")])
+    wide = wide.select(F.struct("hour_end", "slot", F.col("grp").alias("farm")).alias("key"), *[c for c in wide.columns if c.startswith("m_")])
+    out = RD.telemetry_long(wide, "key", [("", f"t{i}", f"m_t{i}") for i in _MEMBERS], {"power": "_power", "ws": "_ws"})
+    return out.select("key.hour_end", "key.slot", F.col("key.farm").alias("grp"), "turbine", r6("power").alias("power"), r6("ws").alias("ws"))
 
 
 @query("label_and_template_checks", "S04 S05", """

@@ -19,19 +19,19 @@ from windrow.operators import runs
 from windrow.operators import telemetry as TE
 from windrow.plans.measured import _hour_states, _hourly
 from windrow.plans.registry import query
+from windrow.session import checkpoint
 
 SPLIT = "1999-07-01"
+# fixed value: penalty of the seasonal ridge on standardised columns
+RIDGE_ALPHA = 250.0
 FEATURES = ["base_cf", "cand_cf", "third_cf", "component_std_cf", "component_range_cf", "day_of_year_sin", "day_of_year_cos", "z_wind"]
 GROUPS = ["g1", "g2", "g3"]
-#: small trees keep the registered runs short; the library defaults are larger
-SMALL = {"maxIter": 5, "maxDepth": 3, "minInstancesPerNode": 20}
-SMALL_FOREST = {"numTrees": 8, "maxDepth": 4, "minInstancesPerNode": 20}
 
 
 def _rows(v) -> DataFrame:
     features = A.meta_features("base", ["cand", "third"], [("cand", "third")], "ts", "capacity")
     rows = v.gday.withColumns(features)
-    return rows.withColumns({"actual_cf": F.col("actual") / F.col("capacity"), "z_wind": F.col("third") / 15.0, "lead": (F.dayofmonth("ts") % 24 + 12).cast("double"), "run": T.day_floor("ts")})
+    return checkpoint(rows.withColumns({"actual_cf": F.col("actual") / F.col("capacity"), "z_wind": F.col("third") / 15.0, "lead": (F.dayofmonth("ts") % 24 + 12).cast("double"), "run": T.day_floor("ts")}))  # every fit and scaler reads the design
 
 
 def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,6 +39,11 @@ def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where((F.col("ts") < at) & (F.col("actual_cf") >= 0.10)), df.where(F.col("ts") >= at)
 
 
+def _mean_cf(train: DataFrame) -> float:
+    """Mean capacity factor of the training rows: one number."""
+    return train.agg(F.avg("actual_cf")).first()[0]
+
+
 def _out(df: DataFrame, *values: str, keys=("grp", "ts")) -> DataFrame:
     return df.select(*keys, *[r6(c).alias(c) for c in values])
 
@@ -46,21 +51,21 @@ def _out(df: DataFrame, *values: str, keys=("grp", "ts")) -> DataFrame:
 @query("group_regressors", "M01 P01 P17 P18")
 def group_regressors(v) -> DataFrame:
     train, apply = _split(_rows(v).withColumn("w", 0.5 + 2.0 * F.least("actual_cf", F.lit(1.5))))
-    out = M.per_group(train, apply, GROUPS, lambda d: M.boosted(d, FEATURES, "actual_cf", "w", **SMALL), FEATURES, "cf")
+    out = M.per_group(train, apply, GROUPS, lambda d: M.boosted(d, FEATURES, "actual_cf", "w"), FEATURES, "cf")
     return _out(out.withColumn("kwh", F.col("cf") * F.col("capacity")), "kwh")
 
 
 @query("shared_regressor", "M02 U02")
 def shared_regressor(v) -> DataFrame:
     train, apply = _split(M.shared_design(_rows(v), GROUPS))
-    model = M.boosted(train, [*FEATURES, "group_id"], "actual_cf", **SMALL)
+    model = M.boosted(train, [*FEATURES, "group_id"], "actual_cf")
     return _out(M.predict(model, apply, [*FEATURES, "group_id"], "cf", (0.0, 1.02)), "cf")
 
 
 @query("feature_gains", "P06 M01")
 def feature_gains(v) -> DataFrame:
     train, _ = _split(_rows(v))
-    model = M.boosted(train, FEATURES, "actual_cf", **SMALL)
+    model = M.boosted(train, FEATURES, "actual_cf")
     return M.gain_table(model, FEATURES, v.spark).orderBy(F.col("gain").desc(), "position").limit(5)
 
 
@@ -74,7 +79,7 @@ def quantile_forecast(v) -> DataFrame:
 @query("leaf_quantile_forecast", "M03 J11")
 def leaf_quantile_forecast(v) -> DataFrame:
     train, apply = _split(_rows(v))
-    model = M.forest(train, FEATURES, "actual_cf", leaf="leaf", **SMALL_FOREST)
+    model = M.forest(train, FEATURES, "actual_cf", leaf="leaf")
     fit, ask = M.leaf_rows(model, train, FEATURES), M.leaf_rows(model, apply, FEATURES)
     out = M.leaf_quantile_surface(fit, ask, "leaves", ["grp", "ts"], "actual_cf", [0.1, 0.5, 0.9])
     return out.select("grp", "ts", *[r6(F.element_at("quantiles", i + 1)).alias(f"q{i}") for i in range(3)])
@@ -96,7 +101,7 @@ def density_ratio_weights(v) -> DataFrame:
     rows = _rows(v)
     at = F.lit(SPLIT).cast("timestamp_ntz")
     cols = ["grp", "ts", "run", *FEATURES[:4], "actual_cf"]
-    weighted, _ = M.density_ratio(rows.where(F.col("ts") < at).select(*cols), rows.where(F.col("ts") >= at).select(*cols), FEATURES[:4], "run", F.col("actual_cf") >= 0.10, max_iter=10)
+    weighted, _ = M.density_ratio(rows.where(F.col("ts") < at).select(*cols), rows.where(F.col("ts") >= at).select(*cols), FEATURES[:4], "run", F.col("actual_cf") >= 0.10)
     return _out(weighted, "domain_probability", "density_weight")
 
 
@@ -106,8 +111,9 @@ def seasonal_wind_ridge(v) -> DataFrame:
     design = P.seasonal_wind_design("ts", F.col("third") / 2)
     names = list(design)
     train, apply = _split(rows.withColumns(design))
-    model = M.ridge(train, names, "actual_cf", 10.0)
-    return _out(M.predict(model, apply, names, "cf", (0.0, 1.02)), "cf")
+    scaler = M.TrainOnlyScaler(train, names)
+    model = M.ridge(scaler.transform(train), names, "actual_cf", RIDGE_ALPHA)
+    return _out(M.predict(model, scaler.transform(apply), names, "cf", (0.0, 1.02)), "cf")
 
 
 @query("run_residual_models", "M07 W06")
@@ -119,7 +125,7 @@ def run_residual_models(v) -> DataFrame:
     train, apply = data.where(F.day("run_key") <= 20), data.where(F.day("run_key") > 20)
     out = None
     for kind in ("ridge", "huber", "boosted"):
-        part = M.residual_correction(train, apply, names, "base__current", "actual_cf", kind, alpha=10.0, shrinkage=0.5, **SMALL).select(
+        part = M.residual_correction(train, apply, names, "base__current", "actual_cf", kind, alpha=10.0, shrinkage=0.5).select(
             "grid_id", "forecast_ts", F.lit(kind).alias("kind"), r6("correction_cf").alias("correction_cf"), r6("corrected_cf").alias("corrected_cf"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -137,12 +143,10 @@ def profile_residual_ridge(v) -> DataFrame:
 
 @query("mean_weather_forest", "M09 F09")
 def mean_weather_forest(v) -> DataFrame:
-
-
     data = design.mean_weather(v.wx_obs, ["u", "v", "gust", "t2", "sp"])
     names = [c for c in data.columns if c != "forecast_ts"]
     data = data.withColumn("y", F.least(F.col("gust_mean") / 25, F.lit(1.0)))
-    model = M.forest(data.where(F.col("day") <= 20), names, "y", **SMALL_FOREST)
+    model = M.forest(data.where(F.col("day") <= 20), names, "y")
     return _out(M.predict(model, data.where(F.col("day") > 20), names, "cf", (0.0, 1.02)), "cf", keys=("forecast_ts",))
 
 
@@ -150,7 +154,7 @@ def mean_weather_forest(v) -> DataFrame:
 def compact_physics_forest(v) -> DataFrame:
     train, apply = _split(_rows(v))
     compact = FEATURES[:6]
-    model = M.forest(train, compact, "actual_cf", featureSubsetStrategy="all", **SMALL_FOREST)
+    model = M.forest(train, compact, "actual_cf", featureSubsetStrategy="all")
     return _out(M.predict(model, apply, compact, "cf", (0.0, 1.02)), "cf")
 
 
@@ -158,7 +162,7 @@ def compact_physics_forest(v) -> DataFrame:
 def lead_bin_experts(v) -> DataFrame:
     train, apply = _split(_rows(v))
     bins = [("lead_12_17", 12, 18), ("lead_18_23", 18, 24), ("lead_24_29", 24, 30), ("lead_30_35", 30, 36)]
-    out = M.lead_experts(train, apply, FEATURES, "actual_cf", bins, "lead", lambda d: M.boosted(d, FEATURES, "actual_cf", **SMALL))
+    out = M.lead_experts(train, apply, FEATURES, "actual_cf", bins, "lead", lambda d: M.boosted(d, FEATURES, "actual_cf"))
     return _out(out.withColumn("candidate", F.least(F.greatest(F.col("base") + 0.2 * (F.col("expert_cf") - F.col("global_cf")) * F.col("capacity"), F.lit(0.0)), 1.02 * F.col("capacity"))), "global_cf", "expert_cf", "candidate")
 
 
@@ -168,9 +172,8 @@ def telemetry_auxiliary_predictions(v) -> DataFrame:
     features = v.wx_obs.groupBy("forecast_ts", farm.alias("grp")).agg(*[F.avg(c).alias(c) for c in ("u", "gust", "t2", "sp")])
     targets = _hourly(v).select(F.col("hour_end").alias("forecast_ts"), "grp", "obs_ws_mean", "obs_turbine_availability")
     day = F.day("forecast_ts")
-    groups = [r["grp"] for r in features.select("grp").distinct().orderBy("grp").limit(2).collect()]
-    out = M.auxiliary_predictions(features.where(F.col("grp").isin(*groups)), targets, ["forecast_ts", "grp"], ["u", "gust", "t2", "sp"], ["obs_ws_mean", "obs_turbine_availability"],
-                                  [(day <= 15, day > 15)], "grp", groups, {"obs_ws_mean": (0.0, None), "obs_turbine_availability": (0.0, 1.0)}, maxIter=3, maxDepth=2)
+    out = M.auxiliary_predictions(features, targets, ["forecast_ts", "grp"], ["u", "gust", "t2", "sp"], ["obs_ws_mean", "obs_turbine_availability"],
+                                  [(day <= 15, day > 15)], "grp", {"obs_ws_mean": (0.0, None), "obs_turbine_availability": (0.0, 1.0)})
     return _out(out, "pred_obs_ws_mean", "pred_obs_turbine_availability", keys=("forecast_ts", "grp"))
 
 
@@ -178,7 +181,7 @@ def telemetry_auxiliary_predictions(v) -> DataFrame:
 def cross_farm_pseudo_labels(v) -> DataFrame:
     wide = v.gday.groupBy("ts").agg(*[F.max(F.when(F.col("grp") == g, F.col("actual") / F.col("capacity"))).alias(g) for g in GROUPS])
     at = F.lit("1997-01-01").cast("timestamp_ntz")
-    out = M.pseudo_labels(wide, F.col("ts") >= at, F.col("ts") < at, ["g1", "g2"], "g3", **SMALL)
+    out = M.pseudo_labels(wide, F.col("ts") >= at, F.col("ts") < at, ["g1", "g2"], "g3")
     return out.select("ts", "origin", r6("g3").alias("g3"))
 
 
@@ -224,21 +227,21 @@ def analog_trajectories(v) -> DataFrame:
 
 @query("analog_run_forecast", "M15 W05 J10")
 def analog_run_forecast(v) -> DataFrame:
-    rows = v.wx.fillna(0.0, subset=["u", "gust"]).withColumn("run", F.datediff(F.col("run_key").cast("date"), F.lit("2024-01-01").cast("date")) * 10_000 + F.col("grid_id"))
-    emb = N.summary_embedding(rows, ["u", "gust"], ["run", "run_key"])
+    rows = v.wx.fillna(0.0, subset=["u", "gust"]).withColumn("run", F.datediff(F.col("run_key").cast("date"), F.lit("2024-01-01").cast("date")))
+    emb = N.summary_embedding(rows, ["u", "gust"], ["run", "grid_id", "run_key"])
     library, ask = emb.where(F.day("run_key") <= 20), emb.where(F.day("run_key") > 20)
     library, ask = N.scale_embedding(library, ask, size=2 * len(N.SUMMARY) + 4)
-    library, ask = N.reduce_embedding(library, ask, k=6)
-    near = N.neighbour_weights(N.past_neighbours(library, ask, 5, block=20_000))
-    curves = rows.select("run", T.run_position("forecast_ts").alias("hour"), (F.col("gust") / 30).alias("cf"))
-    return N.analog_trajectories(near, curves).withColumn("analog_cf", r6("analog_cf"))
+    library, ask = (checkpoint(df) for df in N.reduce_embedding(library, ask, k=6))
+    near = N.neighbour_weights(N.past_neighbours(library, ask, 5, member="grid_id", block=16))
+    curves = rows.select("run", "grid_id", T.run_position("forecast_ts").alias("hour"), (F.col("gust") / 30).alias("cf"))
+    return N.analog_trajectories(near, curves, member="grid_id").withColumn("analog_cf", r6("analog_cf"))
 
 
 @query("ordinal_class_forecast", "M16 E16 F34")
 def ordinal_class_forecast(v) -> DataFrame:
     train, apply = _split(_rows(v))
-    pmf = M.class_pmf(train, apply, FEATURES, D.target_class("actual_cf"), D.CLASS_COUNT, numTrees=5, maxDepth=3)
-    out = pmf.withColumn("c", D.class_action("pmf", "base_cf", F.lit(0.45)))
+    pmf = M.class_pmf(train, apply, FEATURES, D.target_class("actual_cf"), D.CLASS_COUNT)
+    out = pmf.withColumn("c", D.class_action("pmf", "base_cf", F.lit(_mean_cf(train))))
     return out.select("grp", "ts", r6("c.action").alias("action"), r6("c.utility").alias("utility"))
 
 
@@ -246,23 +249,22 @@ def ordinal_class_forecast(v) -> DataFrame:
 def residual_class_forecast(v) -> DataFrame:
     train, apply = _split(_rows(v))
     label = D.residual_class(F.col("actual_cf") - F.col("base_cf"))
-    pmf = M.class_pmf(train, apply, FEATURES, label, D.RESIDUAL_CLASS_COUNT, numTrees=5, maxDepth=3)
-    delta, choice = D.residual_action("pmf", "base_cf", F.lit(0.45))
+    pmf = M.class_pmf(train, apply, FEATURES, label, D.RESIDUAL_CLASS_COUNT)
+    delta, choice = D.residual_action("pmf", "base_cf", F.lit(_mean_cf(train)))
     return pmf.withColumn("c", choice).select("grp", "ts", r6("c.action").alias("action"), r6("c.utility").alias("utility"))
 
 
 @query("interval_probability_policy", "M17 J20 E20 F24")
 def interval_probability_policy(v) -> DataFrame:
     train, apply = _split(_rows(v))
-    grid = [round(0.1 * i, 12) for i in range(11)]
-    out = M.interval_policy(train.select("grp", "ts", "actual_cf", *FEATURES), apply.select("grp", "ts", *FEATURES), FEATURES, "actual_cf", "base_cf", grid, maxIter=3, maxDepth=3)
+    out = M.interval_policy(train.select("grp", "ts", "actual_cf", *FEATURES), apply.select("grp", "ts", *FEATURES), FEATURES, "actual_cf", "base_cf", D.ACTION_GRID)
     return _out(out, "action", "utility")
 
 
 @query("action_uplift_policy", "M18 F19 J20")
 def action_uplift_policy(v) -> DataFrame:
     train, apply = _split(_rows(v))
-    out = M.uplift_policy(train, apply, FEATURES, "actual_cf", "base_cf", 0.45, **SMALL)
+    out = M.uplift_policy(train, apply, FEATURES, "actual_cf", "base_cf", _mean_cf(train))
     return _out(out, "factor", "predicted_gain", "policy_cf")
 
 
@@ -270,9 +272,9 @@ def action_uplift_policy(v) -> DataFrame:
 def leaf_empirical_decision(v) -> DataFrame:
     rows = _rows(v).withColumn("residual", F.col("actual_cf") - F.col("base_cf"))
     train, apply = _split(rows)
-    model = M.forest(train, FEATURES, "residual", leaf="leaf", numTrees=5, maxDepth=5, minInstancesPerNode=64)
+    model = M.forest(train, FEATURES, "residual", leaf="leaf")
     fit, ask = M.leaf_rows(model, train, FEATURES), M.leaf_rows(model, apply, FEATURES)
-    out = D.forest_action(fit, ask, "leaves", ["grp", "ts"], ["grp", "ts"], "residual", "base_cf", 0.45)
+    out = D.forest_action(fit, ask, "leaves", ["grp", "ts"], ["grp", "ts"], "residual", "base_cf", _mean_cf(train))
     return _out(out, "delta", "utility")
 
 
@@ -280,14 +282,14 @@ def leaf_empirical_decision(v) -> DataFrame:
 def target_transform_regressors(v) -> DataFrame:
     train, apply = _split(_rows(v))
     for kind in ("logit_eps02", "cube_root"):
-        apply = M.transformed_regressor(train, apply, FEATURES, "actual_cf", kind, kind, **SMALL)
+        apply = M.transformed_regressor(train, apply, FEATURES, "actual_cf", kind, kind)
     return _out(apply, "logit_eps02", "cube_root")
 
 
 @query("simplex_huber_stack", "M21 F22")
 def simplex_huber_stack(v) -> DataFrame:
     train, apply = _split(_rows(v))
-    fit = K.fit_stack(train, ["base_cf", "cand_cf", "third_cf"], "actual_cf", 0.01, rounds=15)
+    fit = K.fit_stack(train, ["base_cf", "cand_cf", "third_cf"], "actual_cf", 0.01)
     value = sum((F.col(m) * w for m, w in fit["weights"].items()), F.lit(fit["intercept"]))
     return _out(apply.withColumn("stack_cf", F.least(F.greatest(value, F.lit(0.0)), F.lit(1.02))), "stack_cf")
 
@@ -297,7 +299,7 @@ def availability_student(v) -> DataFrame:
     weather = v.wx_obs.groupBy(F.col("forecast_ts").alias("hour_end")).agg(*[F.avg(c).alias(c) for c in ("u", "gust", "t2")])
     rows = _hour_states(v).where(F.col("availability_factor").isNotNull()).join(weather, "hour_end")
     train, valid = rows.where(F.day("hour_end") <= 20), rows.where(F.day("hour_end") > 20)
-    model = M.boosted(train, ["u", "gust", "t2"], "availability_factor", **SMALL)
+    model = M.boosted(train, ["u", "gust", "t2"], "availability_factor")
     scored = M.predict(model, valid, ["u", "gust", "t2"], "student", (0.0, 1.0))
     scored = TE.median_lookup(train.withColumn("_one", F.lit(1)), scored.withColumn("_one", F.lit(1)), ["_one"], "availability_factor", "constant")
     scored = TE.median_lookup(train.withColumn("month", F.month("hour_end")), scored.withColumn("month", F.month("hour_end")), ["month"], "availability_factor", "monthly")
@@ -310,7 +312,7 @@ def channel_redundancy_crossfit(v) -> DataFrame:
     rows = v.wx_obs.withColumn("fold", F.day("forecast_ts") % 4)
     names = ["u", "v", "u50", "v50", "t2"]
     out = None
-    for label, fit in (("ridge", lambda d: M.ridge(d, names, "gust", 1.0)), ("forest", lambda d: M.forest(d, names, "gust", **SMALL_FOREST))):
+    for label, fit in (("ridge", lambda d: M.ridge(d, names, "gust", 1.0)), ("forest", lambda d: M.forest(d, names, "gust"))):
         part = M.crossfit(rows, "fold", [0, 1, 2, 3], fit, names).withColumn("model", F.lit(label))
         out = part if out is None else out.unionByName(part)
     cells = out.join(F.broadcast(R.nrmse_denominators(rows.withColumn("_one", F.lit(1)), ["_one"], "gust").drop("_one")))
@@ -324,13 +326,13 @@ def common_factor_forward(v) -> DataFrame:
     bounds = ["1998-01-01", "1999-01-01", "2000-01-01"]
     at = [F.lit(b).cast("timestamp_ntz") for b in bounds]
     folds = [(F.col("ts") < at[i], (F.col("ts") >= at[i]) & (F.col("ts") < at[i + 1])) for i in range(2)]
-    oof = M.fold_predictions(daily, folds, lambda d: M.boosted(d, FEATURES, "common_cf", **SMALL), FEATURES, "oof_cf", (0.0, 1.02))
+    oof = M.fold_predictions(daily, folds, lambda d: M.boosted(d, FEATURES, "common_cf"), FEATURES, "oof_cf", (0.0, 1.02))
     rows = v.gday.join(oof.select("ts", "oof_cf"), "ts").withColumn("raw", F.col("oof_cf") * F.col("capacity"))
-    return K.fit_affine(rows, "raw", GROUPS, grid=7, refinements=1)
+    return K.fit_affine(rows, "raw", GROUPS)
 
 
 @query("multi_seed_bag", "M25")
 def multi_seed_bag(v) -> DataFrame:
     train, apply = _split(_rows(v))
-    out = M.seed_bag(apply, [42, 43, 44], lambda s: M.boosted(train, FEATURES, "actual_cf", **{**SMALL, "maxIter": 3, "seed": s}), FEATURES, "bag_cf")
+    out = M.seed_bag(apply, [42, 43, 44], lambda s: M.boosted(train, FEATURES, "actual_cf", seed=s), FEATURES, "bag_cf")
     return _out(out, "bag_cf")

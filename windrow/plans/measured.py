@@ -65,12 +65,10 @@ def _hourly(v) -> DataFrame:
 
 
 @query("spike_masking", "A13", f"""
-WITH {_RAW} SELECT turbine, count(*) FILTER (power < -30 OR power > 90) AS spikes, count(*) FILTER (power BETWEEN -30 AND 90) AS valid,
-round(sum(power) FILTER (power BETWEEN -30 AND 90) + 1e-7, 4) AS energy FROM raw GROUP BY 1""")
+WITH {_RAW} SELECT hour_end, slot, turbine, CASE WHEN power BETWEEN -30 AND 90 THEN power END AS power, power < -30 OR power > 90 AS spike FROM raw""")
 def spike_masking(v) -> DataFrame:
     clean, spike = M.mask_spikes("power", -30.0, 90.0)
-    rows = _raw(v).select("turbine", clean.alias("p"), spike.alias("spike"))
-    return rows.groupBy("turbine").agg(F.sum(F.col("spike").cast("long")).alias("spikes"), F.count("p").alias("valid"), r6(F.sum("p"), 4).alias("energy"))
+    return _raw(v).select("hour_end", "slot", "turbine", clean.alias("power"), spike.alias("spike"))
 
 
 @query("strict_turbine_energy", "A14", """

@@ -227,26 +227,38 @@ def redundancy_clusters(v) -> DataFrame:
     return A.redundancy_clusters(nodes, A.redundancy_edges(matrix)).select("feature", "component", "cluster_size", "is_redundant")
 
 
-@query("edge_sign_stability", "A41 T08", f"""
-WITH s AS (SELECT forecast_ts, grid_id, day(forecast_ts) <= 15 AS src, row_number() OVER (PARTITION BY day(forecast_ts) <= 15 ORDER BY forecast_ts, grid_id) - 1 AS pos, count(*) OVER (PARTITION BY day(forecast_ts) <= 15) AS n, {', '.join(f'round({e}, 9) AS {n}' for n, e in list(_RF.items())[:5])} FROM wx_obs),
-ix AS (SELECT DISTINCT src, CAST(CASE WHEN i = 1499 THEN n - 1 ELSE floor(i * ((n - 1) / 1499.0)) END AS BIGINT) AS pos FROM (SELECT DISTINCT src, n FROM s), range(1500) r(i)),
-p AS (SELECT s.* FROM s JOIN ix ON ix.src = s.src AND ix.pos = s.pos),
-rk AS (SELECT src, {', '.join(f"(rank() OVER (PARTITION BY src ORDER BY {n}) + (count(*) OVER (PARTITION BY src, {n}) - 1) / 2.0) AS {n}" for n in list(_RF)[:5])} FROM p),
-pk AS (SELECT {', '.join(f"(rank() OVER (ORDER BY {n}) + (count(*) OVER (PARTITION BY {n}) - 1) / 2.0) AS {n}" for n in list(_RF)[:5])} FROM p),
-sm AS ({' UNION ALL '.join(f"SELECT src, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS rho FROM rk GROUP BY src" for i, a in enumerate(list(_RF)[:5]) for b in list(_RF)[i + 1:5])}),
-pm AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS rho FROM pk" for i, a in enumerate(list(_RF)[:5]) for b in list(_RF)[i + 1:5])})
-SELECT pm.a, pm.b, round(pm.rho + 1e-9, 6) AS rho, round(min(abs(sm.rho)) + 1e-9, 6) AS minimum_source_abs, round(avg((sign(sm.rho) = sign(pm.rho))::INT) + 1e-9, 6) AS source_sign_stability
+def _ranks_sql(source: str, keys: str) -> str:
+    part = f"PARTITION BY {keys} " if keys else ""
+    ties = lambda n: f"PARTITION BY {keys + ', ' if keys else ''}{n}"
+    return f"SELECT {keys + ', ' if keys else ''}{', '.join(f'(rank() OVER ({part}ORDER BY {n}) + (count(*) OVER ({ties(n)}) - 1) / 2.0) AS {n}' for n in _RF)} FROM {source}"
+
+
+_PAIRS = [(a, b) for i, a in enumerate(_RF) for b in list(_RF)[i + 1:]]
+
+
+@query("edge_sign_stability", "A41", f"""
+WITH s AS (SELECT day(forecast_ts) <= 15 AS src, {', '.join(f'round({e}, 9) AS {n}' for n, e in _RF.items())} FROM wx_obs),
+rk AS ({_ranks_sql('s', 'src')}), pk AS ({_ranks_sql('s', '')}),
+sm AS ({' UNION ALL '.join(f"SELECT src, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS rho FROM rk GROUP BY src" for a, b in _PAIRS)}),
+pm AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS rho FROM pk" for a, b in _PAIRS)})
+SELECT pm.a, pm.b, round(pm.rho + 1e-9, 6) + 0 AS rho, round(min(abs(sm.rho)) + 1e-9, 6) AS minimum_source_abs, round(avg((sign(sm.rho) = sign(pm.rho))::INT) + 1e-9, 6) AS source_sign_stability
 FROM pm JOIN sm ON sm.a = pm.a AND sm.b = pm.b GROUP BY 1, 2, pm.rho""")
 def edge_sign_stability(v) -> DataFrame:
-    cols = list(_RF)[:5]
     rows = _redundancy(v).withColumn("src", F.day("forecast_ts") <= 15)
-    sample = A.even_sample(rows, ["src"], ["forecast_ts", "grid_id"], 1500)
-    pooled = A.spearman_matrix(sample, cols, ["forecast_ts", "grid_id"])
-    per = A.spearman_matrix(sample, cols, ["forecast_ts", "grid_id"], ["src"])
-    out = A.edge_stability(pooled, per)
+    keys = ["forecast_ts", "grid_id"]
+    out = A.edge_stability(A.spearman_matrix(rows, list(_RF), keys), A.spearman_matrix(rows, list(_RF), keys, ["src"]))
     return out.select("a", "b", *[r6(c).alias(c) for c in ("rho", "minimum_source_abs", "source_sign_stability")])
 
 
+@query("even_row_sample", "T08", """
+WITH s AS (SELECT forecast_ts, grid_id, gust, day(forecast_ts) <= 15 AS src, row_number() OVER (PARTITION BY day(forecast_ts) <= 15 ORDER BY forecast_ts, grid_id) - 1 AS pos, count(*) OVER (PARTITION BY day(forecast_ts) <= 15) AS n FROM wx_obs),
+ix AS (SELECT DISTINCT src, CAST(CASE WHEN i = 1499 THEN n - 1 ELSE floor(i * ((n - 1) / 1499.0)) END AS BIGINT) AS pos FROM (SELECT DISTINCT src, n FROM s), range(1500) r(i))
+SELECT s.src, forecast_ts, grid_id, round(gust + 1e-9, 6) AS gust FROM s LEFT JOIN ix ON ix.src = s.src AND ix.pos = s.pos WHERE ix.pos IS NOT NULL OR s.n <= 1500""")
+def even_row_sample(v) -> DataFrame:
+    rows = v.wx_obs.select("forecast_ts", "grid_id", "gust", (F.day("forecast_ts") <= 15).alias("src"))
+    return A.even_sample(rows, ["src"], ["forecast_ts", "grid_id"], 1500).select("src", "forecast_ts", "grid_id", r6("gust").alias("gust"))
+
+
 _ALT = "CASE WHEN site % 3 = 0 THEN base WHEN site % 3 = 1 THEN cand ELSE base + 2 END"
 
 

@@ -148,15 +148,10 @@ x AS (SELECT f.*, {_ELIG} AS ok, {_gain('base')} AS u0, {_gain('cand')} AS u1, {
       FROM fcst f JOIN ma ON ma.grp = f.grp),
 s AS (SELECT *, CASE WHEN NOT ok THEN 'base' WHEN u0 >= u1 AND u0 >= u2 THEN 'base' WHEN u1 >= u2 THEN 'cand' ELSE 'third' END
              AS selected FROM x)
-SELECT grp, selected, count(*) AS n, count(*) FILTER (ok) AS n_scored,
-       round(sum(CASE selected WHEN 'base' THEN base WHEN 'cand' THEN cand ELSE third END) + 1e-7, 4) AS kwh
-FROM s GROUP BY 1, 2""")
+SELECT grp, site, ts, selected, ok AS scored, round(CASE selected WHEN 'base' THEN base WHEN 'cand' THEN cand ELSE third END + 1e-9, 6) AS kwh FROM s""")
 def rowwise_oracle(v) -> DataFrame:
     best = U.rowwise_best(v.fcst, ["base", "cand", "third"], "base")
-    return best.groupBy("grp", "selected").agg(
-        F.count(F.lit(1)).alias("n"), sum_when(S.eligible("actual", "capacity")).alias("n_scored"),
-        r6(F.sum("oracle"), 4).alias("kwh"),
-    )
+    return best.select("grp", "site", "ts", "selected", S.eligible("actual", "capacity").alias("scored"), r6("oracle").alias("kwh"))
 
 
 _TARGETS = ("eligible", "actual_cf", "signed_residual_cf", "absolute_error_cf", "within_6", "within_8", "margin_6",
@@ -185,18 +180,15 @@ def score_aware_targets(v) -> DataFrame:
 
 @query("action_utility_deltas", "F19 J20", f"""
 WITH {_MEANS_SQL},
-x AS (SELECT f.grp, site, actual / capacity AS y, least(greatest(base / capacity, 0), 1.02) AS b, mean_actual / capacity AS m,
+x AS (SELECT f.grp, site, ts, actual / capacity AS y, least(greatest(base / capacity, 0), 1.02) AS b, mean_actual / capacity AS m,
              unnest([0.98, 0.95]) AS factor FROM fcst f JOIN ma ON ma.grp = f.grp WHERE {_ELIG}),
 e AS (SELECT *, abs(b - y) AS e0, abs(least(greatest(CAST(factor AS DOUBLE) * b, 0), 1.02) - y) AS e1 FROM x),
 d AS (SELECT *, 0.5 * (e0 - e1) + 0.5 * (y / m) * ((CASE WHEN e1 <= 0.06 THEN 4.0 WHEN e1 <= 0.08 THEN 3.0 ELSE 0.0 END)
              - (CASE WHEN e0 <= 0.06 THEN 4.0 WHEN e0 <= 0.08 THEN 3.0 ELSE 0.0 END)) / 4.0 AS delta FROM e)
-SELECT grp, site, CAST(factor AS DOUBLE) AS factor, count(*) AS n, round(sum(delta) + 1e-9, 6) AS utility_delta
-FROM d GROUP BY 1, 2, 3""")
+SELECT grp, site, ts, CAST(factor AS DOUBLE) AS factor, round(delta + 1e-9, 6) + 0 AS utility_delta FROM d""")
 def action_utility_deltas(v) -> DataFrame:
     out = U.action_utility_deltas(v.fcst)
-    return out.groupBy("grp", "site", "factor").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.sum("utility_delta")).alias("utility_delta")
-    )
+    return out.select("grp", "site", "ts", "factor", r6("utility_delta").alias("utility_delta"))
 
 
 def _smooth_sql() -> str:
@@ -204,18 +196,17 @@ def _smooth_sql() -> str:
     p8 = "(1 / (1 + exp(-least(greatest((0.08 - radius) / 0.005, -40), 40))))"
     return f"""
 WITH {_MEANS_SQL},
-x AS (SELECT f.grp, site, base / capacity - actual / capacity AS err, (actual / capacity) / (8 * (mean_actual / capacity)) AS sc
+x AS (SELECT f.grp, site, ts, base / capacity - actual / capacity AS err, (actual / capacity) / (8 * (mean_actual / capacity)) AS sc
       FROM fcst f JOIN ma ON ma.grp = f.grp WHERE {_ELIG}),
 r AS (SELECT *, sqrt(err * err + 0.0025 * 0.0025) AS radius FROM x),
 p AS (SELECT *, {p6} AS p6, {p8} AS p8 FROM r),
 v AS (SELECT *, 0.5 * radius - sc * (p6 + 3 * p8) AS loss,
              0.5 + sc * (p6 * (1 - p6) + 3 * p8 * (1 - p8)) / 0.005 AS slope,
              -sc * (p6 * (1 - p6) * (1 - 2 * p6) + 3 * p8 * (1 - p8) * (1 - 2 * p8)) / (0.005 * 0.005) AS bend FROM p)
-SELECT grp, site, round(sum(loss) + 1e-8, 5) AS loss, round(sum(slope * err / radius) + 1e-7, 4) AS gradient,
-       round(sum(least(greatest(abs(slope * 0.0025 * 0.0025 / pow(radius, 3) + bend * (err / radius) * (err / radius)), 0.001), 200)) + 1e-6, 3)
-         AS curvature,
-       round(sum(0.04 * 0.04 * (sqrt(1 + (err / 0.04) * (err / 0.04)) - 1)) + 1e-9, 6) AS pseudo_huber
-FROM v GROUP BY grp, site"""
+SELECT grp, site, ts, round(loss + 1e-9, 6) + 0 AS loss, round(slope * err / radius + 1e-9, 6) + 0 AS gradient,
+       round(least(greatest(abs(slope * 0.0025 * 0.0025 / pow(radius, 3) + bend * (err / radius) * (err / radius)), 0.001), 200) + 1e-9, 6) AS curvature,
+       round(0.04 * 0.04 * (sqrt(1 + (err / 0.04) * (err / 0.04)) - 1) + 1e-9, 6) AS pseudo_huber
+FROM v"""
 
 
 @query("smooth_settlement_loss", "F21 F22", _smooth_sql())
@@ -223,12 +214,8 @@ def smooth_settlement_loss(v) -> DataFrame:
     rows = U.with_mean_actual(v.fcst).where(S.eligible("actual", "capacity"))
     cap = F.col("capacity")
     loss, grad, curve = U.smooth_settlement_loss(F.col("base") / cap, F.col("actual") / cap, F.col("mean_actual") / cap)
-    rows = rows.select("grp", "site", loss.alias("l"), grad.alias("g"), curve.alias("c"),
-                       U.pseudo_huber(F.col("base") / cap - F.col("actual") / cap).alias("h"))
-    return rows.groupBy("grp", "site").agg(
-        r6(F.sum("l"), 5).alias("loss"), r6(F.sum("g"), 4).alias("gradient"), r6(F.sum("c"), 3).alias("curvature"),
-        r6(F.sum("h")).alias("pseudo_huber"),
-    )
+    huber = U.pseudo_huber(F.col("base") / cap - F.col("actual") / cap)
+    return rows.select("grp", "site", "ts", r6(loss).alias("loss"), r6(grad).alias("gradient"), r6(curve).alias("curvature"), r6(huber).alias("pseudo_huber"))
 
 
 _BOOT_CTE = f"""

@@ -9,7 +9,7 @@ from windrow.functions import timekeys as T
 from windrow.functions.exprs import r6, rounded
 from windrow.operators import drift as R
 from windrow.operators import telemetry as M
-from windrow.plans.digest import digest, digest_sql
+from windrow.plans.digest import row_values, row_values_sql
 from windrow.plans.registry import query
 
 _CH = ["u", "gust", "t2"]
@@ -199,10 +199,10 @@ oo AS (SELECT xf.*, a * base + b AS oof FROM xf JOIN ln ON ln.grp = xf.grp AND l
 
 
 @query("affine_crossfit", "A34 M23", f"""
-WITH {_XFIT} {digest_sql('oo', ['grp', 'site'], ['oof'])}""")
+WITH {_XFIT} {row_values_sql('oo', ['grp', 'site', 'ts'], ['oof'])}""")
 def affine_crossfit(v) -> DataFrame:
     out = R.affine_crossfit(v.fcst.withColumn("fold", F.day("ts") % 4), ["grp"], "fold", [0, 1, 2, 3], "base", "actual")
-    return digest(out, ["grp", "site"], ["oof"])
+    return row_values(out, ["grp", "site", "ts"], ["oof"])
 
 
 @query("redundancy_stability_gate", "M23 A33", f"""

@@ -12,7 +12,7 @@ from windrow.functions.exprs import r6
 from windrow.functions.ranks import exact_quantiles
 from windrow.operators import spatial as X
 from windrow.operators.lookups import attach
-from windrow.plans.digest import digest, digest_sql
+from windrow.plans.digest import row_values, row_values_sql
 from windrow.plans.registry import query
 from windrow.plans.weather import _FULL, _VARS, _complete
 from windrow.sources import dimensions as D
@@ -48,10 +48,10 @@ WITH {_FULL}, {_NN},
 x AS (SELECT f.forecast_ts, n.turbine_id, sum(w * gust) AS idw__gust, sum(w * u) AS idw__u, max(gust) FILTER (rn = 1) AS nearest__gust,
              max(u) FILTER (rn = 1) AS nearest__u, stddev_pop(gust) FILTER (rn <= 3) AS near3_std__gust, stddev_pop(u) FILTER (rn <= 3) AS near3_std__u
       FROM wf f JOIN nw n ON n.grid_id = f.grid_id GROUP BY 1, 2)
-{digest_sql('x', ['turbine_id'], ['idw__gust', 'idw__u', 'nearest__gust', 'nearest__u', 'near3_std__gust', 'near3_std__u'])}""")
+{row_values_sql('x', ['forecast_ts', 'turbine_id'], ['idw__gust', 'idw__u', 'nearest__gust', 'nearest__u', 'near3_std__gust', 'near3_std__u'])}""")
 def idw_interpolation(v) -> DataFrame:
     out = X.interpolate(_complete(v), X.idw_weights(_near(v)), ["gust", "u"], near_k=3)
-    return digest(out, ["turbine_id"], ["idw__gust", "idw__u", "nearest__gust", "nearest__u", "near3_std__gust", "near3_std__u"])
+    return row_values(out, ["forecast_ts", "turbine_id"], ["idw__gust", "idw__u", "nearest__gust", "nearest__u", "near3_std__gust", "near3_std__u"])
 
 
 @query("spatial_summary", "A07", f"""
@@ -76,12 +76,12 @@ tw AS (SELECT f.forecast_ts, s.farm, s.turbine_id, s.lat, s.lon, s.capacity_mw,
 WITH {_TW},
 x AS (SELECT forecast_ts, farm, sum(capacity_mw * tu) / sum(capacity_mw) AS m,
              sum(capacity_mw * tu * tu) / sum(capacity_mw) AS q, max(tu) - min(tu) AS r FROM tw GROUP BY 1, 2),
-y AS (SELECT farm, m AS tu__cw_mean, sqrt(greatest(q - m * m, 0)) AS tu__cw_std, r AS tu__range FROM x)
-{digest_sql('y', ['farm'], ['tu__cw_mean', 'tu__cw_std', 'tu__range'])}""")
+y AS (SELECT forecast_ts, farm, m AS tu__cw_mean, sqrt(greatest(q - m * m, 0)) AS tu__cw_std, r AS tu__range FROM x)
+{row_values_sql('y', ['forecast_ts', 'farm'], ['tu__cw_mean', 'tu__cw_std', 'tu__range'])}""")
 def capacity_weighted_statistics(v) -> DataFrame:
     rows = attach(_turbine_wind(v).withColumnRenamed("idw__u50", "tu"), v.sites.select("turbine_id", "farm", "capacity_mw"), ["turbine_id"])
     out = X.capacity_statistics(rows, ["forecast_ts", "farm"], "tu")
-    return digest(out, ["farm"], ["tu__cw_mean", "tu__cw_std", "tu__range"])
+    return row_values(out, ["forecast_ts", "farm"], ["tu__cw_mean", "tu__cw_std", "tu__range"])
 
 
 @query("capacity_weighted_group_mean", "A43", """
@@ -145,29 +145,30 @@ pc AS (SELECT p.*, coalesce(re.r, 0) AS r, greatest(ws * (1 - 0.08 * coalesce(re
               sum(w * pr) OVER g AS prm, sum(w * ws) OVER g AS wsm FROM p LEFT JOIN re USING (forecast_ts, farm, turbine_id)
        WINDOW g AS (PARTITION BY p.forecast_ts, p.farm)),
 x AS (SELECT pc.forecast_ts, pc.farm, max(s) AS flow_speed, max(pr) - min(pr) AS downwind_span_km, max(cr) - min(cr) AS crosswind_span_km,
-             arg_min(ws, round(pr, 12)) AS u0, arg_max(ws, round(pr, 12)) AS d0,
+             arg_min(ws, (round(pr, 12), turbine_id)) AS u0, arg_max(ws, (round(pr, 12), -turbine_id)) AS d0,
              sum(w * (pr - prm) * (ws - wsm)) / sqrt(greatest(sum(w * pow(pr - prm, 2)), 1e-8) * greatest(sum(w * pow(ws - wsm, 2)), 1e-8)) AS projection_ws_correlation,
              sum(w * r) AS wake_receiver_cw_mean, max(r) AS wake_receiver_max, sum(w * es) AS wake_effective_ws_cw_mean,
              (sum(w * pow(ws, 3)) - sum(w * pow(es, 3))) / greatest(sum(w * pow(ws, 3)), 1e-6) AS wake_power_loss_proxy FROM pc GROUP BY 1, 2),
 y AS (SELECT x.*, u0 AS upstream_edge_ws, d0 AS downstream_edge_ws, d0 - u0 AS downstream_minus_upstream_ws,
              coalesce(pm, 0) AS wake_pair_mean, coalesce(px, 0) AS wake_pair_max, coalesce(act, 0) AS wake_active_fraction
       FROM x LEFT JOIN pa ON pa.forecast_ts = x.forecast_ts AND pa.farm = x.farm)
-{digest_sql('y', ['farm'], _WAKE, 3)}""")
+{row_values_sql('y', ['forecast_ts', 'farm'], _WAKE)}""")
 def wake_layout_features(v) -> DataFrame:
     out = X.wake_features(_turbine_wind(v), v.sites, "idw__u50", "idw__v50")
-    return digest(out, ["farm"], _WAKE, 3)
+    return row_values(out, ["forecast_ts", "farm"], _WAKE)
 
 
 @query("edge_turbine_speeds", "W18", f"""
-WITH {_TW}
-SELECT farm, hour(forecast_ts) AS hour, round(sum(a) + 1e-7, 4) AS upstream, round(sum(b) + 1e-7, 4) AS downstream FROM
-  (SELECT forecast_ts, farm, arg_min(sqrt(tu * tu + tv * tv), turbine_id) AS a, arg_max(sqrt(tu * tu + tv * tv), turbine_id) AS b FROM tw GROUP BY 1, 2)
-GROUP BY 1, 2""")
+WITH {_TW}, {_XY},
+fl AS (SELECT tw.forecast_ts, tw.farm, sum(w * tu) AS mu, sum(w * tv) AS mv FROM tw JOIN lay ON lay.turbine_id = tw.turbine_id GROUP BY 1, 2),
+pr AS (SELECT tw.forecast_ts, tw.farm, tw.turbine_id, sqrt(tu * tu + tv * tv) AS s, round((mu * x + mv * y) / greatest(sqrt(mu * mu + mv * mv), 1e-5), 9) AS p
+       FROM tw JOIN lay ON lay.turbine_id = tw.turbine_id JOIN fl ON fl.forecast_ts = tw.forecast_ts AND fl.farm = tw.farm)
+SELECT forecast_ts, farm, round(arg_min(s, (p, turbine_id)) + 1e-9, 6) AS upstream, round(arg_max(s, (p, turbine_id)) + 1e-9, 6) AS downstream FROM pr GROUP BY 1, 2""")
 def edge_turbine_speeds(v) -> DataFrame:
-    rows = attach(_turbine_wind(v), v.sites.select("turbine_id", "farm"), ["turbine_id"])
-    out = X.edge_speeds(rows, ["forecast_ts", "farm"], "turbine_id", F.hypot("idw__u50", "idw__v50"))
-    return out.groupBy("farm", F.hour("forecast_ts").cast("long").alias("hour")).agg(
-        r6(F.sum("upstream"), 4).alias("upstream"), r6(F.sum("downstream"), 4).alias("downstream"))
+    wind = _turbine_wind(v)
+    place = X.flow_projection(wind, v.sites, "idw__u50", "idw__v50")
+    out = X.edge_speeds(place, ["forecast_ts", "farm"], F.struct(F.round("projection", 9), "turbine_id"), F.hypot("idw__u50", "idw__v50"))
+    return row_values(out, ["forecast_ts", "farm"], ["upstream", "downstream"])
 
 
 _STATIC = """st AS (SELECT turbine_id, farm, capacity_mw, k AS sector, ((turbine_id * 7 + k * 13) % 100) / 100.0 AS slope,
@@ -199,10 +200,10 @@ m AS (SELECT farm, sector, sum(capacity_mw * slope) / sum(capacity_mw) AS slope_
 y AS (SELECT h.forecast_ts, h.farm, h.sector, any_value(slope_cw_mean) AS slope_cw_mean, any_value(horizon_cw_mean) AS horizon_cw_mean,
              sqrt(sum(capacity_mw * pow(slope - slope_cw_mean, 2)) / sum(capacity_mw)) AS slope_cw_std, sqrt(sum(capacity_mw * pow(horizon - horizon_cw_mean, 2)) / sum(capacity_mw)) AS horizon_cw_std
       FROM h JOIN st ON st.farm = h.farm AND st.sector = h.sector JOIN m ON m.farm = h.farm AND m.sector = h.sector GROUP BY 1, 2, 3)
-{digest_sql('y', ['farm', 'sector'], _EXPO)}""")
+{row_values_sql('y', ['forecast_ts', 'farm', 'sector'], _EXPO)}""")
 def directional_exposure(v) -> DataFrame:
     out = X.directional_exposure(_farm_wind(v), _static(v), ["slope", "horizon"], "fu", "fv")
-    return digest(out.withColumn("sector", F.col("sector").cast("long")), ["farm", "sector"], _EXPO)
+    return row_values(out.withColumn("sector", F.col("sector").cast("long")), ["forecast_ts", "farm", "sector"], _EXPO)
 
 
 _GWA = ["alignment__r1", "alignment__r2", "resource_curve__capacity", "resource_curve__r2"]
@@ -221,13 +222,13 @@ c AS (SELECT *, al - sum(w * al) OVER g AS ac FROM k WINDOW g AS (PARTITION BY f
 x AS (SELECT forecast_ts, farm, CASE WHEN sqrt(sum(w * ac * ac)) > 1e-12 THEN sum(w * ac * z1) / sqrt(sum(w * ac * ac)) ELSE 0 END AS alignment__r1,
              CASE WHEN sqrt(sum(w * ac * ac)) > 1e-12 THEN sum(w * ac * z2) / sqrt(sum(w * ac * ac)) ELSE 0 END AS alignment__r2,
              sum(w * cu) AS resource_curve__capacity, sum(wr2 * cu) AS resource_curve__r2 FROM c GROUP BY 1, 2)
-{digest_sql('x', ['farm'], _GWA, 3)}""")
+{row_values_sql('x', ['forecast_ts', 'farm'], _GWA)}""")
 def static_resource_alignment(v) -> DataFrame:
     t = F.col("turbine_id")
     turbines = v.sites.withColumns({"r1": (t * 37) % 50 / 10.0 + 4, "r2": 0.2 + (t * 11) % 50 / 100.0})
     wind = _farm_wind(v).withColumn("hub", 2.5 * F.hypot("fu", "fv"))
     out = X.along_flow_alignment(wind, turbines, ["r1", "r2"], "fu", "fv", "hub", "r1", ["r2"])
-    return digest(out, ["farm"], _GWA, 3)
+    return row_values(out, ["forecast_ts", "farm"], _GWA)
 
 
 @query("turbine_expansion", "J19", f"""
@@ -235,11 +236,11 @@ WITH {_FW},
 k AS (SELECT farm, avg(lat) AS la, avg(lon) AS lo, sum(capacity_mw) AS cap, count(*) AS n FROM sites GROUP BY 1),
 d AS (SELECT s.farm, s.turbine_id, (dense_rank() OVER (PARTITION BY s.farm ORDER BY s.turbine_id) - 1) / CAST(greatest(n - 1, 1) AS DOUBLE) AS turbine_index_fraction,
              s.lat - la AS lat_offset, s.lon - lo AS lon_offset, s.capacity_mw / cap AS capacity_fraction FROM sites s JOIN k ON k.farm = s.farm),
-x AS (SELECT d.*, fw.fu FROM fw JOIN d ON d.farm = fw.farm)
-{digest_sql('x', ['farm', 'turbine_id'], ['fu', 'turbine_index_fraction', 'lat_offset', 'lon_offset', 'capacity_fraction'])}""")
+x AS (SELECT d.*, fw.forecast_ts, fw.fu FROM fw JOIN d ON d.farm = fw.farm)
+{row_values_sql('x', ['forecast_ts', 'farm', 'turbine_id'], ['fu', 'turbine_index_fraction', 'lat_offset', 'lon_offset', 'capacity_fraction'])}""")
 def turbine_expansion(v) -> DataFrame:
     out = X.expand_turbines(_farm_wind(v), v.sites)
-    return digest(out, ["farm", "turbine_id"], ["fu", "turbine_index_fraction", "lat_offset", "lon_offset", "capacity_fraction"])
+    return row_values(out, ["forecast_ts", "farm", "turbine_id"], ["fu", "turbine_index_fraction", "lat_offset", "lon_offset", "capacity_fraction"])
 
 
 _PT = """pt AS (SELECT turbine_id, farm, lat + 0.00037 AS lat, lon + 0.00061 AS lon, (lat + 0.00037 - 37.2) * 1000 AS r, (lon + 0.00061 - 128.9) * 1000 AS c FROM sites)"""

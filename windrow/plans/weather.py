@@ -12,7 +12,7 @@ from windrow.functions import wind as P
 from windrow.functions.exprs import r6
 from windrow.operators import gaps, runs
 from windrow.operators import design
-from windrow.plans.digest import digest, digest_sql
+from windrow.plans.digest import row_values, row_values_sql
 from windrow.plans.registry import query
 
 PI = repr(math.pi)
@@ -105,11 +105,11 @@ _NEAR, _NEAR_NAMES = _near_sql()
 
 
 @query("within_run_neighbours", "W02 W03", f"""
-WITH {_FULL}, x AS (SELECT grid_id, hour(forecast_ts) AS hour, {_NEAR} FROM wf)
-{digest_sql('x', ['grid_id', 'hour'], _NEAR_NAMES)}""")
+WITH {_FULL}, x AS (SELECT grid_id, forecast_ts, {_NEAR} FROM wf)
+{row_values_sql('x', ['grid_id', 'forecast_ts'], _NEAR_NAMES)}""")
 def within_run_neighbours(v) -> DataFrame:
     out = runs.neighbours(_complete(v), ["u", "gust"], [1, 3], ["grid_id", "run_key"])
-    return digest(out.withColumn("hour", F.hour("forecast_ts").cast("long")), ["grid_id", "hour"], _NEAR_NAMES)
+    return row_values(out, ["grid_id", "forecast_ts"], _NEAR_NAMES)
 
 
 def _sequence_sql() -> tuple[str, list[str]]:
@@ -138,11 +138,11 @@ _SEQ, _SEQ_NAMES = _sequence_sql()
 
 
 @query("run_sequence_features", "W04", f"""
-WITH {_FULL}, x AS (SELECT grid_id, hour(forecast_ts) AS hour, {_SEQ} FROM wf)
-{digest_sql('x', ['grid_id', 'hour'], _SEQ_NAMES)}""")
+WITH {_FULL}, x AS (SELECT grid_id, forecast_ts, {_SEQ} FROM wf)
+{row_values_sql('x', ['grid_id', 'forecast_ts'], _SEQ_NAMES)}""")
 def run_sequence_features(v) -> DataFrame:
     out = runs.run_sequence(_complete(v), ["gust"], [6, 12], ["grid_id", "run_key"])
-    return digest(out.withColumn("hour", F.hour("forecast_ts").cast("long")), ["grid_id", "hour"], _SEQ_NAMES)
+    return row_values(out, ["grid_id", "forecast_ts"], _SEQ_NAMES)
 
 
 def _shape_sql(c: str) -> dict[str, str]:
@@ -177,10 +177,10 @@ _GUST_SHAPE, _U_SHAPE = _shape_sql("gust"), _shape_sql("u")
 
 
 @query("run_shape_features", "W05 W09", f"""
-WITH {_SHAPE_CTE}, x AS (SELECT grid_id, run_key, {', '.join(f'{e} AS {n}' for n, e in _GUST_SHAPE.items())} FROM h)
-{digest_sql('x', ['grid_id', 'run_key'], _GUST_SHAPE)}""")
+WITH {_SHAPE_CTE}, x AS (SELECT grid_id, run_key + (p + 1) * INTERVAL 1 HOUR AS forecast_ts, {', '.join(f'{e} AS {n}' for n, e in _GUST_SHAPE.items())} FROM h)
+{row_values_sql('x', ['grid_id', 'forecast_ts'], _GUST_SHAPE)}""")
 def run_shape_features(v) -> DataFrame:
-    return digest(runs.run_shape(_complete(v), ["gust"], ["grid_id", "run_key"]), ["grid_id", "run_key"], list(_GUST_SHAPE))
+    return row_values(runs.run_shape(_complete(v), ["gust"], ["grid_id", "run_key"]), ["grid_id", "forecast_ts"], list(_GUST_SHAPE))
 
 
 _HORIZON = {"horizon__position_fraction": "p / 23.0", **{
@@ -196,12 +196,12 @@ _INTERACTIONS = {
 
 @query("run_sequence_table", "W06", f"""
 WITH {_SHAPE_CTE},
-x AS (SELECT grid_id, p, {', '.join(f'{e} AS {n}' for n, e in {**_GUST_SHAPE, **_U_SHAPE, **_HORIZON}.items())} FROM h),
-y AS (SELECT grid_id, p AS position, {', '.join(_HORIZON)}, {', '.join(f'{e} AS {n}' for n, e in _INTERACTIONS.items())} FROM x)
-{digest_sql('y', ['grid_id', 'position'], [*_HORIZON, *_INTERACTIONS])}""")
+x AS (SELECT grid_id, run_key, p, {', '.join(f'{e} AS {n}' for n, e in {**_GUST_SHAPE, **_U_SHAPE, **_HORIZON}.items())} FROM h),
+y AS (SELECT grid_id, run_key, p AS position, {', '.join(_HORIZON)}, {', '.join(f'{e} AS {n}' for n, e in _INTERACTIONS.items())} FROM x)
+{row_values_sql('y', ['grid_id', 'run_key', 'position'], [*_HORIZON, *_INTERACTIONS])}""")
 def run_sequence_table(v) -> DataFrame:
     out = runs.run_sequence_table(_complete(v), "u", "gust", [], ["grid_id", "run_key"])
-    return digest(out.withColumn("position", F.col("position").cast("long")), ["grid_id", "position"], [*_HORIZON, *_INTERACTIONS])
+    return row_values(out.withColumn("position", F.col("position").cast("long")), ["grid_id", "run_key", "position"], [*_HORIZON, *_INTERACTIONS])
 
 
 @query("smooth_within_runs", "W07", f"""
@@ -291,8 +291,8 @@ _PHYS = {
 
 
 @query("wind_physics", "F01 F02 F03 F04", f"""
-WITH x AS (SELECT grid_id, hour(forecast_ts) AS hour, {', '.join(f'{e} AS {n}' for n, e in _PHYS.items())} FROM wx_obs)
-{digest_sql('x', ['grid_id', 'hour'], _PHYS, 3)}""")
+WITH x AS (SELECT grid_id, forecast_ts, {', '.join(f'{e} AS {n}' for n, e in _PHYS.items())} FROM wx_obs)
+{row_values_sql('x', ['grid_id', 'forecast_ts'], _PHYS)}""")
 def wind_physics(v) -> DataFrame:
     rows = v.wx_obs.withColumns({**P.speed_features("ws10", "u", "v"), "ws50": P.speed("u50", "v50")})
     rows = rows.withColumn("shear_alpha", P.shear_exponent("ws50", "ws10", 5.0))
@@ -307,7 +307,7 @@ def wind_physics(v) -> DataFrame:
     })
     rows = rows.withColumns({"wind_power_density": P.power_density("air_density", "hub_ws"),
                              **P.cross_source("cross", "hub_ws", "gust")})
-    return digest(rows.withColumn("hour", F.hour("forecast_ts").cast("long")), ["grid_id", "hour"], list(_PHYS), 3)
+    return row_values(rows, ["grid_id", "forecast_ts"], list(_PHYS))
 
 
 _TWO_PI = f"(2 * {PI})"
@@ -355,30 +355,27 @@ _SEASONAL = _seasonal_sql()
 
 
 @query("seasonal_wind_design", "F07", f"""
-WITH x AS (SELECT grid_id, {', '.join(f'{e} AS {n}' for n, e in _SEASONAL.items())} FROM wx_obs)
-{digest_sql('x', ['grid_id'], _SEASONAL)}""")
+WITH x AS (SELECT grid_id, forecast_ts, {', '.join(f'{e} AS {n}' for n, e in _SEASONAL.items())} FROM wx_obs)
+{row_values_sql('x', ['grid_id', 'forecast_ts'], _SEASONAL)}""")
 def seasonal_wind_design(v) -> DataFrame:
-    rows = v.wx_obs.select("grid_id", *[c.alias(n) for n, c in P.seasonal_wind_design("forecast_ts", "gust").items()])
-    return digest(rows, ["grid_id"], list(_SEASONAL))
-
-
-_NODES = [0, 1, 2, 3, 4, 5]
+    rows = v.wx_obs.select("grid_id", "forecast_ts", *[c.alias(n) for n, c in P.seasonal_wind_design("forecast_ts", "gust").items()])
+    return row_values(rows, ["grid_id", "forecast_ts"], list(_SEASONAL))
 
 
 @query("raw_node_matrix", "F08", f"""
-SELECT forecast_ts, {', '.join(f"round(max({c}) FILTER (grid_id = {g}) + 1e-9, 6) AS grid_{g:02d}__{c}" for c in ('u', 'v', 'gust') for g in _NODES)},
+WITH x AS (SELECT forecast_ts, issued_ts, grid_id, unnest(['u', 'v', 'gust']) AS channel, unnest([u, v, gust]) AS value FROM wx)
+SELECT forecast_ts, grid_id, channel, round(value + 1e-9, 6) + 0 AS value,
        round(sin({_TWO_PI} * hour(forecast_ts) / 24.0) + 1e-9, 6) + 0 AS forecast_hour_sin,
        round(cos({_TWO_PI} * hour(forecast_ts) / 24.0) + 1e-9, 6) + 0 AS forecast_hour_cos,
        round(sin({_TWO_PI} * (dayofyear(forecast_ts) - 1) / 365.25) + 1e-9, 6) + 0 AS forecast_dayofyear_sin,
        round(cos({_TWO_PI} * (dayofyear(forecast_ts) - 1) / 365.25) + 1e-9, 6) + 0 AS forecast_dayofyear_cos,
-       round(epoch(forecast_ts - min(issued_ts)) / 3600.0 + 1e-9, 6) AS lead_hours,
-       round(sin({_TWO_PI} * hour(min(issued_ts)) / 24.0) + 1e-9, 6) + 0 AS run_hour_sin,
-       round(cos({_TWO_PI} * hour(min(issued_ts)) / 24.0) + 1e-9, 6) + 0 AS run_hour_cos
-FROM wx GROUP BY forecast_ts""")
+       round(epoch(forecast_ts - issued_ts) / 3600.0 + 1e-9, 6) AS lead_hours,
+       round(sin({_TWO_PI} * hour(issued_ts) / 24.0) + 1e-9, 6) + 0 AS run_hour_sin,
+       round(cos({_TWO_PI} * hour(issued_ts) / 24.0) + 1e-9, 6) + 0 AS run_hour_cos FROM x""")
 def raw_node_matrix(v) -> DataFrame:
-    out = design.node_matrix(v.wx, ["u", "v", "gust"], _NODES)
-    values = [c for c in out.columns if c != "forecast_ts"]
-    return out.select("forecast_ts", *[r6(c).alias(c) for c in values])
+    out = design.node_rows(v.wx, ["u", "v", "gust"])
+    keys = ["forecast_ts", "grid_id", "channel"]
+    return row_values(out, keys, [c for c in out.columns if c not in keys])
 
 
 @query("mean_weather_design", "F09", f"""
@@ -414,13 +411,12 @@ _PROFILE = _profile_sql()
 
 
 @query("vertical_profile_geometry", "F15", f"""
-WITH x AS (SELECT grid_id, hour(forecast_ts) AS hour, {', '.join(f'{e} AS {n}' for n, e in _PROFILE.items())} FROM wx_obs WHERE sqrt(u * u + v * v) > 0.01)
-{digest_sql('x', ['grid_id', 'hour'], _PROFILE, 3)}""")
+WITH x AS (SELECT grid_id, forecast_ts, {', '.join(f'{e} AS {n}' for n, e in _PROFILE.items())} FROM wx_obs)
+{row_values_sql('x', ['grid_id', 'forecast_ts'], _PROFILE)}""")
 def vertical_profile_geometry(v) -> DataFrame:
-    rows = v.wx_obs.where(P.speed("u", "v") > 0.01)
     features = P.profile_geometry({"low": ("u", "v"), "mid": ("u50", "v50"), "top": ("gust", "v")})
-    rows = rows.select("grid_id", F.hour("forecast_ts").cast("long").alias("hour"), *[c.alias(n) for n, c in features.items()])
-    return digest(rows, ["grid_id", "hour"], list(_PROFILE), 3)
+    rows = v.wx_obs.select("grid_id", "forecast_ts", *[c.alias(n) for n, c in features.items()])
+    return row_values(rows, ["grid_id", "forecast_ts"], list(_PROFILE))
 
 
 def _hyp(a: str, b: str) -> str:
@@ -457,11 +453,11 @@ _RESID = _residual_profile_sql()
 
 
 @query("residual_profile_features", "F15", f"""
-WITH x AS (SELECT grid_id, {', '.join(f'{e} AS {n}' for n, e in _RESID.items())} FROM wx_obs)
-{digest_sql('x', ['grid_id'], _RESID, 3)}""")
+WITH x AS (SELECT grid_id, forecast_ts, {', '.join(f'{e} AS {n}' for n, e in _RESID.items())} FROM wx_obs)
+{row_values_sql('x', ['grid_id', 'forecast_ts'], _RESID)}""")
 def residual_profile_features(v) -> DataFrame:
     features = P.residual_profile(("u", "v"), ("u50", "v50"), ("gust", "v"), "t2", "sp", "d2", F.col("gust") / 30.0)
-    return digest(v.wx_obs.select("grid_id", *[c.alias(n) for n, c in features.items()]), ["grid_id"], list(_RESID), 3)
+    return row_values(v.wx_obs.select("grid_id", "forecast_ts", *[c.alias(n) for n, c in features.items()]), ["grid_id", "forecast_ts"], list(_RESID))
 
 
 def _level_sql() -> dict[str, str]:
@@ -488,11 +484,11 @@ _LEVEL = _level_sql()
 
 
 @query("pressure_level_diagnostics", "F15", f"""
-WITH x AS (SELECT grid_id, {', '.join(f'{e} AS {n}' for n, e in _LEVEL.items())} FROM wx_obs)
-{digest_sql('x', ['grid_id'], _LEVEL, 3)}""")
+WITH x AS (SELECT grid_id, forecast_ts, {', '.join(f'{e} AS {n}' for n, e in _LEVEL.items())} FROM wx_obs)
+{row_values_sql('x', ['grid_id', 'forecast_ts'], _LEVEL)}""")
 def pressure_level_diagnostics(v) -> DataFrame:
     features = P.level_diagnostics([(1000, "u", "v"), (975, "u50", "v50"), (950, "gust", "v"), (925, "gust", "u50")])
-    return digest(v.wx_obs.select("grid_id", *[c.alias(n) for n, c in features.items()]), ["grid_id"], list(_LEVEL), 3)
+    return row_values(v.wx_obs.select("grid_id", "forecast_ts", *[c.alias(n) for n, c in features.items()]), ["grid_id", "forecast_ts"], list(_LEVEL))
 
 
 _ICE = {
@@ -504,12 +500,12 @@ _ICE = {
 
 
 @query("icing_regime", "F16", f"""
-WITH x AS (SELECT grid_id, gust, {', '.join(f'{e} AS {n}' for n, e in _ICE.items())},
+WITH x AS (SELECT grid_id, forecast_ts, gust, {', '.join(f'{e} AS {n}' for n, e in _ICE.items())},
                   {_S50} AS wa, gust / 4 AS wb FROM wx_obs),
 y AS (SELECT *, (hub_c_a <= 0.5 AND hub_c_b <= 0.5 AND mean_hub_c >= -5 AND depression_a <= 3 AND depression_b <= 3
                 AND wa >= 3 AND wb >= 1.5 AND precipitation_proxy = 1 AND low_cloud_proxy = 1)::INT AS icing_state FROM x),
 z AS (SELECT *, CASE WHEN icing_state = 1 THEN 0.84 * gust ELSE gust END AS derated FROM y)
-{digest_sql('z', ['grid_id'], [*_ICE, 'icing_state', 'derated'])}""")
+{row_values_sql('z', ['grid_id', 'forecast_ts'], [*_ICE, 'icing_state', 'derated'])}""")
 def icing_regime(v) -> DataFrame:
     rows = v.wx_obs.withColumns({"ta": F.col("t2") - 20, "tb": F.col("t2") - 19})
     rows = rows.withColumns({"da": F.col("ta") - F.abs(F.col("t2") - F.col("d2") - 8) / 2,
@@ -517,7 +513,7 @@ def icing_regime(v) -> DataFrame:
     state = P.icing_state("ta", "da", "tb", "db", P.speed("u50", "v50"), F.col("gust") / 4, F.lit(117.0),
                           [F.col("u") > 3, F.col("gust") > 15], [F.col("u50") >= 1, F.col("v50") >= 2])
     rows = rows.withColumns(state).withColumn("derated", P.icing_derate("gust", "icing_state"))
-    return digest(rows, ["grid_id"], [*_ICE, "icing_state", "derated"])
+    return row_values(rows, ["grid_id", "forecast_ts"], [*_ICE, "icing_state", "derated"])
 
 
 _P98 = "least(greatest(cf, 0.02), 0.98)"
@@ -528,11 +524,11 @@ _BACK = {"identity": "least(greatest(cf, 0), 1.02)", "logit_eps02": _P98, "arcsi
 
 
 @query("target_transforms", "F17 P17", f"""
-WITH x AS (SELECT grp, site, actual / capacity AS cf FROM fcst),
-y AS (SELECT grp, site, {', '.join(f'{e} AS {n}' for n, e in _TRANS.items())}, {', '.join(f'{e} AS {n}_back' for n, e in _BACK.items())} FROM x)
-{digest_sql('y', ['grp', 'site'], [*_TRANS, *[f'{n}_back' for n in _BACK]])}""")
+WITH x AS (SELECT grp, site, ts, actual / capacity AS cf FROM fcst),
+y AS (SELECT grp, site, ts, {', '.join(f'{e} AS {n}' for n, e in _TRANS.items())}, {', '.join(f'{e} AS {n}_back' for n, e in _BACK.items())} FROM x)
+{row_values_sql('y', ['grp', 'site', 'ts'], [*_TRANS, *[f'{n}_back' for n in _BACK]])}""")
 def target_transforms(v) -> DataFrame:
     rows = v.fcst.withColumn("cf", F.col("actual") / F.col("capacity"))
     rows = rows.withColumns({k: P.target_transform("cf", k) for k in P.TRANSFORMS})
     rows = rows.withColumns({f"{k}_back": P.inverse_target_transform(k, k) for k in P.TRANSFORMS})
-    return digest(rows, ["grp", "site"], [*_TRANS, *[f"{n}_back" for n in _BACK]])
+    return row_values(rows, ["grp", "site", "ts"], [*_TRANS, *[f"{n}_back" for n in _BACK]])

@@ -32,10 +32,16 @@ def build_session(app: str = "windrow", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
+#: settings results depend on; the others are preferences
+REQUIRED_CONF = ("spark.sql.session.timeZone", "spark.sql.timestampType")
+
+
 def apply_conf(spark: SparkSession) -> SparkSession:
-    """Set the runtime part of the defaults on a session somebody else built."""
+    """Set the runtime part of the defaults on a session somebody else built; what that somebody has chosen stays, except
+    for the settings that results depend on."""
     for key, value in SESSION_CONF.items():
-        spark.conf.set(key, value)
+        if key in REQUIRED_CONF or spark.conf.get(key, "") == "":
+            spark.conf.set(key, value)
     return spark
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.functions.exprs import ColumnLike, col
+from windrow.session import checkpoint
 
 #: larger files do not fit one binary value; they are listed without a digest and get a status of their own
 MAX_BINARY_BYTES = 2_000_000_000
@@ -52,7 +53,7 @@ def declared_records(documents: DataFrame, text: str, source: str) -> DataFrame:
         hit = hit.where(F.col("path").isNotNull() & F.col("sha256").isNotNull())
         found = hit if found is None else found.unionByName(hit)
         inner = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("node").outer())).select("source", F.col("value").alias("node"))
-        inner = inner.where(F.expr("schema_of_variant(node)").rlike("^(OBJECT|ARRAY)<"))
+        inner = checkpoint(inner.where(F.expr("schema_of_variant(node)").rlike("^(OBJECT|ARRAY)<")))  # or each level would unfold all before it
         if inner.isEmpty():
             return found
         level = inner

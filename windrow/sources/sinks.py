@@ -17,9 +17,13 @@ EXPERIMENT_SCHEMA = (
 )
 
 
-def write_feature_cache(df: DataFrame, path: str, split: str = "split", group: str = "grp") -> None:
-    """One Parquet folder per split and group, clustered so that a folder is not written as many small files."""
-    df.repartition(split, group).write.mode("errorifexists").partitionBy(split, group).option("compression", "zstd").parquet(path)
+def write_feature_cache(df: DataFrame, path: str, split: str = "split", group: str = "grp", ts: str = "ts") -> None:
+    """One Parquet folder per split and group.
+
+    Rows are range partitioned by (split, group, time): a folder is not written as many small files, and a large one is cut by
+    time over as many tasks as its share of the rows asks for.
+    """
+    df.repartitionByRange(split, group, ts).sortWithinPartitions(split, group, ts).write.mode("errorifexists").partitionBy(split, group).option("compression", "zstd").parquet(path)
 
 
 def cache_summary(df: DataFrame, split: str = "split", group: str = "grp", ts: str = "ts") -> DataFrame:
