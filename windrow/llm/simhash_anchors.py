@@ -157,16 +157,16 @@ def links(distinct: DataFrame, threshold: int = 3, chunk: int = CHUNK) -> DataFr
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, root): the smallest node each node of the graph reaches, by alternating large-star and small-star steps.
 
-    Every step is a grouped minimum and a join, so a hub's neighbours are split like any skewed key; every round is written
-    to the shared folder.  Ends when a round changes nothing.
+    Every step is a grouped minimum, written to the shared folder, and a join with it: both sides of the join are then plain
+    shuffles, so a hub's neighbours are split like any skewed key.  Ends when a round changes nothing.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large-star")
+        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "small-star")
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(moved.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
