@@ -32,6 +32,14 @@ def reject_forbidden(df: DataFrame, pattern: str = FORBIDDEN_FEATURE_PATTERN) ->
     return df
 
 
+def name_rules(names: DataFrame, name: str, *, prefixes: Sequence[str], tokens: Sequence[str], forbidden: Sequence[str], pattern: str = FORBIDDEN_FEATURE_PATTERN) -> DataFrame:
+    """The rules of :func:`selected_columns` and :func:`forbidden_columns` over a table of names: columns selected and refused."""
+    either = lambda parts: reduce(lambda a, b: a | b, parts, F.lit(False))
+    n = F.col(name)
+    named = either([n.startswith(p) for p in prefixes]) | either([n.contains(t) for t in tokens])
+    return names.withColumns({"selected": named & ~either([F.lower(n).contains(t) for t in forbidden]), "refused": n.rlike(f"(?i){pattern}")})
+
+
 def same_schema(first: DataFrame, second: DataFrame) -> None:
     if first.columns != second.columns:
         raise ValueError("column order or names differ")
@@ -119,6 +127,14 @@ def exact_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], exp
     return left.join(right, list(keys))
 
 
+def many_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join that keeps every left row once; a key that ``right`` holds twice fails the job when it is read."""
+    values = [c for c in right.columns if c not in keys]
+    once = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in values])
+    checked = [F.when(F.col("_n") == 1, F.col(c)).otherwise(F.raise_error(F.lit("a key of the right side is not unique"))).alias(c) for c in values]
+    return left.join(once.select(*keys, *checked), list(keys), "left")
+
+
 def differing_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows (with multiplicity) that only one side has; empty when two frames hold the same rows."""
     cols = left.columns

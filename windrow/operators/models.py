@@ -154,6 +154,14 @@ def leaf_quantile_surface(fit: DataFrame, query: DataFrame, leaves: str, keys: S
     return out.select(*keys, F.array_sort(F.array(*[F.col(f"_q{i}") for i in range(len(levels))])).alias("quantiles"))
 
 
+def tempered_odds(df: DataFrame, probability: str, eligible_rows: Column, name: str) -> DataFrame:
+    """Root of the bounded odds of a domain probability, with mean one over the eligible rows."""
+    p = clip(probability, *DOMAIN_PROBABILITY)
+    rows = df.withColumn("_raw", F.sqrt(clip(p / (1.0 - p), *DOMAIN_RATIO)))
+    mean = rows.where(eligible_rows).agg(F.avg("_raw")).scalar()
+    return rows.withColumn(name, F.col("_raw") / mean).drop("_raw")
+
+
 def density_ratio(source: DataFrame, application: DataFrame, features: Sequence[str], run: str, eligible_rows: Column, folds: int = DOMAIN_FOLDS,
                   max_iter: int = 100) -> tuple[DataFrame, DataFrame]:
     """(weighted source rows, one-row audit): out-of-fold domain probabilities by run, tempered odds with mean one over the
@@ -180,11 +188,8 @@ def density_ratio(source: DataFrame, application: DataFrame, features: Sequence[
         scored = fitted.transform(design(held)).withColumn("probability", F.element_at(vector_to_array("probability"), 2))
         parts.append(scored.select(run, "_keep", "_y", "_ok", "_fold", "probability"))
     oof = reduce(DataFrame.unionByName, parts)
-    p = clip("probability", *DOMAIN_PROBABILITY)
-    raw = F.sqrt(clip(p / (1.0 - p), *DOMAIN_RATIO))
-    src = oof.where(F.col("_y") == 0.0).withColumn("_raw", raw)
-    mean = src.where("_ok").agg(F.avg("_raw")).scalar()
-    weighted = src.withColumn("density_weight", F.col("_raw") / mean).select(run, "_keep.*", "_fold", "_ok", F.col("probability").alias("domain_probability"), "density_weight")
+    src = tempered_odds(oof.where(F.col("_y") == 0.0), "probability", F.col("_ok"), "density_weight")
+    weighted = src.select(run, "_keep.*", "_fold", "_ok", F.col("probability").alias("domain_probability"), "density_weight")
     w = F.col("density_weight")
     audit = weighted.where("_ok").agg(
         F.count(F.lit(1)).alias("eligible_rows"), F.avg(w).alias("weight_mean"), F.min(w).alias("weight_min"), F.max(w).alias("weight_max"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("ess"))
@@ -268,9 +273,14 @@ def pseudo_labels(wide_cf: DataFrame, known: Column, unknown: Column, inputs: Se
     ready = wide_cf.where(unknown)
     for c in inputs:
         ready = ready.where(finite(c))
-    pseudo = predict(model, ready.drop(target), list(inputs), target, PSEUDO_CLIP).withColumn("origin", F.lit("pseudo"))
-    actual = wide_cf.where(known & finite(target)).withColumn("origin", F.lit("actual"))
-    return actual.unionByName(pseudo.select(*actual.columns)).where(F.col(target) >= 0.10)
+    return stack_labels(wide_cf.where(known), predict(model, ready.drop(target), list(inputs), target), target)
+
+
+def stack_labels(actual: DataFrame, pseudo: DataFrame, target: str) -> DataFrame:
+    """Rows with a finite actual target, then rows with a bounded pseudo target, marked by origin; eligible rows only."""
+    real = actual.where(finite(target)).withColumn("origin", F.lit("actual"))
+    made = pseudo.withColumns({target: clip(target, *PSEUDO_CLIP), "origin": F.lit("pseudo")})
+    return real.unionByName(made.select(*real.columns)).where(F.col(target) >= 0.10)
 
 
 def class_pmf(train: DataFrame, apply: DataFrame, features: Sequence[str], label: Column, classes: int, **params) -> DataFrame:

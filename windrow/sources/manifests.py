@@ -25,6 +25,12 @@ def describe_files(spark: SparkSession, paths: Sequence[str], pattern: str | Non
     return small.unionByName(large)
 
 
+def describe_texts(docs: DataFrame, path: Column, text: str) -> DataFrame:
+    """(path, size_bytes, sha256) of texts held in a table, by their UTF-8 bytes; a null text counts as empty."""
+    whole = F.coalesce(text, F.lit(""))
+    return docs.select(path.alias("path"), F.octet_length(whole).cast("long").alias("size_bytes"), F.sha2(whole, 256).alias("sha256"))
+
+
 def verify_manifest(declared: DataFrame, actual: DataFrame, path: str = "path") -> DataFrame:
     """Declared rows against found files: FOUND_HASH_MATCH, FOUND_HASH_MISMATCH, FOUND_UNDIGESTED (same size, no digest to compare),
     MISSING or UNDECLARED."""
