@@ -545,7 +545,7 @@ def dual_baseline_gate(v) -> DataFrame:
     return out.select("baseline_name", *[r6(c).alias(c) for c in ("minimum_group_delta", "minimum_mixed_delta", "h2_one_minus_nmae", "h2_ficr")], "passed", "dual_pass")
 
 
-@query("template_fill", "E28 S05 U02", """
+@query("template_fill", "E28 S05", """
 WITH t AS (SELECT DISTINCT ts, 'f' || strftime(ts, '%Y%m%d') AS forecast_id FROM gday WHERE ts >= TIMESTAMP '2000-01-01')
 SELECT t.forecast_id, t.ts, round(max(base) FILTER (grp = 'g1') + 1e-9, 6) AS g1, round(max(base) FILTER (grp = 'g2') + 1e-9, 6) AS g2, round(max(base) FILTER (grp = 'g3') + 1e-9, 6) AS g3
 FROM t JOIN gday ON gday.ts = t.ts GROUP BY 1, 2 HAVING count(DISTINCT grp) = 3""")
