@@ -318,6 +318,46 @@ def test_anchors_lose_no_link(spark, chunk):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def five_word_sets(text):
+    words = text.lower().split()
+    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_pipeline_near_dedup_finds_planted_copies(spark):
+    r = random.Random(11)
+    data, pairs = [], []
+    for n_words, changed in ((100, 1), (100, 2), (300, 5), (300, 6), (1000, 8), (1000, 15), (1000, 20)):
+        for _ in range(40):
+            words = [r.choice(WORDS) + r.choice(WORDS) for _ in range(n_words)]
+            copy = list(words)
+            for at in r.sample(range(n_words), changed):
+                copy[at] = "other" + str(r.randrange(10**6))
+            pairs.append(len(data))
+            data += [" ".join(words), " ".join(copy)]
+    # one group too large to compare all pairs at an anchor, and exact copies
+    base = [r.choice(WORDS) + r.choice(WORDS) for _ in range(200)]
+    group = range(len(data), len(data) + 90)
+    for i in range(90):
+        data.append(" ".join(base[:5 + i] + [f"new{i}"] + base[6 + i:]))
+    data += [data[0], data[0].upper(), "", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(data)], SCHEMA)
+    kept = {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    sets = [five_word_sets(t or "") for t in data]
+    wanted = [i for i in pairs if jaccard(sets[i], sets[i + 1]) >= 0.8]
+    assert len(wanted) > 200 and min(jaccard(sets[i], sets[i + 1]) for i in wanted) < 0.82
+    assert sum(i + 1 not in kept for i in wanted) >= 0.99 * len(wanted)
+    assert all(i + 1 in kept for i in pairs if i not in wanted) and all(i in kept for i in pairs)
+    assert kept & set(group) == {group[0]}
+    assert [i in kept for i in range(len(data) - 4, len(data))] == [False, False, True, False]
+    strange = odd(documents(spark))
+    assert simhash_anchors.near_copies(strange).count() == strange.count() and simhash_anchors.near_copies(strange.limit(0)).count() == 0
+    assert simhash_anchors.drop_near_copies(strange).columns == strange.columns
+
+
 def test_digest_index_matches_sql_and_lasts(spark):
     docs = documents(spark)
     index = digest_index.DigestIndex.open(spark, buckets=3)

@@ -23,6 +23,9 @@ BLOCK_BITS, BLOCK_RADIUS = 31, 1
 SEED = 42
 CHUNK = 4096
 
+#: near copies: fingerprints a document (two blocks each), least similarity they are laid out for, cells up to this size compare all pairs
+FINGERPRINTS, LEAST_SIMILARITY, ALL_PAIRS = 5, 0.8, 32
+
 
 def fingerprints(docs: DataFrame, words: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and fingerprint (a signed long holding 64 bits) of the word shingles of whole texts, A-Z lower-cased.
@@ -201,3 +204,181 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 3, id
     [key] = fresh(docs, "_k")
     names = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
     return docs.join(names.hint("shuffle_hash"), F.col(id_column).cast("long").eqNullSafe(F.col(key)), "left_semi")
+
+
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct XXH64 values of the word shingles, A-Z lower-cased.  Fewer words than a shingle: the whole sequence; no word: none."""
+    from functools import partial
+
+    import xxhash
+
+    own = text.lower().split()
+    if not own:
+        return np.zeros(0, np.uint64)
+    digest, found = partial(xxhash.xxh64_intdigest, seed=SEED), []
+    for at in range(0, max(1, len(own) - words + 1), 1 << 16):  # very long texts in blocks
+        block = own[at:at + (1 << 16) + words - 1]
+        parts = map(b" ".join, zip(*(block[k:] for k in range(words)), strict=False)) if len(own) >= words else [b" ".join(own)]
+        found.append(np.unique(np.fromiter(map(digest, parts), np.uint64)))
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
+def min_hash_bits(hashes: np.ndarray, multipliers: np.ndarray, tile: int = 512) -> np.ndarray:
+    """FINGERPRINTS values of 62 bits: bit k is the parity of the least of hashes * multipliers[k], so two sets differ in it with chance (1 - similarity) / 2."""
+    if not len(hashes):
+        return np.zeros(FINGERPRINTS, np.uint64)
+    least = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), tile):
+        np.minimum(least, (multipliers[:, None] * hashes[None, at:at + tile]).min(axis=1), out=least)
+    bits = (np.bitwise_count(least) & 1).astype(np.uint64).reshape(FINGERPRINTS, 2 * BLOCK_BITS)
+    return np.bitwise_or.reduce(bits << np.arange(2 * BLOCK_BITS, dtype=np.uint64), axis=1)
+
+
+def set_sketches(docs: DataFrame, words: int, id_column: str, text_column: str) -> DataFrame:
+    """Per row doc_id, h (digest of the text), s (digest of the set of shingles) and the fingerprints f0, f1, ..."""
+    names = [f"f{k}" for k in range(FINGERPRINTS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        multipliers = np.random.default_rng(SEED).integers(0, 1 << 63, FINGERPRINTS * 2 * BLOCK_BITS, np.uint64) * np.uint64(2) + np.uint64(1)
+        for batch in slices(batches, "_t"):
+            sets, out = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, FINGERPRINTS), np.uint64)
+            for i, text in enumerate(batch.column("_t").cast(pa.binary())):
+                hashes = shingle_hashes(text.as_py(), words)
+                sets[i], out[i] = xxhash.xxh64_intdigest(hashes.tobytes(), SEED), min_hash_bits(hashes, multipliers)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(sets.view(np.int64)), *[pa.array(x.copy().view(np.int64)) for x in out.T]],
+                                             names=["doc_id", "h", "s", *names])
+
+    text = whole_text(text_column)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("_t")).mapInArrow(
+        run, "doc_id long, h long, s long, " + ", ".join(f"{n} long" for n in names))
+
+
+def near_pairs(fps: np.ndarray, limit: int, all_pairs: int = ALL_PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs of rows within ``limit`` bits: every pair of a small cell, the edges of a minimum spanning tree of a large one.
+
+    The tree's path between two near rows has no step longer than the two rows are apart, so it joins them at every limit.
+    """
+    n = len(fps)
+    if n <= all_pairs:
+        apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2, dtype=np.int64)
+        return np.nonzero(np.triu(apart <= limit, 1))
+    best, parent, left, at, found = np.full(n, 1 << 30), np.zeros(n, np.int64), np.arange(1, n), 0, []
+    while len(left):
+        apart = np.bitwise_count(fps[left] ^ fps[at]).sum(axis=1, dtype=np.int64)
+        closer = apart < best[left]
+        best[left[closer]], parent[left[closer]] = apart[closer], at
+        k = int(np.argmin(best[left]))
+        at, left = left[k], np.delete(left, k)
+        if best[at] <= limit:
+            found.append(at)
+    return parent[found], np.array(found, np.int64)
+
+
+def candidate_pairs(distinct: DataFrame, limit: int, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (a, b) of ``distinct.s`` that share an anchor in one of the blocks and differ in at most ``limit`` bits of all fingerprints."""
+    names = [f"f{k}" for k in range(FINGERPRINTS)]
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 13):
+                part = batch.slice(at, 1 << 13)
+                own = part.column("s").to_numpy()
+                for k, name in enumerate(names):
+                    rows, anchor = anchors_of(part.column(name).to_numpy().view(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(k << 32)).view(np.int64)), pa.array(own[rows])], names=["anchor", "s"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(cell: np.ndarray, s: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1)])
+            ends = np.r_[starts[1:], len(cell)]
+            two = starts[ends - starts == 2]  # most cells: compared side by side
+            near = two[np.bitwise_count(fps[two] ^ fps[two + 1]).sum(axis=1, dtype=np.int64) <= limit]
+            a, b = [s[near]], [s[near + 1]]
+            for i, j in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
+                one, other = near_pairs(fps[i:j], limit)
+                a.append(s[i:j][one])
+                b.append(s[i:j][other])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+
+        cell, s, fps = np.zeros((0, 3), np.int64), np.zeros(0, np.int64), np.zeros((0, FINGERPRINTS), np.uint64)  # the last cell may go on in the next batch
+        for batch in batches:
+            cell = np.concatenate([cell, np.column_stack([batch.column(c).to_numpy() for c in ("anchor", "lo", "hi")])])
+            s = np.concatenate([s, batch.column("s").to_numpy()])
+            fps = np.concatenate([fps, np.column_stack([batch.column(c).to_numpy() for c in names]).view(np.uint64)])
+            if len(cell):
+                last = int(np.flatnonzero((cell != cell[-1]).any(axis=1)).max(initial=-1)) + 1
+                if last:
+                    yield pairs(cell[:last], s[:last], fps[:last])
+                cell, s, fps = cell[last:], s[last:], fps[last:]
+        if len(cell):
+            yield pairs(cell, s, fps)
+
+    replicas = distinct.mapInArrow(replicate, "anchor long, s long")
+    sizes = replicas.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / chunk).cast("int")
+    met = replicas.join(sizes, "anchor").withColumns({"c": parts, "mine": F.pmod(F.xxhash64("s", "anchor"), parts).cast("int")})
+    cells = met.select("anchor", "s", "mine", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other")).select(
+        "anchor", F.least("mine", "other").cast("long").alias("lo"), F.greatest("mine", "other").cast("long").alias("hi"), "s").join(distinct.select("s", *names), "s")
+    dealt = cells.select("anchor", "lo", "hi", "s", *names).repartition("anchor", "lo", "hi").sortWithinPartitions("anchor", "lo", "hi", "s")
+    return dealt.mapInArrow(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar_pairs(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, words: int, similarity: float, text_column: str) -> DataFrame:
+    """The pairs whose sets of shingles, built anew from the texts, have Jaccard similarity ``similarity`` or more."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_t"):
+            sets = [shingle_hashes(x.as_py(), words).tobytes() for x in batch.column("_t").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array(sets, pa.binary())], names=["s", "hashes"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = both >= similarity * (len(x) + len(y) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    asked = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
+    wanted = stored(distinct.join(asked, "s", "left_semi").select("h", "s"), "near-copy-texts")
+    text = whole_text(text_column)
+    found = docs.select(F.xxhash64(text).alias("h"), text.alias("_t")).join(wanted, "h").groupBy("s").agg(F.min("_t").alias("_t"))
+    sets = stored(found.mapInArrow(build, "s long, hashes binary"), "near-copy-sets")
+    one = pairs.join(sets.select(F.col("s").alias("a"), F.col("hashes").alias("x")), "a")
+    return one.join(sets.select(F.col("s").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """One row per document: doc_id, component_id (the smallest doc_id reached over pairs of that Jaccard similarity of word shingles).
+
+    Candidates come from anchor covering: five fingerprints of one-bit minima, so ten blocks; a pair that differs in two bits of a
+    block always meets, in three bits at times.  At similarity 0.8 a pair meets in a block with chance 0.42, in any of ten with
+    chance 0.995, from 0.85 up with over 0.9999.  Every candidate is then checked on the sets themselves, so none below
+    ``similarity`` is linked.  Equal sets are one; texts without a word are equal.
+    """
+    if not LEAST_SIMILARITY <= similarity <= 1:
+        raise ValueError(f"the blocks cover similarities from {LEAST_SIMILARITY}")
+    n, p = FINGERPRINTS * 2 * BLOCK_BITS, (1 - similarity) / 2
+    limit = int(np.ceil(n * p + 5 * np.sqrt(n * p * (1 - p))))  # five standard deviations above the bits such a pair differs in
+    names = [f"f{k}" for k in range(FINGERPRINTS)]
+    marks = stored(set_sketches(docs, words, id_column, text_column), "set-sketches")
+    distinct = stored(marks.groupBy("s").agg(F.min("doc_id").alias("first"), F.min("h").alias("h"), *[F.min(c).alias(c) for c in names]), "distinct-sets")
+    pairs = stored(candidate_pairs(distinct.select("s", *names), limit, chunk), "candidate-pairs")
+    roots = components(similar_pairs(pairs, distinct, docs, words, similarity, text_column))
+    named = distinct.join(roots, distinct.s == roots.node, "left").select("s", "first", F.coalesce("root", "s").alias("root"))
+    groups = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marks.select("doc_id", "s").join(named.join(groups, "root").select("s", "component_id"), "s").select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose id names a component of near copies: one document of each group stays.
+
+    Rows that share an id are one document.  Rows without an id stay only where no linked row has one.
+    """
+    found = near_copies(docs, words, similarity, id_column, text_column)
+    [key] = fresh(docs, "_k")
+    names = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(names.hint("shuffle_hash"), F.col(id_column).cast("long").eqNullSafe(F.col(key)), "left_semi")
