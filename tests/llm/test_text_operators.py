@@ -235,6 +235,78 @@ def test_licences_match_sql(spark):
     assert license_rules.licence_scan(every).first().n_known == len(license_rules.SENTENCES)
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD2 = """Copyright (c) 2020, A. Author
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+GPL2 = GPL3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+
+
+def test_wrapped_licence_texts_are_known(spark):
+    comment = "\n".join(("# " + x).rstrip() for x in APACHE.split("\n"))
+    data = [(MIT, "MIT"), (BSD2, "BSD-2-Clause"), (BSD3, "BSD-3-Clause"), (BSD3.replace("All rights reserved.\n", ""), "BSD-3-Clause"), (APACHE, "Apache-2.0"), (comment, "Apache-2.0"),
+            (GPL3, "GPL-3.0-or-later"), (GPL2, "GPL-2.0-or-later"), (MIT.replace("\n", " "), "MIT"), (GPL3.replace("\n", "\r\n"), "GPL-3.0-or-later"), (MIT.replace("\n\n", "\n"), "MIT"), ("Copyright 2020 A. Author\n" + APACHE, "Apache-2.0"), ("Some prose\nReleased under the MIT License\nmore", "MIT")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_rules.licence_scan(docs).collect()}
+    assert [got[i].licences for i in range(len(data))] == [x for _, x in data]
+    assert got[0].sequence == "mitgrant mitnotice mitasis" and got[4].sequence == got[5].sequence == "apache2 apache2use apache2copy apache2asis apache2see"
+
+
 def test_classifier_learns_held_out_labels_and_leaks_nothing(spark):
     r = random.Random(4)
     bad = ["grumpfle", "snarkoid", "vexbuldge"]

@@ -1,7 +1,7 @@
 """Licence recognition by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each normalised and looked up among known licence sentences; the identifiers found, in text order,
-form a sequence.  Licence rules are ordered sequences of identifiers; the first rule in the list whose sequence occurs in the
+A text is cut into sentences, each normalised and looked up among known licence sentences; a sentence may be wrapped over lines,
+and one that is not known as a whole is looked up line by line.  The identifiers found, in text order, form a sequence.  Licence rules are ordered sequences of identifiers; the first rule in the list whose sequence occurs in the
 text's sequence without a gap names the licence of those sentences, longer rules standing before their own parts.
 """
 
@@ -65,33 +65,86 @@ RULES = (
     (("reserved",), "proprietary"),
 )
 
+#: fixed values: whole sentences of the licence texts as ``sentences`` cuts and normalises them, beside SENTENCES
+WHOLE_SENTENCES = {
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+    "without warranties or conditions of any kind either express or implied": "apache2asis",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+    "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+    "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mitgrant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+    "fitness for a particular purpose and noninfringement": "mitasis",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gplfree",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
+    "free software foundation": "gplfree",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+    "either version 3 of the license or at your option any later version": "gplfree3later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+    "either version 2 of the license or at your option any later version": "gplfree2later",
+    "this program is distributed in the hope that it will be useful but without any warranty": "gplhope",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsdsource",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation "
+    "and or other materials provided with the distribution": "bsdbinary",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission": "bsdendorse",
+    "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission": "bsdendorse",
+}
+
+#: fixed values: rules of whole texts, before RULES; a BSD text's own "All rights reserved" names no second licence
+WHOLE_RULES = (
+    (("gplfree3later",), "GPL-3.0-or-later"),
+    (("gplfree2later",), "GPL-2.0-or-later"),
+    (("reserved", "bsdsource", "bsdbinary", "bsdendorse"), "BSD-3-Clause"),
+    (("reserved", "bsdsource", "bsdbinary"), "BSD-2-Clause"),
+)
+
 #: fixed values: stems one of which every known sentence holds; a text without any is not cut into sentences
 STEMS = "licen[cs]e|software|redistribut|copyright|program|reserved"
 
 
+def normalised(sentence: Column) -> Column:
+    """A-Z lower-cased, every run of characters other than a-z and 0-9 one space, trimmed."""
+    return F.trim(F.regexp_replace(F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences in text order.
+    """Sentences in text order, as they stand: one ends at a line without letters and digits, or at one of ``.!?;:`` before white space or the end."""
+    return F.split(text, f"\\n[^A-Za-z0-9\\n]*(?=\\n)|[.!?;:](?=[{BLANK}]|\\z)")
 
-    A sentence ends at a line feed, or at one of ``.!?;:`` before white space or the end.  Normalising lower-cases A-Z, turns
-    every run of characters other than a-z and 0-9 into one space and trims; empty sentences are left out.
+
+def sentence_ids(text: Column, lookup: Column, tails: dict[str, str]) -> Column:
+    """Identifiers of the known sentences in text order: of a whole sentence, line feeds as white space, or else of its lines.
+
+    ``tails`` are long sentences that are also known after a title or copyright line without a full stop.
     """
-    cut = F.split(text, f"\\n|[.!?;:](?=[{BLANK}]|\\z)")
-    lower = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " ")))
-    return F.filter(lower, lambda s: s != "")
+
+    def known(x: Column) -> Column:
+        return F.when(F.map_contains_key(lookup, x), lookup[x])
+
+    def parts(sentence: Column) -> Column:
+        return F.struct(normalised(sentence).alias("whole"), F.transform(F.split(sentence, "\n"), lambda x: known(normalised(x))).alias("lines"))
+
+    def found(s: Column) -> Column:
+        tail = F.coalesce(F.lit(None).cast("string"), *[F.when(F.endswith(s["whole"], F.lit(" " + x)), F.lit(tails[x])) for x in sorted(tails, key=len, reverse=True)])
+        whole = known(s["whole"])
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.concat(s["lines"], F.array(F.when(F.element_at(s["lines"], -1).isNull(), tail))))
+
+    return F.filter(F.flatten(F.transform(F.transform(sentences(text), parts), found)), lambda x: x.isNotNull())
 
 
 def licence_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", known: dict[str, str] | None = None,
-                 rules: Sequence[tuple[Sequence[str], str]] = RULES, stems: str = STEMS) -> DataFrame:
+                 rules: Sequence[tuple[Sequence[str], str]] = WHOLE_RULES + RULES, stems: str = STEMS) -> DataFrame:
     """Per row: the id, n_known (known sentences), sequence (their identifiers, space-joined), licences (space-joined, in rule order).
 
     A rule matches where its identifiers stand next to each other in the sequence; what an earlier rule has matched is no
     longer open to later ones, so a part of a longer text does not name a second licence.  Texts are read whole, in a row of
     their own: no shuffle.  ``stems`` is a pattern that every known sentence contains (give ``.`` with a list of your own).  Null and empty texts give 0 and empty strings; repeated rows give repeated results.
     """
-    known = known or SENTENCES
+    known = known or SENTENCES | WHOLE_SENTENCES
     lookup = F.create_map(*[F.lit(x) for x in chain.from_iterable(known.items())])
     text = whole_text(text_column)
-    ids = F.filter(F.transform(F.filter(sentences(text), lambda s: F.map_contains_key(lookup, s)), lambda s: lookup[s]), lambda x: x.isNotNull())
+    ids = sentence_ids(text, lookup, {k: v for k, v in known.items() if k in WHOLE_SENTENCES})
     out = docs.select(F.col(id_column), F.when(text.rlike(f"(?i){stems}"), ids).otherwise(F.array().cast("array<string>")).alias("_ids"))
     # every identifier between bars, so that neighbours are found as text; matched stretches leave a bar
     rest = out.withColumns({"n_known": F.size("_ids").cast("long"), "sequence": F.array_join("_ids", " "),
@@ -126,5 +179,5 @@ SELECT doc_id, n_known, sequence, array_to_string(found, ' ') AS licences FROM {
 """
 
 
-#: DuckDB's form over ``documents``
+#: DuckDB's form over ``documents`` for sentences that stand on one line; it knows SENTENCES and RULES alone
 SQL = _sql()
