@@ -80,6 +80,14 @@ def test_line_templates_match_sql_and_keep_first_lines(spark):
     assert line_templates.drop_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_pipeline_line_dedup_drops_exact_copies_of_any_line(spark):
+    short, digits, unspaced = "All rights reserved.", "2024-01-01 17 23 42 99 ok", "\u8fd9\u662f\u4e00\u6bb5\u6ca1\u6709\u7a7a\u683c\u7684\u6587\u5b57"
+    data = ["\n".join([short, digits, unspaced, "", "own one"]), "\n".join(["own two", short, "", digits, unspaced]), None, "", "2024-01-01 17 23 42 98 ok\nAll rights reserved", "once\nonce", " \n "]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(data)], SCHEMA)
+    got = {x.doc_id: x.text for x in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == dict(enumerate([data[0], "own two\n", *data[2:]]))
+
+
 def test_byte_bpe_equals_tiktoken_and_decodes(spark):
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

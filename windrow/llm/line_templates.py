@@ -18,23 +18,28 @@ LEADING, FIELDS, MIN_TOKENS, MIN_GENERAL, MIN_DOCS = 3, 4, 5, 8, 2
 MASK = "<*>"
 
 
-def line_nodes(text: Column, leading: int, fields: int, min_tokens: int, min_general: int) -> Column:
+def line_nodes(text: Column, leading: int, fields: int, min_tokens: int, min_general: int, exact: bool = False) -> Column:
     """Array over the lines of struct(leaf, keys): the leaf's path hash and the hashes of the line's templates.
 
     keys holds the masked template and, from ``min_general`` tokens on, one more for each generalised field.  A template must
-    keep at least half its tokens constant; lines below ``min_tokens`` tokens have none.
+    keep at least half its tokens constant; lines below ``min_tokens`` tokens have none.  With ``exact`` every line with a token
+    has one more key, the hash of its tokens as they are.
     """
     lines = F.split(text, "\n")
     tokens = F.transform(lines, lambda x: F.filter(F.split(x, f"[{BLANK}]+"), lambda t: t != ""))
-    masked = F.transform(tokens, lambda x: F.transform(x, lambda t: F.when(t.rlike("[0-9]"), MASK).otherwise(t)))
+    mask = lambda x: F.transform(x, lambda t: F.when(t.rlike("[0-9]"), MASK).otherwise(t))
+    # the hash of a line's own tokens goes along with them: a lambda that reads another array computes all of it for every line
+    masked = F.transform(tokens, lambda x: F.struct(mask(x).alias("x"), F.xxhash64(F.lit("exact"), x).alias("own")) if exact else F.struct(mask(x).alias("x")))
 
-    def parts(x: Column) -> Column:
+    def parts(line: Column) -> Column:
+        x = line["x"]
         n = F.size(x)
         tail = F.greatest(n - leading, F.lit(0))
         edges = [F.lit(leading) + F.floor(tail * i / fields).cast("int") for i in range(fields + 1)]
         own = [F.slice(x, edges[i] + 1, edges[i + 1] - edges[i]) for i in range(fields)]
         return F.struct(
             n.alias("n"), F.xxhash64(n, F.slice(x, 1, leading)).alias("leaf"), F.size(F.filter(x, lambda t: t == MASK)).alias("masked"),
+            *([line["own"]] if exact else []),
             *[F.xxhash64(p).alias(f"h{i}") for i, p in enumerate(own)], *[F.size(F.filter(p, lambda t: t != MASK)).alias(f"c{i}") for i, p in enumerate(own)])
 
     def node(s: Column) -> Column:
@@ -43,15 +48,20 @@ def line_nodes(text: Column, leading: int, fields: int, min_tokens: int, min_gen
         for skip in range(fields):
             keys.append(F.when((s["n"] >= min_general) & ((constant - s[f"c{skip}"]) * 2 >= s["n"]),
                                F.xxhash64(F.lit(skip), s["leaf"], *[s[f"h{i}"] for i in range(fields) if i != skip])))
-        return F.struct(s["leaf"].alias("leaf"), F.when(s["n"] >= min_tokens, F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("keys"))
+        found = F.when(s["n"] >= min_tokens, F.filter(F.array(*keys), lambda k: k.isNotNull()))
+        if exact:
+            none = F.array().cast("array<bigint>")
+            found = F.concat(F.coalesce(found, none), F.when(s["n"] > 0, F.array(s["own"])).otherwise(none))
+        return F.struct(s["leaf"].alias("leaf"), found.alias("keys"))
 
     return F.transform(F.transform(masked, parts), node)
 
 
-def repeated_lines(docs: DataFrame, id_column: str, text_column: str, leading: int, fields: int, min_tokens: int, min_general: int, min_docs: int) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_column: str, text_column: str, leading: int, fields: int, min_tokens: int, min_general: int, min_docs: int,
+                   exact: bool = False) -> DataFrame:
     """(_id, _h, dropped): per document with lines to drop their numbers from 0, at most the document's own lines."""
     text = whole_text(text_column)
-    nodes = docs.select(F.col(id_column).alias("_id"), F.xxhash64(text).alias("_h"), F.posexplode(line_nodes(text, leading, fields, min_tokens, min_general)).alias("line", "s"))
+    nodes = docs.select(F.col(id_column).alias("_id"), F.xxhash64(text).alias("_h"), F.posexplode(line_nodes(text, leading, fields, min_tokens, min_general, exact)).alias("line", "s"))
     lines = stored(nodes.where(F.size("s.keys") > 0).select("_id", "_h", "line", "s.leaf", "s.keys"), "template-lines")
     # a leaf with one line holds no recurring template
     # (grouped sides are stored, so that a hot leaf or template meets them in a join whose large partitions Spark splits)
@@ -64,7 +74,7 @@ def repeated_lines(docs: DataFrame, id_column: str, text_column: str, leading: i
 
 
 def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", leading: int = LEADING, fields: int = FIELDS, min_tokens: int = MIN_TOKENS,
-                        min_general: int = MIN_GENERAL, min_docs: int = MIN_DOCS) -> DataFrame:
+                        min_general: int = MIN_GENERAL, min_docs: int = MIN_DOCS, exact: bool = False) -> DataFrame:
     """``docs`` with the later lines of every recurring template removed from ``text_column``, and n_lines, n_dropped beside.
 
     A template recurs if at least ``min_docs`` ids have it; a line is dropped if an earlier line, by id and then line number,
@@ -73,8 +83,10 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     stays null with no line, an empty one has one empty line.  Rows without an id keep all lines, though they count as one
     document and come first.  Rows equal in id and text get equal results; an id with several texts is one document.  Other
     columns pass through; n_lines and n_dropped replace columns of those names.  Templates are compared by 64-bit hashes.
+    With ``exact`` a line of any length, also of digits only or without spaces, has its own tokens as a further template, so the
+    later exact copies of every line that is not blank go.
     """
-    found = repeated_lines(docs, id_column, text_column, leading, fields, min_tokens, min_general, min_docs)
+    found = repeated_lines(docs, id_column, text_column, leading, fields, min_tokens, min_general, min_docs, exact)
     text = F.col(text_column)
     docs = docs.drop("n_lines", "n_dropped")
     own, other, digest, dropped = fresh(docs, "_own", "_other", "_digest", "_dropped")
