@@ -40,7 +40,7 @@ def apply_conf(spark: SparkSession) -> SparkSession:
     """Set the runtime part of the defaults on a session somebody else built; what that somebody has chosen stays, except
     for the settings that results depend on."""
     for key, value in SESSION_CONF.items():
-        if key in REQUIRED_CONF or spark.conf.get(key, "") == "":
+        if key in REQUIRED_CONF or spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
     return spark
 
