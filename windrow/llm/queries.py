@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm import byte_bpe, digest_index, harmonic_packing, kd_search, license_rules, line_templates, nb_linear, secret_ledger, simhash_anchors, url_rules
+from windrow.llm import byte_bpe, digest_index, harmonic_packing, kd_search, license_rules, line_templates, nb_linear, prefix_trie, secret_ledger, simhash_anchors, url_rules
 from windrow.llm.common import table
 
 
@@ -80,12 +80,20 @@ def op10_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_index.exact_dedup(docs, digest_index.DigestIndex.open(spark), "documents")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    rebuilt, lengths = prefix_trie.shared_starts(turns, conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % 6)
+    return prefix_trie.trie(rebuilt, lengths).drop("node", "parent")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_line_templates, op2_byte_bpe, op3_kd_trees, op4_blob_ledger, op5_url_rules, op6_harmonic, op7_license_rules, op8_nb_linear, op9_anchor_simhash, op10_digest_index)}
+    op1_line_templates, op2_byte_bpe, op3_kd_trees, op4_blob_ledger, op5_url_rules, op6_harmonic, op7_license_rules, op8_nb_linear, op9_anchor_simhash, op10_digest_index, op11_prefix_trie)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_templates": line_templates.SQL,
     "op3_kd_trees": kd_search.SQL,
     "op7_license_rules": license_rules.SQL,
     "op10_digest_index": digest_index.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
 }
