@@ -166,25 +166,27 @@ def subtree_sums(nodes: DataFrame, id_column: str, parent_column: str, values: S
     alive = nodes.select(F.col(id_column).alias("id"), F.col(parent_column).alias("up"), *[F.col(v).alias(f"v{k}") for k, v in enumerate(values)], *[F.lit(0).cast("long").alias(f"e{k}") for k in range(len(values))])
     vs, es = [f"v{k}" for k in range(len(values))], [f"e{k}" for k in range(len(values))]
     raked: list[DataFrame] = []
-    chains: list[DataFrame | None] = []
-    while not alive.isEmpty():
-        # e: what the edge to the parent carries besides the node's total, the sum of the chain nodes it stands for
-        kids = alive.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.count("*").alias("kids"), F.min("id").alias("child"), *[F.sum(e).alias(f"c{e}") for e in es])
-        state = stored(alive.join(kids, "id", "left"), "trie-state")
+    chains: list[DataFrame] = []
+    # e: what the edge to the parent carries besides the node's total, the sum of the chain nodes it stands for
+    kids = alive.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.count("*").alias("kids"), F.min("id").alias("child"), *[F.sum(e).alias(f"c{e}") for e in es])
+    state = stored(alive.join(kids, "id", "left"), "trie-state")
+    while not state.isEmpty():
         unary = state.where("kids = 1")
         links = _compress(unary.select("id", F.col("child").alias("end"), *[(F.col(v) + F.col(f"c{e}")).alias(v) for v, e in zip(vs, es)]), vs)
         chains.append(links)
         below = unary.select(F.col("child").alias("id"))  # an only child is no top of a chain
         tops = unary.join(below, "id", "left_anti").select("id", F.col("up").alias("new_up"), *es).join(links, "id").select(
             F.col("end").alias("id"), "new_up", F.lit(True).alias("moved"), *[(F.col(e) + F.col(v)).alias(f"n{e}") for v, e in zip(vs, es)])
-        branching = state.where("kids is null or kids > 1").select("id", "up", "kids", *vs, *es).join(tops, "id", "left")
-        contracted = stored(branching.select("id", F.when(F.col("moved"), F.col("new_up")).otherwise(F.col("up")).alias("up"), "kids", *vs,
+        branching = state.where("kids is null or kids > 1").select("id", "up", F.col("kids").isNull().alias("leaf"), *vs, *es).join(tops, "id", "left")
+        contracted = stored(branching.select("id", F.when(F.col("moved"), F.col("new_up")).otherwise(F.col("up")).alias("up"), "leaf", *vs,
                                              *[F.when(F.col("moved"), F.col(f"n{e}")).otherwise(F.col(e)).alias(e) for e in es]), "trie-contracted")
-        leaves = contracted.where("kids is null")
-        raked.append(leaves.select("id", *vs))
-        given = leaves.where("up is not null").groupBy(F.col("up").alias("id")).agg(*[F.sum(F.col(v) + F.col(e)).alias(f"g{v}") for v, e in zip(vs, es)])
-        alive = stored(contracted.where("kids is not null").join(given, "id", "left").select(
-            "id", "up", *[(F.col(v) + F.coalesce(f"g{v}", F.lit(0))).alias(v) for v in vs], *es), "trie-alive")
+        raked.append(contracted.where("leaf").select("id", *vs))
+        # in one grouped pass over the children: the leaves' sums, and what the next round asks of the others
+        given = contracted.where("up is not null").groupBy(F.col("up").alias("id")).agg(
+            *[F.sum(F.when(F.col("leaf"), F.col(v) + F.col(e))).alias(f"g{v}") for v, e in zip(vs, es)], F.nullif(F.count_if(~F.col("leaf")), F.lit(0)).alias("kids"),
+            F.min(F.when(~F.col("leaf"), F.col("id"))).alias("child"), *[F.sum(F.when(~F.col("leaf"), F.col(e))).alias(f"c{e}") for e in es])
+        state = stored(contracted.where("not leaf").drop("leaf").join(given, "id", "left").select(
+            "id", "up", *[(F.col(v) + F.coalesce(f"g{v}", F.lit(0))).alias(v) for v in vs], *es, "kids", "child", *[f"c{e}" for e in es]), "trie-state")
     totals = raked
     for links in reversed(chains):
         known = reduce(DataFrame.union, totals).select(F.col("id").alias("end"), *[F.col(v).alias(f"t{v}") for v in vs])
@@ -200,7 +202,7 @@ def _compress(links: DataFrame, sums: Sequence[str]) -> DataFrame:
     A pointer that has reached a node outside ``links`` is final; only the others are joined again, each against a different node.
     """
     final: list[DataFrame] = []
-    open_ = stored(links.withColumn("done", F.lit(False)), "trie-links")
+    open_ = links.withColumn("done", F.lit(False))
     while not open_.isEmpty():
         known = reduce(DataFrame.union, [*final, open_])
         target = known.select(F.col("id").alias("end"), F.col("end").alias("next"), F.col("done").alias("ended"), *[F.col(s).alias(f"n{s}") for s in sums])
@@ -208,7 +210,7 @@ def _compress(links: DataFrame, sums: Sequence[str]) -> DataFrame:
             "id", F.coalesce("next", "end").alias("end"), *[(F.col(s) + F.coalesce(f"n{s}", F.lit(0))).alias(s) for s in sums], F.coalesce("ended", F.lit(True)).alias("done")), "trie-links")
         final.append(step.where("done"))
         open_ = step.where("not done")
-    return reduce(DataFrame.union, final).drop("done") if final else open_.drop("done")
+    return reduce(DataFrame.union, final).drop("done") if final else links
 
 
 _CRC = """xor(list_reduce(flatten(list_transform(string_split({0}, ''), lambda c: list_concat([ord(c)::bigint], [-1, -1, -1, -1, -1, -1, -1, -1]))),

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm import byte_bpe, digest_index, harmonic_packing, kd_search, license_rules, line_templates, nb_linear, prefix_trie, secret_ledger, simhash_anchors, url_rules
-from windrow.llm.common import table
+from windrow.llm import byte_bpe, digest_index, harmonic_packing, kd_search, license_rules, line_templates, nb_linear, prefix_trie, secret_ledger, simhash_anchors, turn_repair, url_rules, warc
+from windrow.llm.common import stored, table
+from windrow.session import scratch_folder
 
 
 def tokenizer_file(name: str) -> str:
@@ -87,8 +88,28 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(rebuilt, lengths).drop("node", "parent")
 
 
+def op12_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    records = stored(warc.read_archives(spark, path, payloads=False), "warc-records")
+    captures = stored(warc.assemble(records), "warc-captures")
+    page = captures.where("response is not null").select(
+        "capture", F.regexp_extract(F.col("metadata")[0]["head"], r"page-id: (\d+|-\d+)", 1).try_cast("long").alias("page_id"), "response.kind", "response.payload_bytes", "response.payload_sha256")
+    first = page.where("kind = 'response'").select(F.col("capture").alias("original"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("bytes"), F.col("payload_sha256").alias("digest"))
+    again = page.where("kind = 'revisit'").join(warc.originals(captures), "capture").join(first, "original", "left").select("page_id", "bytes", "digest", F.lit("revisit"), "refers_to")
+    whole = page.where("kind = 'response'").select("page_id", F.col("payload_bytes"), F.col("payload_sha256").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return whole.union(again)
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(number("conv_id"), F.lit(":"), number("turn")).cast("binary")) % 20
+    return turn_repair.repair(turn_repair.damaged(conversations, kind), conversations.select(F.col("conv_id").cast("long").alias("conv_id")).distinct())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_line_templates, op2_byte_bpe, op3_kd_trees, op4_blob_ledger, op5_url_rules, op6_harmonic, op7_license_rules, op8_nb_linear, op9_anchor_simhash, op10_digest_index, op11_prefix_trie)}
+    op1_line_templates, op2_byte_bpe, op3_kd_trees, op4_blob_ledger, op5_url_rules, op6_harmonic, op7_license_rules, op8_nb_linear, op9_anchor_simhash, op10_digest_index, op11_prefix_trie, op12_warc_captures, op13_turn_repair)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_templates": line_templates.SQL,
@@ -96,4 +117,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_license_rules": license_rules.SQL,
     "op10_digest_index": digest_index.SQL,
     "op11_prefix_trie": prefix_trie.SQL,
+    "op12_warc_captures": warc.SQL,
+    "op13_turn_repair": turn_repair.SQL,
 }
