@@ -110,11 +110,12 @@ def pack(docs: DataFrame, tokens: Callable[[], Callable[[list[str]], list[np.nda
 def byte_bpe_tokens(vocabulary: bytes, ranks: dict[bytes, int] | None, pattern: str) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
     """Ids by a tokenizers file given as its bytes.
 
-    ``ranks``, if given, is the same vocabulary as a rank table: texts of ASCII and Latin letters, on which both libraries split
-    alike, then go through the quicker rank encoder and all others through the tokenizers file.
+    ``ranks``, if given, is the same vocabulary as a rank table: texts of ASCII and Latin letters that hold none of the file's added tokens, on
+    which both libraries split alike, then go through the quicker rank encoder and all others through the tokenizers file.
     """
 
     def start() -> Callable[[list[str]], list[np.ndarray]]:
+        import json
         import os
         import re
 
@@ -122,8 +123,8 @@ def byte_bpe_tokens(vocabulary: bytes, ranks: dict[bytes, int] | None, pattern:
         from tokenizers import Tokenizer
 
         full = Tokenizer.from_str(vocabulary.decode())
-        full.encode_special_tokens = True
-        other = re.compile("[^\x00-\x1b\x20-\x7fÀ-ɏ]").search
+        added = [re.escape(t["content"]) for t in json.loads(vocabulary).get("added_tokens") or []]
+        other = re.compile("|".join(["[^\x00-\x1b\x20-\x7fÀ-ɏ]", *added])).search
         if ranks is None:
             return lambda texts: [np.array(e.ids, np.uint32) for e in full.encode_batch(texts, add_special_tokens=False)]
         import tiktoken
