@@ -206,14 +206,13 @@ def test_packing_is_lossless_and_tight(spark, quick):
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")) if quick else None
     out = harmonic_packing.pack(docs.repartition(3), harmonic_packing.byte_bpe_tokens(vocabulary, ranks, public_tokenizers.PATTERN)).collect()
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     want = {r.doc_id: [*library.encode(r.text or "", add_special_tokens=False).ids, 0] for r in docs.collect()}
     at = dict.fromkeys(want, 0)
     for r in sorted(out, key=lambda r: (r.doc_id, r.start)):
         part = np.array(want[r.doc_id][r.start:r.start + r.length], "<u4")
         assert r.start == at[r.doc_id] and len(part) == r.length and zlib.crc32(part.tobytes()) == r.ids_crc32 and r.doc_tokens == len(want[r.doc_id])
         at[r.doc_id] += r.length
-    assert at == {i: len(x) for i, x in want.items()}
+    assert at == {i: len(x) for i, x in want.items()} and any(50256 in x for x in want.values())  # one text holds an added token
     ends = {}
     for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == ends.get(r.sequence_id, 0)
@@ -438,6 +437,78 @@ def test_pipeline_near_dedup_finds_planted_copies(spark):
     assert simhash_anchors.drop_near_copies(strange).columns == strange.columns
 
 
+def test_near_copies_of_a_dense_family_equal_brute_force(spark):
+    """Cells of over 32 sets whose spanning trees do not hold every link."""
+    r = random.Random(21)
+    base = [r.choice(WORDS) + r.choice(WORDS) + str(i) for i in range(200)]
+    data = []
+    for _ in range(300):
+        words = list(base)
+        for at in r.sample(range(200), r.randrange(2, 6)):
+            words[at] = "other" + str(r.randrange(10**6))
+        data.append(" ".join(words))
+    sets = [five_word_sets(t) for t in data]
+    root = list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(data)], SCHEMA)
+    for chunk in (4096, 50):  # also with cells cut in parts
+        got = {x.doc_id: x.component_id for x in simhash_anchors.near_copies(docs, chunk=chunk).collect()}
+        assert sum(got[i] != root[i] for i in range(len(data))) <= 3 and all(root[got[i]] == root[i] for i in range(len(data)))  # found links are true; recall at 0.8 exactly is 0.995
+        assert len(set(root)) > 20
+
+
+def test_classifier_counts_ratios_and_scores_equal_brute_force(spark, tmp_path):
+    r = random.Random(4)
+    data = [" ".join(r.choice(WORDS[:6] if i % 3 else WORDS[8:]) for _ in range(r.randrange(0, 12))) + ("" if i % 5 else " Ünïcode 99") for i in range(80)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(data)], "doc_id long, text string").repartition(3)
+    marks = [(i, int(i % 3 == 0)) for i in range(0, 80, 1) if i % 4]
+    fitted = nb_linear.train(docs, spark.createDataFrame(marks, "doc_id long, toxic int"), bits=12)
+
+    def grams(text):
+        """Buckets of every gram, one gram at a time."""
+        b = b" " + b" ".join(text.encode().translate(nb_linear.FOLD).split()) + b" "
+        g, out = nb_linear.Grams(12), set()
+        cut = {b[i:i + n] for n in nb_linear.ORDERS for i in range(len(b) - n + 1) if 32 not in b[i + 1:i + n - 1]}
+        cut |= {b" " + w + b" " for w in b.split() if len(w) + 2 <= g.longest} | ({b} if len(b) == 2 else set())  # no word: its two blanks
+        for gram in cut:
+            h = len(gram)
+            for k, c in enumerate(gram):
+                h += int(g.values[c]) * int(nb_linear.HASH) ** k
+            out.add(h * int(nb_linear.HASH) % 2**64 >> 52)
+        return out
+
+    train = [(i, y) for i, y in marks if zlib.crc32(str(i).encode()) % 5]
+    count = np.zeros((2, 1 << 12), int)
+    for i, y in train:
+        count[y, list(grams(data[i]))] += 1
+    rows = np.bincount([y for _, y in train])
+    labelled = spark.createDataFrame([(i, y, data[i]) for i, y in train], "h long, y int, _t string")
+    read = nb_linear.read_rows(labelled, {0: 0.0, 1: 0.0}, 12, nb_linear.ORDERS, 10**9).where("kind = 0").groupBy("bucket").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).collect()
+    assert {x.bucket: (x.zeros, x.ones) for x in read} == {-1: tuple(rows)} | {int(b): tuple(count[:, b]) for b in np.flatnonzero(count.sum(axis=0))}
+    a = nb_linear.SMOOTHING
+    ratio = np.log(((count[1] + a * rows[1] / rows.sum()) / rows[1]) / ((count[0] + a * rows[0] / rows.sum()) / rows[0])) * (count.sum(axis=0) >= nb_linear.LEAST_ROWS)
+    samples = sorted([(np.array(sorted(grams(data[i])), np.int64), y) for i, y in train], key=lambda s: s[1])
+    weights, bias = nb_linear.fit_weights(samples, ratio, rows[1] / rows.sum())
+    np.testing.assert_allclose(fitted.weights, weights, atol=1e-6)
+    assert abs(fitted.bias - bias) < 1e-6
+    got = {x.doc_id: x.score for x in fitted.score(docs).collect()}
+    for i, t in enumerate(data):
+        z = weights.astype(np.float32)[sorted(grams(t))].sum(dtype=float) + bias
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-5
+
+
+def test_label_bitmap_loses_no_row(spark, monkeypatch):
+    monkeypatch.setattr(nb_linear, "ID_BITS", 16)
+    rows = spark.range(-50, 5000).selectExpr("id AS k", "id AS _bits").union(spark.sql("SELECT CAST(NULL AS BIGINT), 1L"))
+    ids = spark.range(0, 5000, 7).selectExpr("id AS i")
+    kept = [x.k for x in nb_linear.maybe_in(rows, "k", ids, "i").collect()]
+    assert set(range(0, 5000, 7)) <= set(kept) and len(kept) == len(set(kept)) < 1200 and nb_linear.maybe_in(rows, "k", ids.limit(0), "i").count() == 0
+
+
 def test_digest_index_matches_sql_and_lasts(spark):
     docs = documents(spark)
     index = digest_index.DigestIndex.open(spark, buckets=3)

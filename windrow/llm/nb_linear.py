@@ -21,6 +21,10 @@ BITS, ORDERS, LEAST_ROWS = 20, (4, 7, 10), 4
 #: documented bounds of the fit: rows of each class, and the length above which a text is left out of the sample (it still counts
 #: in the ratios and is scored whole)
 FIT_ROWS, FIT_BYTES = 2000, 200_000
+#: bytes of gram numbers of one class that the fit's one task holds at most; rows come in the order of a hash of their ids
+FIT_HELD = 128 << 20
+#: bits of the table of label ids that texts are held against before they are shuffled: a fixed size, 8 MB
+ID_BITS = 26
 STEPS, RATE, PENALTY, SMOOTHING = 80, 0.05, 1e-4, 10.0
 HASH = np.uint64(0x9E3779B97F4A7C15)
 #: A-Z to a-z, other ASCII characters than letters and digits to blanks, bytes of other characters as they are
@@ -93,14 +97,14 @@ def held_out(id_column: str) -> Column:
 def read_rows(labelled: DataFrame, share: dict[int, float], bits: int, orders: tuple[int, ...], fit_bytes: int) -> DataFrame:
     """One pass over (h, y, _t): per task and bucket the rows of each class that hold it, and the sampled rows' buckets.
 
-    Rows of kind 0 are counts (bucket, ones, zeros), with bucket -1 for the rows themselves; rows of kind 1 are sampled texts.
+    Rows of kind 0 are counts (bucket, ones, zeros), with bucket -1 for the rows themselves; rows of kind 1 are sampled texts (bucket: their order).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, count, rows = Grams(bits, orders), np.zeros((2, 1 << bits), np.int64), np.zeros(2, np.int64)
         names = ["kind", "bucket", "ones", "zeros", "grams"]
         for batch in slices(batches, "_t"):
-            picked, label = [], []
+            picked, label, order = [], [], []
             for text, y, h in zip(batch.column("_t").cast(pa.binary()), batch.column("y").to_pylist(), batch.column("h").to_pylist(), strict=True):
                 data = text.as_py()
                 own = grams(data)
@@ -109,9 +113,10 @@ def read_rows(labelled: DataFrame, share: dict[int, float], bits: int, orders: t
                 if (h % 2**32) / 2**32 < share[y] and len(data) <= fit_bytes:
                     picked.append(own.astype(np.int32).tobytes())
                     label.append(y)
+                    order.append(h >> 33)
             n = len(label)
             ones = pa.array(label, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int32()), ones, pa.nulls(n, pa.int64()), pa.array(picked, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.array(order, pa.int32()), ones, pa.nulls(n, pa.int64()), pa.array(picked, pa.binary())], names=names)
         at = np.flatnonzero(count.sum(axis=0))
         bucket, ones, zeros = (np.append(x, last) for x, last in ((at, -1), (count[1, at], rows[1]), (count[0, at], rows[0])))
         yield pa.RecordBatch.from_arrays(
@@ -173,12 +178,25 @@ class Model:
         return docs.withColumn(text, whole_text(text_column)).mapInArrow(run, StructType([*docs.schema.fields]).add(output, DoubleType()))
 
 
+def maybe_in(rows: DataFrame, key: str, ids: DataFrame, id_column: str) -> DataFrame:
+    """The rows whose key may be among ``ids``: none of those is lost, of the others few stay while there are fewer ids than bits.
+
+    One bit an id in a bitmap of 2^ID_BITS bits, in pieces that Spark's bitmap aggregate makes; their size does not grow with the ids.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << ID_BITS))
+    [bucket, at, bits] = fresh(rows, "_bucket", "_at", "_bits")
+    marks = ids.select(place(id_column).alias("p")).groupBy(F.bitmap_bucket_number("p").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(bits))
+    found = rows.withColumns({bucket: F.bitmap_bucket_number(place(key)), at: F.bitmap_bit_position(place(key))}).join(F.broadcast(marks), bucket)
+    byte = f"cast(conv(hex(substring({bits}, cast({at} div 8 + 1 as int), 1)), 16, 10) as int)"
+    return found.where(F.expr(f"shiftright({byte}, cast({at} % 8 as int)) & 1 = 1")).select(*rows.columns)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str = "doc_id", text_column: str = "text", bits: int = BITS, orders: tuple[int, ...] = ORDERS,
           fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model:
     """Fit on the labelled documents that are not held out.
 
     Ratios count every such document.  The linear fit sees about ``fit_rows`` of each class, chosen by a hash of the id, of at most
-    ``fit_bytes`` bytes each.  Rows without a label, and labels without a document, take no part; an id labelled more than once has
+    ``fit_bytes`` bytes each, and of a class no more than fill FIT_HELD bytes.  Rows without a label, and labels without a document, take no part; an id labelled more than once has
     its largest label.  With no row of one class the model answers with the share of class 1 (0 if there are no rows at all).
     """
     own = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column)).groupBy(F.col(id_column).alias("_id")).agg(F.max(F.col(label)).cast("int").alias("y"))
@@ -186,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: s
     sizes = {r.y: r.n for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = {y: min(1.0, fit_rows / max(1, sizes.get(y, 0))) for y in (0, 1)}
     texts = docs.select(F.col(id_column).alias("_d"), whole_text(text_column).alias("_t"))
-    labelled = texts.join(own.hint("shuffle_hash"), F.col("_d") == F.col("_id")).select(F.xxhash64("_id").alias("h"), "y", "_t")
+    labelled = maybe_in(texts, "_d", own, "_id").join(own.hint("shuffle_hash"), F.col("_d") == F.col("_id")).select(F.xxhash64("_id").alias("h"), "y", "_t")
     read = stored(read_rows(labelled, share, bits, orders, fit_bytes), "gram-counts")
     # one row per bucket at most: a fixed number
     sums = read.where("kind = 0").groupBy("bucket").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).toArrow()
@@ -203,12 +221,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: s
     prior = total[1] / sum(total)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples = [(np.frombuffer(g, np.int32), y) for b in batches for g, y in zip(b.column("grams").to_pylist(), b.column("ones").to_pylist(), strict=True)]
+        samples, held = [], [0, 0]
+        for b in batches:
+            for g, y in zip(b.column("grams").to_pylist(), b.column("ones").to_pylist(), strict=True):
+                if held[y] + len(g) <= FIT_HELD:
+                    held[y] += len(g)
+                    samples.append((np.frombuffer(g, np.int32), y))
         if len({y for _, y in samples}) < 2:
             w, bias = np.zeros(len(ratio)), float(np.log(prior / (1 - prior)))
         else:
             w, bias = fit_weights(samples, ratio, prior)
         yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f8").tobytes()], pa.binary()), pa.array([bias])], names=["w", "bias"])
 
-    row = read.where("kind = 1").select("grams", "ones").repartition(1).mapInArrow(fit, "w binary, bias double").first()
+    row = read.where("kind = 1").select("bucket", "grams", "ones").repartition(1).sortWithinPartitions("bucket", "grams").select("grams", "ones").mapInArrow(fit, "w binary, bias double").first()
     return Model(np.frombuffer(row.w, "<f8"), row.bias, bits, orders) if row else Model(np.zeros(1 << bits), float(np.log(prior / (1 - prior))), bits, orders)
