@@ -203,3 +203,22 @@ def test_malformed_index_and_grid_fail(spark):
         PL.grid_cells(grid, "t", {"c": (1, 1)}, ["t"], columns=3, rows=1).collect()
     ok = PL.grid_cells(grid.where(F.col("t").contains("3")), "t", {"c": (3, 1)}, ["t"], columns=3, rows=1).first()
     assert ok["c"] == 3.0 and ok["trailing_comma"]
+
+
+def test_tile_pyramid_opens_few_cells(spark):
+    """A site far from all cells, crowded places and several cells at one point: exact, and most cells are ruled out by tiles."""
+    r = np.random.default_rng(9)
+    cells = [(i, float(37 + 0.02 * (i % 50)), float(128 + 0.02 * (i // 50))) for i in range(2500)]
+    cells += [(3000 + i, float(37.3 + 1e-4 * r.random()), float(128.4 + 1e-4 * r.random())) for i in range(400)] + [(4000 + i, 37.9, 128.9) for i in range(5)]
+    sites = [(0, 37.301, 128.401), (1, 60.0, -170.0), (2, -45.0, 128.5), (3, 37.9, 128.9), (4, 37.011, 128.013), (5, 37.3, 179.0)]
+    a = spark.createDataFrame(sites, "turbine_id int, lat double, lon double")
+    b = spark.createDataFrame(cells, "grid_id int, lat double, lon double").repartition(3)
+    got = {(x.turbine_id, x.rank): x.grid_id for x in X.nearest_cells(a, b, 7).collect()}
+    for site, lat, lon in sites:
+        p, q = np.radians(np.array([c[1] for c in cells])), np.radians(np.array([c[2] for c in cells]))
+        h = np.sin((p - np.radians(lat)) / 2) ** 2 + np.cos(p) * np.cos(np.radians(lat)) * np.sin((q - np.radians(lon)) / 2) ** 2
+        d = np.round(6371.0088 * 2 * np.arcsin(np.sqrt(np.clip(h, 0, 1))), 9)
+        want = sorted((x, c[0]) for x, c in zip(d, cells))[:7]
+        assert [got[site, k + 1] for k in range(7)] == [c for _, c in want], site
+    met = {x.turbine_id: x["count"] for x in X.opened_cells(a, b, 7, "turbine_id", "grid_id").groupBy("turbine_id").count().collect()}
+    assert max(met.values()) < 500 and sum(met.values()) < 0.1 * len(sites) * len(cells), met

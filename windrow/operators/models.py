@@ -17,7 +17,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windrow.functions.exprs import clip, edge_bin_array, finite
+from windrow.functions.exprs import clip, edge_bin, finite
 from windrow.functions.ranks import exact_quantiles
 from windrow.functions.wind import inverse_target_transform, target_transform
 from windrow.operators import decisions as D
@@ -34,6 +34,7 @@ DOMAIN_FOLDS, DOMAIN_PROBABILITY, DOMAIN_RATIO, DOMAIN_STRENGTH = 5, (0.05, 0.95
 RESIDUAL_TARGET_CLIP, RESIDUAL_PREDICTION_CLIP = 0.40, 0.25
 PSEUDO_CLIP = (0.0, 1.02)
 HUBER_EPSILON = 1.5
+INTERVAL_ROUNDS = 140
 POLICY_FACTORS = (0.98, 0.95)
 STUDENT_GATE = {"r2": 0.02, "spearman": 0.15, "improvement": 0.02, "auc": 0.60}
 
@@ -136,11 +137,11 @@ def binned_quantile_surface(train: DataFrame, apply: DataFrame, prediction: str,
     Bin edges are exact quantiles of the training predictions; crossing levels are sorted.
     """
     one = train.withColumn("_one", F.lit(1))
-    edges = exact_quantiles(one, ["_one"], prediction, [i / bins for i in range(1, bins)]).select(F.array_distinct("q")).scalar()
-    place = lambda df: df.withColumn("_e", edges).withColumn("_bin", edge_bin_array(prediction, "_e")).drop("_e")
+    edges = exact_quantiles(one, ["_one"], prediction, [i / bins for i in range(1, bins)]).select(F.array_distinct("q")).first()[0]  # bins - 1 numbers
+    place = lambda df: df.withColumn("_bin", edge_bin(prediction, edges))
     residuals = place(train).withColumn("_r", F.col(target) - F.col(prediction))
     local = exact_quantiles(residuals, ["_bin"], "_r", levels).where(F.col("n") >= minimum).select("_bin", F.col("q").alias("_local"))
-    pooled = exact_quantiles(residuals.withColumn("_one", F.lit(1)), ["_one"], "_r", levels).select("q").scalar()
+    pooled = F.array(*[F.lit(float(q)) for q in exact_quantiles(residuals.withColumn("_one", F.lit(1)), ["_one"], "_r", levels).select("q").first()[0]])
     rows = attach(place(apply), local, ["_bin"])
     rows = rows.withColumn("_spread", F.coalesce("_local", pooled))
     return rows.withColumn("quantiles", F.array_sort(F.transform("_spread", lambda r: r + F.col(prediction)))).drop("_local", "_spread", "_bin")
@@ -173,7 +174,8 @@ def density_ratio(source: DataFrame, application: DataFrame, features: Sequence[
     cols = [run, *features]
     extra = [c for c in source.columns if c not in cols]
     both = source.select(*cols, F.struct(*extra).alias("_keep"), F.lit(0.0).alias("_y"), eligible_rows.alias("_ok")).unionByName(
-        application.select(*cols, F.lit(1.0).alias("_y")), allowMissingColumns=True).withColumn("_fold", fold).persist()
+        application.select(*cols, F.lit(1.0).alias("_y")), allowMissingColumns=True).withColumn("_fold", fold)
+    both = checkpoint(both)  # read by every fold
     parts = []
     for k in range(folds):
         train, held = both.where(F.col("_fold") != k), both.where(F.col("_fold") == k)
@@ -311,7 +313,7 @@ def interval_policy(train: DataFrame, apply: DataFrame, features: Sequence[str],
     rows = expand_actions(train.where(F.col(actual_cf) >= 0.10), grid)
     gap = F.abs(F.col("action") - F.col(actual_cf))
     rows = assemble(rows.withColumns({"_y6": (gap <= 0.06).cast("double"), "_y8": (gap <= 0.08).cast("double"), "_err": gap}), design)
-    settings = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1, "seed": 42, **params}
+    settings = {"maxIter": INTERVAL_ROUNDS, "maxDepth": 4, "stepSize": 0.1, "seed": 42, **params}
     h6 = GBTClassifier(featuresCol=VECTOR, labelCol="_y6", **settings).fit(rows)
     h8 = GBTClassifier(featuresCol=VECTOR, labelCol="_y8", **settings).fit(rows)
     he = GBTRegressor(featuresCol=VECTOR, labelCol="_err", lossType="squared", **settings).fit(rows)

@@ -28,6 +28,8 @@ SECTORS = 16
 SECTOR_HALF_WIDTH = 11.25
 HORIZON_RADII_M = (500.0, 1000.0, 2000.0, 5000.0)
 MIN_HORIZON_DISTANCE_M = 100.0
+#: cells a tile of the nearest-cell pyramid holds at most, halvings of the tiles to get there, kilometres added to a bound before it rules a tile out
+TILE_CELLS, TILE_HALVINGS, TILE_SLACK_KM = 32, 12, 1e-6
 #: turbine values the wake kernel holds at a time
 WAKE_CELLS = 250_000
 
@@ -36,52 +38,72 @@ def _tile(value: ColumnLike, size: float) -> Column:
     return F.floor(col(value) / size).cast("bigint")
 
 
+def tile_pyramid(cells: DataFrame, tile: float, levels: int) -> DataFrame:
+    """(level, ty, tx, n): how many cells lie in every occupied tile; a level's tiles are twice as wide as those below."""
+    base = cells.groupBy(_tile("lat", tile).alias("ty"), _tile("lon", tile).alias("tx")).agg(F.count(F.lit(1)).alias("n"))
+    every = base.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("bigint").alias(c)
+    return every.select("level", up("ty"), up("tx"), "n").groupBy("level", "ty", "tx").agg(F.sum("n").alias("n"))
+
+
+def _tile_bounds(size: float) -> tuple[Column, Column]:
+    """No point of tile (ty, tx) is nearer to (lat, lon) than the first or farther than the second, in kilometres: the distance to its
+    middle less or more than the way from there to a corner along meridian and parallel."""
+    lat, lon = (F.col("ty") + 0.5) * size, (F.col("tx") + 0.5) * size
+    widest = F.greatest(F.abs(lat) - size / 2, F.lit(0.0))
+    radius = EARTH_KM * math.radians(size / 2) * (1.0 + F.cos(F.radians(F.least(widest, F.lit(90.0)))))
+    middle = haversine_km("lat", "lon", lat, lon)
+    return middle - radius, middle + radius
+
+
+def opened_cells(sites: DataFrame, cells: DataFrame, k: int, site: str, cell: str, tile: float | None = None, exclude_self: bool = False) -> DataFrame:
+    """(site, lat, lon, cell, _lat, _lon): cells among which the k nearest of every site are; all but these are ruled out by tiles.
+
+    A descent of a pyramid of tiles: on each level the counts and farthest points of a site's tiles bound its k-th distance, and
+    only tiles that begin within it are divided further, so a site far from all cells opens as few as one among them.
+    """
+    need = k + exclude_self
+    extent = cells.agg((F.max("lat") - F.min("lat")).alias("dlat"), (F.max("lon") - F.min("lon")).alias("dlon"), F.count(F.lit(1)).alias("n")).first()
+    side = max(extent["dlat"] or 0.0, extent["dlon"] or 0.0, 1e-6)
+    tile = tile or max(2.0 * side / max(extent["n"], 1) ** 0.5, 1e-6)
+    for _ in range(TILE_HALVINGS):  # crowded places get smaller tiles
+        most = tile_pyramid(cells, tile, 0).agg(F.max("n")).first()[0] or 0
+        if most <= max(TILE_CELLS, need):
+            break
+        tile /= 2.0
+    levels = max(0, math.ceil(math.log2(side / tile))) + 1 if side > tile else 0
+    counts = checkpoint(tile_pyramid(cells, tile, levels))
+    tops = [(r["ty"], r["tx"], r["n"]) for r in counts.where(F.col("level") == levels).collect()]  # two by two at most
+    kinds = "array<struct<ty:bigint,tx:bigint,n:bigint>>"
+    rows = sites.select(site, "lat", "lon", F.inline(F.array(*[F.struct(*map(F.lit, t)) for t in tops]).cast(kinds)))
+    for level in range(levels, -1, -1):
+        near, far = _tile_bounds(tile * 2**level)
+        # a site has few tiles on a level
+        order = Window.partitionBy(site).orderBy("_far", "ty", "tx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        enough = F.min(F.when(F.col("_sum") >= need, F.col("_far"))).over(Window.partitionBy(site))
+        ranked = rows.withColumns({"_near": near, "_far": far}).withColumn("_sum", F.sum("n").over(order)).withColumn("_most", enough)
+        kept = ranked.where(F.col("_most").isNull() | (F.col("_near") <= F.col("_most") + TILE_SLACK_KM)).select(site, "lat", "lon", "ty", "tx")
+        if level:
+            split = kept.withColumn("_dy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_dx", F.explode(F.array(F.lit(0), F.lit(1))))
+            below = split.select(site, "lat", "lon", (2 * F.col("ty") + F.col("_dy")).alias("ty"), (2 * F.col("tx") + F.col("_dx")).alias("tx"))
+            rows = below.join(counts.where(F.col("level") == level - 1).drop("level"), ["ty", "tx"])
+            if level % 4 == 0:
+                rows = checkpoint(rows)
+    grid = cells.select(F.col(cell).alias("_cell"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), _tile("lat", tile).alias("ty"), _tile("lon", tile).alias("tx"))
+    found = kept.join(grid, ["ty", "tx"]).drop("ty", "tx")
+    return found.where(F.col("_cell") != F.col(site)) if exclude_self else found
+
+
 def nearest_cells(sites: DataFrame, cells: DataFrame, k: int, site: str = "turbine_id", cell: str = "grid_id",
-                  tile: float = 0.1, exclude_self: bool = False) -> DataFrame:
+                  tile: float | None = None, exclude_self: bool = False) -> DataFrame:
     """The exact k nearest cells of every site: (site, cell, distance_km, rank).
 
-    Cells and sites meet on lattice tiles within a ring, not by a cross join.  A site is settled when its k-th distance
-    is no larger than the distance to the edge of the searched block; the others go on with four times the ring until
-    the block covers every cell.  Ties go to the smaller cell id.
+    Cells and sites meet on the tiles that :func:`opened_cells` leaves, not by a cross join.  Ties go to the smaller cell id.
     """
-    extent = cells.select(F.col("lat"), F.col("lon")).unionByName(sites.select("lat", "lon")).agg(
-        (F.max("lat") - F.min("lat")).alias("dlat"), (F.max("lon") - F.min("lon")).alias("dlon")).first()
-    whole = int(math.ceil(max(extent["dlat"] or 0.0, extent["dlon"] or 0.0) / tile)) + 1
-    grid = cells.select(F.col(cell).alias("_cell"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"),
-                        _tile("lat", tile).alias("_ty"), _tile("lon", tile).alias("_tx"))
-    open_sites = sites.select(F.col(site), "lat", "lon")
-    settled, ring = [], 1
-    while True:
-        ring = min(ring, whole)
-        span = F.sequence(F.lit(-ring), F.lit(ring))
-        reach = (
-            open_sites.withColumn("_dy", F.explode(span)).withColumn("_dx", F.explode(span))
-            .withColumn("_ty", _tile("lat", tile) + F.col("_dy")).withColumn("_tx", _tile("lon", tile) + F.col("_dx"))
-        )
-        found = reach.join(grid, ["_ty", "_tx"])
-        if exclude_self:
-            found = found.where(F.col("_cell") != F.col(site))
-        found = found.withColumn("distance_km", haversine_km("lat", "lon", "_lat", "_lon"))
-        w = Window.partitionBy(site).orderBy(F.round("distance_km", 9), "_cell")
-        ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        if ring >= whole:
-            settled.append(ranked)
-            break
-        width = math.radians(ring * tile)
-        edge = EARTH_KM * F.least(F.lit(width), F.asin(F.cos(F.radians("lat")) * math.sin(min(width, math.pi / 2))))
-        proven = ranked.groupBy(site).agg(F.count(F.lit(1)).alias("_n"), F.max("distance_km").alias("_far"),
-                                          F.first(edge).alias("_edge"))
-        proven = proven.where((F.col("_n") == k) & (F.col("_far") <= F.col("_edge"))).select(site)
-        ranked = checkpoint(ranked.join(proven.withColumn("_ok", F.lit(True)), site, "left"))
-        settled.append(ranked.where("_ok").drop("_ok"))
-        open_sites = open_sites.join(ranked.where("_ok").select(site).distinct(), site, "left_anti")
-        if open_sites.isEmpty():
-            break
-        ring *= 4
-    out = settled[0].select(site, F.col("_cell").alias(cell), "distance_km", "rank")
-    for more in settled[1:]:
-        out = out.unionByName(more.select(site, F.col("_cell").alias(cell), "distance_km", "rank"))
-    return out
+    found = opened_cells(sites, cells, k, site, cell, tile, exclude_self).withColumn("distance_km", haversine_km("lat", "lon", "_lat", "_lon"))
+    w = Window.partitionBy(site).orderBy(F.round("distance_km", 9), "_cell")
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select(site, F.col("_cell").alias(cell), "distance_km", "rank")
 
 
 def idw_weights(near: DataFrame, site: str = "turbine_id", floor_km: float = DISTANCE_FLOOR_KM, power: float = IDW_POWER,

@@ -136,20 +136,20 @@ def scale_separability(v) -> DataFrame:
                       r6(E.separability_residuals(dict(zip("123", groups)), F.col("base"), F.col("all"))).alias("residual"))
 
 
-_COR = """sc AS (SELECT grp, ts, capacity, [base, cand, third] AS s, list_aggregate([base, cand, third], 'median') AS med FROM gday),
+_COR = """sc AS (SELECT grp, site, ts, capacity, [base, cand, third] AS s, list_aggregate([base, cand, third], 'median') AS med FROM fcst),
 ac AS (SELECT *, unnest(list_sort(list_transform(flatten(list_transform(s, lambda m: list_transform([-0.08e0, -0.06e0, 0.0e0, 0.06e0, 0.08e0], lambda o: m + o * capacity))), lambda a: least(greatest(a, 0), capacity)))) AS a FROM sc),
 ut AS (SELECT *, list_avg(list_transform(s, lambda y: (y / capacity) * (CASE WHEN abs(a - y) / capacity <= 0.06 THEN 4.0 WHEN abs(a - y) / capacity <= 0.08 THEN 3.0 ELSE 0.0 END) / 4.0 - abs(a - y) / capacity)) AS u FROM ac),
-mx AS (SELECT *, max(u) OVER (PARTITION BY grp, ts) AS mu FROM ut)"""
+mx AS (SELECT *, max(u) OVER (PARTITION BY grp, site, ts) AS mu FROM ut)"""
 
 
 @query("corridor_action", "E14 E15", f"""
-WITH {_COR}, rk AS (SELECT *, row_number() OVER (PARTITION BY grp, ts ORDER BY CASE WHEN u >= mu - 1e-12 THEN 0 ELSE 1 END, round(abs(a - med), 12), a) AS rn FROM mx)
-SELECT rk.grp, rk.ts, round(rk.a + 1e-9, 6) AS action, round(least(greatest(0.75 * base + 0.25 * rk.a, 0), rk.capacity) + 1e-9, 6) AS candidate
-FROM rk JOIN gday g ON g.grp = rk.grp AND g.ts = rk.ts WHERE rn = 1""")
+WITH {_COR}, rk AS (SELECT *, row_number() OVER (PARTITION BY grp, site, ts ORDER BY CASE WHEN u >= mu - 1e-12 THEN 0 ELSE 1 END, round(abs(a - med), 12), a) AS rn FROM mx)
+SELECT rk.grp, rk.site, rk.ts, round(rk.a + 1e-9, 6) AS action, round(least(greatest(0.75 * base + 0.25 * rk.a, 0), rk.capacity) + 1e-9, 6) AS candidate
+FROM rk JOIN fcst g ON g.grp = rk.grp AND g.site = rk.site AND g.ts = rk.ts WHERE rn = 1""")
 def corridor_action(v) -> DataFrame:
-    rows = v.gday.withColumn("action", D.corridor_action(["base", "cand", "third"], "capacity"))
+    rows = v.fcst.withColumn("action", D.corridor_action(["base", "cand", "third"], "capacity"))
     rows = rows.withColumn("candidate", E.convex("base", "action", 0.25, "capacity"))
-    return rounded(rows, ["grp", "ts"], ["action", "candidate"])
+    return rounded(rows, ["grp", "site", "ts"], ["action", "candidate"])
 
 
 def _choice_sql(source: str, keys: str, order: str) -> str:
@@ -167,18 +167,18 @@ def _mean_cf(train: DataFrame) -> float:
 
 
 @query("ordinal_class_action", "E16 F34", f"""
-WITH mc AS (SELECT avg(actual / capacity) AS m FROM gday WHERE {_ELIG}),
-r AS (SELECT grp, ts, base / capacity AS b, {_PMF(D.CLASS_CENTRES, 'cand / capacity')} AS p0 FROM gday),
+WITH mc AS (SELECT avg(actual / capacity) AS m FROM fcst WHERE {_ELIG}),
+r AS (SELECT grp, site, ts, base / capacity AS b, {_PMF(D.CLASS_CENTRES, 'cand / capacity')} AS p0 FROM fcst),
 p AS (SELECT *, list_sum(p0) AS tp FROM r),
 a AS (SELECT *, unnest(list_distinct(list_transform({_lit(D.ACTION_DELTAS)}, lambda d: least(greatest(b + d, 0), 1.02)))) AS a FROM p),
-k AS (SELECT grp, ts, b, a, unnest(p0) / tp AS w, unnest({_lit(D.CLASS_CENTRES)}) AS y FROM a),
-ut AS (SELECT grp, ts, b, a, sum(w * (y * {_PRICE('abs(a - y)')} / (4 * (SELECT m FROM mc)) - abs(a - y))) AS u FROM k GROUP BY 1, 2, 3, 4),
-{_choice_sql('ut', 'grp, ts', 'round(abs(a - b), 15), a')}
-SELECT grp, ts, round(a + 1e-9, 6) AS action, round(u + 1e-9, 6) AS utility FROM rk WHERE rn = 1""")
+k AS (SELECT grp, site, ts, b, a, unnest(p0) / tp AS w, unnest({_lit(D.CLASS_CENTRES)}) AS y FROM a),
+ut AS (SELECT grp, site, ts, b, a, sum(w * (y * {_PRICE('abs(a - y)')} / (4 * (SELECT m FROM mc)) - abs(a - y))) AS u FROM k GROUP BY ALL),
+{_choice_sql('ut', 'grp, site, ts', 'round(abs(a - b), 15), a')}
+SELECT grp, site, ts, round(a + 1e-9, 6) AS action, round(u + 1e-9, 6) AS utility FROM rk WHERE rn = 1""")
 def ordinal_class_action(v) -> DataFrame:
-    rows = _pmf(v.gday, D.CLASS_CENTRES, F.col("cand") / F.col("capacity"))
-    rows = rows.withColumn("c", D.class_action("pmf", F.col("base") / F.col("capacity"), F.lit(_mean_cf(v.gday))))
-    return rows.select("grp", "ts", r6("c.action").alias("action"), r6("c.utility").alias("utility"))
+    rows = _pmf(v.fcst, D.CLASS_CENTRES, F.col("cand") / F.col("capacity"))
+    rows = rows.withColumn("c", D.class_action("pmf", F.col("base") / F.col("capacity"), F.lit(_mean_cf(v.fcst))))
+    return rows.select("grp", "site", "ts", r6("c.action").alias("action"), r6("c.utility").alias("utility"))
 
 
 def _pmf(df: DataFrame, centres, at) -> DataFrame:
@@ -188,19 +188,19 @@ def _pmf(df: DataFrame, centres, at) -> DataFrame:
 
 
 @query("residual_class_action", "E16 E22", f"""
-WITH mc AS (SELECT avg(actual / capacity) AS m FROM gday WHERE {_ELIG}),
-r AS (SELECT grp, ts, base, capacity, base / capacity AS b, {_PMF(D.RESIDUAL_CENTRES, '(cand - base) / capacity')} AS p0 FROM gday),
+WITH mc AS (SELECT avg(actual / capacity) AS m FROM fcst WHERE {_ELIG}),
+r AS (SELECT grp, site, ts, base, capacity, base / capacity AS b, {_PMF(D.RESIDUAL_CENTRES, '(cand - base) / capacity')} AS p0 FROM fcst),
 p AS (SELECT *, list_sum(p0) AS tp FROM r),
 a AS (SELECT *, unnest({_lit(D.ACTION_DELTAS)}) AS d FROM p),
-k AS (SELECT grp, ts, base, capacity, d, least(greatest(b + d, 0), 1.02) AS a, unnest(p0) / tp AS w, unnest(list_transform({_lit(D.RESIDUAL_CENTRES)}, lambda q: least(greatest(b + q, 0.10e0), 1.2e0))) AS y FROM a),
-ut AS (SELECT grp, ts, base, capacity, d, sum(w * (y * {_PRICE('abs(a - y)')} / (4 * (SELECT m FROM mc)) - abs(a - y))) AS u FROM k GROUP BY 1, 2, 3, 4, 5),
-{_choice_sql('ut', 'grp, ts', 'round(abs(d), 15), d')}
-SELECT grp, ts, round(d + 1e-9, 6) AS delta, round(u + 1e-9, 6) AS utility, round(least(greatest(base / capacity + 0.25 * d, 0), 1.02) * capacity + 1e-9, 6) AS shrunk FROM rk WHERE rn = 1""")
+k AS (SELECT grp, site, ts, base, capacity, d, least(greatest(b + d, 0), 1.02) AS a, unnest(p0) / tp AS w, unnest(list_transform({_lit(D.RESIDUAL_CENTRES)}, lambda q: least(greatest(b + q, 0.10e0), 1.2e0))) AS y FROM a),
+ut AS (SELECT grp, site, ts, base, capacity, d, sum(w * (y * {_PRICE('abs(a - y)')} / (4 * (SELECT m FROM mc)) - abs(a - y))) AS u FROM k GROUP BY ALL),
+{_choice_sql('ut', 'grp, site, ts', 'round(abs(d), 15), d')}
+SELECT grp, site, ts, round(d + 1e-9, 6) AS delta, round(u + 1e-9, 6) AS utility, round(least(greatest(base / capacity + 0.25 * d, 0), 1.02) * capacity + 1e-9, 6) AS shrunk FROM rk WHERE rn = 1""")
 def residual_class_action(v) -> DataFrame:
-    rows = _pmf(v.gday, D.RESIDUAL_CENTRES, (F.col("cand") - F.col("base")) / F.col("capacity"))
-    delta, choice = D.residual_action("pmf", F.col("base") / F.col("capacity"), F.lit(_mean_cf(v.gday)))
+    rows = _pmf(v.fcst, D.RESIDUAL_CENTRES, (F.col("cand") - F.col("base")) / F.col("capacity"))
+    delta, choice = D.residual_action("pmf", F.col("base") / F.col("capacity"), F.lit(_mean_cf(v.fcst)))
     rows = rows.withColumn("_c", choice).withColumn("delta", F.element_at(D.literal_array(D.ACTION_DELTAS), F.col("_c.position") + 1))
-    return rows.select("grp", "ts", r6("delta").alias("delta"), r6("_c.utility").alias("utility"), r6(E.action_shrink("base", "delta", 0.25)).alias("shrunk"))
+    return rows.select("grp", "site", "ts", r6("delta").alias("delta"), r6("_c.utility").alias("utility"), r6(E.action_shrink("base", "delta", 0.25)).alias("shrunk"))
 
 
 _Q5 = ["0.8 * base / capacity", "base / capacity", "cand / capacity", "third / capacity", "1.15 * cand / capacity"]
@@ -218,66 +218,66 @@ def _outcome_sql() -> str:
 
 
 @query("quantile_action", "E17 F24", f"""
-WITH mc AS (SELECT avg(actual / capacity) AS m FROM gday WHERE {_ELIG}),
-r AS (SELECT grp, ts, base / capacity AS b, list_sort([{', '.join(_Q5)}]) AS q FROM gday),
+WITH mc AS (SELECT avg(actual / capacity) AS m FROM fcst WHERE {_ELIG}),
+r AS (SELECT grp, site, ts, base / capacity AS b, list_sort([{', '.join(_Q5)}]) AS q FROM fcst),
 o AS (SELECT *, {_outcome_sql()} AS ys FROM r),
 a AS (SELECT *, unnest(list_sort(list_distinct(list_transform(list_concat(list_concat({_lit([round(0.01 * i, 12) for i in range(103)])}, [b]), q), lambda x: least(greatest(x, 0.0e0), 1.02e0))))) AS a FROM o),
-k AS (SELECT grp, ts, b, a, unnest(ys) AS y FROM a),
-ut AS (SELECT grp, ts, b, a, avg(y * {_PRICE('abs(a - y)')} / (4 * (SELECT m FROM mc)) - abs(a - y)) AS u FROM k GROUP BY 1, 2, 3, 4),
-{_choice_sql('ut', 'grp, ts', 'round(abs(a - b), 15), a')}
-SELECT grp, ts, round(a + 1e-9, 6) AS action, round(u + 1e-9, 6) AS utility FROM rk WHERE rn = 1""")
+k AS (SELECT grp, site, ts, b, a, unnest(ys) AS y FROM a),
+ut AS (SELECT grp, site, ts, b, a, avg(y * {_PRICE('abs(a - y)')} / (4 * (SELECT m FROM mc)) - abs(a - y)) AS u FROM k GROUP BY ALL),
+{_choice_sql('ut', 'grp, site, ts', 'round(abs(a - b), 15), a')}
+SELECT grp, site, ts, round(a + 1e-9, 6) AS action, round(u + 1e-9, 6) AS utility FROM rk WHERE rn = 1""")
 def quantile_action(v) -> DataFrame:
     cap = F.col("capacity")
     quantiles, _ = D.repaired_quantiles([0.8 * F.col("base") / cap, F.col("base") / cap, F.col("cand") / cap, F.col("third") / cap, 1.15 * F.col("cand") / cap])
-    rows = v.gday.withColumns({"q": quantiles, "b": F.col("base") / cap})
-    rows = rows.withColumn("c", D.quantile_action("q", "b", F.lit(_mean_cf(v.gday))))
-    return rows.select("grp", "ts", r6("c.action").alias("action"), r6("c.utility").alias("utility"))
+    rows = v.fcst.withColumns({"q": quantiles, "b": F.col("base") / cap})
+    rows = rows.withColumn("c", D.quantile_action("q", "b", F.lit(_mean_cf(v.fcst))))
+    return rows.select("grp", "site", "ts", r6("c.action").alias("action"), r6("c.utility").alias("utility"))
 
 
 @query("residual_quantile_action", "E17", f"""
-WITH mc AS (SELECT avg(actual / capacity) AS m FROM gday WHERE {_ELIG}),
-r AS (SELECT grp, ts, base / capacity AS b, list_sort(list_transform([{', '.join(_Q5)}], lambda x: x - base / capacity)) AS q FROM gday),
+WITH mc AS (SELECT avg(actual / capacity) AS m FROM fcst WHERE {_ELIG}),
+r AS (SELECT grp, site, ts, base / capacity AS b, list_sort(list_transform([{', '.join(_Q5)}], lambda x: x - base / capacity)) AS q FROM fcst),
 o AS (SELECT *, {_outcome_sql().replace('least(greatest(q', 'least(greatest(b + (q').replace(', 0.1e0)', '), 0.1e0)')} AS ys FROM r),
 a AS (SELECT *, unnest(list_sort(list_distinct(list_transform(list_concat(list_concat({_lit([round(0.01 + 0.01 * i, 12) for i in range(102)])}, [b]), list_transform(q, lambda x: x + b)), lambda x: least(greatest(x, 0.0e0), 1.02e0))))) AS a FROM o),
-k AS (SELECT grp, ts, b, a, unnest(ys) AS y FROM a),
-ut AS (SELECT grp, ts, b, a, avg(y * {_PRICE('abs(a - y)')} / (4 * (SELECT m FROM mc)) - abs(a - y)) AS u FROM k GROUP BY 1, 2, 3, 4),
-{_choice_sql('ut', 'grp, ts', 'round(abs(a - b), 15), a')}
-SELECT grp, ts, round(a + 1e-9, 6) AS action, round(u + 1e-9, 6) AS utility FROM rk WHERE rn = 1""")
+k AS (SELECT grp, site, ts, b, a, unnest(ys) AS y FROM a),
+ut AS (SELECT grp, site, ts, b, a, avg(y * {_PRICE('abs(a - y)')} / (4 * (SELECT m FROM mc)) - abs(a - y)) AS u FROM k GROUP BY ALL),
+{_choice_sql('ut', 'grp, site, ts', 'round(abs(a - b), 15), a')}
+SELECT grp, site, ts, round(a + 1e-9, 6) AS action, round(u + 1e-9, 6) AS utility FROM rk WHERE rn = 1""")
 def residual_quantile_action(v) -> DataFrame:
     cap = F.col("capacity")
     b = F.col("base") / cap
     quantiles, _ = D.repaired_quantiles([0.8 * F.col("base") / cap - b, b - b, F.col("cand") / cap - b, F.col("third") / cap - b, 1.15 * F.col("cand") / cap - b])
-    rows = v.gday.withColumns({"q": quantiles, "b": b})
-    rows = rows.withColumn("c", D.quantile_action("q", "b", F.lit(_mean_cf(v.gday)), residual=True, first_grid=0.01))
-    return rows.select("grp", "ts", r6("c.action").alias("action"), r6("c.utility").alias("utility"))
+    rows = v.fcst.withColumns({"q": quantiles, "b": b})
+    rows = rows.withColumn("c", D.quantile_action("q", "b", F.lit(_mean_cf(v.fcst)), residual=True, first_grid=0.01))
+    return rows.select("grp", "site", "ts", r6("c.action").alias("action"), r6("c.utility").alias("utility"))
 
 
 _THIN = [0.5 / 41 + (1 - 1 / 41) * i / 40 for i in range(41)]
 
 
 @query("residual_sample_decision", "E18 T09", f"""
-WITH mc AS (SELECT avg(actual / capacity) AS m FROM gday WHERE {_ELIG} AND ts < TIMESTAMP '1999-01-01'),
-f AS (SELECT (actual - base) / capacity AS r, base / capacity AS b FROM gday WHERE {_ELIG} AND ts < TIMESTAMP '1999-01-01'),
+WITH mc AS (SELECT avg(actual / capacity) AS m FROM fcst WHERE {_ELIG} AND ts < TIMESTAMP '1999-01-01'),
+f AS (SELECT (actual - base) / capacity AS r, base / capacity AS b FROM fcst WHERE {_ELIG} AND ts < TIMESTAMP '1999-01-01'),
 ed AS (SELECT unnest([0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.95]) AS e),
 fb AS (SELECT *, (SELECT count(*) FROM ed WHERE e <= b) AS bin FROM f),
-s0 AS (SELECT bin, count(*) AS n, quantile_cont(r, {_THIN}) AS c, stddev_samp(r) AS sd, (quantile_cont(r, 0.75) - quantile_cont(r, 0.25)) / 1.349 AS rb FROM fb GROUP BY 1
+s0 AS (SELECT bin, count(*) AS n, quantile_cont(r, {_THIN}) AS c, stddev_samp(r) AS sd, (quantile_cont(r, 0.75) - quantile_cont(r, 0.25)) / 1.349 AS rb FROM fb GROUP BY ALL
        UNION ALL SELECT -1, count(*), quantile_cont(r, {_THIN}), stddev_samp(r), (quantile_cont(r, 0.75) - quantile_cont(r, 0.25)) / 1.349 FROM fb),
 s1 AS (SELECT *, least(greatest(0.9 * greatest(CASE WHEN rb > 0 THEN least(sd, rb) ELSE sd END, 1e-12) * pow(n, -0.2), 0.003), 0.03) AS h FROM s0),
 s2 AS (SELECT bin, n, list_concat(list_concat(list_transform(c, lambda x: x - h), c), list_concat(c, list_transform(c, lambda x: x + h))) AS sm FROM s1),
-q AS (SELECT grp, ts, base / capacity AS b, (SELECT count(*) FROM ed WHERE e <= base / capacity) AS bin FROM gday WHERE ts >= TIMESTAMP '1999-01-01'),
+q AS (SELECT grp, site, ts, base / capacity AS b, (SELECT count(*) FROM ed WHERE e <= base / capacity) AS bin FROM fcst WHERE ts >= TIMESTAMP '1999-01-01'),
 m AS (SELECT q.*, l.sm AS ls, coalesce(l.n / (l.n + 500.0), 0) AS al, g.sm AS gs FROM q LEFT JOIN s2 l ON l.bin = q.bin AND l.n >= 250 JOIN s2 g ON g.bin = -1),
 a AS (SELECT *, unnest(list_distinct(list_transform({_lit(D.SAMPLE_OFFSETS)}, lambda o: least(greatest(b + o, 0), 1.02)))) AS a FROM m),
-k AS (SELECT grp, ts, b, a, unnest(ls) AS r, al / 164.0 AS w FROM a UNION ALL SELECT grp, ts, b, a, unnest(gs), (1 - al) / 164.0 FROM a),
+k AS (SELECT grp, site, ts, b, a, unnest(ls) AS r, al / 164.0 AS w FROM a UNION ALL SELECT grp, site, ts, b, a, unnest(gs), (1 - al) / 164.0 FROM a),
 y AS (SELECT *, least(greatest(b + r, 0.1), 1.2) AS y FROM k),
-ut AS (SELECT grp, ts, b, a, sum(w * (y * {_PRICE('abs(a - y)')} / (4 * (SELECT m FROM mc)) - abs(a - y))) AS u FROM y GROUP BY 1, 2, 3, 4),
-{_choice_sql('ut', 'grp, ts', 'round(abs(a - b), 15), a')}
-SELECT grp, ts, round(a + 1e-9, 6) AS raw_action, round(least(greatest(b + 0.65 * (a - b), 0), 1.02) + 1e-9, 6) AS decision_cf FROM rk WHERE rn = 1""")
+ut AS (SELECT grp, site, ts, b, a, sum(w * (y * {_PRICE('abs(a - y)')} / (4 * (SELECT m FROM mc)) - abs(a - y))) AS u FROM y GROUP BY ALL),
+{_choice_sql('ut', 'grp, site, ts', 'round(abs(a - b), 15), a')}
+SELECT grp, site, ts, round(a + 1e-9, 6) AS raw_action, round(least(greatest(b + 0.65 * (a - b), 0), 1.02) + 1e-9, 6) AS decision_cf FROM rk WHERE rn = 1""")
 def residual_sample_decision(v) -> DataFrame:
-    rows = v.gday.withColumns({"base_cf": F.col("base") / F.col("capacity"), "residual": (F.col("actual") - F.col("base")) / F.col("capacity")})
+    rows = v.fcst.withColumns({"base_cf": F.col("base") / F.col("capacity"), "residual": (F.col("actual") - F.col("base")) / F.col("capacity")})
     split = F.lit("1999-01-01").cast("timestamp_ntz")
     fit = rows.where((F.col("ts") < split) & (F.col("actual") >= 0.10 * F.col("capacity")))
     out = D.binned_sample_decisions(fit, rows.where(F.col("ts") >= split), _mean_cf(fit))
-    return rounded(out, ["grp", "ts"], ["raw_action", "decision_cf"])
+    return rounded(out, ["grp", "site", "ts"], ["raw_action", "decision_cf"])
 
 
 _LEAF = "[day(ts) * 3 + site % 3, month(ts) * 2 + site % 2, CAST(floor(base / 5) AS BIGINT)]"
@@ -300,31 +300,31 @@ def forest_weighted_mean(v) -> DataFrame:
     return out.select("grp", "site", "ts", "trees", "members", r6("forest_y").alias("forest_y"))
 
 
-_GLEAF = "[day(ts) * 1, month(ts) * 2 + year(ts) % 2, CAST(floor(base / 2) AS BIGINT)]"
+_GLEAF = "[day(ts) * 12 + month(ts), (site % 25) * 100 + month(ts) * 2 + year(ts) % 2, CAST(floor(base / 2) AS BIGINT) * 31 + day(ts)]"
 
 
 @query("forest_empirical_action", "E19 J11", f"""
-WITH mc AS (SELECT avg(actual / capacity) AS m FROM gday WHERE {_ELIG} AND ts < TIMESTAMP '2000-01-01'),
-f AS (SELECT (actual - base) / capacity AS r, unnest([0, 1, 2]) AS tree, unnest({_GLEAF}) AS leaf FROM gday WHERE ts < TIMESTAMP '2000-01-01'),
-n AS (SELECT tree, leaf, count(*) AS n FROM f GROUP BY 1, 2),
-q AS (SELECT grp, ts, base / capacity AS b, unnest([0, 1, 2]) AS tree, unnest({_GLEAF}) AS leaf FROM gday WHERE ts >= TIMESTAMP '2000-01-01'),
-k AS (SELECT q.grp, q.ts, q.b, d, least(greatest(b + d, 0), 1.02) AS a, least(greatest(b + r, 0.1), 1.2) AS y, 1.0 / (3 * n.n) AS w
+WITH mc AS (SELECT avg(actual / capacity) AS m FROM fcst WHERE {_ELIG} AND ts < TIMESTAMP '2000-01-01'),
+f AS (SELECT (actual - base) / capacity AS r, unnest([0, 1, 2]) AS tree, unnest({_GLEAF}) AS leaf FROM fcst WHERE ts < TIMESTAMP '2000-01-01'),
+n AS (SELECT tree, leaf, count(*) AS n FROM f GROUP BY ALL),
+q AS (SELECT grp, site, ts, base / capacity AS b, unnest([0, 1, 2]) AS tree, unnest({_GLEAF}) AS leaf FROM fcst WHERE ts >= TIMESTAMP '2000-01-01'),
+k AS (SELECT q.grp, q.site, q.ts, q.b, d, least(greatest(b + d, 0), 1.02) AS a, least(greatest(b + r, 0.1), 1.2) AS y, 1.0 / (3 * n.n) AS w
       FROM q JOIN f ON f.tree = q.tree AND f.leaf = q.leaf JOIN n ON n.tree = q.tree AND n.leaf = q.leaf, (SELECT unnest({_lit(D.ACTION_DELTAS)}) AS d)),
-ut AS (SELECT grp, ts, d, sum(w * (y * {_PRICE('abs(a - y)')} / (4 * (SELECT m FROM mc)) - abs(a - y))) AS u FROM k GROUP BY 1, 2, 3),
-{_choice_sql('ut', 'grp, ts', 'round(abs(d), 15), d')}
-SELECT grp, ts, round(d + 1e-9, 6) AS delta, round(u + 1e-9, 6) AS utility FROM rk WHERE rn = 1""")
+ut AS (SELECT grp, site, ts, d, sum(w * (y * {_PRICE('abs(a - y)')} / (4 * (SELECT m FROM mc)) - abs(a - y))) AS u FROM k GROUP BY ALL),
+{_choice_sql('ut', 'grp, site, ts', 'round(abs(d), 15), d')}
+SELECT grp, site, ts, round(d + 1e-9, 6) AS delta, round(u + 1e-9, 6) AS utility FROM rk WHERE rn = 1""")
 def forest_empirical_action(v) -> DataFrame:
-    rows = v.gday.withColumns({"base_cf": F.col("base") / F.col("capacity"), "residual": (F.col("actual") - F.col("base")) / F.col("capacity"),
-                               "leaves": F.array(F.day("ts").cast("long"), (F.month("ts") * 2 + F.year("ts") % 2).cast("long"), F.floor(F.col("base") / 2))})
+    rows = v.fcst.withColumns({"base_cf": F.col("base") / F.col("capacity"), "residual": (F.col("actual") - F.col("base")) / F.col("capacity"),
+                               "leaves": F.array((F.day("ts") * 12 + F.month("ts")).cast("long"), (F.col("site") % 25 * 100 + F.month("ts") * 2 + F.year("ts") % 2).cast("long"), F.floor(F.col("base") / 2) * 31 + F.day("ts"))})
     fit = rows.where(F.col("ts") < F.lit("2000-01-01").cast("timestamp_ntz"))
     ask = rows.where(F.col("ts") >= F.lit("2000-01-01").cast("timestamp_ntz"))
-    out = D.forest_action(fit, ask, "leaves", ["grp", "ts"], ["grp", "ts"], "residual", "base_cf", _mean_cf(fit), part_rows=64)
-    return rounded(out, ["grp", "ts"], ["delta", "utility"])
+    out = D.forest_action(fit, ask, "leaves", ["grp", "site", "ts"], ["grp", "site", "ts"], "residual", "base_cf", _mean_cf(fit), part_rows=64)
+    return rounded(out, ["grp", "site", "ts"], ["delta", "utility"])
 
 
 _P6 = "greatest(1 - abs(a - cand / capacity) * 9, 0)"
 _P8 = "greatest(0.9 - abs(a - third / capacity) * 6, 0)"
-_IU = f"""s AS (SELECT grp, ts, base, capacity, unnest(range(0, 103)) / 100.0 AS a, cand, third FROM gday),
+_IU = f"""s AS (SELECT grp, site, ts, base, capacity, unnest(range(0, 103)) / 100.0 AS a, cand, third FROM fcst),
 p AS (SELECT *, {_P6} AS p6, {_P8} AS p8 FROM s),
 u AS (SELECT *, -0.5 * least(greatest(abs(a - cand / capacity), 0), 1.2) + 0.5 * (0.25 * CASE WHEN p6 > p8 THEN 0.5 * (p6 + p8) ELSE p6 END
        + 0.75 * CASE WHEN p6 > p8 THEN 0.5 * (p6 + p8) ELSE p8 END) AS u FROM p)"""
@@ -337,27 +337,27 @@ def _surface(v) -> DataFrame:
         p6, p8, _ = D.repair_interval(F.greatest(1 - F.abs(a - F.col("cand") / cap) * 9, F.lit(0.0)), F.greatest(0.9 - F.abs(a - F.col("third") / cap) * 6, F.lit(0.0)))
         return D.interval_utility(p6, p8, F.abs(a - F.col("cand") / cap))
 
-    return v.gday.withColumn("utilities", F.transform(D.literal_array(D.ACTION_GRID), utility))
+    return v.fcst.withColumn("utilities", F.transform(D.literal_array(D.ACTION_GRID), utility))
 
 
 @query("interval_probability_action", "E20 F24 J20", f"""
-WITH {_IU}, {_choice_sql('u', 'grp, ts', 'round(abs(a - base / capacity), 15), a')}
-SELECT grp, ts, round(a + 1e-9, 6) AS action, round(u + 1e-9, 6) AS utility FROM rk WHERE rn = 1""")
+WITH {_IU}, {_choice_sql('u', 'grp, site, ts', 'round(abs(a - base / capacity), 15), a')}
+SELECT grp, site, ts, round(a + 1e-9, 6) AS action, round(u + 1e-9, 6) AS utility FROM rk WHERE rn = 1""")
 def interval_probability_action(v) -> DataFrame:
     rows = _surface(v).withColumn("c", D.choose_on_grid("utilities", F.col("base") / F.col("capacity")))
-    return rows.select("grp", "ts", r6("c.action").alias("action"), r6("c.utility").alias("utility"))
+    return rows.select("grp", "site", "ts", r6("c.action").alias("action"), r6("c.utility").alias("utility"))
 
 
 @query("selective_scale", "E21 F25", f"""
-WITH {_IU}, l AS (SELECT grp, ts, any_value(base) AS base, any_value(capacity) AS capacity, list(u ORDER BY a) AS us FROM u GROUP BY 1, 2),
+WITH {_IU}, l AS (SELECT grp, site, ts, any_value(base) AS base, any_value(capacity) AS capacity, list(u ORDER BY a) AS us FROM u GROUP BY ALL),
 x AS (SELECT *, 100 * least(greatest(base / capacity, 0), 1.02) AS c0, 100 * least(greatest(0.98 * (base / capacity), 0), 1.02) AS c1 FROM l),
 y AS (SELECT *, (1 - (c1 - floor(c1))) * us[floor(c1)::INT + 1] + (c1 - floor(c1)) * us[least(floor(c1)::INT + 2, 103)]
               - ((1 - (c0 - floor(c0))) * us[floor(c0)::INT + 1] + (c0 - floor(c0)) * us[least(floor(c0)::INT + 2, 103)]) AS adv FROM x)
-SELECT grp, ts, round(adv + 1e-9, 6) + 0 AS utility_advantage, adv > 0.01 AS gate,
+SELECT grp, site, ts, round(adv + 1e-9, 6) + 0 AS utility_advantage, adv > 0.01 AS gate,
        round(least(greatest(CASE WHEN adv > 0.01 THEN 0.98 * (base / capacity) ELSE base / capacity END * capacity, 0), 1.02 * capacity) + 1e-9, 6) AS candidate FROM y""")
 def selective_scale(v) -> DataFrame:
     rows = _surface(v).withColumns(D.selective_scale("base", "utilities", "capacity"))
-    return rows.select("grp", "ts", r6("utility_advantage").alias("utility_advantage"), "gate", r6("candidate").alias("candidate"))
+    return rows.select("grp", "site", "ts", r6("utility_advantage").alias("utility_advantage"), "gate", r6("candidate").alias("candidate"))
 
 
 def _affine_sql() -> str:
@@ -408,11 +408,16 @@ def bounded_calibration(v) -> DataFrame:
     return rounded(K.fit_bounded(v.fcst, "base"), ["grp"], ["scale", "bias_fraction", "upper", "score"])
 
 
-_SP = K.simplex_start(3, K.simplex_lattice(3, 10))
+_DRAWS = 200
+_SP = K.simplex_start(3, K.simplex_draws(3, _DRAWS))
+_EXPO = "-ln((CAST('0x' || substr(md5('42-' || i || '-{}'), 1, 8) AS BIGINT) + 0.5) / 4294967296.0)"
 
 
 @query("simplex_candidate_scores", "E26", f"""
-WITH c AS (SELECT unnest(range(0, {len(_SP)})) AS candidate, unnest({_lit([c.weights[0] for c in _SP])}) AS a, unnest({_lit([c.weights[1] for c in _SP])}) AS b, unnest({_lit([c.weights[2] for c in _SP])}) AS d)
+WITH e AS (SELECT i, {', '.join(f'{_EXPO.format(m)} AS e{m}' for m in range(3))} FROM range(0, {_DRAWS}) t(i)),
+w AS (SELECT i, round(e0 / (e0 + e1 + e2), 9) AS a, round(e1 / (e0 + e1 + e2), 9) AS b FROM e),
+c AS (SELECT unnest([0, 1, 2, 3]) AS candidate, unnest({_lit([c.weights[0] for c in _SP[:4]])}) AS a, unnest({_lit([c.weights[1] for c in _SP[:4]])}) AS b, unnest({_lit([c.weights[2] for c in _SP[:4]])}) AS d
+      UNION ALL SELECT 4 + i, a, b, round(1.0 - (a + b), 9) FROM w)
 SELECT grp, candidate, round(0.5 * (1 - avg(e)) + 0.5 * sum(actual * {_PRICE('e')}) / (4 * sum(actual)) + 1e-9, 6) AS score FROM
   (SELECT c.candidate, grp, actual, abs(round(a * base + b * cand + d * third, 9) - actual) / capacity AS e FROM fcst, c WHERE {_ELIG}) GROUP BY 1, 2""")
 def simplex_candidate_scores(v) -> DataFrame:
@@ -422,7 +427,7 @@ def simplex_candidate_scores(v) -> DataFrame:
 
 @query("simplex_weight_search", "E26 T03")
 def simplex_weight_search(v) -> DataFrame:
-    return K.fit_simplex(v.fcst, ["base", "cand", "third"], ["g1", "g2", "g3"], extra=K.simplex_lattice(3, 10))
+    return K.fit_simplex(v.fcst, ["base", "cand", "third"], ["g1", "g2", "g3"], extra=K.simplex_draws(3, 64))
 
 
 _PROBE = [round(0.80 + 0.01 * i, 12) for i in range(41)]

@@ -13,6 +13,7 @@ from windrow.operators import calibrate as K
 from windrow.operators import decisions as D
 from windrow.operators import design
 from windrow.operators import drift as R
+from windrow.operators import least_squares as Q
 from windrow.operators import meta as A
 from windrow.operators import models as M
 from windrow.operators import runs
@@ -26,11 +27,14 @@ SPLIT = "1999-07-01"
 RIDGE_ALPHA = 250.0
 FEATURES = ["base_cf", "cand_cf", "third_cf", "component_std_cf", "component_range_cf", "day_of_year_sin", "day_of_year_cos", "z_wind"]
 GROUPS = ["g1", "g2", "g3"]
+KEYS = ["grp", "site", "ts"]
+#: the query's rounds; the operator's own are INTERVAL_ROUNDS of models
+INTERVAL_ROUNDS = 10
 
 
 def _rows(v) -> DataFrame:
     features = A.meta_features("base", ["cand", "third"], [("cand", "third")], "ts", "capacity")
-    rows = v.gday.withColumns(features)
+    rows = v.fcst.withColumns(features)
     return checkpoint(rows.withColumns({"actual_cf": F.col("actual") / F.col("capacity"), "z_wind": F.col("third") / 15.0, "lead": (F.dayofmonth("ts") % 24 + 12).cast("double"), "run": T.day_floor("ts")}))  # every fit and scaler reads the design
 
 
@@ -44,7 +48,7 @@ def _mean_cf(train: DataFrame) -> float:
     return train.agg(F.avg("actual_cf")).first()[0]
 
 
-def _out(df: DataFrame, *values: str, keys=("grp", "ts")) -> DataFrame:
+def _out(df: DataFrame, *values: str, keys=("grp", "site", "ts")) -> DataFrame:
     return df.select(*keys, *[r6(c).alias(c) for c in values])
 
 
@@ -73,7 +77,7 @@ def feature_gains(v) -> DataFrame:
 def quantile_forecast(v) -> DataFrame:
     train, apply = _split(_rows(v))
     out = M.binned_quantile_surface(train, apply, "base_cf", "actual_cf", [0.1, 0.25, 0.5, 0.6, 0.7, 0.9])
-    return out.select("grp", "ts", *[r6(F.element_at("quantiles", i + 1)).alias(f"q{i}") for i in range(6)])
+    return out.select("grp", "site", "ts", *[r6(F.element_at("quantiles", i + 1)).alias(f"q{i}") for i in range(6)])
 
 
 @query("leaf_quantile_forecast", "M03 J11")
@@ -81,8 +85,8 @@ def leaf_quantile_forecast(v) -> DataFrame:
     train, apply = _split(_rows(v))
     model = M.forest(train, FEATURES, "actual_cf", leaf="leaf")
     fit, ask = M.leaf_rows(model, train, FEATURES), M.leaf_rows(model, apply, FEATURES)
-    out = M.leaf_quantile_surface(fit, ask, "leaves", ["grp", "ts"], "actual_cf", [0.1, 0.5, 0.9])
-    return out.select("grp", "ts", *[r6(F.element_at("quantiles", i + 1)).alias(f"q{i}") for i in range(3)])
+    out = M.leaf_quantile_surface(fit, ask, "leaves", ["grp", "site", "ts"], "actual_cf", [0.1, 0.5, 0.9])
+    return out.select("grp", "site", "ts", *[r6(F.element_at("quantiles", i + 1)).alias(f"q{i}") for i in range(3)])
 
 
 @query("train_only_scaling", "M04 A25", """
@@ -100,20 +104,20 @@ def train_only_scaling(v) -> DataFrame:
 def density_ratio_weights(v) -> DataFrame:
     rows = _rows(v)
     at = F.lit(SPLIT).cast("timestamp_ntz")
-    cols = ["grp", "ts", "run", *FEATURES[:4], "actual_cf"]
+    cols = ["grp", "site", "ts", "run", *FEATURES[:4], "actual_cf"]
     weighted, _ = M.density_ratio(rows.where(F.col("ts") < at).select(*cols), rows.where(F.col("ts") >= at).select(*cols), FEATURES[:4], "run", F.col("actual_cf") >= 0.10)
     return _out(weighted, "domain_probability", "density_weight")
 
 
 @query("seasonal_wind_ridge", "M06 F07")
 def seasonal_wind_ridge(v) -> DataFrame:
-    rows = v.gday.withColumn("actual_cf", F.col("actual") / F.col("capacity"))
+    """One standardised ridge per group, all in one pass."""
+    rows = v.fcst.withColumn("actual_cf", F.col("actual") / F.col("capacity"))
     design = P.seasonal_wind_design("ts", F.col("third") / 2)
     names = list(design)
     train, apply = _split(rows.withColumns(design))
-    scaler = M.TrainOnlyScaler(train, names)
-    model = M.ridge(scaler.transform(train), names, "actual_cf", RIDGE_ALPHA)
-    return _out(M.predict(model, scaler.transform(apply), names, "cf", (0.0, 1.02)), "cf")
+    models = Q.ridges(train, ["grp"], names, "actual_cf", RIDGE_ALPHA, standardise=True, minimum=len(names) + 1)
+    return _out(Q.apply_ridges(apply, models, ["grp"], names, "cf", (0.0, M.UPPER_CF)), "cf")
 
 
 @query("run_residual_models", "M07 W06")
@@ -179,7 +183,7 @@ def telemetry_auxiliary_predictions(v) -> DataFrame:
 
 @query("cross_farm_pseudo_labels", "M13 U03")
 def cross_farm_pseudo_labels(v) -> DataFrame:
-    wide = v.gday.groupBy("ts").agg(*[F.max(F.when(F.col("grp") == g, F.col("actual") / F.col("capacity"))).alias(g) for g in GROUPS])
+    wide = v.fcst.groupBy("ts").agg(*[F.max(F.when(F.col("grp") == g, F.col("actual") / F.col("capacity"))).alias(g) for g in GROUPS])
     at = F.lit("1997-01-01").cast("timestamp_ntz")
     out = M.pseudo_labels(wide, F.col("ts") >= at, F.col("ts") < at, ["g1", "g2"], "g3")
     return out.select("ts", "origin", r6("g3").alias("g3"))
@@ -242,7 +246,7 @@ def ordinal_class_forecast(v) -> DataFrame:
     train, apply = _split(_rows(v))
     pmf = M.class_pmf(train, apply, FEATURES, D.target_class("actual_cf"), D.CLASS_COUNT)
     out = pmf.withColumn("c", D.class_action("pmf", "base_cf", F.lit(_mean_cf(train))))
-    return out.select("grp", "ts", r6("c.action").alias("action"), r6("c.utility").alias("utility"))
+    return out.select("grp", "site", "ts", r6("c.action").alias("action"), r6("c.utility").alias("utility"))
 
 
 @query("residual_class_forecast", "M16 E16 E22 F35")
@@ -251,13 +255,13 @@ def residual_class_forecast(v) -> DataFrame:
     label = D.residual_class(F.col("actual_cf") - F.col("base_cf"))
     pmf = M.class_pmf(train, apply, FEATURES, label, D.RESIDUAL_CLASS_COUNT)
     delta, choice = D.residual_action("pmf", "base_cf", F.lit(_mean_cf(train)))
-    return pmf.withColumn("c", choice).select("grp", "ts", r6("c.action").alias("action"), r6("c.utility").alias("utility"))
+    return pmf.withColumn("c", choice).select("grp", "site", "ts", r6("c.action").alias("action"), r6("c.utility").alias("utility"))
 
 
 @query("interval_probability_policy", "M17 J20 E20 F24")
 def interval_probability_policy(v) -> DataFrame:
     train, apply = _split(_rows(v))
-    out = M.interval_policy(train.select("grp", "ts", "actual_cf", *FEATURES), apply.select("grp", "ts", *FEATURES), FEATURES, "actual_cf", "base_cf", D.ACTION_GRID)
+    out = M.interval_policy(train.select(*KEYS, "actual_cf", *FEATURES), apply.select(*KEYS, *FEATURES), FEATURES, "actual_cf", "base_cf", D.ACTION_GRID, maxIter=INTERVAL_ROUNDS)
     return _out(out, "action", "utility")
 
 
@@ -274,7 +278,7 @@ def leaf_empirical_decision(v) -> DataFrame:
     train, apply = _split(rows)
     model = M.forest(train, FEATURES, "residual", leaf="leaf")
     fit, ask = M.leaf_rows(model, train, FEATURES), M.leaf_rows(model, apply, FEATURES)
-    out = D.forest_action(fit, ask, "leaves", ["grp", "ts"], ["grp", "ts"], "residual", "base_cf", _mean_cf(train))
+    out = D.forest_action(fit, ask, "leaves", KEYS, KEYS, "residual", "base_cf", _mean_cf(train))
     return _out(out, "delta", "utility")
 
 
@@ -327,7 +331,7 @@ def common_factor_forward(v) -> DataFrame:
     at = [F.lit(b).cast("timestamp_ntz") for b in bounds]
     folds = [(F.col("ts") < at[i], (F.col("ts") >= at[i]) & (F.col("ts") < at[i + 1])) for i in range(2)]
     oof = M.fold_predictions(daily, folds, lambda d: M.boosted(d, FEATURES, "common_cf"), FEATURES, "oof_cf", (0.0, 1.02))
-    rows = v.gday.join(oof.select("ts", "oof_cf"), "ts").withColumn("raw", F.col("oof_cf") * F.col("capacity"))
+    rows = v.fcst.join(oof.select("ts", "oof_cf"), "ts").withColumn("raw", F.col("oof_cf") * F.col("capacity"))
     return K.fit_affine(rows, "raw", GROUPS)
 
 
