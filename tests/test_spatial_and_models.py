@@ -183,6 +183,20 @@ def test_manifest_digests(spark, tmp_path):
     assert got == {"a.bin": "FOUND_HASH_MATCH", "b.bin": "FOUND_HASH_MISMATCH", "c.bin": "MISSING"}
 
 
+def test_a_file_above_two_gigabytes_has_a_digest(spark, tmp_path):
+    name, size = "gross%20 é.bin", 2_150_000_000
+    with open(tmp_path / name, "wb") as f:
+        f.write(b"head")
+        f.truncate(size)  # sparse: takes no disk
+    digest = hashlib.sha256(b"head")
+    left = size - 4
+    while left:
+        digest.update(bytes(min(left, 1 << 24)))
+        left -= min(left, 1 << 24)
+    [row] = MF.describe_files(spark, [str(tmp_path)]).collect()
+    assert row.size_bytes == size and row.sha256 == digest.hexdigest() and MF.stream_digest(row.path) == row.sha256
+
+
 def test_nested_records_at_any_depth(spark):
     doc = {"path": "x", "sha256": "AA", "inner": [{"deep": {"path": "y", "sha256": "bb", "bytes": 3}}, 5, "s"], "path_only": {"path": "z"}}
     df = spark.createDataFrame([("m", json.dumps(doc)), ("bad", "{not json")], "source string, text string")

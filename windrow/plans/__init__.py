@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: modules that register queries when imported
-MODULES = ("scoring", "weather", "checking", "space", "measured", "composition", "shifting", "relations", "intake", "learning", "estimators", "boosted")
+MODULES = ("scoring", "weather", "checking", "space", "measured", "composition", "shifting", "relations", "intake", "learning", "estimators", "boosted", "faults")
 
 
 def load_all():

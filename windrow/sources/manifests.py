@@ -2,27 +2,61 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote, urlsplit
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from windrow.functions.exprs import ColumnLike, col
-from windrow.session import checkpoint
+from windrow.session import checkpoint, spread
 
-#: larger files do not fit one binary value; they are listed without a digest and get a status of their own
-MAX_BINARY_BYTES = 2_000_000_000
+#: stores whose files are read as streams; files of others come as one binary value each, of at most this size
+STREAMED, MAX_BINARY_BYTES = ("", "file", "hdfs", "s3", "s3a", "gs"), 2_000_000_000
+CHUNK_BYTES = 8 << 20
+
+
+def stream_digest(path: str, chunk: int = CHUNK_BYTES) -> str:
+    """SHA-256 of a file of any size, a chunk at a time.  ``path`` as Spark lists it: a scheme and the plain, unquoted path."""
+    if path.startswith("file:") or "://" not in path:
+        store, place = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+    else:
+        scheme, _, rest = path.partition("://")
+        store, place = fs.FileSystem.from_uri(f"{scheme.replace('s3a', 's3')}://{quote(rest)}")
+    digest = hashlib.sha256()
+    with store.open_input_stream(place, compression=None) as stream:
+        while data := stream.read(chunk):
+            digest.update(data)
+    return digest.hexdigest()
 
 
 def describe_files(spark: SparkSession, paths: Sequence[str], pattern: str | None = None) -> DataFrame:
-    """(path, size_bytes, modified, sha256).  The size filter is pushed to the listing, so an oversized file is never read."""
+    """(path, size_bytes, modified, sha256) of all files below ``paths``.
+
+    Spark lists the files.  Their content passes a digest as a stream inside the task that holds the path, so no file is a value and none is too
+    large.  Only in stores that cannot be opened as streams a file is read as one binary value, and one above MAX_BINARY_BYTES has no digest.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     files = reader.load(list(paths))
-    small = files.where(F.col("length") <= MAX_BINARY_BYTES).select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
-    large = files.where(F.col("length") > MAX_BINARY_BYTES).select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), F.lit(None).cast("string").alias("sha256"))
-    return small.unionByName(large)
+    own = ["path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified")]
+    if not all(urlsplit(p).scheme in STREAMED for p in paths):
+        small, large = F.col("length") <= MAX_BINARY_BYTES, F.col("length") > MAX_BINARY_BYTES
+        return files.where(small).select(*own, F.sha2("content", 256).alias("sha256")).unionByName(files.where(large).select(*own, F.lit(None).cast("string").alias("sha256")))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a row a file: what is read is never held
+                one = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([stream_digest(one.column(0)[0].as_py())])], names=["path", "size_bytes", "modified", "sha256"])
+
+    listed = files.select(*own)
+    return spread(listed, "path").mapInArrow(digests, T.StructType([*listed.schema.fields]).add("sha256", "string"))
 
 
 def describe_texts(docs: DataFrame, path: Column, text: str) -> DataFrame:
