@@ -10,7 +10,7 @@ fingerprints are cut in cells, each comparing two bounded chunks.  Components co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm.common import fresh, slices, stored, whole_text
+from windrow.session import spread
 
 BLOCK_BITS, BLOCK_RADIUS = 31, 1
 SEED = 42
 CHUNK = 4096
 
-#: near copies: fingerprints a document (two blocks each), least similarity they are laid out for, cells up to this size compare all pairs
-FINGERPRINTS, LEAST_SIMILARITY, ALL_PAIRS = 5, 0.8, 32
+#: near copies: fingerprints a document (two blocks each), least similarity they are laid out for, cells up to this size compare all pairs at once
+FINGERPRINTS, LEAST_SIMILARITY, ALL_PAIRS = 6, 0.8, 32
+FINGERPRINT_NAMES, LEAST_NAMES = [f"f{k}" for k in range(FINGERPRINTS)], [f"m{k}" for k in range(2 * FINGERPRINTS)]
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -73,11 +75,11 @@ def code_word_offsets() -> list[np.ndarray]:
     return out
 
 
-def anchors_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def anchors_of(fps: np.ndarray, blocks: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Row number and anchor (block number above 31 code-word bits) of every replica of the fingerprints."""
     offsets, rows, found = code_word_offsets(), [], []
     masks = [np.uint64(sum(1 << (p - 1) for p in range(1, 32) if p >> k & 1)) for k in range(5)]
-    for block in range(2):
+    for block in range(blocks):
         x = (fps >> np.uint64(block * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)
         syndrome = np.zeros(len(x), np.int64)
         for k, mask in enumerate(masks):
@@ -223,31 +225,36 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
-def min_hash_bits(hashes: np.ndarray, multipliers: np.ndarray, tile: int = 512) -> np.ndarray:
-    """FINGERPRINTS values of 62 bits: bit k is the parity of the least of hashes * multipliers[k], so two sets differ in it with chance (1 - similarity) / 2."""
+def min_hash_bits(hashes: np.ndarray, multipliers: np.ndarray, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """FINGERPRINTS values of 62 bits, and for each of their blocks of 31 bits the least value its first bit comes from.
+
+    Bit k is the parity of the least of hashes * multipliers[k], so two sets differ in it with chance (1 - similarity) / 2.
+    """
     if not len(hashes):
-        return np.zeros(FINGERPRINTS, np.uint64)
+        return np.zeros(FINGERPRINTS, np.uint64), np.zeros(2 * FINGERPRINTS, np.uint64)
     least = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), tile):
         np.minimum(least, (multipliers[:, None] * hashes[None, at:at + tile]).min(axis=1), out=least)
     bits = (np.bitwise_count(least) & 1).astype(np.uint64).reshape(FINGERPRINTS, 2 * BLOCK_BITS)
-    return np.bitwise_or.reduce(bits << np.arange(2 * BLOCK_BITS, dtype=np.uint64), axis=1)
+    return np.bitwise_or.reduce(bits << np.arange(2 * BLOCK_BITS, dtype=np.uint64), axis=1), least[::BLOCK_BITS]
 
 
 def set_sketches(docs: DataFrame, words: int, id_column: str, text_column: str) -> DataFrame:
-    """Per row doc_id, h (digest of the text), s (digest of the set of shingles) and the fingerprints f0, f1, ..."""
-    names = [f"f{k}" for k in range(FINGERPRINTS)]
+    """Per row doc_id, h (digest of the text), s (digest of the set of shingles), the fingerprints f0, f1, ... and the blocks' least values m0, m1, ..."""
+    names = [*FINGERPRINT_NAMES, *LEAST_NAMES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         multipliers = np.random.default_rng(SEED).integers(0, 1 << 63, FINGERPRINTS * 2 * BLOCK_BITS, np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in slices(batches, "_t"):
-            sets, out = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, FINGERPRINTS), np.uint64)
+            n = batch.num_rows
+            sets, out, least = np.zeros(n, np.uint64), np.zeros((n, FINGERPRINTS), np.uint64), np.zeros((n, 2 * FINGERPRINTS), np.uint64)
             for i, text in enumerate(batch.column("_t").cast(pa.binary())):
                 hashes = shingle_hashes(text.as_py(), words)
-                sets[i], out[i] = xxhash.xxh64_intdigest(hashes.tobytes(), SEED), min_hash_bits(hashes, multipliers)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(sets.view(np.int64)), *[pa.array(x.copy().view(np.int64)) for x in out.T]],
+                sets[i] = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+                out[i], least[i] = min_hash_bits(hashes, multipliers)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(sets.view(np.int64)), *[pa.array(x.copy().view(np.int64)) for x in (*out.T, *least.T)]],
                                              names=["doc_id", "h", "s", *names])
 
     text = whole_text(text_column)
@@ -258,7 +265,7 @@ def set_sketches(docs: DataFrame, words: int, id_column: str, text_column: str)
 def near_pairs(fps: np.ndarray, limit: int, all_pairs: int = ALL_PAIRS) -> tuple[np.ndarray, np.ndarray]:
     """Positions of pairs of rows within ``limit`` bits: every pair of a small cell, the edges of a minimum spanning tree of a large one.
 
-    The tree's path between two near rows has no step longer than the two rows are apart, so it joins them at every limit.
+    The tree's path between two near rows has no step longer than the two rows are apart, so it joins them at every limit of bits.
     """
     n = len(fps)
     if n <= all_pairs:
@@ -276,52 +283,77 @@ def near_pairs(fps: np.ndarray, limit: int, all_pairs: int = ALL_PAIRS) -> tuple
     return parent[found], np.array(found, np.int64)
 
 
-def candidate_pairs(distinct: DataFrame, limit: int, chunk: int = CHUNK) -> DataFrame:
-    """Pairs (a, b) of ``distinct.s`` that share an anchor in one of the blocks and differ in at most ``limit`` bits of all fingerprints."""
-    names = [f"f{k}" for k in range(FINGERPRINTS)]
+def foreign_pairs(fps: np.ndarray, labels: np.ndarray, limit: int, tile: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs of rows of different labels within ``limit`` bits, a tile of rows at a time."""
+    for at in range(0, len(fps), tile):
+        apart = np.bitwise_count(fps[at:at + tile, None] ^ fps[None, at:]).sum(axis=2, dtype=np.int64)
+        one, other = np.nonzero((apart <= limit) & (labels[at:at + tile, None] != labels[None, at:]))
+        ahead = one < other
+        yield one[ahead] + at, other[ahead] + at
+
+
+def cell_members(distinct: DataFrame, chunk: int) -> DataFrame:
+    """(anchor, n, part, s): the sets of ``distinct`` at every anchor that more than one of them has, in parts of about ``chunk``.
+
+    An anchor is a block of a fingerprint, a code word near it and the block's least value.  Least values are matched first: only sets that
+    share one with another set are replicated to code words at all, so meetings by chance do not grow with the square of the sets.
+    """
+    mask = F.lit((1 << BLOCK_BITS) - 1)
+    own = [F.struct(F.xxhash64(F.lit(k), m).alias("g"), F.shiftright(f"f{k // 2}", k % 2 * BLOCK_BITS).bitwiseAND(mask).alias("x")) for k, m in enumerate(LEAST_NAMES)]
+    blocks = stored(distinct.select("s", F.explode(F.array(*own)).alias("block")).select("s", "block.*"), "set-blocks")
+    shared = blocks.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    met = blocks.join(shared, "g")
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 13):
                 part = batch.slice(at, 1 << 13)
-                own = part.column("s").to_numpy()
-                for k, name in enumerate(names):
-                    rows, anchor = anchors_of(part.column(name).to_numpy().view(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(k << 32)).view(np.int64)), pa.array(own[rows])], names=["anchor", "s"])
+                g, s = (part.column(c).to_numpy() for c in ("g", "s"))
+                rows, anchor = anchors_of(part.column("x").to_numpy().view(np.uint64), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(g[rows]), pa.array(anchor.view(np.int64)), pa.array(s[rows])], names=["g", "word", "s"])
+
+    replicas = stored(spread(met).mapInArrow(replicate, "g long, word long, s long").select(F.xxhash64("g", "word").alias("anchor"), "s"), "set-anchors")
+    sizes = replicas.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / chunk).cast("int")
+    return replicas.join(sizes, "anchor").select("anchor", "n", F.pmod(F.xxhash64("s", "anchor"), parts).cast("int").alias("part"), "s")
+
+
+def in_cells(cells: DataFrame, keys: list[str], distinct: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]], labels: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of ``s`` that ``pairs(fingerprints, labels)`` gives for the sets of each cell, named by the columns ``keys``."""
+    names = FINGERPRINT_NAMES
+    known = distinct.select("s", *names)
+    known = known.withColumn("label", F.lit(0).cast("long")) if labels is None else known.join(labels, "s")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(cell: np.ndarray, s: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        def found(cell: np.ndarray, s: np.ndarray, label: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1)])
-            ends = np.r_[starts[1:], len(cell)]
-            two = starts[ends - starts == 2]  # most cells: compared side by side
-            near = two[np.bitwise_count(fps[two] ^ fps[two + 1]).sum(axis=1, dtype=np.int64) <= limit]
-            a, b = [s[near]], [s[near + 1]]
-            for i, j in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
-                one, other = near_pairs(fps[i:j], limit)
-                a.append(s[i:j][one])
-                b.append(s[i:j][other])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
-
-        cell, s, fps = np.zeros((0, 3), np.int64), np.zeros(0, np.int64), np.zeros((0, FINGERPRINTS), np.uint64)  # the last cell may go on in the next batch
+            a, b, held = [], [], 0
+            for i, j in zip(starts, np.r_[starts[1:], len(cell)], strict=True):
+                if j - i < 2:
+                    continue
+                for one, other in pairs(fps[i:j], label[i:j]):
+                    a.append(s[i:j][one])
+                    b.append(s[i:j][other])
+                    held += len(one)
+                    if held > 1 << 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+                        a, b, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+
+        width = len(keys)
+        held = np.zeros((0, width + 2 + FINGERPRINTS), np.int64)  # the last cell may go on in the next batch
         for batch in batches:
-            cell = np.concatenate([cell, np.column_stack([batch.column(c).to_numpy() for c in ("anchor", "lo", "hi")])])
-            s = np.concatenate([s, batch.column("s").to_numpy()])
-            fps = np.concatenate([fps, np.column_stack([batch.column(c).to_numpy() for c in names]).view(np.uint64)])
-            if len(cell):
-                last = int(np.flatnonzero((cell != cell[-1]).any(axis=1)).max(initial=-1)) + 1
+            held = np.concatenate([held, np.column_stack([batch.column(c).to_numpy() for c in (*keys, "s", "label", *names)])])
+            if len(held):
+                last = int(np.flatnonzero((held[:, :width] != held[-1, :width]).any(axis=1)).max(initial=-1)) + 1
                 if last:
-                    yield pairs(cell[:last], s[:last], fps[:last])
-                cell, s, fps = cell[last:], s[last:], fps[last:]
-        if len(cell):
-            yield pairs(cell, s, fps)
+                    yield from found(held[:last, :width], held[:last, width], held[:last, width + 1], held[:last, width + 2:].view(np.uint64))
+                held = held[last:]
+        if len(held):
+            yield from found(held[:, :width], held[:, width], held[:, width + 1], held[:, width + 2:].view(np.uint64))
 
-    replicas = distinct.mapInArrow(replicate, "anchor long, s long")
-    sizes = replicas.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / chunk).cast("int")
-    met = replicas.join(sizes, "anchor").withColumns({"c": parts, "mine": F.pmod(F.xxhash64("s", "anchor"), parts).cast("int")})
-    cells = met.select("anchor", "s", "mine", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other")).select(
-        "anchor", F.least("mine", "other").cast("long").alias("lo"), F.greatest("mine", "other").cast("long").alias("hi"), "s").join(distinct.select("s", *names), "s")
-    dealt = cells.select("anchor", "lo", "hi", "s", *names).repartition("anchor", "lo", "hi").sortWithinPartitions("anchor", "lo", "hi", "s")
+    dealt = cells.join(known, "s").select(*[F.col(k).cast("long").alias(k) for k in keys], "s", "label", *names).repartition(*keys).sortWithinPartitions(*keys, "s")
     return dealt.mapInArrow(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -354,23 +386,38 @@ def similar_pairs(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, words:
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text", chunk: int = CHUNK) -> DataFrame:
     """One row per document: doc_id, component_id (the smallest doc_id reached over pairs of that Jaccard similarity of word shingles).
 
-    Candidates come from anchor covering: five fingerprints of one-bit minima, so ten blocks; a pair that differs in two bits of a
-    block always meets, in three bits at times.  At similarity 0.8 a pair meets in a block with chance 0.42, in any of ten with
-    chance 0.995, from 0.85 up with over 0.9999.  Every candidate is then checked on the sets themselves, so none below
-    ``similarity`` is linked.  Equal sets are one; texts without a word are equal.
+    Candidates come from anchor covering: six fingerprints of one-bit minima, so twelve blocks, each with the least value of its first minimum.  A
+    pair meets in a block if the least values are equal and the block differs in two bits, in three at times: at similarity 0.8 with
+    chance 0.36, in any of twelve with chance 0.995, from 0.85 up with over 0.9999.  Every candidate is then checked on the sets themselves, so
+    none below ``similarity`` is linked.  Equal sets are one; texts without a word are equal.
+
+    Two passes give the components of all candidates without forming all pairs of a large cell.  The first checks all pairs of small cells and
+    a spanning tree of each part of a large one.  The second checks, in the large cells, all pairs that the first has left in different
+    components; cells whose sets are one component by then, as those of many copies are, need none.
     """
     if not LEAST_SIMILARITY <= similarity <= 1:
         raise ValueError(f"the blocks cover similarities from {LEAST_SIMILARITY}")
     n, p = FINGERPRINTS * 2 * BLOCK_BITS, (1 - similarity) / 2
     limit = int(np.ceil(n * p + 5 * np.sqrt(n * p * (1 - p))))  # five standard deviations above the bits such a pair differs in
-    names = [f"f{k}" for k in range(FINGERPRINTS)]
     marks = stored(set_sketches(docs, words, id_column, text_column), "set-sketches")
-    distinct = stored(marks.groupBy("s").agg(F.min("doc_id").alias("first"), F.min("h").alias("h"), *[F.min(c).alias(c) for c in names]), "distinct-sets")
-    pairs = stored(candidate_pairs(distinct.select("s", *names), limit, chunk), "candidate-pairs")
-    roots = components(similar_pairs(pairs, distinct, docs, words, similarity, text_column))
-    named = distinct.join(roots, distinct.s == roots.node, "left").select("s", "first", F.coalesce("root", "s").alias("root"))
-    groups = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marks.select("doc_id", "s").join(named.join(groups, "root").select("s", "component_id"), "s").select("doc_id", "component_id")
+    distinct = stored(marks.groupBy("s").agg(F.min("doc_id").alias("first"), F.min("h").alias("h"), *[F.min(c).alias(c) for c in (*FINGERPRINT_NAMES, *LEAST_NAMES)]), "distinct-sets")
+    cells = stored(cell_members(distinct, chunk), "set-cells")
+    pairs = stored(in_cells(cells, ["anchor", "part"], distinct, lambda fps, _: iter([near_pairs(fps, limit)])), "candidate-pairs")
+    similar = stored(similar_pairs(pairs, distinct, docs, words, similarity, text_column), "similar-pairs")
+    roots = components(similar)
+    root_of = lambda roots: distinct.join(roots, distinct.s == roots.node, "left").select("s", F.coalesce("root", "s").alias("label"))
+    labels = stored(root_of(roots), "set-labels")
+    large = cells.where(F.col("n") > ALL_PAIRS)
+    mixed = large.join(labels, "s").groupBy("anchor").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("anchor")
+    parts = F.ceil(F.col("n") / chunk).cast("int")
+    wide = large.join(mixed, "anchor").select("anchor", "s", F.col("part").alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")).select(
+        "anchor", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "s")
+    more = stored(in_cells(wide, ["anchor", "lo", "hi"], distinct, lambda fps, label: foreign_pairs(fps, label, limit), labels).join(pairs, ["a", "b"], "left_anti"), "foreign-pairs")
+    if not more.isEmpty():
+        roots = components(similar.union(similar_pairs(more, distinct, docs, words, similarity, text_column)))
+    named = root_of(roots).join(distinct.select("s", "first"), "s")
+    groups = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    return marks.select("doc_id", "s").join(named.join(groups, "label").select("s", "component_id"), "s").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
