@@ -66,7 +66,7 @@ def sha(data):
 
 def test_line_templates_match_sql_and_keep_first_lines(spark):
     docs = documents(spark)
-    got = line_templates.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", F.coalesce("text", F.lit("")).alias("text"))
+    got = line_templates.drop_repeated_lines(docs, exact=True).select("doc_id", "n_lines", "n_dropped", F.coalesce("text", F.lit("")).alias("text"))
     want = in_duckdb(line_templates.SQL, documents=docs.select("doc_id", "text").toArrow())
     assert [(r[0], r[2], r[3]) for r in rows(got)] == [(r[0], r[2], r[3]) for r in want]
     by_id = {r.doc_id: r for r in got.collect()}
@@ -301,16 +301,27 @@ This program is distributed in the hope that it will be useful,
 but WITHOUT ANY WARRANTY; without even the implied warranty of
 MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
 GNU General Public License for more details."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
 GPL2 = GPL3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
 
 
 def test_wrapped_licence_texts_are_known(spark):
     comment = "\n".join(("# " + x).rstrip() for x in APACHE.split("\n"))
     data = [(MIT, "MIT"), (BSD2, "BSD-2-Clause"), (BSD3, "BSD-3-Clause"), (BSD3.replace("All rights reserved.\n", ""), "BSD-3-Clause"), (APACHE, "Apache-2.0"), (comment, "Apache-2.0"),
-            (GPL3, "GPL-3.0-or-later"), (GPL2, "GPL-2.0-or-later"), (MIT.replace("\n", " "), "MIT"), (GPL3.replace("\n", "\r\n"), "GPL-3.0-or-later"), (MIT.replace("\n\n", "\n"), "MIT"), ("Copyright 2020 A. Author\n" + APACHE, "Apache-2.0"), ("Some prose\nReleased under the MIT License\nmore", "MIT")]
+            (GPL3, "GPL-3.0-or-later"), (GPL2, "GPL-2.0-or-later"), (MIT.replace("\n", " "), "MIT"), (GPL3.replace("\n", "\r\n"), "GPL-3.0-or-later"), (MIT.replace("\n\n", "\n"), "MIT"), (LGPL, "LGPL-2.1-or-later"), (LGPL.replace("2.1", "3"), "LGPL-3.0-or-later"), (GPL3.replace("GNU General", "GNU Lesser General"), "LGPL-3.0-or-later"), (MPL, "MPL-2.0"), (GPL3.replace("GNU General", "GNU Affero General"), "AGPL-3.0-or-later"), (ISC, "ISC"), ("Title\n\n \n. \n\n" + ISC, "ISC"), ("Copyright 2020 A. Author\n" + APACHE, "Apache-2.0"), ("Some prose\nReleased under the MIT License\nmore", "MIT")]
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id long, text string")
     got = {r.doc_id: r for r in license_rules.licence_scan(docs).collect()}
     assert [got[i].licences for i in range(len(data))] == [x for _, x in data]
+    assert rows(license_rules.licence_scan(docs)) == in_duckdb(license_rules.SQL, documents=docs.toArrow())
     assert got[0].sequence == "mitgrant mitnotice mitasis" and got[4].sequence == got[5].sequence == "apache2 apache2use apache2copy apache2asis apache2see"
 
 

@@ -34,6 +34,7 @@ SENTENCES = {
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gplfree",
     "either version 3 of the license or at your option any later version": "gpl3later",
     "either version 2 of the license or at your option any later version": "gpl2later",
+    "either version 2 1 of the license or at your option any later version": "lgpl21later",
     "this program is distributed in the hope that it will be useful": "gplhope",
     "licensed under cc by 4 0": "ccby4",
     "licensed under cc by sa 4 0": "ccbysa4",
@@ -43,6 +44,15 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice": "bsdbinary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsdendorse",
     "all rights reserved": "reserved",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2",
+    "licensed under the mozilla public license version 2 0": "mpl2",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "distributed under the boost software license version 1 0": "bsl1",
+    "licensed under the isc license": "isc",
+    "released under the zlib license": "zlib",
+    "this work is licensed under the gnu lesser general public license version 3": "lgpl3",
+    "this work is licensed under the gnu affero general public license version 3": "agpl3",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0": "epl2",
 }
 
 #: fixed values: ordered rules, identifier sequence and licence
@@ -62,6 +72,14 @@ RULES = (
     (("ccby4",), "CC-BY-4.0"),
     (("bsdsource", "bsdbinary", "bsdendorse"), "BSD-3-Clause"),
     (("bsdsource", "bsdbinary"), "BSD-2-Clause"),
+    (("mpl2",), "MPL-2.0"),
+    (("unlicense",), "Unlicense"),
+    (("bsl1",), "BSL-1.0"),
+    (("isc",), "ISC"),
+    (("zlib",), "Zlib"),
+    (("lgpl3",), "LGPL-3.0"),
+    (("agpl3",), "AGPL-3.0"),
+    (("epl2",), "EPL-2.0"),
     (("reserved",), "proprietary"),
 )
 
@@ -89,18 +107,33 @@ WHOLE_SENTENCES = {
     "without specific prior written permission": "bsdendorse",
     "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software "
     "without specific prior written permission": "bsdendorse",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+    "copyright notice and this permission notice appear in all copies": "isc",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely "
+    "subject to the following restrictions": "zlib",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgplfree",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation "
+    "either version 3 of the license or at your option any later version": "lgplfree3later",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation "
+    "either version 3 of the license or at your option any later version": "agpl3later",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl2copy",
 }
 
 #: fixed values: rules of whole texts, before RULES; a BSD text's own "All rights reserved" names no second licence
 WHOLE_RULES = (
     (("gplfree3later",), "GPL-3.0-or-later"),
     (("gplfree2later",), "GPL-2.0-or-later"),
+    (("lgplfree3later",), "LGPL-3.0-or-later"),
+    (("lgplfree", "gpl3later"), "LGPL-3.0-or-later"),
+    (("lgplfree", "lgpl21later"), "LGPL-2.1-or-later"),
+    (("agpl3later",), "AGPL-3.0-or-later"),
+    (("mpl2", "mpl2copy"), "MPL-2.0"),
     (("reserved", "bsdsource", "bsdbinary", "bsdendorse"), "BSD-3-Clause"),
     (("reserved", "bsdsource", "bsdbinary"), "BSD-2-Clause"),
 )
 
 #: fixed values: stems one of which every known sentence holds; a text without any is not cut into sentences
-STEMS = "licen[cs]e|software|redistribut|copyright|program|reserved"
+STEMS = "licen[cs]e|software|redistribut|copyright|program|reserved|mpl"
 
 
 def normalised(sentence: Column) -> Column:
@@ -113,14 +146,16 @@ def sentences(text: Column) -> Column:
     return F.split(text, f"\\n[^A-Za-z0-9\\n]*(?=\\n)|[.!?;:](?=[{BLANK}]|\\z)")
 
 
-def sentence_ids(text: Column, lookup: Column, tails: dict[str, str]) -> Column:
+def sentence_ids(text: Column, sentences_known: dict[str, str], tails: dict[str, str]) -> Column:
     """Identifiers of the known sentences in text order: of a whole sentence, line feeds as white space, or else of its lines.
 
     ``tails`` are long sentences that are also known after a title or copyright line without a full stop.
     """
+    lookup = F.create_map(*[F.lit(x) for x in chain.from_iterable(sentences_known.items())])
 
     def known(x: Column) -> Column:
-        return F.when(F.map_contains_key(lookup, x), lookup[x])
+        # a set of literals is looked up by its hash, the map from its start: only sentences that are known reach the map
+        return F.when(x.isin(*sentences_known), lookup[x])
 
     def parts(sentence: Column) -> Column:
         return F.struct(normalised(sentence).alias("whole"), F.transform(F.split(sentence, "\n"), lambda x: known(normalised(x))).alias("lines"))
@@ -142,9 +177,8 @@ def licence_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     their own: no shuffle.  ``stems`` is a pattern that every known sentence contains (give ``.`` with a list of your own).  Null and empty texts give 0 and empty strings; repeated rows give repeated results.
     """
     known = known or SENTENCES | WHOLE_SENTENCES
-    lookup = F.create_map(*[F.lit(x) for x in chain.from_iterable(known.items())])
     text = whole_text(text_column)
-    ids = sentence_ids(text, lookup, {k: v for k, v in known.items() if k in WHOLE_SENTENCES})
+    ids = sentence_ids(text, known, {k: v for k, v in known.items() if k in WHOLE_SENTENCES})
     out = docs.select(F.col(id_column), F.when(text.rlike(f"(?i){stems}"), ids).otherwise(F.array().cast("array<string>")).alias("_ids"))
     # every identifier between bars, so that neighbours are found as text; matched stretches leave a bar
     rest = out.withColumns({"n_known": F.size("_ids").cast("long"), "sequence": F.array_join("_ids", " "),
@@ -159,25 +193,32 @@ def licence_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def _sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in SENTENCES.items())
+    pairs = lambda table: ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in table.items())
     steps, last = [], "s"
-    for number, (parts, name) in enumerate(RULES):
+    for number, (parts, name) in enumerate(WHOLE_RULES + RULES):
         needle = quoted("|" + "||".join(parts) + "|")
         steps.append(f"r{number} AS (SELECT doc_id, n_known, sequence, replace(rest, {needle}, '#') AS rest, CASE WHEN contains(rest, {needle}) AND NOT list_contains(found, {quoted(name)}) "
                      f"THEN list_append(found, {quoted(name)}) ELSE found END AS found FROM {last})")
         last = f"r{number}"
+    clean = "trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
     return f"""
-WITH known(sentence, id) AS (VALUES {known}),
-cut AS (SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '[.!?;:]([\\x20\\x09-\\x0D]|$)', chr(10), 'g'), '\\n') AS parts FROM documents),
+WITH known(sentence, id) AS (VALUES {pairs(SENTENCES | WHOLE_SENTENCES)}), tails(sentence, id) AS (VALUES {pairs(WHOLE_SENTENCES)}),
+marked AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[.!?;:]([\x20\x09-\x0D]|$)', chr(1) || '\1', 'g'), '\n[^A-Za-z0-9\n]*\n', chr(1) || chr(10), 'g') AS t
+           FROM documents WHERE regexp_matches(text, '(?i){STEMS}')),
+cut AS (SELECT doc_id, string_split(t, chr(1)) AS parts FROM marked),
 rows AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS no FROM cut),
-clean AS (SELECT doc_id, no, trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM rows),
-hits AS (SELECT c.doc_id, count(k.id) AS n_known, string_agg(k.id, ' ' ORDER BY c.no) AS sequence, string_agg('|' || k.id || '|', '' ORDER BY c.no) AS rest
-         FROM clean c LEFT JOIN known k ON c.sentence = k.sentence GROUP BY c.doc_id),
-s AS (SELECT doc_id, n_known, coalesce(sequence, '') AS sequence, coalesce(rest, '') AS rest, CAST([] AS VARCHAR[]) AS found FROM hits),
+whole AS (SELECT r.*, {clean.format('part')} AS sentence FROM rows r),
+judged AS (SELECT w.*, k.id FROM whole w LEFT JOIN known k ON k.sentence = w.sentence),
+lines AS (SELECT doc_id, no, sentence, unnest(string_split(part, chr(10))) AS line, unnest(range(len(string_split(part, chr(10))))) AS sub, len(string_split(part, chr(10))) AS n FROM judged WHERE id IS NULL),
+known_lines AS (SELECT l.*, k.id FROM lines l LEFT JOIN known k ON k.sentence = {clean.format('l.line')}),
+ends AS (SELECT l.doc_id, l.no, arg_max(t.id, length(t.sentence)) AS id FROM known_lines l JOIN tails t ON ends_with(l.sentence, ' ' || t.sentence) WHERE l.sub = l.n - 1 AND l.id IS NULL GROUP BY 1, 2),
+ids AS (SELECT doc_id, no, -1 AS sub, id FROM judged WHERE id IS NOT NULL UNION ALL SELECT doc_id, no, sub, id FROM known_lines WHERE id IS NOT NULL UNION ALL SELECT doc_id, no, 1000000000, id FROM ends),
+hits AS (SELECT doc_id, count(*) AS n_known, string_agg(id, ' ' ORDER BY no, sub) AS sequence, string_agg('|' || id || '|', '' ORDER BY no, sub) AS rest FROM ids GROUP BY doc_id),
+s AS (SELECT d.doc_id, coalesce(n_known, 0) AS n_known, coalesce(sequence, '') AS sequence, coalesce(rest, '') AS rest, CAST([] AS VARCHAR[]) AS found FROM documents d LEFT JOIN hits h ON h.doc_id = d.doc_id),
 {', '.join(steps)}
 SELECT doc_id, n_known, sequence, array_to_string(found, ' ') AS licences FROM {last}
 """
 
 
-#: DuckDB's form over ``documents`` for sentences that stand on one line; it knows SENTENCES and RULES alone
+#: DuckDB's form over ``documents`` (ids that do not repeat): the same sentences, whole or by line, and the same rules
 SQL = _sql()
