@@ -98,17 +98,18 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
                          F.coalesce(F.size(dropped), F.lit(0)).cast("long").alias("n_dropped"))
 
 
-#: DuckDB's form of the same result over ``documents``: doc_id, n_lines, n_dropped, text
+#: DuckDB's form of the result with ``exact`` over ``documents``: doc_id, n_lines, n_dropped, text
 SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS no FROM documents
 ), tokens AS (
-  SELECT doc_id, no, line, [CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END FOR t IN regexp_split_to_array(line, '[\x20\x09-\x0D]+') IF t <> ''] AS x FROM lines
+  SELECT doc_id, no, line, [CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END FOR t IN regexp_split_to_array(line, '[\x20\x09-\x0D]+') IF t <> ''] AS x,
+         [t FOR t IN regexp_split_to_array(line, '[\x20\x09-\x0D]+') IF t <> ''] AS r FROM lines
 ), shape AS (
   SELECT *, len(x) AS n, [3 + CAST(floor(greatest(len(x) - 3, 0) * i / 4) AS BIGINT) FOR i IN range(5)] AS e, len([t FOR t IN x IF t <> '<*>']) AS c FROM tokens
 ), keyed AS (
-  SELECT doc_id, no, unnest(list_concat(
-    CASE WHEN n >= 5 AND c * 2 >= n THEN [concat('4 ', array_to_string(x, ' '))] ELSE [] END,
+  SELECT doc_id, no, unnest(list_concat(list_concat(CASE WHEN n > 0 THEN [concat('x ', array_to_string(r, ' '))] ELSE [] END,
+    CASE WHEN n >= 5 AND c * 2 >= n THEN [concat('4 ', array_to_string(x, ' '))] ELSE [] END),
     [concat(k, ' ', array_to_string(x[1:e[k + 1]], ' '), ' # ', n, ' # ', array_to_string(x[e[k + 2] + 1:n], ' ')) FOR k IN range(4)
      IF n >= 8 AND (c - len([t FOR t IN x[e[k + 1] + 1:e[k + 2]] IF t <> '<*>'])) * 2 >= n])) AS key FROM shape
 ), occ AS (SELECT key, doc_id, min(no) AS no FROM keyed GROUP BY ALL

@@ -19,7 +19,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_templates.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    return line_templates.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), exact=True)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
