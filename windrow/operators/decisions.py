@@ -313,7 +313,7 @@ def _leaf_utility(residuals: np.ndarray, base: np.ndarray, steps: np.ndarray, me
 
 
 def forest_action(fit: DataFrame, query: DataFrame, leaves: str, fit_keys: Sequence[str], keys: Sequence[str], residual: str,
-                  base_cf: str, mean: float, deltas: Sequence[float] = ACTION_DELTAS, part_rows: int = 2048) -> DataFrame:
+                  base_cf: str, mean: float, deltas: Sequence[float] = ACTION_DELTAS, part_rows: int = 32_768) -> DataFrame:
     """Action under the forest's empirical residuals.
 
     Each leaf is cut into parts of bounded size by a hash of the row keys; a task meets one part of a leaf with the queries of one slice

@@ -12,6 +12,7 @@ from windrow.operators import lineage as L
 from windrow.operators import utility as U
 from windrow.plans.registry import query
 from windrow.plans.scoring import _ELIG, _MEANS_SQL, _u
+from windrow.session import checkpoint
 
 _NAMES_SQL = """fn AS (SELECT p_partkey AS position, CASE p_partkey % 7 WHEN 0 THEN 'time__' || ['hour_sin', 'doy_cos', 'lead_hours', 'run_position'][p_size % 4 + 1]
   WHEN 1 THEN 'site__' || ['latitude', 'hub_height_m'][p_size % 2 + 1] WHEN 2 THEN 'cross__' || ['hub_ws_mean', 'ws10_difference'][p_size % 2 + 1] || ['', '__run_lag_1h', '__run_curvature_3h'][p_partkey % 3 + 1]
@@ -118,12 +119,12 @@ def energy_weighted_auc(v) -> DataFrame:
 _STRATA = """sx AS (SELECT grp, ts, actual, base, cand, third, capacity, grp AS s_group, CAST(year(ts) % 3 AS VARCHAR) AS s_fold,
   'lead_bin_' || ((day(ts) >= 6)::INT + (day(ts) >= 12)::INT + (day(ts) >= 18)::INT + (day(ts) >= 24)::INT) AS s_lead,
   CASE WHEN month(ts) IN (12, 1, 2) THEN 'DJF' WHEN month(ts) <= 5 THEN 'MAM' WHEN month(ts) <= 8 THEN 'JJA' ELSE 'SON' END AS s_season,
-  'control_cf_bin_' || ((base / capacity >= 0.25)::INT + (base / capacity >= 0.5)::INT + (base / capacity >= 0.75)::INT) AS s_cf FROM gday)"""
+  'control_cf_bin_' || ((base / capacity >= 0.25)::INT + (base / capacity >= 0.5)::INT + (base / capacity >= 0.75)::INT) AS s_cf FROM fcst)"""
 
 
 def _stratified(v) -> DataFrame:
     labels = A.strata(F.day("ts"), F.month("ts"), F.col("base") / F.col("capacity"), F.col("grp"), F.year("ts") % 3)
-    return v.gday.withColumns(labels)
+    return v.fcst.withColumns(labels)
 
 
 @query("strata_labels", "W19", f"WITH {_STRATA} SELECT s_group AS \"group\", s_fold AS fold, s_lead AS lead_bin, s_season AS season, s_cf AS control_cf_bin, count(*) AS n FROM sx GROUP BY ALL")
@@ -138,7 +139,7 @@ _BIN = ["within_6", "within_8"]
 
 def _map_sql() -> str:
     return f"""{_STRATA},
-{_MEANS_SQL.replace('FROM fcst', 'FROM gday')},
+{_MEANS_SQL},
 ma2 AS (SELECT sx.*, mean_actual, cand / capacity AS cand_cf, third / capacity AS third_cf, CAST(day(ts) AS DOUBLE) AS day_no, (actual - base) / capacity AS signed_residual_cf,
    {_u('(base + 0.01 * capacity)')} - {_u('(base - 0.01 * capacity)')} AS plus_vs_minus_utility, (abs((actual - base) / capacity) <= 0.06)::INT AS within_6, (abs((actual - base) / capacity) <= 0.08)::INT AS within_8
    FROM sx JOIN ma ON ma.grp = sx.grp WHERE {_ELIG}),
@@ -169,12 +170,15 @@ _MAPSQL = _map_sql()
 _MAP_VALUES = ["spearman", "weighted_spearman", "rank_normal_pearson", "weighted_auc", "signed", "strength", "mean_slice", "minimum_slice", "maximum_slice", "sign_stability", "group_sign_stability", "fold_sign_stability"]
 
 
-def _associations(v) -> DataFrame:
+def _map_rows(v) -> DataFrame:
     rows = U.score_aware_targets(_stratified(v)).where(F.col("eligible") == 1.0)
     cap = F.col("capacity")
-    rows = rows.withColumns({"cand_cf": F.col("cand") / cap, "third_cf": F.col("third") / cap, "day_no": F.day("ts").cast("double"),
+    return rows.withColumns({"cand_cf": F.col("cand") / cap, "third_cf": F.col("third") / cap, "day_no": F.day("ts").cast("double"),
                              "plus_vs_minus_utility": F.round("plus_vs_minus_utility", 12), "signed_residual_cf": F.round("signed_residual_cf", 12)})
-    return A.association_map(rows, _FEATURES, _CONT, _BIN, "actual", ["group", "fold", "lead_bin", "season", "control_cf_bin"])
+
+
+def _associations(v) -> DataFrame:
+    return A.association_map(_map_rows(v), _FEATURES, _CONT, _BIN, "actual", ["group", "fold", "lead_bin", "season", "control_cf_bin"])
 
 
 @query("association_map", "A38 A35 A36 A37 F20", f"WITH {_MAPSQL} SELECT feature, target, kind, n_valid, valid_slice_count, sign_slice_count, {', '.join(f'round({c} + 1e-9, 6) AS {c}' for c in _MAP_VALUES)} FROM am")
@@ -182,19 +186,29 @@ def association_map(v) -> DataFrame:
     return _associations(v).select("feature", "target", "kind", "n_valid", "valid_slice_count", "sign_slice_count", *[r6(c).alias(c) for c in _MAP_VALUES])
 
 
-@query("family_association_map", "A39", f"""
-WITH {_MAPSQL},
-fi AS (SELECT unnest({_FEATURES}) AS feature, unnest(['wind', 'wind', 'calendar']) AS family, unnest([true, true, false]) AS red, unnest(['cand_cf', 'cand_cf', 'day_no']) AS comp),
+#: names under which the three features stand in the taxonomy
+_TAXON = {"cand_cf": "cross__cand_cf", "third_cf": "cross__third_cf", "day_no": "time__day_no"}
+
+
+@query("family_association_map", "A39 P04", f"""
+WITH RECURSIVE {_MAPSQL[5:] if _MAPSQL.lower().startswith("with ") else _MAPSQL},
+fk AS (SELECT {', '.join(f"(rank() OVER (ORDER BY {n}) + (count(*) OVER (PARTITION BY {n}) - 1) / 2.0) AS {n}" for n in _FEATURES)} FROM ma2),
+fe AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS rho FROM fk" for a in _FEATURES for b in _FEATURES if a != b)}),
+fr(a, b) AS (SELECT unnest({_FEATURES}), unnest({_FEATURES}) UNION SELECT fr.a, fe.b FROM fr JOIN fe ON fe.a = fr.b AND abs(fe.rho) >= {A.REDUNDANCY_THRESHOLD}),
+fc AS (SELECT a AS feature, min(b) AS comp, count(*) > 1 AS red FROM fr GROUP BY 1),
+fi AS (SELECT feature, CASE WHEN feature = 'day_no' THEN 'calendar' ELSE 'cross_source_wind' END AS family, red, comp FROM fc),
 sz AS (SELECT family, count(*) AS feature_count, count(*) FILTER (red) AS redundant_feature_count, count(DISTINCT comp) AS redundancy_cluster_count FROM fi GROUP BY 1),
 k AS (SELECT am.*, fi.family, row_number() OVER (PARTITION BY fi.family, am.target ORDER BY round(strength, 12) DESC, am.feature) AS rn FROM am JOIN fi ON fi.feature = am.feature)
 SELECT k.family AS physical_family, target, any_value(feature_count) AS feature_count, any_value(redundant_feature_count) AS redundant_feature_count, any_value(redundancy_cluster_count) AS redundancy_cluster_count, count(strength) AS finite_feature_count,
   round(quantile_cont(strength, 0.5) + 1e-9, 6) AS median_strength, round(quantile_cont(strength, 0.9) + 1e-9, 6) AS q90_strength, round(max(strength) + 1e-9, 6) AS maximum_strength, round(avg(sign_stability) + 1e-9, 6) AS mean_sign_stability,
   round(avg((sign_stability >= 0.75)::INT) + 1e-9, 6) AS stable_feature_fraction, max(feature) FILTER (rn = 1) AS top_feature, round(max(signed) FILTER (rn = 1) + 1e-9, 6) AS top_signed FROM k JOIN sz ON sz.family = k.family GROUP BY 1, 2""")
 def family_association_map(v) -> DataFrame:
-    spark = v.spark
-    families = spark.createDataFrame(list(zip(_FEATURES, ["wind", "wind", "calendar"])), "feature string, physical_family string")
-    clusters = spark.createDataFrame(list(zip(_FEATURES, ["cand_cf", "cand_cf", "day_no"], [True, True, False])), "feature string, component string, is_redundant boolean")
-    out = A.family_map(_associations(v), families, clusters)
+    """Families from the taxonomy of the features' names, clusters from their rank correlations."""
+    names = v.spark.createDataFrame(list(_TAXON.items()), "feature string, name string")
+    families = A.taxonomy(names, "name").select("feature", "physical_family")
+    rows = checkpoint(_map_rows(v).select(*_FEATURES).withColumn("_row", F.monotonically_increasing_id()))
+    edges = A.redundancy_edges(A.spearman_matrix(rows, _FEATURES, ["_row"]))
+    out = A.family_map(_associations(v), families, A.redundancy_clusters(names.select("feature"), edges))
     values = ["median_strength", "q90_strength", "maximum_strength", "mean_sign_stability", "stable_feature_fraction", "top_signed"]
     return out.select("physical_family", "target", "feature_count", "redundant_feature_count", "redundancy_cluster_count", "finite_feature_count", *[r6(c).alias(c) for c in values], "top_feature")
 
