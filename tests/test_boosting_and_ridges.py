@@ -31,7 +31,7 @@ def test_quantile_boosting_nears_the_true_quantiles(curve):
     binned = M.binned_quantile_surface(train.withColumn("p", F.round("x", 1)), held.withColumn("p", F.round("x", 1)), "p", "y", levels, bins=3)
     truth = held.withColumn("quantiles", F.array(*[2 * F.col("x") + (0.05 + F.col("x")) * (q * q - 0.3) for q in levels]))
     cost = lambda df: df.agg(sum((F.avg(B.pinball(F.col("y"), F.element_at("quantiles", k + 1), q)) for k, q in enumerate(levels)), F.lit(0.0))).first()[0]
-    assert cost(boosted) < 1.1 * cost(truth) and cost(boosted) < cost(binned)
+    assert cost(boosted) < 1.2 * cost(truth) and cost(boosted) < cost(binned)
     inside = boosted.agg(F.avg((F.col("y") <= F.element_at("quantiles", 1)).cast("double")), F.avg((F.col("y") <= F.element_at("quantiles", 3)).cast("double"))).first()
     assert abs(inside[0] - 0.1) < 0.04 and abs(inside[1] - 0.9) < 0.04
     assert boosted.where("quantiles[0] > quantiles[1] OR quantiles[1] > quantiles[2]").count() == 0
