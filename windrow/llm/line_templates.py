@@ -22,8 +22,8 @@ def line_nodes(text: Column, leading: int, fields: int, min_tokens: int, min_gen
     """Array over the lines of struct(leaf, keys): the leaf's path hash and the hashes of the line's templates.
 
     keys holds the masked template and, from ``min_general`` tokens on, one more for each generalised field.  A template must
-    keep at least half its tokens constant; lines below ``min_tokens`` tokens have none.  With ``exact`` every line with a token
-    has one more key, the hash of its tokens as they are.
+    keep at least half its tokens constant; lines below ``min_tokens`` tokens have none.  With ``exact`` a line with a token but without a
+    masked template has the hash of its tokens as they are.
     """
     lines = F.split(text, "\n")
     tokens = F.transform(lines, lambda x: F.filter(F.split(x, f"[{BLANK}]+"), lambda t: t != ""))
@@ -50,8 +50,9 @@ def line_nodes(text: Column, leading: int, fields: int, min_tokens: int, min_gen
                                F.xxhash64(F.lit(skip), s["leaf"], *[s[f"h{i}"] for i in range(fields) if i != skip])))
         found = F.when(s["n"] >= min_tokens, F.filter(F.array(*keys), lambda k: k.isNotNull()))
         if exact:
-            none = F.array().cast("array<bigint>")
-            found = F.concat(F.coalesce(found, none), F.when(s["n"] > 0, F.array(s["own"])).otherwise(none))
+            # lines with a masked template need no key of their own: equal tokens have equal templates
+            none, templated = F.array().cast("array<bigint>"), (s["n"] >= min_tokens) & (constant * 2 >= s["n"])
+            found = F.concat(F.coalesce(found, none), F.when((s["n"] > 0) & ~templated, F.array(s["own"])).otherwise(none))
         return F.struct(s["leaf"].alias("leaf"), found.alias("keys"))
 
     return F.transform(F.transform(masked, parts), node)
