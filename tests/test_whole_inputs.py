@@ -1,5 +1,7 @@
 """Results that must not depend on the size of a farm, the number of nodes or repeated rows."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from windrow.operators import design
 from windrow.operators import models as M
 from windrow.operators import spatial as X
 from windrow.operators import telemetry as TE
+from windrow.plans import composition as C
 
 
 def test_leaf_utility_equals_all_pairs():
@@ -83,3 +86,25 @@ def test_perturbations_keep_the_sum_and_refuse_large_moves():
     assert all(sum(c.weights) == pytest.approx(1.0) for c, _ in family) and len(family) == 13
     with pytest.raises(ValueError, match="masses"):
         K.perturbation_family([0.5, 0.5], 1.0, 0.0, 0.0, 1.02, (0.9,), (0.0,), (0.0,))
+
+
+def test_choice_kernel_holds_a_bounded_block():
+    rng = np.random.default_rng(8)
+    actions, outcomes, weights = rng.uniform(0, 1, (3000, 61)), rng.uniform(0.1, 1.2, (3000, 42)), rng.dirichlet(np.ones(42), 3000)
+    tracemalloc.start()
+    got = D._expected(actions, outcomes, weights, np.full(3000, 0.4), np.full(3000, 1.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    gap = np.abs(actions[7][:, None] - outcomes[7]) / 1.5
+    want = ((outcomes[7] / 1.5) * np.where(gap <= 0.06, 4.0, np.where(gap <= 0.08, 3.0, 0.0)) / 1.6 - gap) @ weights[7]
+    assert got[7] == pytest.approx(want, abs=1e-12) and peak < 12_000_000  # 3000 x 61 x 42 numbers are 61 MB
+
+
+def test_class_weights_are_totalled_once_a_row(spark):
+    df = spark.createDataFrame([(0.3,), (0.9,), (None,)], "x double")
+    out = C._pmf(df, D.CLASS_CENTRES, F.col("x"))
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = out.collect()
+    for r in rows[:2]:
+        p = np.maximum(1 - 4 * np.abs(np.array(D.CLASS_CENTRES) - r["x"]), 0) + 0.01
+        assert r["pmf"] == pytest.approx(p / p.sum())
