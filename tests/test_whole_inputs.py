@@ -108,3 +108,19 @@ def test_class_weights_are_totalled_once_a_row(spark):
     for r in rows[:2]:
         p = np.maximum(1 - 4 * np.abs(np.array(D.CLASS_CENTRES) - r["x"]), 0) + 0.01
         assert r["pmf"] == pytest.approx(p / p.sum())
+
+
+def test_nearest_rows_equal_all_differences_in_bounded_memory():
+    rng = np.random.default_rng(9)
+    vectors = np.r_[rng.normal(size=(1500, 32)), rng.integers(0, 2, (500, 32)).astype(float)]  # the second part has many equal distances
+    vectors[700] = vectors[3]
+    ids = np.sort(rng.integers(0, 900, 2000))
+    tracemalloc.start()
+    row, at, d = N._nearest(vectors, ids, vectors, ids, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000  # all differences are 1 GB
+    for q in (0, 3, 700, 1200, 1600, 1999):
+        near = np.round(np.sqrt(((vectors[ids < ids[q]] - vectors[q]) ** 2).sum(axis=1)), 12)
+        want = np.argsort(near, kind="stable")[:4]
+        assert at[row == q].tolist() == want.tolist() and d[row == q] == pytest.approx(near[want], abs=1e-11)

@@ -22,6 +22,8 @@ SUMMARY = ("__run_mean", "__run_std", "__run_min", "__run_max", "__run_q10", "__
            "__run_fft1_imag", "__run_peak_position")
 ZERO_DISTANCE, DISTANCE_FLOOR = 1e-12, 1e-6
 BLOCK_ROWS = 2048
+#: cells of queries x library rows a matrix product holds
+PRODUCT_CELLS = 1_000_000
 
 
 def calendar_terms(day: str) -> list[Column]:
@@ -60,6 +62,40 @@ def reduce_embedding(library: DataFrame, *frames: DataFrame, k: int) -> list[Dat
     return [model.transform(vector(df)).withColumn("embedding", vector_to_array("_p")).drop("_v", "_p") for df in (library, *frames)]
 
 
+def _nearest(m: np.ndarray, ids: np.ndarray, qm: np.ndarray, qs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, library row, distance): the ``k`` nearest of the library rows whose number is below the query's, equal distances in library order.
+
+    A matrix product gives every squared distance up to its rounding; only rows that may be among the k nearest by that bound are measured
+    by their differences, so the result is that of measuring all.
+    """
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    norm, wide = (m * m).sum(axis=1), m.shape[1]
+    for i in range(0, len(qs), max(1, PRODUCT_CELLS // len(m))):
+        part = slice(i, i + max(1, PRODUCT_CELLS // len(m)))
+        q = qm[part]
+        own = (q * q).sum(axis=1)
+        rough = q @ m.T
+        rough *= -2.0
+        rough += norm
+        rough += own[:, None]
+        rough[ids[None, :] >= qs[part, None]] = np.inf
+        # rounding of the product and the sums, and of distances that are equal to twelve places
+        slack = 8 * (wide + 4) * np.finfo(float).eps * (own + norm.max(initial=0.0)) + 1e-11 * (1.0 + np.sqrt(own + norm.max(initial=0.0)))
+        edge = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(m) > k else np.full(len(q), np.inf)
+        row, at = np.nonzero((rough <= (edge + 2.0 * slack)[:, None]) & (rough < np.inf) if np.isfinite(slack).all() else ids[None, :] < qs[part, None])
+        d = np.empty(len(row))
+        for j in range(0, len(row), PRODUCT_CELLS // wide + 1):
+            some = slice(j, j + PRODUCT_CELLS // wide + 1)
+            d[some] = np.sqrt(((q[row[some]] - m[at[some]]) ** 2).sum(axis=1))
+        order = np.lexsort((at, np.round(d, 12), row))
+        order = order[np.isfinite(d[order])]
+        row, at, d = row[order], at[order], d[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < k
+        found.append((row[keep] + i, at[keep], d[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def past_neighbours(library: DataFrame, queries: DataFrame, k: int, run: str = "run", member: str | None = None, block: int = BLOCK_ROWS,
                     vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(run, neighbour, distance, rank): the k nearest library runs strictly before the query run.
@@ -88,20 +124,13 @@ def past_neighbours(library: DataFrame, queries: DataFrame, k: int, run: str = "
     schema = T.StructType([*[T.StructField(n, T.LongType()) for n in names], T.StructField("distance", T.DoubleType())])
 
     def nearest(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            left = left.sort_values(["_run", "_member"])
-            ids, members, m = left["_run"].to_numpy(), left["_member"].to_numpy(), np.stack(left["_v"].to_numpy())
-            step = max(1, 4_000_000 // max(m.size, 1))
-            qs, qmember, qm = right["_run"].to_numpy(), right["_member"].to_numpy(), np.stack(right["_v"].to_numpy())
-            for i in range(0, len(qs), step):
-                d = np.sqrt(((qm[i:i + step, None, :] - m[None, :, :]) ** 2).sum(axis=2))
-                d = np.where(ids[None, :] < qs[i:i + step, None], d, np.inf)
-                order = np.argsort(np.round(d, 12), axis=1, kind="stable")[:, :k]
-                for r, cols in enumerate(order):
-                    good = cols[np.isfinite(d[r, cols])]
-                    out.append(pd.DataFrame({"run": qs[i + r], "member": qmember[i + r], "neighbour": ids[good], "neighbour_member": members[good], "distance": d[r, good]}))
-        return pd.concat(out) if out else pd.DataFrame({n: [] for n in schema.names})
+        if not (len(left) and len(right)):
+            return pd.DataFrame({n: [] for n in schema.names})
+        left = left.sort_values(["_run", "_member"])
+        ids, members, m = left["_run"].to_numpy(), left["_member"].to_numpy(), np.stack(left["_v"].to_numpy())
+        qs, qmember, qm = right["_run"].to_numpy(), right["_member"].to_numpy(), np.stack(right["_v"].to_numpy())
+        row, at, d = _nearest(m, ids, qm, qs, k)
+        return pd.DataFrame({"run": qs[row], "member": qmember[row], "neighbour": ids[at], "neighbour_member": members[at], "distance": d})
 
     keys = ["lb", "ls", "qb", "qs"]
     found = lib.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInPandas(nearest, schema)
