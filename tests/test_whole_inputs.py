@@ -124,3 +124,8 @@ def test_nearest_rows_equal_all_differences_in_bounded_memory():
         near = np.round(np.sqrt(((vectors[ids < ids[q]] - vectors[q]) ** 2).sum(axis=1)), 12)
         want = np.argsort(near, kind="stable")[:4]
         assert at[row == q].tolist() == want.tolist() and d[row == q] == pytest.approx(near[want], abs=1e-11)
+
+
+def test_small_parts_of_a_leaf_share_a_task(spark):
+    cuts = spark.createDataFrame([(1, 1), (64, 70_000), (70_000, 5)], "size long, asked long").withColumns(D.leaf_cuts(64))
+    assert [tuple(r)[2:] for r in cuts.collect()] == [(1, 1, 1), (1, 1, 3), (1094, 3, 1)]
