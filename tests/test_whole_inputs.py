@@ -129,3 +129,28 @@ def test_nearest_rows_equal_all_differences_in_bounded_memory():
 def test_small_parts_of_a_leaf_share_a_task(spark):
     cuts = spark.createDataFrame([(1, 1), (64, 70_000), (70_000, 5)], "size long, asked long").withColumns(D.leaf_cuts(64))
     assert [tuple(r)[2:] for r in cuts.collect()] == [(1, 1, 1), (1, 1, 3), (1094, 3, 1)]
+
+
+def test_interpolation_shuffles_cells_not_sites(spark):
+    """Every site and hour against the definition, with repeated and missing rows, and no shuffle by (hour, site)."""
+    cells = [(h, c, None if (h + c) % 7 == 0 else float(h * c % 11)) for h in range(5) for c in range(9) if (h, c) != (2, 3)] + [(1, 4, 2.5), (1, 4, 2.5)]
+    weights = [(s, (s * 5 + r * r) % 9, 0.1 * (r + 1), r + 1) for s in range(200) for r in range(4)] + [(None, 1, 1.0, 1), (7, 99, 1.0, 2)]
+    static = [(s, f"f{s // 6}", 1.0) for s in range(190)] + [(5, "f0", 1.0), (300, "f9", 1.0)]
+    df = spark.createDataFrame(cells, "forecast_ts int, grid_id int, x double")
+    w = spark.createDataFrame(weights, "turbine_id int, grid_id int, weight double, rank int")
+    about = spark.createDataFrame(static, "turbine_id int, farm string, capacity_mw double")
+    key = lambda r: tuple((v is not None, v if v is not None else 0) for v in r)
+    want = []
+    for h in range(5):
+        for s in {r[0] for r in weights}:
+            met = [(r[2], r[3], c[2]) for r in weights if r[0] == s for c in cells if c[:2] == (h, r[1])]
+            known, close, first = [m for m in met if m[2] is not None], [m[2] for m in met if m[2] is not None and m[1] <= 3], [m[2] for m in met if m[2] is not None and m[1] == 1]
+            if met:
+                want.append((h, s, round(sum(a * b for a, _, b in known), 9) if known else None, max(first, default=None), round(float(np.std(close)), 9) if close else None))
+    plain = X.interpolate(df, w, ["x"], near_k=3)
+    assert "hashpartitioning(forecast_ts" not in plain._jdf.queryExecution().executedPlan().toString()
+    round9 = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+    assert sorted(map(round9, plain.collect()), key=key) == sorted(want, key=key)
+    beside = X.interpolate(df, w, ["x"], static=about, group=["farm"]).select("forecast_ts", "turbine_id", "farm", "capacity_mw", "idw__x")
+    joined = plain.join(about, "turbine_id", "left").select(*beside.columns)
+    assert sorted(map(round9, beside.collect()), key=key) == sorted(map(round9, joined.collect()), key=key)

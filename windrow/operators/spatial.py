@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, and_
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,8 @@ HORIZON_RADII_M = (500.0, 1000.0, 2000.0, 5000.0)
 MIN_HORIZON_DISTANCE_M = 100.0
 #: cells a tile of the nearest-cell pyramid holds at most, halvings of the tiles to get there, kilometres added to a bound before it rules a tile out
 TILE_CELLS, TILE_HALVINGS, TILE_SLACK_KM = 32, 12, 1e-6
+#: sites that interpolation keeps in one block
+SITE_BLOCK = 64
 #: turbine values the wake kernel holds at a time
 WAKE_CELLS = 250_000
 
@@ -114,18 +118,71 @@ def idw_weights(near: DataFrame, site: str = "turbine_id", floor_km: float = DIS
     return raw.withColumn("weight", F.col("_w") / F.sum("_w").over(Window.partitionBy(site))).drop("_w")
 
 
+def site_blocks(weights: DataFrame, site: str, cell: str, static: DataFrame | None = None, group: Sequence[str] = (), how: str = "left") -> DataFrame:
+    """One row per site (and row of ``static`` about it) with its ``_near`` cells and its block (``_home``, ``_salt``) of SITE_BLOCK sites or so.
+
+    Sites whose groups begin in the same cell share a block, as they share cells; a group stays in one block unless it is larger than that.
+    """
+    near = F.struct(F.col(cell).alias("cell"), F.col("weight").alias("w"), F.col("rank").alias("rank"))
+    places = weights.where(F.col(cell).isNotNull()).groupBy(site).agg(
+        F.collect_list(near).alias("_near"), F.min_by(F.col(cell), F.struct("rank", cell)).alias("_own"))
+    if static is not None:
+        places = places.join(static, site, how)
+    places = checkpoint(places)  # read by the groups and by their sites
+    keys = list(group) or [site]
+    groups = places.groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).agg(F.min("_own").alias("_home"), F.count(F.lit(1)).alias("_n"))
+    blocks = groups.join(groups.groupBy("_home").agg(F.sum("_n").alias("_all")), "_home")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)])
+    part = F.pmod(F.xxhash64(site), F.ceil(F.col("_n") / SITE_BLOCK))
+    salt = F.pmod(F.xxhash64(*keys, part), F.ceil(F.col("_all") / SITE_BLOCK)).alias("_salt")
+    return places.join(blocks, same).select(*[c for c in places.columns if c != "_own"], "_home", salt)
+
+
 def interpolate(df: DataFrame, weights: DataFrame, values: Sequence[str], ts: str = "forecast_ts", site: str = "turbine_id",
-                cell: str = "grid_id", near_k: int | None = None) -> DataFrame:
+                cell: str = "grid_id", near_k: int | None = None, static: DataFrame | None = None, group: Sequence[str] = (), how: str = "left") -> DataFrame:
     """Weighted value, nearest value and (with ``near_k``) spread over the near cells per hour and site.
 
-    Every task adds up its own cells per (hour, site) before the one shuffle, so parallelism does not end at the number of hours.
+    Hours of cells are shuffled, never hours of sites: a cell's rows are sent once to every block of sites that needs them, and the sites
+    of a block unfold where its cells meet.  ``static`` adds its columns about the sites as a join would, without a shuffle of its own;
+    sites of one ``group`` then lie in one task, so totals per hour and group fold before they are shuffled.
     """
-    rows = attach(spread(df, ts, cell), weights.select(site, cell, "weight", "rank"), [cell], "inner")
-    aggs = [F.sum(F.col("weight") * F.col(v)).alias(f"idw__{v}") for v in values]
-    aggs += [F.max(F.when(F.col("rank") == 1, F.col(v))).alias(f"nearest__{v}") for v in values]
+    kept = [] if static is None else [c for c in static.columns if c != site]
+    places = checkpoint(site_blocks(weights, site, cell, static, group, how))  # read by the cells needed and by the blocks
+    need = places.select("_home", "_salt", F.explode("_near.cell").alias(cell)).distinct()
+    rows = spread(attach(df.select(ts, cell, *values), need, [cell], "inner"), "_home", "_salt")
+    # moments of a cell's rows of an hour: one row as a rule
+    moments = [e for i, v in enumerate(values) for e in (F.sum(F.col(v).cast("double")).alias(f"s{i}"), F.max(v).alias(f"m{i}"))]
+    if near_k:
+        moments += [e for i, v in enumerate(values) for e in (F.count(v).cast("double").alias(f"n{i}"), F.var_pop(v).alias(f"v{i}"))]
+    here = rows.groupBy("_home", "_salt", ts, F.col(cell).alias("_cell")).agg(F.struct(*moments).alias("_v"))
+    hours = here.groupBy("_home", "_salt", ts).agg(F.map_from_entries(F.collect_list(F.struct("_cell", "_v"))).alias("_at"))
+    blocks = places.groupBy("_home", "_salt").agg(F.collect_list(F.struct(site, *kept, "_near")).alias("_sites"))
+    each = hours.join(blocks, ["_home", "_salt"]).select(ts, "_at", F.inline("_sites"))
+    most = places.agg(F.max(F.size("_near"))).first()[0] or 1  # near cells of a site, few
+    near = [F.get("_near", F.lit(i)) for i in range(most)]
+    each = each.select(ts, site, *kept, *[e for i, n in enumerate(near) for e in (
+        F.try_element_at("_at", n["cell"]).alias(f"_e{i}"), n["w"].alias(f"_w{i}"), n["rank"].alias(f"_r{i}"))])
+    each = each.where(F.coalesce(*[F.col(f"_e{i}") for i in range(most)]).isNotNull())
+
+    def total(parts: list[Column]) -> Column:
+        return F.when(F.coalesce(*parts).isNotNull(), reduce(add, [F.coalesce(p, F.lit(0.0)) for p in parts]))
+
+    def nearest(i: int) -> Column:
+        # the filter changes nothing, but keeps this wide projection out of whole-stage code, whose one method would be too long to be compiled
+        return F.array_max(F.filter(F.array(*[F.when(F.col(f"_r{j}") == 1, F.col(f"_e{j}")[f"m{i}"]) for j in range(most)]), lambda m: m.isNotNull()))
+
+    def deviation(i: int) -> Column:
+        sums, counts, spreads = ([F.when(F.col(f"_r{j}") <= near_k, F.col(f"_e{j}")[f"{t}{i}"]) for j in range(most)] for t in "snv")
+        n = F.nullif(total(counts), F.lit(0.0))
+        mean = total(sums) / n
+        gaps = [s / F.nullif(c, F.lit(0.0)) - mean for s, c in zip(sums, counts)]
+        return F.sqrt(total([c * (v + g * g) for c, v, g in zip(counts, spreads, gaps)]) / n)
+
+    out = [total([F.col(f"_w{j}") * F.col(f"_e{j}")[f"s{i}"] for j in range(most)]).alias(f"idw__{v}") for i, v in enumerate(values)]
+    out += [nearest(i).alias(f"nearest__{v}") for i, v in enumerate(values)]
     if near_k:
-        aggs += [F.stddev_pop(F.when(F.col("rank") <= near_k, F.col(v))).alias(f"near{near_k}_std__{v}") for v in values]
-    return rows.groupBy(ts, site).agg(*aggs)
+        out += [deviation(i).alias(f"near{near_k}_std__{v}") for i, v in enumerate(values)]
+    return each.select(ts, site, *kept, *out)
 
 
 def spatial_summary(df: DataFrame, variables: Sequence[str], wind: Sequence[str], ts: str = "forecast_ts") -> DataFrame:
@@ -316,23 +373,32 @@ def _wake(u: pd.Series, v: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series,
 def wake_features(df: DataFrame, turbines: DataFrame, u: str, v: str, ts: str = "forecast_ts", farm: str = "farm",
                   turbine: str = "turbine_id") -> DataFrame:
     """Directional layout features per hour and farm.  Turbines of one hour are packed into one row; the pairs live only
-    inside the vectorised kernel and are never rows."""
+    inside the vectorised kernel and are never rows.  Rows that name their farm already are taken as they are."""
     layout = turbine_layout(turbines, farm, turbine)
-    rows = attach(df, turbines.select(turbine, farm), [turbine], "inner")
+    rows = df if farm in df.columns else attach(df, turbines.select(turbine, farm), [turbine], "inner")
     packed = rows.groupBy(ts, farm).agg(F.sort_array(F.collect_list(F.struct(turbine, u, v))).alias("p"))
     ready = attach(packed, layout, [farm], "inner").withColumns({
         "_u": F.transform("p", lambda r: r[u]), "_v": F.transform("p", lambda r: r[v])})
     return ready.select(ts, farm, _wake("_u", "_v", "x", "y", "w", "rotor_m").alias("k")).select(ts, farm, "k.*")
 
 
+def turbine_places(turbines: DataFrame, farm: str = "farm", turbine: str = "turbine_id") -> DataFrame:
+    """(farm, turbine, w, x, y): capacity share and local position of every turbine."""
+    return turbine_layout(turbines, farm, turbine).select(farm, F.inline(F.arrays_zip("turbines", "w", "x", "y"))).withColumnRenamed("turbines", turbine)
+
+
 def flow_projection(df: DataFrame, turbines: DataFrame, u: str, v: str, ts: str = "forecast_ts", farm: str = "farm",
                     turbine: str = "turbine_id") -> DataFrame:
-    """``df`` with the farm and ``projection``: each turbine's place along the farm's capacity-weighted mean flow, in km."""
-    places = turbine_layout(turbines, farm, turbine).select(farm, F.inline(F.arrays_zip("turbines", "w", "x", "y"))).withColumnRenamed("turbines", turbine)
-    rows = attach(df, places, [turbine], "inner")
-    flow = rows.groupBy(ts, farm).agg(F.sum(F.col("w") * F.col(u)).alias("_mu"), F.sum(F.col("w") * F.col(v)).alias("_mv"))
+    """``df`` with the farm and ``projection``: each turbine's place along the farm's capacity-weighted mean flow, in km.
+
+    Rows that hold their turbine's place already are taken as they are.  The flow is a total over a farm hour.
+    """
+    rows = df if {farm, "w", "x", "y"} <= set(df.columns) else attach(df, turbine_places(turbines, farm, turbine), [turbine], "inner")
+    hour = Window.partitionBy(ts, farm)
+    rows = rows.where(F.col(ts).isNotNull() & F.col(farm).isNotNull())
+    rows = rows.withColumns({"_mu": F.sum(F.col("w") * F.col(u)).over(hour), "_mv": F.sum(F.col("w") * F.col(v)).over(hour)})
     along = (F.col("_mu") * F.col("x") + F.col("_mv") * F.col("y")) / F.greatest(F.hypot("_mu", "_mv"), F.lit(1e-5))
-    return rows.join(flow, [ts, farm]).withColumn("projection", along).drop("w", "x", "y", "_mu", "_mv")
+    return rows.withColumn("projection", along).drop("w", "x", "y", "_mu", "_mv")
 
 
 def edge_speeds(df: DataFrame, keys: Sequence[str], projection: ColumnLike, value: ColumnLike) -> DataFrame:

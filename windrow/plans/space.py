@@ -11,7 +11,6 @@ from windrow.functions import geo as G
 from windrow.functions.exprs import r6
 from windrow.functions.ranks import exact_quantiles
 from windrow.operators import spatial as X
-from windrow.operators.lookups import attach
 from windrow.plans.digest import row_values, row_values_sql
 from windrow.plans.registry import query
 from windrow.plans.weather import _FULL, _VARS, _complete
@@ -63,8 +62,9 @@ def spatial_summary(v) -> DataFrame:
     return out.select("forecast_ts", *[r6(c).alias(c) for c in out.columns[1:]])
 
 
-def _turbine_wind(v) -> DataFrame:
-    return X.interpolate(_complete(v), X.idw_weights(_near(v)), ["u50", "v50"])
+def _turbine_wind(v, static: DataFrame, how: str = "left") -> DataFrame:
+    """Wind of every turbine and hour beside ``static``; the turbines of a farm lie in one task."""
+    return X.interpolate(_complete(v), X.idw_weights(_near(v)), ["u50", "v50"], static=static, group=["farm"], how=how)
 
 
 _TW = f"""{_FULL}, {_NN},
@@ -79,7 +79,7 @@ x AS (SELECT forecast_ts, farm, sum(capacity_mw * tu) / sum(capacity_mw) AS m,
 y AS (SELECT forecast_ts, farm, m AS tu__cw_mean, sqrt(greatest(q - m * m, 0)) AS tu__cw_std, r AS tu__range FROM x)
 {row_values_sql('y', ['forecast_ts', 'farm'], ['tu__cw_mean', 'tu__cw_std', 'tu__range'])}""")
 def capacity_weighted_statistics(v) -> DataFrame:
-    rows = attach(_turbine_wind(v).withColumnRenamed("idw__u50", "tu"), v.sites.select("turbine_id", "farm", "capacity_mw"), ["turbine_id"])
+    rows = _turbine_wind(v, v.sites.select("turbine_id", "farm", "capacity_mw")).withColumnRenamed("idw__u50", "tu")
     out = X.capacity_statistics(rows, ["forecast_ts", "farm"], "tu")
     return row_values(out, ["forecast_ts", "farm"], ["tu__cw_mean", "tu__cw_std", "tu__range"])
 
@@ -154,7 +154,7 @@ y AS (SELECT x.*, u0 AS upstream_edge_ws, d0 AS downstream_edge_ws, d0 - u0 AS d
       FROM x LEFT JOIN pa ON pa.forecast_ts = x.forecast_ts AND pa.farm = x.farm)
 {row_values_sql('y', ['forecast_ts', 'farm'], _WAKE)}""")
 def wake_layout_features(v) -> DataFrame:
-    out = X.wake_features(_turbine_wind(v), v.sites, "idw__u50", "idw__v50")
+    out = X.wake_features(_turbine_wind(v, v.sites.select("turbine_id", "farm"), "inner"), v.sites, "idw__u50", "idw__v50")
     return row_values(out, ["forecast_ts", "farm"], _WAKE)
 
 
@@ -165,7 +165,7 @@ pr AS (SELECT tw.forecast_ts, tw.farm, tw.turbine_id, sqrt(tu * tu + tv * tv) AS
        FROM tw JOIN lay ON lay.turbine_id = tw.turbine_id JOIN fl ON fl.forecast_ts = tw.forecast_ts AND fl.farm = tw.farm)
 SELECT forecast_ts, farm, round(arg_min(s, (p, turbine_id)) + 1e-9, 6) AS upstream, round(arg_max(s, (p, turbine_id)) + 1e-9, 6) AS downstream FROM pr GROUP BY 1, 2""")
 def edge_turbine_speeds(v) -> DataFrame:
-    wind = _turbine_wind(v)
+    wind = _turbine_wind(v, X.turbine_places(v.sites), "inner")
     place = X.flow_projection(wind, v.sites, "idw__u50", "idw__v50")
     out = X.edge_speeds(place, ["forecast_ts", "farm"], F.struct(F.round("projection", 9), "turbine_id"), F.hypot("idw__u50", "idw__v50"))
     return row_values(out, ["forecast_ts", "farm"], ["upstream", "downstream"])
@@ -184,7 +184,7 @@ def _static(v) -> DataFrame:
 
 
 def _farm_wind(v) -> DataFrame:
-    rows = attach(_turbine_wind(v), v.sites.select("turbine_id", "farm", "capacity_mw"), ["turbine_id"])
+    rows = _turbine_wind(v, v.sites.select("turbine_id", "farm", "capacity_mw"))
     return X.capacity_weighted(rows.withColumnsRenamed({"idw__u50": "fu", "idw__v50": "fv"}), ["forecast_ts", "farm"], ["fu", "fv"])
 
 
