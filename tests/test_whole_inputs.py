@@ -154,3 +154,15 @@ def test_interpolation_shuffles_cells_not_sites(spark):
     beside = X.interpolate(df, w, ["x"], static=about, group=["farm"]).select("forecast_ts", "turbine_id", "farm", "capacity_mw", "idw__x")
     joined = plain.join(about, "turbine_id", "left").select(*beside.columns)
     assert sorted(map(round9, beside.collect()), key=key) == sorted(map(round9, joined.collect()), key=key)
+
+
+def test_leaf_quantiles_go_to_the_queries(spark):
+    rng = np.random.default_rng(4)
+    fit = [([int(a), int(b)], float(y)) for a, b, y in zip(rng.integers(0, 3, 80), rng.integers(0, 4, 80), rng.normal(size=80))]
+    ask = [(i, [int(a), int(b)]) for i, (a, b) in enumerate(zip(rng.integers(0, 4, 30), rng.integers(0, 4, 30)))]  # leaf 3 of the first tree has no member
+    out = M.leaf_quantile_surface(spark.createDataFrame(fit, "leaves array<bigint>, y double"), spark.createDataFrame(ask, "id int, leaves array<bigint>"), "leaves", ["id"], "y", [0.1, 0.5])
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r["quantiles"] for r in out.collect()}
+    for i, own in ask:
+        members = [[y for at, y in fit if at[tree] == own[tree]] for tree in range(2)]
+        assert got[i] == pytest.approx(np.mean([np.quantile(m, [0.1, 0.5]) for m in members if m], axis=0), abs=1e-12)
