@@ -45,3 +45,27 @@ def test_grid_choice_of_odd_utilities(spark):
     df = spark.createDataFrame(rows, "i int, u array<double>, b double")
     got = {r["i"]: r["c"] and r["c"]["action"] for r in df.withColumn("c", D.choose_on_grid("u", "b", [0.0, 0.5, 1.0])).collect()}
     assert got == {0: 1.0, 1: None, 2: None, 3: 1.0, 4: 0.0, 5: 0.5}
+
+
+def test_trees_call_a_node_once_a_block(spark, monkeypatch):
+    """Same trees whatever the block, equal to a plain walk, and one visit a node and block instead of one a small batch."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 2))
+    rows = [(float(a), None if i % 9 == 4 else float(b), float(a > 0) + 0.1 * float(b)) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, y double").coalesce(1)
+    whole = X.grow(df, ["a", "b"], "y", trees=2, depth=3)
+    monkeypatch.setattr(X, "BLOCK", 50)
+    parts = X.grow(df, ["a", "b"], "y", trees=2, depth=3)
+    assert (whole.split == parts.split).all() and whole.threshold == pytest.approx(parts.threshold) and whole.value == pytest.approx(parts.value)
+    got = [r["prediction"] for r in whole.score(df).select("prediction").collect()]
+    for (a, b, _), p in zip(rows, got):
+        want = 0.0
+        for t in range(2):
+            k = 1
+            while whole.split[t, k] >= 0:
+                v = (a, b)[whole.split[t, k]]
+                k = 2 * k + (0 if v is not None and v <= whole.threshold[t, k] else 1)
+            want += whole.value[t, k] / 2
+        assert p == pytest.approx(want, abs=1e-12)
+    batches = df.toArrow().to_batches(max_chunksize=10)
+    assert [b.num_rows for b in X._blocks(iter(batches))] == [50] * 8

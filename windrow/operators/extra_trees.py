@@ -20,6 +20,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from windrow.session import checkpoint
 
+#: rows a task's kernel takes at a time
+BLOCK = 65_536
+
 
 def uniform(seed: int, tree: int, node: int, feature: int) -> float:
     """Number in [0, 1): the first 32 bits of the md5 of "seed-tree-node-feature"."""
@@ -44,8 +47,8 @@ class Forest:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = _matrix(batch, at)
-                total, nodes = np.zeros(len(x)), np.zeros((len(x), trees), np.int64)
+                x = _columns(batch, at)
+                total, nodes = np.zeros(batch.num_rows), np.zeros((batch.num_rows, trees), np.int64)
                 for t in range(trees):
                     nodes[:, t] = _walk(x, split[t], threshold[t])
                     total += value[t][nodes[:, t]]
@@ -57,21 +60,48 @@ class Forest:
         return df.mapInArrow(run, T.StructType(fields))
 
 
-def _matrix(batch: pa.RecordBatch, at: Sequence[int]) -> np.ndarray:
-    columns = [np.asarray(batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False), float) for i in at]
-    return np.column_stack(columns) if batch.num_rows else np.zeros((0, len(at)))
+def _columns(batch: pa.RecordBatch, at: Sequence[int]) -> np.ndarray:
+    """Features x rows, so that a node reads one feature of its rows from one stretch of memory."""
+    return np.array([batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in at], float).reshape(len(at), batch.num_rows)
 
 
 def _walk(x: np.ndarray, split: np.ndarray, threshold: np.ndarray) -> np.ndarray:
-    """Node every row ends in; a missing value goes right."""
-    node, rows = np.ones(len(x), np.int64), np.arange(len(x))
-    while True:
-        f = split[node]
-        go = f >= 0
-        if not go.any():
-            return node
-        right = ~(x[rows, np.maximum(f, 0)] <= threshold[node])
-        node = np.where(go, 2 * node + right, node)
+    """Node every row ends in; a missing value goes right.  A leaf is its own child, so all rows take every level's step."""
+    inner = np.flatnonzero(split >= 0)
+    child = np.repeat(np.arange(len(split)), 2)
+    child[2 * inner], child[2 * inner + 1] = 2 * inner, 2 * inner + 1
+    start, flat, rows, node = np.maximum(split, 0) * x.shape[1], x.ravel(), np.arange(x.shape[1]), np.ones(x.shape[1], np.int64)
+    for _ in range(int(inner.max(initial=0)).bit_length()):
+        at = start.take(node)
+        at += rows
+        right = ~(flat.take(at) <= threshold.take(node))
+        node += node
+        node += right
+        node = child.take(node)
+    return node
+
+
+def _members(x: np.ndarray, split: np.ndarray, threshold: np.ndarray, first: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Every node from ``first`` on that rows end in, and their numbers."""
+    node = _walk(x, split, threshold)
+    order = np.argsort(node.astype(np.uint16) if len(split) <= 2**16 else node, kind="stable")  # short numbers are sorted by their digits
+    sizes = np.bincount(node, minlength=len(split))
+    ends = np.cumsum(sizes)
+    for k in np.flatnonzero(sizes[first:]) + first:
+        yield int(k), order[ends[k] - sizes[k]:ends[k]]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``BLOCK`` rows: a node's few calls then serve many rows."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= BLOCK:
+            yield pa.concat_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.concat_batches(held)
 
 
 def grow(df: DataFrame, features: Sequence[str], target: str, trees: int = 20, depth: int = 6, minimum: int = 8, seed: int = 42) -> Forest:
@@ -90,28 +120,25 @@ def grow(df: DataFrame, features: Sequence[str], target: str, trees: int = 20, d
         """Per open (tree, node): features x (rows, target sum, least, most), or (rows, target sum) left of the drawn thresholds."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple[int, int], np.ndarray] = {}
-            for batch in batches:
-                x, y = _matrix(batch, range(count)), np.asarray(batch.column(count).to_numpy(zero_copy_only=False), float)
+            for batch in _blocks(batches):
+                x, y = _columns(batch, range(count)), np.asarray(batch.column(count).to_numpy(zero_copy_only=False), float)
                 for t in range(trees):
-                    node = _walk(x, split[t], threshold[t])
-                    order = np.argsort(node, kind="stable")
-                    order = order[node[order] >= first]
-                    if not len(order):
-                        continue
-                    own, xs, ys = node[order], x[order], y[order]
-                    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    for k, part in zip(own[starts], zip(np.split(xs, starts[1:]), np.split(ys, starts[1:]))):
-                        px, py = part
-                        into = sums.setdefault((t, int(k)), np.tile([0.0, 0.0, np.inf, -np.inf], (count, 1)))
+                    for k, own in _members(x, split[t], threshold[t], first):
+                        px, py = x.take(own, axis=1), y[own]
+                        into = sums.setdefault((t, k), np.tile([0.0, 0.0, np.inf, -np.inf], (count, 1)))
                         if drawn is None:
                             into[:, 0] += len(py)
                             into[:, 1] += py.sum()
-                            into[:, 2] = np.minimum(into[:, 2], np.where(np.isnan(px), np.inf, px).min(axis=0))
-                            into[:, 3] = np.maximum(into[:, 3], np.where(np.isnan(px), -np.inf, px).max(axis=0))
+                            least, most = px.min(axis=1), px.max(axis=1)
+                            for f in np.flatnonzero(np.isnan(least)):
+                                known = px[f][~np.isnan(px[f])]
+                                least[f], most[f] = known.min(initial=np.inf), known.max(initial=-np.inf)
+                            into[:, 2] = np.minimum(into[:, 2], least)
+                            into[:, 3] = np.maximum(into[:, 3], most)
                         else:
-                            left = px <= drawn[t, k]
-                            into[:, 0] += left.sum(axis=0)
-                            into[:, 1] += py @ left
+                            left = px <= drawn[t, k][:, None]
+                            into[:, 0] += np.count_nonzero(left, axis=1)
+                            into[:, 1] += left @ py
             out = [(t, k, f, *map(float, v)) for (t, k), s in sums.items() for f, v in enumerate(s)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i < 3 else pa.float64()) for i, c in enumerate(zip(*out))], names=names)
