@@ -69,3 +69,22 @@ def test_trees_call_a_node_once_a_block(spark, monkeypatch):
         assert p == pytest.approx(want, abs=1e-12)
     batches = df.toArrow().to_batches(max_chunksize=10)
     assert [b.num_rows for b in X._blocks(iter(batches))] == [50] * 8
+
+
+def test_run_table_is_formed_once_for_all_residual_models(spark, monkeypatch):
+    """Every fit, scaler and prediction reads kept rows: the weather is read once for the training and once for the applied runs."""
+    for kind in ("huber", "boosted"):
+        monkeypatch.setattr(M, kind, lambda d, features, target, **params: M.ridge(d, features, target, 1.0))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    hours = spark.range(24 * 25 * 2).select((F.col("id") % 2).cast("int").alias("grid_id"), F.floor(F.col("id") / 2).alias("h"))
+    rows = hours.select("grid_id", F.timestamp_add("HOUR", F.col("h"), F.lit("2024-01-01 01:00:00").cast("timestamp_ntz")).alias("forecast_ts"),
+                        F.timestamp_add("DAY", F.floor(F.col("h") / 24), F.lit("2024-01-01").cast("timestamp_ntz")).alias("run_key"),
+                        (F.col("h") * 7 % 13 / 2.0).alias("u"), (10 + F.col("h") * 5 % 11 / 1.0 + F.col("grid_id")).alias("gust"), F.lit(1.0).alias("t2"))
+    out = L.run_residual_models(Table(wx=rows.mapInArrow(counted, rows.schema))).collect()
+    assert len(out) == 3 * 24 * 5 * 2 and read.value <= 2 * 24 * 25 * 2
