@@ -71,6 +71,17 @@ def test_trees_call_a_node_once_a_block(spark, monkeypatch):
     assert [b.num_rows for b in X._blocks(iter(batches))] == [50] * 8
 
 
+def test_independent_fits_run_side_by_side():
+    """Each of two fits waits for the other, which only ends if they run together; models keep their order."""
+    met = threading.Barrier(2, timeout=30)
+
+    def fit(name):
+        met.wait()
+        return name
+
+    assert M.side_by_side([lambda: fit("a"), lambda: fit("b")]) == ["a", "b"]
+
+
 def test_run_table_is_formed_once_for_all_residual_models(spark, monkeypatch):
     """Every fit, scaler and prediction reads kept rows: the weather is read once for the training and once for the applied runs."""
     for kind in ("huber", "boosted"):
