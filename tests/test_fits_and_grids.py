@@ -99,3 +99,26 @@ def test_run_table_is_formed_once_for_all_residual_models(spark, monkeypatch):
                         (F.col("h") * 7 % 13 / 2.0).alias("u"), (10 + F.col("h") * 5 % 11 / 1.0 + F.col("grid_id")).alias("gust"), F.lit(1.0).alias("t2"))
     out = L.run_residual_models(Table(wx=rows.mapInArrow(counted, rows.schema))).collect()
     assert len(out) == 3 * 24 * 5 * 2 and read.value <= 2 * 24 * 25 * 2
+
+
+def test_common_factor_keeps_days_and_no_wide_rows(spark, monkeypatch):
+    """All 24 columns of every site row were kept, and predictions met the rows of all years by shuffle."""
+    from windrow.operators import calibrate as K
+    from windrow.operators import models as M
+    from windrow.plans import learning as LP
+
+    days = [f"{y}-{m:02d}-{d:02d}" for y in (1997, 1998, 1999, 2000) for m in (2, 7) for d in range(1, 11)]
+    values = [(g, s, day, 12.0 + (7 * i + 5 * s) % 41, 9.0 + (11 * i + s) % 37, 11.0 + (5 * i + s) % 40, 8.0 + (3 * i) % 35, 60.0)
+              for i, day in enumerate(days) for s, g in enumerate(("g1", "g2", "g3"))]
+    fcst = spark.createDataFrame(values, "grp string, site long, ts string, actual double, base double, cand double, third double, capacity double")
+    fcst = fcst.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    kept, real = [], LP.checkpoint
+    monkeypatch.setattr(LP, "checkpoint", lambda df: kept.append(set(df.columns)) or real(df))
+    monkeypatch.setattr(M, "boosted", lambda d, names, target, **_: M.ridge(d, names, target, 1.0))  # any fit will do
+    joined, fit_affine = [], K.fit_affine
+    monkeypatch.setattr(K, "fit_affine", lambda df, *rest: joined.append(df) or fit_affine(df, *rest))
+    out = LP.common_factor_forward(type("V", (), {"fcst": fcst, "spark": spark})())
+    assert {r["grp"] for r in out.collect()} == {"g1", "g2", "g3"}
+    assert kept and all(columns <= {"ts", *LP.FEATURES, "actual_cf", "n", "common_cf"} for columns in kept)
+    assert joined[0].count() == 3 * 40 and {r["y"] for r in joined[0].select(F.year("ts").alias("y")).distinct().collect()} == {1998, 1999}
+    assert "SortMergeJoin" not in joined[0]._jdf.queryExecution().executedPlan().toString()
