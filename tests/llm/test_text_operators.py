@@ -570,3 +570,11 @@ def test_pipeline_decisions_take_effect(spark, tmp_path):
         if name == "secrets":
             assert docs.where("doc_id = 7").first().text.endswith("[SECRET]")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_replicas_of_fingerprints_are_never_broadcast(spark, tmp_path):
+    """A plan counts the 32 replicas of a fingerprint as one row of its size, so a table near the limit would be sent whole to the driver."""
+    spark.range(500).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    found = simhash_anchors.links(spark.read.parquet(str(tmp_path / "fps")))
+    found.count()
+    assert "Broadcast" not in found._jdf.queryExecution().toString()

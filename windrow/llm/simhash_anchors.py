@@ -152,7 +152,8 @@ def links(distinct: DataFrame, threshold: int = 3, chunk: int = CHUNK) -> DataFr
     replicas = distinct.select("fp").mapInArrow(replicate, "anchor long, fp long")
     sizes = replicas.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / chunk).cast("int")
-    met = replicas.join(sizes, "anchor").withColumns({"c": parts, "mine": F.pmod(F.xxhash64("fp", "anchor"), parts).cast("int")})
+    # the plan takes the replicas, up to 32 a fingerprint, for no larger than the fingerprints: neither side may be broadcast on its word
+    met = replicas.hint("merge").join(sizes, "anchor").withColumns({"c": parts, "mine": F.pmod(F.xxhash64("fp", "anchor"), parts).cast("int")})
     cells = met.select("anchor", "fp", "mine", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other")).select(
         "anchor", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "fp").select(*[F.col(c).cast("long") for c in ("anchor", "lo", "hi", "fp")])
     dealt = cells.repartition("anchor", "lo", "hi").sortWithinPartitions("anchor", "lo", "hi", "fp")
