@@ -26,7 +26,8 @@ def rows(spark):
 
 def test_heads_equal_pyspark_on_unfolded_rows(rows, monkeypatch):
     monkeypatch.setattr(H, "TILE", 16)
-    names, rounds = ["b", "z"], 6
+    monkeypatch.setattr(H, "RENEW", 2)
+    names, rounds = ["b", "z"], 4
     cuts, place, trees, rates = H.fit(rows, names, "y", D.ACTION_GRID, maxIter=rounds)
     asked = rows.orderBy("id").toPandas()
     bins = np.stack([np.searchsorted(c, asked[n]).astype(np.uint8) for c, n in zip(cuts, names)])
