@@ -48,6 +48,7 @@ def test_interval_query_runs_all_rounds(rows, monkeypatch):
     assert "maxIter" not in inspect.getsource(learning.interval_probability_policy)
     seen, fit = [], H.fit
     monkeypatch.setattr(H, "fit", lambda *a, **k: seen.append(k["maxIter"]) or fit(*a, **{**k, "maxIter": 2}))
+    rows.select(D.corridor_action(["b", "z"], F.lit(1.0))).collect()  # a function the session knows cannot travel with the kernel
     out = M.interval_policy(rows, rows.unionByName(rows), ["b", "z"], "y", "b", D.ACTION_GRID)
     assert out.count() == 180 and out.columns == [*rows.columns, "action", "utility"] and seen == [140]
 
